@@ -60,10 +60,19 @@ def weekday_monday0(dt: Column | str) -> Column:
     return F.weekday(dt).cast("tinyint")
 
 
-def elapsed_days(start: Column | str, end: datetime) -> Column:
-    """Whole elapsed days from ``start`` to the instant ``end``, floored, clipped at 0.
+def epoch_micros(ntz_col: Column | str) -> Column:
+    """Epoch microseconds of a naive UTC wall-clock timestamp, from its calendar fields
+    (seconds with their fraction), so the session zone never enters."""
+    c = F.col(ntz_col) if isinstance(ntz_col, str) else ntz_col
+    whole = F.unix_date(F.to_date(c)).cast("long") * F.lit(86_400_000_000) + (
+        F.hour(c).cast("long") * 3600 + F.minute(c).cast("long") * 60
+    ) * F.lit(1_000_000)
+    return whole + (F.date_part(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("long")
 
-    ``timestampdiff(DAY, ..)`` counts complete 24-hour days (10:00 the day before the
-    end gives 0, where ``datediff`` would give 1)."""
-    days = F.timestampdiff("DAY", F.col(start) if isinstance(start, str) else start, ntz_literal(end))
+
+def elapsed_days(start: Column | str, end: datetime) -> Column:
+    """Whole elapsed days from ``start`` to the instant ``end``, floored, clipped at 0
+    (a purchase at 10:00 the day before ``end`` gives 0, where ``datediff`` gives 1)."""
+    end_us = int((end - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    days = F.floor((F.lit(end_us) - epoch_micros(start)) / F.lit(86_400_000_000))
     return F.greatest(days, F.lit(0)).cast("long")

@@ -237,3 +237,103 @@ def q_summary_roundtrip(spark, sf_dir):
     path = shared_path(spark, "funnel_summary_json")
     K.write_summary_json(_funnel_doc(spark, sf_dir), path)
     return FN.explode_funnel(K.read_summary_json(spark, path, FUNNEL_SUMMARY))
+
+
+# ------------------------------------------------------------------ RFM
+
+from clickscope.operators import rfm as RF  # noqa: E402
+from clickscope.plans.inputs import ORDERS_RFM, order_buys  # noqa: E402
+from dataclasses import replace as _replace  # noqa: E402
+
+# the adapted event log ends 2024-01-25 (local); its reference instant is the next midnight
+EVENTS_RFM = _replace(ORDERS_RFM, analysis_end="2024-01-26")
+WHAT_IF_SHIFT = -2
+
+
+def _scored_orders(spark, sf_dir, status=None, params=ORDERS_RFM) -> DataFrame:
+    return RF.rfm_table(order_buys(spark, sf_dir, status), params)
+
+
+@query("buy_events")
+def q_buy_events(spark, sf_dir):
+    return RF.buy_events(cleaned_events(spark, sf_dir)).select("user_id", "item_id", "category_id", "behavior", "datetime")
+
+
+@query("rfm_table")
+def q_rfm_table(spark, sf_dir):
+    return _scored_orders(spark, sf_dir)
+
+
+@query("rfm_events")
+def q_rfm_events(spark, sf_dir):
+    """RFM over the cleaned click log itself (the pipeline's own input)."""
+    return RF.rfm_table(cleaned_events(spark, sf_dir), EVENTS_RFM)
+
+
+@query("rfm_table_freq_mode")
+def q_rfm_freq_mode(spark, sf_dir):
+    return _scored_orders(spark, sf_dir, params=_replace(ORDERS_RFM, monetary_mode="frequency"))
+
+
+@query("rfm_rank")
+def q_rfm_rank(spark, sf_dir):
+    return RF.rfm_ranks(RF.rfm_base(order_buys(spark, sf_dir), ORDERS_RFM))
+
+
+@query("rfm_scores")
+def q_rfm_scores(spark, sf_dir):
+    return _scored_orders(spark, sf_dir).select("user_id", "r_score", "f_score", "m_score")
+
+
+@query("rfm_scores_status_f")
+def q_rfm_scores_f(spark, sf_dir):
+    """Buyers of finished orders (n mod 3 = 1 at sf0.01)."""
+    return _scored_orders(spark, sf_dir, "F").select("user_id", "r_score", "f_score", "m_score")
+
+
+@query("rfm_scores_status_o")
+def q_rfm_scores_o(spark, sf_dir):
+    """Buyers of open orders (n mod 3 = 2 at sf0.01)."""
+    return _scored_orders(spark, sf_dir, "O").select("user_id", "r_score", "f_score", "m_score")
+
+
+@query("rfm_levels")
+def q_rfm_levels(spark, sf_dir):
+    return RF.rfm_levels(RF.rfm_base(order_buys(spark, sf_dir), ORDERS_RFM))
+
+
+@query("rfm_segments")
+def q_rfm_segments(spark, sf_dir):
+    return _scored_orders(spark, sf_dir).select("user_id", "r_level", "f_level", "m_level", "segment")
+
+
+@query("rfm_summary")
+def q_rfm_summary(spark, sf_dir):
+    return RF.rfm_summary(_scored_orders(spark, sf_dir))
+
+
+@query("rfm_segment_means")
+def q_rfm_segment_means(spark, sf_dir):
+    return RF.rfm_segment_means(_scored_orders(spark, sf_dir))
+
+
+@query("rfm_histogram")
+def q_rfm_histogram(spark, sf_dir):
+    return RF.rfm_histogram(_scored_orders(spark, sf_dir))
+
+
+@query("rfm_kpis")
+def q_rfm_kpis(spark, sf_dir):
+    return RF.rfm_kpis(_scored_orders(spark, sf_dir))
+
+
+@query("rfm_what_if")
+def q_rfm_what_if(spark, sf_dir):
+    return RF.rfm_summary(RF.rfm_what_if(_scored_orders(spark, sf_dir), WHAT_IF_SHIFT, ORDERS_RFM))
+
+
+@query("rfm_top_users")
+def q_rfm_top_users(spark, sf_dir):
+    return RF.rfm_top_users(_scored_orders(spark, sf_dir)).select(
+        "user_id", "segment", "recency", "frequency", "monetary", "r_score", "f_score", "m_score"
+    )

@@ -189,3 +189,125 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM funnel) AS funnel_steps,
                 / nullif(max(CASE WHEN behavior = 'pv' THEN uv END), 0), 0.0) FROM funnel) AS overall_buy_conversion_rate""",
     "summary_roundtrip": f"WITH {FUNNEL_CTE} SELECT * FROM funnel ORDER BY step",
 }
+
+
+# ------------------------------------------------------------------ RFM
+
+ORDER_BUYS = """SELECT o.o_custkey AS user_id, l.l_partkey AS item_id, p.p_brand AS category_id, o.o_orderdate AS datetime
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey {status}
+  LEFT JOIN part p ON l.l_partkey = p.p_partkey"""
+
+SEGMENTS = """CASE CAST(r_level AS INTEGER) * 100 + CAST(f_level AS INTEGER) * 10 + CAST(m_level AS INTEGER)
+  WHEN 111 THEN '一般挽留用户' WHEN 112 THEN '一般保持用户' WHEN 121 THEN '一般发展用户' WHEN 122 THEN '一般价值用户'
+  WHEN 211 THEN '重要挽留用户' WHEN 212 THEN '重要保持用户' WHEN 221 THEN '重要发展用户' WHEN 222 THEN '重要价值用户' END"""
+
+
+def rfm_base_cte(buys_sql: str, end_ts: str, monetary: str = "category_count") -> str:
+    """CTEs ``buys`` and ``rfm0`` (unscored RFM)."""
+    return f"""buys AS ({buys_sql}),
+base AS (SELECT user_id, max(datetime) AS last_buy_time, count(item_id) AS frequency,
+                count(DISTINCT category_id) AS category_count FROM buys GROUP BY user_id),
+rfm0 AS (SELECT user_id, last_buy_time, CAST(frequency AS BIGINT) AS frequency,
+                CAST(category_count AS BIGINT) AS category_count,
+                CAST(greatest(floor((epoch(TIMESTAMP '{end_ts}') - epoch(last_buy_time)) / 86400), 0) AS BIGINT) AS recency,
+                CAST({monetary} AS BIGINT) AS monetary
+         FROM base)"""
+
+
+def rfm_score_cte(src: str = "rfm0", out: str = "scored") -> str:
+    """Tercile scores by the closed-form rule over unique ranks, median levels, segments."""
+    def tercile(rank: str) -> str:
+        return f"(CASE WHEN {rank} <= (n + 1) // 3 THEN 1 WHEN {rank} <= (n + 1) // 3 + n // 3 THEN 2 ELSE 3 END)"
+    return f"""st_{out} AS (SELECT count(*) AS n, count(DISTINCT recency) AS rd, median(recency) AS rmed,
+                count(DISTINCT frequency) AS fd, median(frequency) AS fmed,
+                count(DISTINCT monetary) AS md, median(monetary) AS mmed FROM {src}),
+rk_{out} AS (SELECT s.*, row_number() OVER (ORDER BY recency, user_id) AS rr,
+                row_number() OVER (ORDER BY frequency, user_id) AS fr,
+                row_number() OVER (ORDER BY monetary, user_id) AS mr FROM {src} s),
+lv_{out} AS (SELECT rk_{out}.*, st_{out}.*,
+                CAST(CASE WHEN recency <= rmed THEN 2 ELSE 1 END AS TINYINT) AS r_level,
+                CAST(CASE WHEN frequency >= fmed THEN 2 ELSE 1 END AS TINYINT) AS f_level,
+                CAST(CASE WHEN monetary >= mmed THEN 2 ELSE 1 END AS TINYINT) AS m_level
+         FROM rk_{out}, st_{out}),
+{out} AS (SELECT user_id, last_buy_time, frequency, category_count, recency, monetary,
+                CAST(CASE WHEN rd < 3 THEN r_level ELSE 4 - {tercile('rr')} END AS TINYINT) AS r_score,
+                CAST(CASE WHEN fd < 3 THEN f_level ELSE {tercile('fr')} END AS TINYINT) AS f_score,
+                CAST(CASE WHEN md < 3 THEN m_level ELSE {tercile('mr')} END AS TINYINT) AS m_score,
+                r_level, f_level, m_level, {SEGMENTS} AS segment
+         FROM lv_{out})"""
+
+
+def orders_scored(status: str | None = None, monetary: str = "category_count") -> str:
+    st = f"AND o.o_orderstatus = '{status}'" if status else ""
+    return rfm_base_cte(ORDER_BUYS.format(status=st), "2001-08-02 00:00:00", monetary) + ",\n" + rfm_score_cte()
+
+
+def rfm_summary_sql(src: str = "scored") -> str:
+    return f"""SELECT segment, CAST(user_count AS BIGINT) AS user_count,
+       round_even(CAST(user_count AS DOUBLE) / sum(user_count) OVER () * 100.0, 2) AS user_ratio,
+       CAST(sum(du) OVER () AS BIGINT) AS total_buy_users
+FROM (SELECT segment, count(*) AS user_count, count(DISTINCT user_id) AS du FROM {src} GROUP BY segment)"""
+
+
+def histogram_sql(src: str = "scored") -> str:
+    parts = []
+    for m in ("recency", "frequency", "monetary"):
+        parts.append(f"""(WITH p AS (SELECT CAST(CASE WHEN min({m}) = max({m}) THEN min({m}) - 0.5 ELSE min({m}) END AS DOUBLE) AS lo,
+                  CAST(CASE WHEN min({m}) = max({m}) THEN max({m}) + 0.5 ELSE max({m}) END AS DOUBLE) AS hi,
+                  CAST(least(20, greatest(3, count(DISTINCT {m}))) AS INTEGER) AS bins FROM {src}),
+      x AS (SELECT CAST(s.{m} AS DOUBLE) AS x, lo, hi, bins, (hi - lo) / bins AS step FROM {src} s, p),
+      i0 AS (SELECT x, lo, hi, bins, step,
+                    least(CAST(floor((x - lo) / (hi - lo) * CAST(bins AS DOUBLE)) AS INTEGER), bins - 1) AS i FROM x),
+      i1 AS (SELECT x, lo, hi, bins, step, CASE WHEN x < CAST(i AS DOUBLE) * step + lo THEN i - 1 ELSE i END AS i FROM i0),
+      i2 AS (SELECT CASE WHEN x >= CAST(i + 1 AS DOUBLE) * step + lo AND i <> bins - 1 THEN i + 1 ELSE i END AS bin FROM i1),
+      c AS (SELECT bin, count(*) AS users FROM i2 GROUP BY bin),
+      b AS (SELECT CAST(g.generate_series AS INTEGER) AS bin, lo, hi, bins, (hi - lo) / bins AS step
+            FROM p, generate_series(0, (SELECT bins FROM p) - 1) g)
+ SELECT '{m}' AS metric, b.bin, round_even(CAST(b.bin AS DOUBLE) * step + lo, 6) AS lower,
+        round_even(CASE WHEN b.bin = bins - 1 THEN hi ELSE CAST(b.bin + 1 AS DOUBLE) * step + lo END, 6) AS upper,
+        CAST(coalesce(c.users, 0) AS BIGINT) AS users
+ FROM b LEFT JOIN c ON b.bin = c.bin)""")
+    return " UNION ALL ".join(parts)
+
+
+EVENTS_BUYS = "SELECT user_id, item_id, category_id, datetime FROM cleaned WHERE behavior = 'buy'"
+
+SQL.update({
+    "buy_events": f"WITH {CLEAN_CTE} SELECT user_id, item_id, category_id, behavior, datetime FROM cleaned WHERE behavior = 'buy'",
+    "rfm_table": f"WITH {orders_scored()} SELECT * FROM scored",
+    "rfm_events": f"WITH {CLEAN_CTE}, {rfm_base_cte(EVENTS_BUYS, '2024-01-26 00:00:00')}, {rfm_score_cte()} SELECT * FROM scored",
+    "rfm_table_freq_mode": f"WITH {orders_scored(monetary='frequency')} SELECT * FROM scored",
+    "rfm_rank": f"""WITH {rfm_base_cte(ORDER_BUYS.format(status=''), '2001-08-02 00:00:00')}
+SELECT user_id, recency, frequency, monetary,
+       row_number() OVER (ORDER BY recency, user_id) AS recency_rank,
+       row_number() OVER (ORDER BY frequency, user_id) AS frequency_rank,
+       row_number() OVER (ORDER BY monetary, user_id) AS monetary_rank FROM rfm0""",
+    "rfm_scores": f"WITH {orders_scored()} SELECT user_id, r_score, f_score, m_score FROM scored",
+    "rfm_scores_status_f": f"WITH {orders_scored('F')} SELECT user_id, r_score, f_score, m_score FROM scored",
+    "rfm_scores_status_o": f"WITH {orders_scored('O')} SELECT user_id, r_score, f_score, m_score FROM scored",
+    "rfm_levels": f"""WITH {rfm_base_cte(ORDER_BUYS.format(status=''), '2001-08-02 00:00:00')},
+st AS (SELECT median(recency) AS rmed, median(frequency) AS fmed, median(monetary) AS mmed FROM rfm0)
+SELECT user_id, CAST(CASE WHEN recency <= rmed THEN 2 ELSE 1 END AS TINYINT) AS r_level,
+       CAST(CASE WHEN frequency >= fmed THEN 2 ELSE 1 END AS TINYINT) AS f_level,
+       CAST(CASE WHEN monetary >= mmed THEN 2 ELSE 1 END AS TINYINT) AS m_level,
+       CAST(rmed AS DOUBLE) AS recency_median, CAST(fmed AS DOUBLE) AS frequency_median,
+       CAST(mmed AS DOUBLE) AS monetary_median
+FROM rfm0, st""",
+    "rfm_segments": f"WITH {orders_scored()} SELECT user_id, r_level, f_level, m_level, segment FROM scored",
+    "rfm_summary": f"WITH {orders_scored()} {rfm_summary_sql()}",
+    "rfm_segment_means": f"""WITH {orders_scored()}
+SELECT segment, round_even(avg(recency), 2) AS recency, round_even(avg(frequency), 2) AS frequency,
+       round_even(avg(monetary), 2) AS monetary FROM scored GROUP BY segment ORDER BY avg(frequency) DESC, segment""",
+    "rfm_histogram": f"WITH {orders_scored()} {histogram_sql()}",
+    "rfm_kpis": f"""WITH {orders_scored()}
+SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS buy_users, round_even(avg(frequency), 2) AS mean_frequency,
+       round_even(avg(monetary), 2) AS mean_monetary FROM scored""",
+    "rfm_what_if": f"""WITH {orders_scored()},
+shifted AS (SELECT user_id, last_buy_time, frequency, category_count,
+                   CAST(greatest(recency - 2, 0) AS BIGINT) AS recency, monetary FROM scored),
+{rfm_score_cte('shifted', 'rescored')}
+{rfm_summary_sql('rescored')}""",
+    "rfm_top_users": f"""WITH {orders_scored()}
+SELECT user_id, segment, recency, frequency, monetary, r_score, f_score, m_score FROM scored
+ORDER BY segment, frequency DESC, user_id LIMIT 200""",
+})
