@@ -337,3 +337,75 @@ def q_rfm_top_users(spark, sf_dir):
     return RF.rfm_top_users(_scored_orders(spark, sf_dir)).select(
         "user_id", "segment", "recency", "frequency", "monetary", "r_score", "f_score", "m_score"
     )
+
+
+# ------------------------------------------------------------------ clustering
+
+from clickscope.operators import cluster as CL  # noqa: E402
+from clickscope.params import ClusterParams  # noqa: E402
+
+CLUSTER = ClusterParams()
+RECLUSTER_K = 3
+
+
+def _level_labelled(spark, sf_dir) -> DataFrame:
+    return CL.with_labels(CL.level_clusters(_scored_orders(spark, sf_dir)))
+
+
+@query("cluster_features")
+def q_cluster_features(spark, sf_dir):
+    feats = CL.standardize(_scored_orders(spark, sf_dir), CLUSTER)
+    return feats.select("user_id", *CL.METRICS, *CL.z_columns(feats))
+
+
+@query("cluster_labels")
+def q_cluster_labels(spark, sf_dir):
+    return _level_labelled(spark, sf_dir)
+
+
+@query("cluster_summary")
+def q_cluster_summary(spark, sf_dir):
+    return CL.cluster_summary(_level_labelled(spark, sf_dir))
+
+
+@query("cluster_profile")
+def q_cluster_profile(spark, sf_dir):
+    return CL.cluster_profile(_level_labelled(spark, sf_dir))
+
+
+@query("cluster_label_share")
+def q_cluster_label_share(spark, sf_dir):
+    return CL.cluster_label_share(_level_labelled(spark, sf_dir))
+
+
+@query("cluster_elbow")
+def q_cluster_elbow(spark, sf_dir):
+    _, eb, _ = CL.clustering_run(_scored_orders(spark, sf_dir), CLUSTER)
+    return eb
+
+
+@query("cluster_assign")
+def q_cluster_assign(spark, sf_dir):
+    labelled, _, _ = CL.clustering_run(_scored_orders(spark, sf_dir), CLUSTER, with_elbow=False)
+    return labelled
+
+
+@query("cluster_recluster")
+def q_cluster_recluster(spark, sf_dir):
+    """Re-cluster the stored users at another k and summarize."""
+    labelled, _, _ = CL.clustering_run(_scored_orders(spark, sf_dir), CLUSTER, k=RECLUSTER_K, with_elbow=False)
+    return CL.cluster_summary(labelled)
+
+
+@query("cluster_sample")
+def q_cluster_sample(spark, sf_dir):
+    feats = CL.standardize(_scored_orders(spark, sf_dir), CLUSTER)
+    return CL.seeded_sample(feats, CLUSTER.sample_size, CLUSTER.seed).select("user_id", *CL.METRICS)
+
+
+@query("cluster_pca")
+def q_cluster_pca(spark, sf_dir):
+    """PCA fitted on the seeded sample of standardized features, centered by the sample mean."""
+    feats = CL.standardize(_scored_orders(spark, sf_dir), CLUSTER)
+    sample = CL.seeded_sample(feats, CLUSTER.sample_size, CLUSTER.seed)
+    return CL.pca_coordinates(sample)

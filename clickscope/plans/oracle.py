@@ -311,3 +311,51 @@ shifted AS (SELECT user_id, last_buy_time, frequency, category_count,
 SELECT user_id, segment, recency, frequency, monetary, r_score, f_score, m_score FROM scored
 ORDER BY segment, frequency DESC, user_id LIMIT 200""",
 })
+
+
+# ------------------------------------------------------------------ clustering
+
+LEVEL_LABELLED = orders_scored() + """,
+lc AS (SELECT user_id, recency, frequency, monetary,
+              CAST((CAST(r_level AS INTEGER) - 1) * 4 + (CAST(f_level AS INTEGER) - 1) * 2
+                   + (CAST(m_level AS INTEGER) - 1) AS INTEGER) AS cluster FROM scored),
+cm AS (SELECT cluster, count(user_id) AS user_count, avg(recency) AS recency, avg(frequency) AS frequency,
+              avg(monetary) AS monetary FROM lc GROUP BY cluster),
+lab AS (SELECT cluster,
+               CASE WHEN fr = 1 AND mr = 1 THEN '高价值高活跃群体' WHEN rr = 1 THEN '近期活跃潜力群体'
+                    WHEN fr >= nc THEN '低频沉默群体' ELSE '稳定发展群体' END AS cluster_label
+        FROM (SELECT cluster, dense_rank() OVER (ORDER BY frequency DESC) AS fr,
+                     dense_rank() OVER (ORDER BY recency) AS rr, dense_rank() OVER (ORDER BY monetary DESC) AS mr,
+                     count(*) OVER () AS nc FROM cm)),
+labelled AS (SELECT lc.user_id, lc.recency, lc.frequency, lc.monetary, lc.cluster, lab.cluster_label
+             FROM lc LEFT JOIN lab ON lc.cluster = lab.cluster),
+lm AS (SELECT cluster, cluster_label, count(user_id) AS user_count, avg(recency) AS recency,
+              avg(frequency) AS frequency, avg(monetary) AS monetary FROM labelled GROUP BY cluster, cluster_label)"""
+
+
+def _minmax(m: str) -> str:
+    return (f"round_even(CASE WHEN max({m}) OVER () - min({m}) OVER () = 0 THEN 0.0 "
+            f"ELSE ({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ()) END, 6) AS {m}")
+
+
+def _z(m: str) -> str:
+    return f"round_even(({m} - {m}_mean) / CASE WHEN {m}_std = 0 THEN 1.0 ELSE {m}_std END, 6) AS z_{m}"
+
+
+SQL.update({
+    "cluster_features": f"""WITH {orders_scored()},
+st AS (SELECT avg(recency) AS recency_mean, stddev_pop(recency) AS recency_std,
+              avg(frequency) AS frequency_mean, stddev_pop(frequency) AS frequency_std,
+              avg(monetary) AS monetary_mean, stddev_pop(monetary) AS monetary_std FROM scored)
+SELECT user_id, recency, frequency, monetary, {_z('recency')}, {_z('frequency')}, {_z('monetary')} FROM scored, st""",
+    "cluster_labels": f"WITH {LEVEL_LABELLED} SELECT * FROM labelled",
+    "cluster_summary": f"""WITH {LEVEL_LABELLED}
+SELECT cluster, cluster_label, CAST(user_count AS BIGINT) AS user_count, round_even(recency, 2) AS recency,
+       round_even(frequency, 2) AS frequency, round_even(monetary, 2) AS monetary,
+       round_even(CAST(user_count AS DOUBLE) / sum(user_count) OVER () * 100.0, 2) AS user_ratio
+FROM lm ORDER BY cluster""",
+    "cluster_profile": f"""WITH {LEVEL_LABELLED}
+SELECT cluster, cluster_label, {_minmax('recency')}, {_minmax('frequency')}, {_minmax('monetary')} FROM lm ORDER BY cluster""",
+    "cluster_label_share": f"""WITH {LEVEL_LABELLED}
+SELECT cluster_label, CAST(count(*) AS BIGINT) AS user_count FROM labelled GROUP BY cluster_label""",
+})
