@@ -409,3 +409,53 @@ def q_cluster_pca(spark, sf_dir):
     feats = CL.standardize(_scored_orders(spark, sf_dir), CLUSTER)
     sample = CL.seeded_sample(feats, CLUSTER.sample_size, CLUSTER.seed)
     return CL.pca_coordinates(sample)
+
+
+# ------------------------------------------------------------------ streams
+
+from clickscope.streaming import clean_stream as STR  # noqa: E402
+
+
+def _arrival_batches(raw: DataFrame) -> list[DataFrame]:
+    """The adapted raw log split into four arriving files: the first 40% of events,
+    the next 40% with the copies of the first half, the last 20%, the remaining
+    copies.  Every raw row arrives exactly once."""
+    n = raw.agg(F.max(F.floor(F.col("ord") / 2))).first()[0] + 1
+    eid = F.floor(F.col("ord") / 2)
+    orig = (F.col("ord") % 2) == 0
+    return [
+        raw.filter(orig & (eid < 0.4 * n)),
+        raw.filter((orig & (eid >= 0.4 * n) & (eid < 0.8 * n)) | (~orig & (eid < 0.5 * n))),
+        raw.filter(orig & (eid >= 0.8 * n)),
+        raw.filter(~orig & (eid >= 0.5 * n)),
+    ]
+
+
+def _run_stream_clean(spark, sf_dir, dedup="watermark") -> str:
+    base = shared_path(spark, "stream")
+    inp, out = f"{base}/input", f"{base}/clean"
+    STR.feed_files(spark, _arrival_batches(raw_events(spark, sf_dir)), inp)
+    q = STR.stream_clean(spark, inp, out, f"{base}/ckpt_clean", EVENTS_CLEAN, dedup=dedup)
+    q.awaitTermination()
+    return out
+
+
+@query("stream_clean")
+def q_stream_clean(spark, sf_dir):
+    out = _run_stream_clean(spark, sf_dir)
+    return spark.read.schema(CLEANED).parquet(out).select(*CLEANED_COLUMNS)
+
+
+@query("stream_clean_unbounded")
+def q_stream_clean_unbounded(spark, sf_dir):
+    out = _run_stream_clean(spark, sf_dir, dedup="unbounded")
+    return spark.read.schema(CLEANED).parquet(out).select(*CLEANED_COLUMNS)
+
+
+@query("stream_counts")
+def q_stream_counts(spark, sf_dir):
+    clean_dir = _run_stream_clean(spark, sf_dir)
+    base = shared_path(spark, "stream_counts")
+    q = STR.stream_counts(spark, clean_dir, f"{base}/table", f"{base}/ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/table").select("behavior", "rows", "min_datetime", "max_datetime")

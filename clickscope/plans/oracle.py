@@ -359,3 +359,12 @@ SELECT cluster, cluster_label, {_minmax('recency')}, {_minmax('frequency')}, {_m
     "cluster_label_share": f"""WITH {LEVEL_LABELLED}
 SELECT cluster_label, CAST(count(*) AS BIGINT) AS user_count FROM labelled GROUP BY cluster_label""",
 })
+
+
+SQL.update({
+    "stream_clean": f"WITH {CLEAN_CTE} {CLEANED_SELECT}",
+    "stream_clean_unbounded": f"WITH {CLEAN_CTE} {CLEANED_SELECT}",
+    "stream_counts": f"""WITH {CLEAN_CTE}
+SELECT behavior, count(*) AS rows, min(datetime) AS min_datetime, max(datetime) AS max_datetime
+FROM cleaned GROUP BY behavior""",
+})
