@@ -11,6 +11,9 @@ and broadcasts there are bounded by k.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -72,7 +75,8 @@ def _kmeans(k: int, params: ClusterParams) -> KMeans:
                   featuresCol="features", predictionCol="cluster")
 
 
-def elbow(features: DataFrame, params: ClusterParams = _P, n: int | None = None) -> DataFrame:
+def elbow(features: DataFrame, params: ClusterParams = _P, n: int | None = None,
+          parallel_fits: int = 4) -> DataFrame:
     """Inertia (sum of squared distances to the nearest center) for k = k_min..min(k_max, n);
     empty when n < 2.  Rows ``k, inertia``."""
     spark = features.sparkSession
@@ -81,10 +85,19 @@ def elbow(features: DataFrame, params: ClusterParams = _P, n: int | None = None)
     if n < 2:
         return spark.createDataFrame([], schema)
     lo, hi = params.k_range
-    rows = []
-    for k in range(lo, min(hi, n) + 1):
-        model = _kmeans(k, params).fit(features)
-        rows.append((k, float(model.summary.trainingCost)))
+    ks = list(range(lo, min(hi, n) + 1))
+
+    def cost(k: int) -> tuple[int, float]:
+        return k, float(_kmeans(k, params).fit(features).summary.trainingCost)
+
+    # the fits are independent distributed jobs: submit them from driver threads so
+    # their small iterations overlap instead of queueing one after another
+    cached = features.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, len(ks)))) as pool:
+            rows = sorted(pool.map(cost, ks))
+    finally:
+        cached.unpersist()
     return spark.createDataFrame(rows, schema)
 
 

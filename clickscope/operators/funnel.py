@@ -12,8 +12,12 @@ minimum again.  Nothing ever holds all events of one user in one task:
   splits (``tune_for_skew`` allows this although an aggregate on the same key follows);
   the partial aggregate before the extra exchange then shrinks each split to one row.
 
-Each event is shuffled at most once (it belongs to one behavior), the same volume as
-a one-exchange window plan, without its one-user-per-task sort.
+Each event is shuffled at most once per pass (it belongs to one behavior), the same
+volume as a one-exchange window plan, without its one-user-per-task sort.  Step 1 and
+the order-free facts (distinct users, actions) come from one ``(user, behavior)``
+pre-aggregate.  Every per-user step table is checkpointed to the shared folder, so each
+step runs once (the counts and the next step read it back) and executor loss never
+re-runs the chain.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import types as T
 
 from clickscope.functions.numeric import guarded_ratio, half_even
 from clickscope.params import FunnelParams
-from clickscope.session import tune_for_skew
+from clickscope.session import materialize, tune_for_skew
 
 _P = FunnelParams()
 
@@ -53,19 +57,33 @@ def funnel_step(events: DataFrame, previous: DataFrame, behavior: str, params: F
     )
 
 
-def stage_tables(events: DataFrame, params: FunnelParams = _P) -> list[DataFrame]:
-    """One ``(user, step_time)`` table per funnel step, in step order."""
-    tune_for_skew(events.sparkSession)
+def user_behavior_facts(events: DataFrame, params: FunnelParams = _P) -> DataFrame:
+    """One row per (user, behavior) of the funnel steps: first time and action count.
+    A hash aggregate with map-side combine, so a very active user is pre-reduced in
+    every map task.  It yields step 1 and the order-free facts of every step."""
     u, t = params.user_col, params.time_col
-    first = (
-        events.filter((F.col("behavior") == params.steps[0]) & F.col(u).isNotNull())
-        .groupBy(u)
-        .agg(F.min(t).alias("step_time"))
+    return (
+        events.filter(F.col("behavior").isin(list(params.steps)))
+        .groupBy(u, "behavior")
+        .agg(F.min(t).alias("first_time"), F.count(F.lit(1)).alias("n"))
     )
-    stages = [first]
+
+
+def stage_tables(events: DataFrame, params: FunnelParams = _P,
+                 facts: DataFrame | None = None) -> list[DataFrame]:
+    """One ``(user, step_time)`` table per funnel step, in step order.  Each table (one
+    row per user that reached the step) is checkpointed to the shared folder, so every
+    step runs exactly once and later steps and counts read it back."""
+    tune_for_skew(events.sparkSession)
+    u = params.user_col
+    ub = facts if facts is not None else user_behavior_facts(events, params)
+    first = ub.filter((F.col("behavior") == params.steps[0]) & F.col(u).isNotNull()).select(
+        u, F.col("first_time").alias("step_time")
+    )
+    stages = [materialize(first)]
     for behavior in params.steps[1:]:
         prev = stages[-1].withColumnRenamed("step_time", "previous_time")
-        stages.append(funnel_step(events, prev, behavior, params))
+        stages.append(materialize(funnel_step(events, prev, behavior, params)))
     return stages
 
 
@@ -89,15 +107,14 @@ def ordered_funnel(events: DataFrame, params: FunnelParams = _P) -> DataFrame:
     the unrounded conversion; both are rounded half-even to 4 places."""
     spark = events.sparkSession
     u = params.user_col
-    stages = stage_tables(events, params)
+    ub = materialize(user_behavior_facts(events, params))
+    stages = stage_tables(events, params, ub)
     uv = None
     for i, st in enumerate(stages):
         one = st.agg(F.count(F.lit(1)).alias("uv")).withColumn("step", F.lit(i + 1))
         uv = one if uv is None else uv.unionByName(one)
-    facts = (
-        events.filter(F.col("behavior").isin(list(params.steps)))
-        .groupBy("behavior")
-        .agg(F.count_distinct(u).alias("independent_uv"), F.count(F.lit(1)).alias("actions"))
+    facts = ub.groupBy("behavior").agg(
+        F.count_if(F.col(u).isNotNull()).alias("independent_uv"), F.sum("n").alias("actions")
     )
     steps = _steps_frame(spark, params)
     # a handful of rows (one per step): broadcast joins and a whole-table window are bounded
@@ -230,7 +247,7 @@ def explode_funnel(summary: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "first_touch", "funnel_step", "stage_tables", "ordered_funnel", "funnel_flows", "funnel_overall",
+    "first_touch", "funnel_step", "stage_tables", "user_behavior_facts", "ordered_funnel", "funnel_flows", "funnel_overall",
     "conversion_by", "daily_conversion", "hourly_conversion", "select_dates", "funnel_summary",
     "funnel_summary_flat", "explode_funnel",
 ]

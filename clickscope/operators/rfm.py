@@ -17,6 +17,7 @@ from clickscope.functions.numeric import half_even
 from clickscope.functions.timefn import elapsed_days
 from clickscope.operators.rank import qcut_bin, unique_rank
 from clickscope.params import SEGMENT_LABELS, RfmParams
+from clickscope.session import materialize
 
 _P = RfmParams()
 METRICS = ("recency", "frequency", "monetary")
@@ -78,6 +79,7 @@ def score_rfm(rfm: DataFrame, params: RfmParams = _P) -> DataFrame:
     r/f/m levels (median split, ties high) and the segment.  A metric with fewer
     distinct values than bins is scored by the median split.  Rank ties break by
     ascending ``user_id``."""
+    rfm = materialize(rfm)  # read by the stats job and by every rank sort
     st = rfm_stats(rfm)
     n, q = st["n"], params.score_bins
     out = rfm
@@ -115,6 +117,7 @@ def rfm_ranks(rfm: DataFrame) -> DataFrame:
 
 def rfm_levels(rfm: DataFrame) -> DataFrame:
     """Median-split levels and the medians they used."""
+    rfm = materialize(rfm)
     st = rfm_stats(rfm)
     return rfm.select(
         "user_id",

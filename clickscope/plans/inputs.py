@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clickscope.operators.clean import clean_events
 from clickscope.params import CleanParams, RfmParams
+from clickscope.session import materialize
 from clickscope.sources.adapters import events_raw, funnel_events, orders_buy_events
 
 # The adapted event log spans January 2024 (local time UTC+8).
@@ -29,7 +30,9 @@ def cleaned_events(spark: SparkSession, sf_dir: str, params: CleanParams = EVENT
 
 
 def funnel_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnel_events(cleaned_events(spark, sf_dir))
+    """The funnel reads its input in several passes; like the cleaned table the clean
+    job writes, it is materialized once in the shared folder."""
+    return materialize(funnel_events(cleaned_events(spark, sf_dir)))
 
 
 def order_buys(spark: SparkSession, sf_dir: str, order_status: str | None = None) -> DataFrame:

@@ -65,3 +65,10 @@ def tune_for_skew(spark: SparkSession) -> None:
             spark.conf.set(key, value)
         elif key == "spark.sql.adaptive.enabled" and spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
+
+
+def materialize(df):
+    """Checkpoint ``df`` (eagerly) into the shared checkpoint folder: a table that
+    several jobs read is computed once, survives executor loss and cuts lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
