@@ -184,9 +184,29 @@ def level_clusters(scored_rfm: DataFrame) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int = _P.seed, key: str = "user_id") -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, repeatable: the n smallest ``xxhash64(key, seed)``
-    (a top-n: each task keeps its best n, the driver merges n per task)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """Exactly ``min(n, rows)`` rows, repeatable: the rows with the n smallest
+    ``xxhash64(key, seed)`` (ties by key).
+
+    A plain ``orderBy(h).limit(n)`` would make every task ship its best n rows to one
+    partition (tasks x n rows).  Since the hash is uniform over the 64-bit range, a
+    map-only pre-filter ``h < threshold`` sized for about 1.2 n rows keeps only the
+    candidates; the threshold is widened until at least n rows pass, so the result is
+    exactly the n smallest hashes.  The final top-n then sorts about 1.2 n rows."""
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    total = df.count()
+    if total <= n:
+        return df
+    frac = min(1.0, 1.2 * n / total + 64.0 / total)
+    while True:
+        if frac >= 1.0:
+            cand = df
+            break
+        threshold = int(-(2 ** 63) + frac * (2 ** 64))
+        cand = df.filter(h < F.lit(threshold))
+        if cand.count() >= n:
+            break
+        frac *= 2
+    return cand.orderBy(h, F.col(key)).limit(n)
 
 
 def pca_coordinates(features: DataFrame, k: int = 2, center: bool = True) -> DataFrame:
