@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -33,6 +34,8 @@ from clickscope.session import ensure_checkpoint_dir
 
 _P = ClusterParams()
 METRICS = ("recency", "frequency", "monetary")
+FEATURE_ROW_BYTES = 128  # id, three longs, three doubles and the vector
+FEATURE_PARTITION_BYTES = 64 * 1024 * 1024
 
 
 def resolve_k(n: int, requested: int = _P.k) -> int:
@@ -70,13 +73,30 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _kmeans(k: int, params: ClusterParams) -> KMeans:
-    return KMeans(k=k, seed=params.seed, maxIter=params.max_iter, tol=params.tol,
+def spark_tolerance(k: int, params: ClusterParams = _P, mean_variance: float = 1.0) -> float:
+    """Spark's stopping rule: every center moved at most ``epsilon``.  The analysed
+    pipeline stops when the *summed* squared center shift is at most
+    ``tol * mean feature variance``.  ``epsilon^2 = tol * mean_variance / k`` makes the
+    Spark rule imply that one, so Spark never stops earlier."""
+    return float(np.sqrt(max(params.tol * mean_variance, 1e-30) / k))
+
+
+def _mean_variance(stats: dict | None, params: ClusterParams) -> float:
+    """Mean variance of the standardized features: 1 per non-constant column, 0 otherwise."""
+    if not stats:
+        return 1.0
+    cols = list(params.features)
+    return sum(1.0 for c in cols if (stats.get(f"{c}_std") or 0.0) > 0) / len(cols)
+
+
+def _kmeans(k: int, params: ClusterParams, mean_variance: float = 1.0) -> KMeans:
+    return KMeans(k=k, seed=params.seed, maxIter=params.max_iter,
+                  tol=spark_tolerance(k, params, mean_variance),
                   featuresCol="features", predictionCol="cluster")
 
 
 def elbow(features: DataFrame, params: ClusterParams = _P, n: int | None = None,
-          parallel_fits: int = 4) -> DataFrame:
+          parallel_fits: int = 8, mean_variance: float = 1.0) -> DataFrame:
     """Inertia (sum of squared distances to the nearest center) for k = k_min..min(k_max, n);
     empty when n < 2.  Rows ``k, inertia``."""
     spark = features.sparkSession
@@ -88,7 +108,7 @@ def elbow(features: DataFrame, params: ClusterParams = _P, n: int | None = None,
     ks = list(range(lo, min(hi, n) + 1))
 
     def cost(k: int) -> tuple[int, float]:
-        return k, float(_kmeans(k, params).fit(features).summary.trainingCost)
+        return k, float(_kmeans(k, params, mean_variance).fit(features).summary.trainingCost)
 
     # the fits are independent distributed jobs: submit them from driver threads so
     # their small iterations overlap instead of queueing one after another
@@ -101,12 +121,12 @@ def elbow(features: DataFrame, params: ClusterParams = _P, n: int | None = None,
     return spark.createDataFrame(rows, schema)
 
 
-def assign(features: DataFrame, k: int, params: ClusterParams = _P) -> DataFrame:
+def assign(features: DataFrame, k: int, params: ClusterParams = _P, mean_variance: float = 1.0) -> DataFrame:
     """``user_id``, raw features and ``cluster`` (k = 1: everyone in cluster 0)."""
     keep = ["user_id", *params.features]
     if k == 1:
         return features.select(*keep, F.lit(0).alias("cluster"))
-    model = _kmeans(k, params).fit(features)
+    model = _kmeans(k, params, mean_variance).fit(features)
     return model.transform(features).select(*keep, F.col("cluster").cast("int").alias("cluster"))
 
 
@@ -228,18 +248,30 @@ def pca_coordinates(features: DataFrame, k: int = 2, center: bool = True) -> Dat
     return model.transform(data).select(*keep, *[arr[i].alias(f"pca_{i + 1}") for i in range(k)])
 
 
-def clustering_run(rfm: DataFrame, params: ClusterParams = _P, k: int | None = None,
-                   with_elbow: bool = True) -> tuple[DataFrame, DataFrame, int]:
-    """features -> (elbow) -> assignment at the resolved k -> labels.
-    Returns ``(labelled, elbow, k)``."""
+def prepared_features(rfm: DataFrame, params: ClusterParams = _P) -> tuple[DataFrame, int, float]:
+    """Standardized features, checkpointed once for the k-means jobs that read them.
+    Returns ``(features, n, mean_variance)``."""
     st = feature_stats(rfm, params)
     n = int(st["n"])
     feats = standardize(rfm, params, st)
     if n > 1:
+        # k-means runs one small job per iteration: size the partitions by the data
+        # (about FEATURE_PARTITION_BYTES each) instead of the shuffle-partition count
+        wanted = max(1, -(-n * FEATURE_ROW_BYTES // FEATURE_PARTITION_BYTES))
+        if wanted < feats.rdd.getNumPartitions():
+            feats = feats.coalesce(wanted)
         feats = _checkpointed(feats)
+    return feats, n, _mean_variance(st, params)
+
+
+def clustering_run(rfm: DataFrame, params: ClusterParams = _P, k: int | None = None,
+                   with_elbow: bool = True) -> tuple[DataFrame, DataFrame | None, int]:
+    """features -> (elbow) -> assignment at the resolved k -> labels.
+    Returns ``(labelled, elbow, k)``."""
+    feats, n, mv = prepared_features(rfm, params)
     kk = resolve_k(n, params.k if k is None else k)
-    eb = elbow(feats, params, n) if with_elbow else None
-    labelled = with_labels(assign(feats, kk, params))
+    eb = elbow(feats, params, n, mean_variance=mv) if with_elbow else None
+    labelled = with_labels(assign(feats, kk, params, mv))
     return labelled, eb, kk
 
 

@@ -86,3 +86,26 @@ def tercile_rule(n: int) -> tuple[int, int]:
     """Upper rank of bins 1 and 2 for q = 3 (closed form of ``qcut_edges``)."""
     b1 = (n + 1) // 3
     return b1, b1 + n // 3
+
+
+def unique_ranks(df: DataFrame, metrics: list[str], tie_col: str = "user_id", suffix: str = "_rank",
+                 num_partitions: int | None = None, n: int | None = None) -> DataFrame:
+    """Unique rank of several metric columns (each ascending, ties by ``tie_col``, which
+    must be unique) in one range sort: the rows are stacked as ``(metric index, value,
+    tie)``, ranked once by ``unique_rank``, and metric i's rank is the stacked rank minus
+    ``i * n`` (every metric contributes exactly n rows).  The ranks are pivoted back per
+    ``tie_col`` and joined to ``df``."""
+    if not metrics:
+        return df
+    types = {df.schema[m].dataType.simpleString() for m in metrics}
+    if len(types) != 1:
+        raise ValueError(f"metrics must share one type, got {types}")
+    n = df.count() if n is None else n
+    arr = F.array(*[F.struct(F.lit(i).alias("_m"), F.col(m).alias("_v")) for i, m in enumerate(metrics)])
+    stacked = df.select(F.col(tie_col).alias("_t"), F.explode(arr).alias("_s")).select("_t", "_s._m", "_s._v")
+    ranked = unique_rank(stacked, ["_m", "_v", "_t"], "_g", num_partitions)
+    per_tie = ranked.groupBy("_t").agg(
+        *[F.max(F.when(F.col("_m") == i, F.col("_g") - F.lit(i * n))).alias(f"{m}{suffix}")
+          for i, m in enumerate(metrics)]
+    )
+    return df.join(per_tie, df[tie_col] == per_tie["_t"]).drop("_t")

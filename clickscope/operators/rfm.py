@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clickscope.functions.numeric import half_even
 from clickscope.functions.timefn import elapsed_days
-from clickscope.operators.rank import qcut_bin, unique_rank
+from clickscope.operators.rank import qcut_bin, unique_ranks
 from clickscope.params import SEGMENT_LABELS, RfmParams
 from clickscope.session import materialize
 
@@ -87,16 +87,16 @@ def score_rfm(rfm: DataFrame, params: RfmParams = _P) -> DataFrame:
         for c in SCORE_COLUMNS[:-1]:
             out = out.withColumn(c, F.lit(None).cast("tinyint"))
         return out.withColumn("segment", F.lit(None).cast("string"))
+    ranked = [m for m in METRICS if st[f"{m}_distinct"] >= q]
+    out = unique_ranks(out, ranked, "user_id", "_rank", n=n)
     for m in METRICS:
         s = SHORT[m]
-        level = level_of(m, st[f"{m}_median"], HIGHER_IS_BETTER[m])
-        if st[f"{m}_distinct"] < q:
-            out = out.withColumn(f"{s}_score", level)
-        else:
-            out = unique_rank(out, [m, "user_id"], f"_{s}_rank")
-            b = qcut_bin(f"_{s}_rank", n, q)
+        if m in ranked:
+            b = qcut_bin(f"{m}_rank", n, q)
             score = b if HIGHER_IS_BETTER[m] else F.lit(q + 1) - b
-            out = out.withColumn(f"{s}_score", score.cast("tinyint")).drop(f"_{s}_rank")
+            out = out.withColumn(f"{s}_score", score.cast("tinyint")).drop(f"{m}_rank")
+        else:
+            out = out.withColumn(f"{s}_score", level_of(m, st[f"{m}_median"], HIGHER_IS_BETTER[m]))
     for m in METRICS:
         out = out.withColumn(f"{SHORT[m]}_level", level_of(m, st[f"{m}_median"], HIGHER_IS_BETTER[m]))
     return out.withColumn("segment", segment_of(F.col("r_level"), F.col("f_level"), F.col("m_level")))
@@ -108,11 +108,8 @@ def rfm_table(events: DataFrame, params: RfmParams = _P) -> DataFrame:
 
 
 def rfm_ranks(rfm: DataFrame) -> DataFrame:
-    """Unique rank of each metric (ties by ascending user_id)."""
-    out = rfm.select("user_id", *METRICS)
-    for m in METRICS:
-        out = unique_rank(out, [m, "user_id"], f"{m}_rank")
-    return out
+    """Unique rank of each metric (ties by ascending user_id), one range sort for all three."""
+    return unique_ranks(materialize(rfm.select("user_id", *METRICS)), list(METRICS), "user_id", "_rank")
 
 
 def rfm_levels(rfm: DataFrame) -> DataFrame:

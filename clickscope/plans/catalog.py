@@ -380,8 +380,8 @@ def q_cluster_label_share(spark, sf_dir):
 
 @query("cluster_elbow")
 def q_cluster_elbow(spark, sf_dir):
-    _, eb, _ = CL.clustering_run(_scored_orders(spark, sf_dir), CLUSTER)
-    return eb
+    feats, n, mv = CL.prepared_features(_scored_orders(spark, sf_dir), CLUSTER)
+    return CL.elbow(feats, CLUSTER, n, mean_variance=mv)
 
 
 @query("cluster_assign")
