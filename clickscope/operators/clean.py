@@ -135,14 +135,15 @@ def clean_events(raw: DataFrame, params: CleanParams = _P, order_col: str = ORDE
 # --------------------------------------------------------------------------- audits
 
 
-def _merge_one_row(*frames: DataFrame) -> DataFrame:
-    """Combine one-row aggregates that have disjoint column sets into one row: union by
-    name (missing columns null) and take ``max`` per column.  No cross join."""
+def merge_one_row(*frames: DataFrame) -> DataFrame:
+    """Combine one-row aggregates with disjoint column sets into one row: union by name
+    (missing columns null), then the single non-null value of each column.  Works for
+    maps and arrays too; no join."""
     cols = [c for f in frames for c in f.columns]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    return out.agg(*[F.max(c).alias(c) for c in cols])
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
 def cleaning_audit(raw: DataFrame, cleaned: DataFrame, params: CleanParams = _P,
@@ -165,7 +166,7 @@ def cleaning_audit(raw: DataFrame, cleaned: DataFrame, params: CleanParams = _P,
     )
     final = cleaned.agg(F.count(F.lit(1)).alias("final_rows"))
     parts = [raw_stats, final] + ([raw_rows.select("raw_rows")] if raw_rows is not None else [])
-    m = _merge_one_row(*parts)
+    m = merge_one_row(*parts)
     after_date = F.col("after_behavior_filter_rows") - F.col("out_of_range_rows")
     return m.select(
         F.col("raw_rows").cast("long").alias("raw_rows"),
@@ -192,7 +193,7 @@ def cleaning_stage_counts(raw: DataFrame, params: CleanParams = _P, order_col: s
         F.count_if(valid).alias("after_behavior_filter_rows"),
         F.count_if(valid & in_range).alias("after_date_filter_rows"),
     )
-    m = _merge_one_row(raw.agg(F.count(F.lit(1)).alias("raw_rows")), stages)
+    m = merge_one_row(raw.agg(F.count(F.lit(1)).alias("raw_rows")), stages)
     return m.select(
         F.col("raw_rows").cast("long").alias("raw_rows"),
         F.col("after_dedup_rows").cast("long").alias("after_dedup_rows"),
@@ -250,14 +251,11 @@ def cleaning_summary(raw: DataFrame, cleaned: DataFrame, params: CleanParams = _
     bmap = behavior_counts(cleaned).agg(
         F.map_from_entries(F.collect_list(F.struct("behavior", "rows"))).alias("behavior_counts")
     )
-    m = _merge_one_row(audit, ov)
-    # one-row frames: combine the map through the same union/max pattern on a key
-    doc = m.select(
-        *[c for c in audit.columns],
-        "user_count", "item_count", "category_count",
+    m = merge_one_row(audit, ov, bmap)
+    return m.select(
+        *audit.columns, "user_count", "item_count", "category_count", "behavior_counts",
         F.struct(F.col("start"), F.col("end")).alias("date_range"),
-    ).withColumn("_k", F.lit(1))
-    return doc.join(bmap.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    )
 
 
 __all__ = [

@@ -277,3 +277,21 @@ def clustering_run(rfm: DataFrame, params: ClusterParams = _P, k: int | None = N
 
 def z_columns(features: DataFrame, digits: int = 6) -> list[Column]:
     return [half_even(f"z_{m}", digits).alias(f"z_{m}") for m in METRICS]
+
+
+def cluster_summary_document(labelled: DataFrame, elbow_df: DataFrame | None, k: int) -> dict:
+    """The clustering summary document from ≤ k-row and ≤ 7-row results: cluster count,
+    selected k, per-cluster records (2 places), elbow (4 places)."""
+    rows = cluster_summary(labelled).collect()
+    if not rows:
+        return {"cluster_count": 0, "selected_k": k, "clusters": {}, "elbow": []}
+    eb = [] if elbow_df is None else [
+        {"k": r.k, "inertia": r.inertia} for r in elbow_df.select("k", half_even("inertia", 4).alias("inertia"))
+        .orderBy("k").collect()
+    ]
+    return {
+        "cluster_count": len({r.cluster for r in rows}),
+        "selected_k": int(k),
+        "clusters": [r.asDict() for r in rows],
+        "elbow": eb,
+    }

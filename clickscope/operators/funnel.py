@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickscope.functions.numeric import guarded_ratio, half_even
+from clickscope.operators.clean import merge_one_row
 from clickscope.params import FunnelParams
 from clickscope.session import materialize, tune_for_skew
 
@@ -214,7 +215,7 @@ def funnel_summary(funnel: DataFrame, daily: DataFrame, hourly: DataFrame,
                    params: FunnelParams = _P) -> DataFrame:
     """The funnel summary document as one row: ``funnel`` (array of step records, in
     step order), ``daily_rows``, ``hourly_rows``, ``overall_buy_conversion_rate``.
-    Each part is a one-row aggregate; they are combined by union + max (no cross join)."""
+    Each part is a one-row aggregate; they are merged by union (no join)."""
     recs = funnel.agg(
         F.array_sort(
             F.collect_list(F.struct(
@@ -226,12 +227,7 @@ def funnel_summary(funnel: DataFrame, daily: DataFrame, hourly: DataFrame,
     d = daily.agg(F.count(F.lit(1)).cast("long").alias("daily_rows"))
     h = hourly.agg(F.count(F.lit(1)).cast("long").alias("hourly_rows"))
     o = funnel_overall(funnel, params).select("overall_buy_conversion_rate")
-    numeric = d.unionByName(h, allowMissingColumns=True).unionByName(o, allowMissingColumns=True).agg(
-        F.max("daily_rows").alias("daily_rows"),
-        F.max("hourly_rows").alias("hourly_rows"),
-        F.max("overall_buy_conversion_rate").alias("overall_buy_conversion_rate"),
-    )
-    return recs.withColumn("_k", F.lit(1)).join(numeric.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return merge_one_row(recs, d, h, o)
 
 
 def funnel_summary_flat(summary: DataFrame) -> DataFrame:

@@ -229,3 +229,13 @@ def rfm_summary_document(scored: DataFrame) -> dict:
         "segment_ratio": {r["segment"]: float(r["user_ratio"]) for r in rows},
         "rfm_mean_by_segment": means,
     }
+
+
+def load_or_build(spark, path: str, build, refresh: bool = False) -> DataFrame:
+    """The stored RFM table at ``path`` if present (and not ``refresh``); otherwise
+    ``build()`` is computed, written to ``path`` and read back."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if refresh or not fs.exists(jvm_path):
+        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)

@@ -459,3 +459,50 @@ def q_stream_counts(spark, sf_dir):
     q = STR.stream_counts(spark, clean_dir, f"{base}/table", f"{base}/ckpt")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/table").select("behavior", "rows", "min_datetime", "max_datetime")
+
+
+# ------------------------------------------------------------------ stored tables, batches, documents
+
+from clickscope.schemas import CLEANING_SUMMARY  # noqa: E402
+
+
+@query("rfm_stored")
+def q_rfm_stored(spark, sf_dir):
+    """Build and store the RFM table, then reuse the stored one (second call reads it)."""
+    path = shared_path(spark, "rfm_result")
+    RF.load_or_build(spark, path, lambda: _scored_orders(spark, sf_dir))
+    return RF.load_or_build(spark, path, lambda: _scored_orders(spark, sf_dir))
+
+
+@query("load_cleaned_batches")
+def q_load_cleaned_batches(spark, sf_dir):
+    """Cleaned data consumed as Arrow record batches inside the tasks, partial counts
+    merged by Spark."""
+    path = _written_cleaned(spark, sf_dir)
+    parts = TB.map_batches(TB.load_cleaned(spark, path, ["behavior"]), TB.batch_behavior_counts,
+                           "behavior string, rows long", batch_rows=1000)
+    return parts.groupBy("behavior").agg(F.sum("rows").cast("long").alias("rows"))
+
+
+@query("compacted_cleaned")
+def q_compacted(spark, sf_dir):
+    """Write with an observed row count; a small result is compacted to one file."""
+    base = shared_path(spark, "compact")
+    path, _ = K.write_compacted(cleaned_events(spark, sf_dir), f"{base}/final", f"{base}/staging")
+    return spark.read.parquet(path).select(*CLEANED_COLUMNS)
+
+
+@query("cleaning_summary_roundtrip")
+def q_cleaning_summary(spark, sf_dir):
+    """The cleaning summary document (behavior map, date-range struct) written as JSON and
+    read back with its schema; one row per behavior."""
+    raw = raw_events(spark, sf_dir)
+    doc = C.cleaning_summary(raw, C.clean_events(raw, EVENTS_CLEAN), EVENTS_CLEAN)
+    path = shared_path(spark, "cleaning_summary_json")
+    K.write_summary_json(doc, path)
+    back = K.read_summary_json(spark, path, CLEANING_SUMMARY)
+    return back.select(
+        "raw_rows", "final_rows", "user_count", "item_count", "category_count", "total_removed_rows",
+        F.col("date_range.start").alias("start"), F.col("date_range.end").alias("end"),
+        F.explode("behavior_counts").alias("behavior", "rows"),
+    )

@@ -368,3 +368,24 @@ SQL.update({
 SELECT behavior, count(*) AS rows, min(datetime) AS min_datetime, max(datetime) AS max_datetime
 FROM cleaned GROUP BY behavior""",
 })
+
+
+SQL.update({
+    "rfm_stored": f"WITH {orders_scored()} SELECT * FROM scored",
+    "load_cleaned_batches": f"WITH {CLEAN_CTE} SELECT behavior, CAST(count(*) AS BIGINT) AS rows FROM cleaned GROUP BY behavior",
+    "compacted_cleaned": f"WITH {CLEAN_CTE} {CLEANED_SELECT}",
+    "cleaning_summary_roundtrip": f"""WITH {CLEAN_CTE},
+c AS (SELECT count(*) AS final_rows, count(DISTINCT user_id) + max(CAST(user_id IS NULL AS INTEGER)) AS user_count,
+             count(DISTINCT item_id) + max(CAST(item_id IS NULL AS INTEGER)) AS item_count,
+             count(DISTINCT category_id) + max(CAST(category_id IS NULL AS INTEGER)) AS category_count,
+             strftime(min(datetime), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(datetime), '%Y-%m-%d %H:%M:%S') AS "end"
+      FROM cleaned),
+r AS (SELECT count(*) AS raw_rows FROM raw),
+b AS (SELECT behavior, count(*) AS rows FROM cleaned GROUP BY behavior)
+SELECT CAST(raw_rows AS BIGINT) AS raw_rows, CAST(final_rows AS BIGINT) AS final_rows,
+       CAST(user_count AS BIGINT) AS user_count, CAST(item_count AS BIGINT) AS item_count,
+       CAST(category_count AS BIGINT) AS category_count,
+       CAST(greatest(raw_rows - final_rows, 0) AS BIGINT) AS total_removed_rows, start, "end",
+       behavior, CAST(rows AS BIGINT) AS rows
+FROM c, r, b""",
+})

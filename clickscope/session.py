@@ -53,17 +53,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def tune_for_skew(spark: SparkSession) -> None:
     """Let AQE split skewed join partitions even when an aggregate on the same key
-    follows (the funnel's threshold joins), and keep AQE on.  Keys the user has set
-    explicitly are left alone."""
-    defaults = {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    }
-    for key, value in defaults.items():
-        if spark.conf.get(key, None) in (None, "", "false") and key != "spark.sql.adaptive.enabled":
-            spark.conf.set(key, value)
-        elif key == "spark.sql.adaptive.enabled" and spark.conf.get(key, None) is None:
+    follows (the funnel's threshold joins).  Settings the user made are left alone."""
+    for key, value in (
+        ("spark.sql.adaptive.enabled", "true"),
+        ("spark.sql.adaptive.skewJoin.enabled", "true"),
+        ("spark.sql.adaptive.forceOptimizeSkewedJoin", "true"),
+    ):
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
 
 

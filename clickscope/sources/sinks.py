@@ -35,8 +35,9 @@ def write_cleaned(cleaned: DataFrame, path: str, partition_by_date: bool = False
 
 def write_cleaned_observed(cleaned: DataFrame, path: str, **kw) -> dict:
     """Write and count in the same pass: ``DataFrame.observe`` collects the final row
-    count and per-behavior counts while the write job runs (no second scan)."""
-    obs = Observation("clean_write")
+    count and per-behavior counts while the write job runs (no second scan).  The
+    metrics are gathered in the write's result stage, where each task counts once."""
+    obs = Observation(f"clean_write_{abs(hash(path))}")
     observed = cleaned.observe(
         obs,
         F.count(F.lit(1)).alias("final_rows"),
@@ -46,6 +47,20 @@ def write_cleaned_observed(cleaned: DataFrame, path: str, **kw) -> dict:
     return obs.get
 
 
+def write_compacted(df: DataFrame, path: str, staging: str, limit: int = COMBINE_ROW_LIMIT,
+                    **kw) -> tuple[str, int]:
+    """Write ``df`` to ``staging`` while counting its rows; a result of at most ``limit``
+    rows is then rewritten as one file at ``path`` (a second pass over a small table
+    only), a larger one is left where it is.  Returns ``(final path, rows)``."""
+    rows = int(write_cleaned_observed(df, staging, **kw)["final_rows"])
+    if rows > limit:
+        return staging, rows
+    spark = df.sparkSession
+    (spark.read.parquet(staging).coalesce(1).write.mode("overwrite")
+     .option("compression", "zstd").parquet(path))
+    return path, rows
+
+
 def write_summary_json(summary: DataFrame, path: str) -> str:
     """A summary document (one-row DataFrame, nested types allowed) as JSON."""
     summary.coalesce(1).write.mode("overwrite").json(path)

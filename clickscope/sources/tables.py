@@ -63,3 +63,20 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def cast_to(df: DataFrame, schema) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def map_batches(df: DataFrame, fn, schema, batch_rows: int = 1_000_000) -> DataFrame:
+    """Per-partition iteration over Arrow record batches of at most ``batch_rows`` rows
+    (the cleaned data read batch by batch): ``fn(iterator of pyarrow.RecordBatch) ->
+    iterator of pyarrow.RecordBatch`` runs inside the tasks; nothing passes the driver."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    return df.mapInArrow(fn, schema)
+
+
+def batch_behavior_counts(batches):
+    """Per-batch behavior counts (an Arrow group-by inside the task)."""
+    import pyarrow as pa
+
+    for b in batches:
+        t = pa.Table.from_batches([b]).group_by("behavior").aggregate([("behavior", "count")])
+        yield from t.rename_columns(["behavior", "rows"]).to_batches()
