@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,21 +27,47 @@ def read_raw(spark: SparkSession, path: str | list[str], on_bad_id: str = "fail"
     )
 
 
+# Above this many input files the order key carries the file path itself.
+MAX_INDEXED_FILES = 200_000
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):/+"
+
+
+def _norm_path(p: str) -> str:
+    return re.sub(_SCHEME, r"\1:///", p)
+
+
 def read_raw_ordered(spark: SparkSession, path: str | list[str], on_bad_id: str = "fail") -> DataFrame:
-    """``read_raw`` plus ``ord``: the line's first-seen position as a sortable struct.
+    """``read_raw`` plus ``ord``: the line's first-seen position as a sortable struct
+    ``(file, block, row)``.
 
     Files order by path; inside a file the split start orders the splits, and
     ``monotonically_increasing_id`` grows with the line inside one split.  The struct
     therefore sorts exactly like the line order of the concatenated input, without a
-    single-partition numbering pass."""
+    single-partition numbering pass.  ``file`` is the file's position in the sorted
+    file list (a broadcast of the listing the driver already holds, bounded by the
+    file count), so the dedup shuffle carries an int instead of a path string; above
+    ``MAX_INDEXED_FILES`` files it is the path itself."""
     df = read_raw(spark, path, on_bad_id)
-    return df.withColumn(
-        ORDER_COL,
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
+    cols = [c for c in df.columns]
+    meta = df.select(
+        *cols,
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    files = sorted({_norm_path(p) for p in df.inputFiles()})
+    if len(files) <= MAX_INDEXED_FILES:
+        listing = spark.createDataFrame(list(enumerate(files)), "_file_idx int, _file_key string")
+        meta = meta.join(
+            F.broadcast(listing), F.regexp_replace("_file", _SCHEME, "$1:///") == F.col("_file_key"), "left"
+        )
+        file_part = F.when(F.col("_file_idx").isNull(), F.raise_error(F.concat(
+            F.lit("input file missing from the listing: "), F.col("_file")))).otherwise(F.col("_file_idx"))
+    else:
+        file_part = F.col("_file")
+    return meta.select(
+        *cols,
+        F.struct(file_part.alias("file"), F.col("_block").alias("block"), F.col("_row").alias("row")).alias(ORDER_COL),
     )
 
 

@@ -139,3 +139,15 @@ def test_overview_counts_null_as_a_value(spark):
     o = C.cleaning_overview(df).first()
     assert (o.user_count, o.item_count, o.category_count) == (2, 1, 2)
     assert (o.start, o.end) == ("2017-11-25 00:00:00", "2017-11-26 00:00:00")
+
+
+def test_order_key_spans_several_files_in_path_order(spark):
+    d = tempfile.mkdtemp(prefix="clickscope-files-")
+    # the same key appears in three files; the first file by path order must win
+    for name, beh in (("b.csv", "fav"), ("a.csv", "click"), ("c.csv", "buy")):
+        with open(f"{d}/{name}", "w") as fh:
+            fh.write(f"1,10,100,{beh},1511544000\n2,11,100,{beh},1511544001\n")
+    raw = R.read_raw_ordered(spark, d)
+    first = {r.user_id: r.behavior for r in C.dedup_keep_first(raw).collect()}
+    assert first == {1: "click", 2: "click"}
+    assert isinstance(raw.select("ord.file").first()[0], int)
