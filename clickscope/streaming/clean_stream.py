@@ -91,33 +91,41 @@ def stream_counts(spark: SparkSession, clean_dir: str, output_dir: str, checkpoi
     return writer.start()
 
 
+FEED_ROWS_PER_FILE = 1_000_000
+
+
 def feed_files(spark: SparkSession, batches: list[DataFrame], input_dir: str, order_col: str = "ord",
-               base_mtime_ms: int | None = None) -> list[str]:
-    """Write each frame as one header-less CSV file (rows in ``order_col`` order) into
-    ``input_dir``, with strictly rising modification times so the file source takes
-    them in this order."""
+               base_mtime_ms: int | None = None, rows_per_file: int = FEED_ROWS_PER_FILE) -> list[str]:
+    """Write each frame as header-less CSV files into ``input_dir``: range-partitioned on
+    ``order_col`` into files of at most about ``rows_per_file`` rows, sorted inside, with
+    strictly rising modification times in (batch, range) order, so the file source takes
+    them in line order.  No batch passes through a single task."""
     import time
 
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(input_dir)
     fs = root.getFileSystem(conf)
-    seen: set[str] = set()
+    fs.mkdirs(root)
     written = []
     base = base_mtime_ms or int(time.time() * 1000) - 3_600_000
     cols = [f.name for f in RAW.fields]
+    tick = 0
     for i, b in enumerate(batches):
+        rows = b.count()
+        if rows == 0:
+            continue
+        parts = max(1, -(-rows // rows_per_file))
         tmp = f"{input_dir.rstrip('/')}_staging_{i}"
-        b.repartition(1).sortWithinPartitions(order_col).select(*cols).write.mode("overwrite").option(
-            "header", "false"
-        ).csv(tmp)
-        for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(tmp)):
-            name = st.getPath().getName()
-            if name.startswith("part-") and name not in seen:
-                seen.add(name)
-                dst = jvm.org.apache.hadoop.fs.Path(f"{input_dir.rstrip('/')}/batch_{i:04d}_{name}")
-                fs.mkdirs(root)
-                fs.rename(st.getPath(), dst)
-                fs.setTimes(dst, base + i * 10_000, -1)
-                written.append(str(dst))
+        (b.repartitionByRange(parts, order_col).sortWithinPartitions(order_col).select(*cols)
+         .write.mode("overwrite").option("header", "false").csv(tmp))
+        names = sorted(st.getPath().getName() for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(tmp))
+                       if st.getPath().getName().startswith("part-"))
+        for name in names:  # part-00000, part-00001, ... follow the ranges
+            src = jvm.org.apache.hadoop.fs.Path(f"{tmp}/{name}")
+            dst = jvm.org.apache.hadoop.fs.Path(f"{input_dir.rstrip('/')}/batch_{i:04d}_{name}")
+            fs.rename(src, dst)
+            fs.setTimes(dst, base + tick * 10_000, -1)
+            tick += 1
+            written.append(str(dst))
     return written

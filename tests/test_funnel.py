@@ -81,3 +81,31 @@ def test_summary_document_roundtrip(spark):
     assert (row.daily_rows, row.hourly_rows, row.overall_buy_conversion_rate) == (1, 1, 0.25)
     missing = read_summary_json(spark, path + "-absent", FUNNEL_SUMMARY)
     assert missing.count() == 0
+
+
+def _brute_force_uv(pdf, steps=("pv", "fav", "cart", "buy")):
+    uv = [0] * len(steps)
+    for _, g in pdf.groupby("user_id"):
+        t = None
+        for i, b in enumerate(steps):
+            ts = g.loc[g.behavior == b, "timestamp"]
+            if t is not None:
+                ts = ts[ts >= t]
+            if ts.empty:
+                break
+            t = ts.min()
+            uv[i] += 1
+    return uv
+
+
+def test_funnel_with_a_hot_user_matches_brute_force(spark):
+    from conftest import SF01
+
+    from clickscope.plans.inputs import funnel_input
+
+    ev = funnel_input(spark, SF01)
+    # a third of all events move onto one user
+    hot = ev.withColumn("user_id", F.when(F.xxhash64("timestamp", "behavior") % 3 == 0, F.lit(-7))
+                        .otherwise(F.col("user_id")))
+    got = [r.uv for r in FN.ordered_funnel(hot).collect()]
+    assert got == _brute_force_uv(hot.select("user_id", "behavior", "timestamp").toPandas())
