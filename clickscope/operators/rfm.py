@@ -99,7 +99,8 @@ def score_rfm(rfm: DataFrame, params: RfmParams = _P) -> DataFrame:
             out = out.withColumn(f"{s}_score", level_of(m, st[f"{m}_median"], HIGHER_IS_BETTER[m]))
     for m in METRICS:
         out = out.withColumn(f"{SHORT[m]}_level", level_of(m, st[f"{m}_median"], HIGHER_IS_BETTER[m]))
-    return out.withColumn("segment", segment_of(F.col("r_level"), F.col("f_level"), F.col("m_level")))
+    # the scored table is read by summaries, histograms and the clustering: store it once
+    return materialize(out.withColumn("segment", segment_of(F.col("r_level"), F.col("f_level"), F.col("m_level"))))
 
 
 def rfm_table(events: DataFrame, params: RfmParams = _P) -> DataFrame:
@@ -176,7 +177,10 @@ def rfm_top_users(scored: DataFrame, n: int = 200) -> DataFrame:
 def rfm_histogram(scored: DataFrame, max_bins: int = 20, min_bins: int = 3) -> DataFrame:
     """Equal-width histogram of each metric with ``min(max_bins, max(min_bins, distinct))``
     bins on NumPy's edges (last bin closed; a constant column spans value ± 0.5); empty
-    bins included.  Rows: ``metric, bin, lower, upper, users``."""
+    bins included.  Rows: ``metric, bin, lower, upper, users``.
+
+    One pass: the three metrics are stacked as ``(metric, value)`` rows, each row's bin
+    comes from its metric's literal range, and one aggregate counts ``(metric, bin)``."""
     aggs = []
     for m in METRICS:
         aggs += [F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"), F.count_distinct(m).alias(f"{m}_nd")]
@@ -184,37 +188,43 @@ def rfm_histogram(scored: DataFrame, max_bins: int = 20, min_bins: int = 3) -> D
     spark = scored.sparkSession
     if st is None or st["recency_min"] is None:
         return spark.createDataFrame([], "metric string, bin int, lower double, upper double, users long")
-    pieces = []
+    spec = {}
     for m in METRICS:
         lo, hi = float(st[f"{m}_min"]), float(st[f"{m}_max"])
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
         bins = min(max_bins, max(min_bins, int(st[f"{m}_nd"])))
-        step = (hi - lo) / bins
-        x = F.col(m).cast("double")
-        idx = F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))).cast("int")
-        idx = F.when(idx >= bins, bins - 1).otherwise(idx)
+        spec[m] = (lo, hi, bins, (hi - lo) / bins)
 
-        def edge(i: Column) -> Column:  # linspace edge i * step + lo
+    def bin_of(x: Column, lo: float, hi: float, bins: int, step: float) -> Column:
+        def edge(i: Column) -> Column:  # NumPy's linspace edge i * step + lo
             return i.cast("double") * F.lit(step) + F.lit(lo)
 
-        idx = F.when(x < edge(idx), idx - 1).otherwise(idx)
-        idx = F.when((x >= edge(idx + 1)) & (idx != bins - 1), idx + 1).otherwise(idx)
-        counts = scored.select(idx.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("users"))
-        frame = spark.range(bins).select(F.col("id").cast("int").alias("bin"))  # ≤ max_bins rows
-        pieces.append(
-            frame.join(F.broadcast(counts), "bin", "left").select(
-                F.lit(m).alias("metric"), "bin",
-                half_even(edge(F.col("bin")), 6).alias("lower"),
-                half_even(F.when(F.col("bin") == bins - 1, F.lit(hi)).otherwise(edge(F.col("bin") + 1)), 6)
-                .alias("upper"),
-                F.coalesce("users", F.lit(0)).cast("long").alias("users"),
-            )
-        )
-    out = pieces[0]
-    for p in pieces[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("metric", "bin")
+        idx = F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))).cast("int")
+        idx = F.when(idx >= bins, bins - 1).otherwise(idx)
+        idx = F.when(x < edge(idx), idx - 1).otherwise(idx)  # NumPy's correction near edges
+        return F.when((x >= edge(idx + 1)) & (idx != bins - 1), idx + 1).otherwise(idx)
+
+    stacked = scored.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in METRICS
+    ])).alias("s")).select("s.metric", "s.x")
+    b = None
+    for m, (lo, hi, bins, step) in spec.items():
+        e = bin_of(F.col("x"), lo, hi, bins, step)
+        b = F.when(F.col("metric") == m, e) if b is None else b.when(F.col("metric") == m, e)
+    counts = stacked.select("metric", b.alias("bin")).groupBy("metric", "bin").agg(F.count(F.lit(1)).alias("users"))
+    frame_rows = []
+    for m, (lo, hi, bins, step) in spec.items():  # at most 3 x max_bins rows
+        for i in range(bins):
+            upper = hi if i == bins - 1 else float(i + 1) * step + lo
+            frame_rows.append((m, i, float(i) * step + lo, upper))
+    frame = spark.createDataFrame(frame_rows, "metric string, bin int, lower double, upper double")
+    return (
+        frame.join(F.broadcast(counts), ["metric", "bin"], "left")
+        .select("metric", "bin", half_even("lower", 6).alias("lower"), half_even("upper", 6).alias("upper"),
+                F.coalesce("users", F.lit(0)).cast("long").alias("users"))
+        .orderBy("metric", "bin")
+    )
 
 
 def rfm_summary_document(scored: DataFrame) -> dict:
