@@ -506,3 +506,16 @@ def q_cleaning_summary(spark, sf_dir):
         F.col("date_range.start").alias("start"), F.col("date_range.end").alias("end"),
         F.explode("behavior_counts").alias("behavior", "rows"),
     )
+
+
+@query("stream_clean_ordered")
+def q_stream_clean_ordered(spark, sf_dir):
+    """Exact keep-first inside and across micro-batches (foreachBatch + seen-key table).
+    Arrival batches hold several files each, so duplicates meet inside one micro-batch."""
+    base = shared_path(spark, "stream_ordered")
+    inp, out = f"{base}/input", f"{base}/clean"
+    STR.feed_files(spark, _arrival_batches(raw_events(spark, sf_dir)), inp)
+    q = STR.stream_clean_ordered(spark, inp, out, f"{base}/ckpt", EVENTS_CLEAN, max_files_per_trigger=2,
+                                 bucket_seconds=86400)
+    q.awaitTermination()
+    return spark.read.schema(CLEANED).parquet(out).select(*CLEANED_COLUMNS)

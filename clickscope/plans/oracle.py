@@ -389,3 +389,5 @@ SELECT CAST(raw_rows AS BIGINT) AS raw_rows, CAST(final_rows AS BIGINT) AS final
        behavior, CAST(rows AS BIGINT) AS rows
 FROM c, r, b""",
 })
+
+SQL["stream_clean_ordered"] = f"WITH {CLEAN_CTE} {CLEANED_SELECT}"

@@ -68,9 +68,17 @@ def cast_to(df: DataFrame, schema) -> DataFrame:
 def map_batches(df: DataFrame, fn, schema, batch_rows: int = 1_000_000) -> DataFrame:
     """Per-partition iteration over Arrow record batches of at most ``batch_rows`` rows
     (the cleaned data read batch by batch): ``fn(iterator of pyarrow.RecordBatch) ->
-    iterator of pyarrow.RecordBatch`` runs inside the tasks; nothing passes the driver."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    return df.mapInArrow(fn, schema)
+    iterator of pyarrow.RecordBatch`` runs inside the tasks; nothing passes the driver.
+    Incoming batches are sliced in the task, so no session setting changes."""
+
+    def bounded(batches):
+        def sliced():
+            for b in batches:
+                for start in range(0, b.num_rows, batch_rows):
+                    yield b.slice(start, batch_rows)
+        return fn(sliced())
+
+    return df.mapInArrow(bounded, schema)
 
 
 def batch_behavior_counts(batches):

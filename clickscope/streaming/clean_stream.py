@@ -11,8 +11,10 @@ Dedup state lives in the state store, partitioned by key:
 * ``dedup="unbounded"``: ``dropDuplicates`` keeps every key forever (exact, like an
   ever-growing seen-set).
 
-Inside one micro-batch the stream keeps the first row it processes; feed files in
-line order (``feed_files``) so that the first line wins as in batch.
+Inside one micro-batch the state store keeps the first row it *processes*; with one
+file per trigger and files of one split (``feed_files``) that is the first line, as in
+batch.  ``stream_clean_ordered`` is exact without that contract: keep-first by line
+order inside each micro-batch, then a left-anti join against the keys of earlier epochs.
 
 ``stream_counts``: a second stream over the clean sink, ``groupBy(behavior)`` with
 count / min / max datetime in complete mode; each epoch's table (one row per behavior)
@@ -71,6 +73,65 @@ def stream_clean(spark: SparkSession, input_dir: str, output_dir: str, checkpoin
     return writer.start()
 
 
+SEEN_BUCKET_SECONDS = 3600
+
+
+def stream_clean_ordered(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
+                         params: CleanParams = _P, max_files_per_trigger: int = 1,
+                         available_now: bool = True, bucket_seconds: int = SEEN_BUCKET_SECONDS) -> StreamingQuery:
+    """Exact keep-first across *and inside* micro-batches, through ``foreachBatch``.
+
+    Per epoch: (1) keep-first inside the batch by line order (file path, split start,
+    row) - the batch job's distributed window; (2) drop keys already seen in earlier
+    epochs with a left-anti join against ``<checkpoint_dir>/seen``, a key table
+    partitioned by ``bucket_seconds`` buckets of ``timestamp`` (duplicates share their
+    timestamp, so only the buckets this batch touches are read); (3) write the cleaned rows and the
+    new keys under ``epoch=<id>``, replacing any earlier attempt of the same epoch, so a
+    retried epoch is idempotent.  Output: ``output_dir/epoch=*/`` Parquet.
+
+    Cost: each epoch joins against the seen keys of its buckets, where the state-store
+    form does point lookups; use this form when the in-batch winner must be the first
+    line, the state-store form for throughput."""
+    from clickscope.operators.clean import dedup_keep_first
+
+    key = list(params.dedup_key)
+    seen_dir = f"{checkpoint_dir.rstrip('/')}/seen"
+    src = raw_stream(spark, input_dir, max_files_per_trigger).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    )
+
+    def process(batch: DataFrame, epoch_id: int) -> None:
+        ordered = batch.withColumn(
+            "_ord", F.struct("_file", "_block", F.monotonically_increasing_id().alias("_row"))
+        ).withColumn("_bucket", F.floor(F.col("timestamp") / bucket_seconds).cast("long"))
+        winners = dedup_keep_first(ordered, key, "_ord").drop("_file", "_block", "_ord").persist()
+        try:
+            buckets = [r[0] for r in winners.select("_bucket").distinct().collect()]  # hours spanned
+            fresh = winners
+            jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(seen_dir)
+            fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            if buckets and fs.exists(jvm_path):
+                seen = (
+                    spark.read.parquet(seen_dir)
+                    .filter((F.col("epoch") < epoch_id) & F.col("_bucket").isin(buckets))
+                    .select(*key)
+                )
+                fresh = winners.join(seen, key, "left_anti")  # null keys: no earlier match, as in batch
+            fresh = fresh.persist()
+            fresh.select(*key, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(
+                f"{seen_dir}/epoch={epoch_id}")
+            clean_after_dedup(fresh.drop("_bucket"), params).write.mode("overwrite").option(
+                "compression", "zstd").parquet(f"{output_dir.rstrip('/')}/epoch={epoch_id}")
+            fresh.unpersist()
+        finally:
+            winners.unpersist()
+
+    writer = src.writeStream.option("checkpointLocation", f"{checkpoint_dir.rstrip('/')}/stream").foreachBatch(
+        process)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
 def stream_counts(spark: SparkSession, clean_dir: str, output_dir: str, checkpoint_dir: str,
                   available_now: bool = True) -> StreamingQuery:
     """Running ``behavior, rows, min_datetime, max_datetime`` over the clean sink."""

@@ -23,3 +23,15 @@ def test_stream_equals_batch(spark):
     stream_counts(spark, f"{base}/out_watermark", f"{base}/counts", f"{base}/ck_counts").awaitTermination()
     counts = {r.behavior: r.rows for r in spark.read.parquet(f"{base}/counts").collect()}
     assert counts == {"pv": 146, "fav": 162, "cart": 156, "buy": 160}
+
+
+def test_ordered_stream_is_exact_with_everything_in_one_batch(spark):
+    from clickscope.streaming import stream_clean_ordered
+
+    raw = raw_events(spark, SF001)
+    base = shared_path(spark, "test_stream_ordered")
+    feed_files(spark, _arrival_batches(raw), f"{base}/in", rows_per_file=100)
+    stream_clean_ordered(spark, f"{base}/in", f"{base}/out", f"{base}/ck", EVENTS_CLEAN,
+                         max_files_per_trigger=1000, bucket_seconds=86400).awaitTermination()
+    got = spark.read.schema(CLEANED).parquet(f"{base}/out").collect()
+    assert sorted(got) == sorted(C.clean_events(raw, EVENTS_CLEAN).collect())
