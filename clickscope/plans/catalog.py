@@ -16,7 +16,8 @@ from clickscope.operators import clean as C
 from clickscope.operators import funnel as FN
 from clickscope.plans.inputs import EVENTS_CLEAN, cleaned_events, funnel_input, raw_events
 from clickscope.schemas import CLEANED, CLEANED_COLUMNS, FUNNEL_SUMMARY
-from clickscope.session import ensure_checkpoint_dir, shared_path
+from clickscope.session import ensure_checkpoint_dir, materialize, shared_path
+from clickscope.sources.adapters import funnel_events
 from clickscope.sources import raw as R
 from clickscope.sources import sinks as K
 from clickscope.sources import tables as TB
@@ -215,17 +216,13 @@ def q_funnel_overall(spark, sf_dir):
 
 
 def _funnel_doc(spark, sf_dir) -> DataFrame:
-    cleaned = cleaned_events(spark, sf_dir)
+    """Funnel, daily and hourly tables from one materialized cleaned table."""
+    cleaned = materialize(cleaned_events(spark, sf_dir))
     return FN.funnel_summary(
-        FN.ordered_funnel(FN_input(cleaned)), FN.daily_conversion(cleaned), FN.hourly_conversion(cleaned)
+        FN.ordered_funnel(funnel_events(cleaned)), FN.daily_conversion(cleaned), FN.hourly_conversion(cleaned)
     )
 
 
-def FN_input(cleaned: DataFrame) -> DataFrame:
-    from clickscope.sources.adapters import funnel_events
-    return funnel_events(cleaned)
-
-
 @query("funnel_summary")
 def q_funnel_summary(spark, sf_dir):
     return FN.funnel_summary_flat(_funnel_doc(spark, sf_dir))

@@ -34,6 +34,18 @@ from clickscope.schemas import CLEANED, RAW
 _P = CleanParams()
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Dedup state grows with the key count: keep it in RocksDB (off-heap, spilling to
+    local disk, snapshotted to the checkpoint location) instead of the JVM heap, unless
+    the user chose a provider."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ROCKSDB_PROVIDER)
+
+
 def raw_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
     return (
         spark.readStream.schema(RAW)
@@ -48,6 +60,7 @@ def stream_clean(spark: SparkSession, input_dir: str, output_dir: str, checkpoin
                  params: CleanParams = _P, dedup: str = "watermark", watermark_delay: str = "7 days",
                  max_files_per_trigger: int = 1, available_now: bool = True) -> StreamingQuery:
     """Start the incremental clean; returns the running query."""
+    use_rocksdb_state(spark)
     src = raw_stream(spark, input_dir, max_files_per_trigger)
     key = list(params.dedup_key)
     if dedup == "watermark":
@@ -135,6 +148,7 @@ def stream_clean_ordered(spark: SparkSession, input_dir: str, output_dir: str, c
 def stream_counts(spark: SparkSession, clean_dir: str, output_dir: str, checkpoint_dir: str,
                   available_now: bool = True) -> StreamingQuery:
     """Running ``behavior, rows, min_datetime, max_datetime`` over the clean sink."""
+    use_rocksdb_state(spark)
     src = spark.readStream.schema(CLEANED).parquet(clean_dir)
     agg = src.groupBy("behavior").agg(
         F.count(F.lit(1)).alias("rows"),
