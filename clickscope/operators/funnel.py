@@ -8,9 +8,12 @@ minimum again.  Nothing ever holds all events of one user in one task:
 
 * the threshold table comes out of an aggregate, so AQE knows its exact size and turns
   the join into a broadcast join when it is small, a sort-merge join otherwise;
-* in the sort-merge form a very active user is a skewed join partition, which AQE
-  splits (``tune_for_skew`` allows this although an aggregate on the same key follows);
-  the partial aggregate before the extra exchange then shrinks each split to one row.
+* in the sort-merge form a very active user would be one skewed join partition, and
+  AQE's skew split does not apply when one join input comes out of an aggregate.  So the
+  funnel salts explicitly: the ``(user, behavior)`` pre-aggregate already counts each
+  user's events, users above ``hot_rows`` get ``ceil(n / hot_rows)`` salts, their events
+  are spread over the salts and their single threshold row is repeated per salt.  The
+  hot-user table is broadcast; it is bounded by ``max_hot_users``.
 
 Each event is shuffled at most once per pass (it belongs to one behavior), the same
 volume as a one-exchange window plan, without its one-user-per-task sort.  Step 1 and
@@ -45,19 +48,48 @@ def first_touch(events: DataFrame, params: FunnelParams = _P) -> DataFrame:
 
 
 def funnel_step(events: DataFrame, previous: DataFrame, behavior: str, params: FunnelParams = _P,
-                out_col: str = "step_time") -> DataFrame:
+                out_col: str = "step_time", hot: DataFrame | None = None) -> DataFrame:
     """One funnel step: per user, the earliest ``behavior`` event at or after the user's
-    previous-step time (``previous``: ``(user, previous_time)``)."""
+    previous-step time (``previous``: ``(user, previous_time)``).
+
+    ``hot``: ``(user, _splits)`` for users with very many events of this behavior (a
+    table bounded by ``FunnelParams.max_hot_users``, broadcast).  Their events are spread
+    over ``_splits`` salts and their one threshold row is repeated once per salt, so
+    no join task receives all events of a user; the partial ``min`` then shrinks each
+    salt to one row before the final aggregate."""
     u, t = params.user_col, params.time_col
     cur = events.filter(F.col("behavior") == behavior).select(u, t)
+    if hot is None:
+        joined = cur.join(previous, u)
+    else:
+        h = F.broadcast(hot)
+        splits = F.coalesce(F.col("_splits"), F.lit(1))
+        cur = cur.join(h, u, "left").select(
+            u, t, F.pmod(F.xxhash64(F.col(t), F.monotonically_increasing_id()), splits).cast("int").alias("_salt")
+        )
+        prev = previous.join(h, u, "left").select(
+            u, "previous_time", F.explode(F.sequence(F.lit(0), splits - 1)).alias("_salt")
+        )
+        joined = cur.join(prev, [u, "_salt"])
     return (
-        cur.join(previous, u)
-        .filter(F.col(t) >= F.col("previous_time"))
+        joined.filter(F.col(t) >= F.col("previous_time"))
         .groupBy(u)
         .agg(F.min(t).alias(out_col))
     )
 
 
+def hot_users(facts: DataFrame, behavior: str, params: FunnelParams = _P) -> DataFrame | None:
+    """Users with more than the hot threshold of ``behavior`` events and their split
+    counts, from the ``(user, behavior)`` pre-aggregate; None when there are none.  At
+    most ``max_hot_users`` rows: the threshold is at least total / max_hot_users."""
+    u = params.user_col
+    mine = facts.filter((F.col("behavior") == behavior) & F.col(u).isNotNull())
+    total = mine.agg(F.sum("n")).first()[0] or 0
+    limit = max(params.hot_rows, -(-int(total) // params.max_hot_users))
+    hot = mine.filter(F.col("n") > limit).select(u, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_splits"))
+    return hot if hot.limit(1).count() else None
+
+
 def user_behavior_facts(events: DataFrame, params: FunnelParams = _P) -> DataFrame:
     """One row per (user, behavior) of the funnel steps: first time and action count.
     A hash aggregate with map-side combine, so a very active user is pre-reduced in
@@ -84,7 +116,8 @@ def stage_tables(events: DataFrame, params: FunnelParams = _P,
     stages = [materialize(first)]
     for behavior in params.steps[1:]:
         prev = stages[-1].withColumnRenamed("step_time", "previous_time")
-        stages.append(materialize(funnel_step(events, prev, behavior, params)))
+        hot = hot_users(ub, behavior, params)
+        stages.append(materialize(funnel_step(events, prev, behavior, params, hot=hot)))
     return stages
 
 

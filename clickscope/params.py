@@ -81,10 +81,16 @@ class CleanParams:
 
 @dataclass(frozen=True)
 class FunnelParams:
+    """``hot_rows``: a user with more events of one behavior than this is split over
+    ``ceil(n / hot_rows)`` salted join partitions; ``max_hot_users`` caps the broadcast
+    hot-user table by raising the threshold to ``total / max_hot_users`` when needed."""
+
     steps: tuple[str, ...] = VALID_BEHAVIORS
     labels: dict = field(default_factory=lambda: dict(FUNNEL_LABELS))
     user_col: str = "user_id"
     time_col: str = "timestamp"
+    hot_rows: int = 1_000_000
+    max_hot_users: int = 100_000
 
 
 @dataclass(frozen=True)
