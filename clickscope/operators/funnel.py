@@ -78,16 +78,29 @@ def funnel_step(events: DataFrame, previous: DataFrame, behavior: str, params: F
     )
 
 
-def hot_users(facts: DataFrame, behavior: str, params: FunnelParams = _P) -> DataFrame | None:
+def hot_users(facts: DataFrame, behavior: str, params: FunnelParams = _P,
+              stats: dict | None = None) -> DataFrame | None:
     """Users with more than the hot threshold of ``behavior`` events and their split
     counts, from the ``(user, behavior)`` pre-aggregate; None when there are none.  At
-    most ``max_hot_users`` rows: the threshold is at least total / max_hot_users."""
+    most ``max_hot_users`` rows: the threshold is at least total / max_hot_users.
+    ``stats``: ``behavior -> (total events, largest per-user count)``."""
     u = params.user_col
-    mine = facts.filter((F.col("behavior") == behavior) & F.col(u).isNotNull())
-    total = mine.agg(F.sum("n")).first()[0] or 0
+    stats = stats if stats is not None else behavior_stats(facts, params)
+    total, largest = stats.get(behavior, (0, 0))
     limit = max(params.hot_rows, -(-int(total) // params.max_hot_users))
-    hot = mine.filter(F.col("n") > limit).select(u, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_splits"))
-    return hot if hot.limit(1).count() else None
+    if largest <= limit:
+        return None
+    return facts.filter((F.col("behavior") == behavior) & F.col(u).isNotNull() & (F.col("n") > limit)).select(
+        u, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_splits")
+    )
+
+
+def behavior_stats(facts: DataFrame, params: FunnelParams = _P) -> dict:
+    """``behavior -> (events, largest per-user count)``: one aggregate, one row per step."""
+    rows = facts.filter(F.col(params.user_col).isNotNull()).groupBy("behavior").agg(
+        F.sum("n").alias("total"), F.max("n").alias("largest")
+    ).collect()
+    return {r.behavior: (int(r.total), int(r.largest)) for r in rows}
 
 
 def user_behavior_facts(events: DataFrame, params: FunnelParams = _P) -> DataFrame:
@@ -114,9 +127,10 @@ def stage_tables(events: DataFrame, params: FunnelParams = _P,
         u, F.col("first_time").alias("step_time")
     )
     stages = [materialize(first)]
+    stats = behavior_stats(ub, params)
     for behavior in params.steps[1:]:
         prev = stages[-1].withColumnRenamed("step_time", "previous_time")
-        hot = hot_users(ub, behavior, params)
+        hot = hot_users(ub, behavior, params, stats)
         stages.append(materialize(funnel_step(events, prev, behavior, params, hot=hot)))
     return stages
 

@@ -40,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return configured or current
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="clickscope-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
