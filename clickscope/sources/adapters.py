@@ -23,6 +23,8 @@ COPY_EVERY = 10  # every tenth event id gets a later duplicate row
 
 
 def events_raw(events: DataFrame) -> DataFrame:
+    """One scan of ``events``: every event yields its row, and every tenth event also a
+    later copy (another behavior and category), through one ``explode``."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     behavior = F.col("event_type")
     mapped = None
@@ -36,18 +38,18 @@ def events_raw(events: DataFrame) -> DataFrame:
         mapped.otherwise(behavior).alias("behavior"),
         epoch_seconds("ts").alias("timestamp"),
     )
-    firsts = base.select(
-        "user_id", "item_id", "category_id", "behavior", "timestamp",
+    first = F.struct(
+        F.col("category_id").alias("category_id"), F.col("behavior").alias("behavior"),
         (F.col("event_id") * 2).alias("ord"),
     )
-    copies = base.filter(F.col("event_id") % COPY_EVERY == 0).select(
-        "user_id", "item_id",
-        (F.col("category_id") + 1).alias("category_id"),
-        F.lit("buy").alias("behavior"),
-        "timestamp",
+    copy = F.struct(
+        (F.col("category_id") + 1).alias("category_id"), F.lit("buy").alias("behavior"),
         (F.col("event_id") * 2 + 1).alias("ord"),
     )
-    return firsts.unionByName(copies)
+    rows = F.when(F.col("event_id") % COPY_EVERY == 0, F.array(first, copy)).otherwise(F.array(first))
+    return base.select("user_id", "item_id", "timestamp", F.explode(rows).alias("r")).select(
+        "user_id", "item_id", "r.category_id", "r.behavior", "timestamp", "r.ord"
+    )
 
 
 def funnel_events(cleaned: DataFrame) -> DataFrame:
