@@ -126,7 +126,7 @@ def stage_tables(events: DataFrame, params: FunnelParams = _P,
     first = ub.filter((F.col("behavior") == params.steps[0]) & F.col(u).isNotNull()).select(
         u, F.col("first_time").alias("step_time")
     )
-    stages = [materialize(first)]
+    stages = [first if facts is not None else materialize(first)]  # a filter of a stored table
     stats = behavior_stats(ub, params)
     for behavior in params.steps[1:]:
         prev = stages[-1].withColumnRenamed("step_time", "previous_time")
