@@ -413,25 +413,32 @@ def q_cluster_pca(spark, sf_dir):
 from clickscope.streaming import clean_stream as STR  # noqa: E402
 
 
-def _arrival_batches(raw: DataFrame) -> list[DataFrame]:
-    """The adapted raw log split into four arriving files: the first 40% of events,
-    the next 40% with the copies of the first half, the last 20%, the remaining
-    copies.  Every raw row arrives exactly once."""
+def _arrival_batch(raw: DataFrame) -> DataFrame:
+    """``raw`` plus ``arrival`` (0..3): the first 40% of events, the next 40% with the
+    copies of the first half, the last 20%, the remaining copies.  Every raw row arrives
+    exactly once."""
     n = raw.agg(F.max(F.floor(F.col("ord") / 2))).first()[0] + 1
     eid = F.floor(F.col("ord") / 2)
     orig = (F.col("ord") % 2) == 0
-    return [
-        raw.filter(orig & (eid < 0.4 * n)),
-        raw.filter((orig & (eid >= 0.4 * n) & (eid < 0.8 * n)) | (~orig & (eid < 0.5 * n))),
-        raw.filter(orig & (eid >= 0.8 * n)),
-        raw.filter(~orig & (eid >= 0.5 * n)),
-    ]
+    arrival = (
+        F.when(orig & (eid < 0.4 * n), 0)
+        .when(orig & (eid < 0.8 * n), 1)
+        .when(orig, 2)
+        .when(eid < 0.5 * n, 1)
+        .otherwise(3)
+    )
+    return raw.withColumn("arrival_batch", arrival)
+
+
+def _arrival_batches(raw: DataFrame) -> list[DataFrame]:
+    tagged = _arrival_batch(raw)
+    return [tagged.filter(F.col("arrival_batch") == i).drop("arrival_batch") for i in range(4)]
 
 
 def _run_stream_clean(spark, sf_dir, dedup="watermark") -> str:
     base = shared_path(spark, "stream")
     inp, out = f"{base}/input", f"{base}/clean"
-    STR.feed_files(spark, _arrival_batches(raw_events(spark, sf_dir)), inp)
+    STR.feed_batches(spark, _arrival_batch(raw_events(spark, sf_dir)), "arrival_batch", inp)
     q = STR.stream_clean(spark, inp, out, f"{base}/ckpt_clean", EVENTS_CLEAN, dedup=dedup)
     q.awaitTermination()
     return out
@@ -511,7 +518,7 @@ def q_stream_clean_ordered(spark, sf_dir):
     Arrival batches hold several files each, so duplicates meet inside one micro-batch."""
     base = shared_path(spark, "stream_ordered")
     inp, out = f"{base}/input", f"{base}/clean"
-    STR.feed_files(spark, _arrival_batches(raw_events(spark, sf_dir)), inp)
+    STR.feed_batches(spark, _arrival_batch(raw_events(spark, sf_dir)), "arrival_batch", inp)
     q = STR.stream_clean_ordered(spark, inp, out, f"{base}/ckpt", EVENTS_CLEAN, max_files_per_trigger=2,
                                  bucket_seconds=86400)
     q.awaitTermination()

@@ -169,12 +169,14 @@ def stream_counts(spark: SparkSession, clean_dir: str, output_dir: str, checkpoi
 FEED_ROWS_PER_FILE = 1_000_000
 
 
-def feed_files(spark: SparkSession, batches: list[DataFrame], input_dir: str, order_col: str = "ord",
-               base_mtime_ms: int | None = None, rows_per_file: int = FEED_ROWS_PER_FILE) -> list[str]:
-    """Write each frame as header-less CSV files into ``input_dir``: range-partitioned on
-    ``order_col`` into files of at most about ``rows_per_file`` rows, sorted inside, with
-    strictly rising modification times in (batch, range) order, so the file source takes
-    them in line order.  No batch passes through a single task."""
+def feed_batches(spark: SparkSession, raw: DataFrame, batch_col: str, input_dir: str, order_col: str = "ord",
+                 base_mtime_ms: int | None = None, rows_per_file: int = FEED_ROWS_PER_FILE) -> list[str]:
+    """Write ``raw`` as header-less CSV files into ``input_dir``, one arrival batch per
+    value of ``batch_col`` (0, 1, ...): one aggregate counts every batch, one
+    range-partitioned write (on batch, then ``order_col``) produces files of at most about
+    ``rows_per_file`` rows, sorted inside.  The files get strictly rising modification
+    times in (batch, range) order, so the file source takes them in line order.  No batch
+    passes through a single task."""
     import time
 
     jvm = spark.sparkContext._jvm
@@ -182,25 +184,39 @@ def feed_files(spark: SparkSession, batches: list[DataFrame], input_dir: str, or
     root = jvm.org.apache.hadoop.fs.Path(input_dir)
     fs = root.getFileSystem(conf)
     fs.mkdirs(root)
-    written = []
-    base = base_mtime_ms or int(time.time() * 1000) - 3_600_000
+    counts = {r[0]: r[1] for r in raw.groupBy(batch_col).count().collect()}  # one row per batch
+    if not counts:
+        return []
+    parts = sum(max(1, -(-n // rows_per_file)) for n in counts.values())
+    tmp = f"{input_dir.rstrip('/')}_staging"
     cols = [f.name for f in RAW.fields]
-    tick = 0
-    for i, b in enumerate(batches):
-        rows = b.count()
-        if rows == 0:
-            continue
-        parts = max(1, -(-rows // rows_per_file))
-        tmp = f"{input_dir.rstrip('/')}_staging_{i}"
-        (b.repartitionByRange(parts, order_col).sortWithinPartitions(order_col).select(*cols)
-         .write.mode("overwrite").option("header", "false").csv(tmp))
-        names = sorted(st.getPath().getName() for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(tmp))
+    (raw.select(*cols, order_col, F.col(batch_col).alias("arrival"))
+     .repartitionByRange(parts, "arrival", order_col)
+     .sortWithinPartitions("arrival", order_col)
+     .drop(order_col)
+     .write.mode("overwrite").option("header", "false").partitionBy("arrival").csv(tmp))
+    base = base_mtime_ms or int(time.time() * 1000) - 3_600_000
+    written, tick = [], 0
+    for b in sorted(counts):
+        bdir = jvm.org.apache.hadoop.fs.Path(f"{tmp}/arrival={b}")
+        names = sorted(st.getPath().getName() for st in fs.listStatus(bdir)
                        if st.getPath().getName().startswith("part-"))
-        for name in names:  # part-00000, part-00001, ... follow the ranges
-            src = jvm.org.apache.hadoop.fs.Path(f"{tmp}/{name}")
-            dst = jvm.org.apache.hadoop.fs.Path(f"{input_dir.rstrip('/')}/batch_{i:04d}_{name}")
-            fs.rename(src, dst)
+        for name in names:  # part numbers follow the ranges
+            dst = jvm.org.apache.hadoop.fs.Path(f"{input_dir.rstrip('/')}/batch_{b:04d}_{name}")
+            fs.rename(jvm.org.apache.hadoop.fs.Path(f"{tmp}/arrival={b}/{name}"), dst)
             fs.setTimes(dst, base + tick * 10_000, -1)
             tick += 1
             written.append(str(dst))
     return written
+
+
+def feed_files(spark: SparkSession, batches: list[DataFrame], input_dir: str, order_col: str = "ord",
+               base_mtime_ms: int | None = None, rows_per_file: int = FEED_ROWS_PER_FILE) -> list[str]:
+    """``feed_batches`` for a list of frames (frame i is arrival batch i)."""
+    tagged = None
+    for i, b in enumerate(batches):
+        t = b.withColumn("_arrival", F.lit(i))
+        tagged = t if tagged is None else tagged.unionByName(t)
+    if tagged is None:
+        return []
+    return feed_batches(spark, tagged, "_arrival", input_dir, order_col, base_mtime_ms, rows_per_file)

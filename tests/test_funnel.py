@@ -117,3 +117,11 @@ def test_funnel_with_a_hot_user_matches_brute_force(spark):
     h = FN.hot_users(facts, "fav", p)
     assert h is not None and h.filter(F.col("user_id") == -7).first()._splits > 5
     assert [r.uv for r in FN.ordered_funnel(hot, p).collect()] == want
+
+
+def test_select_dates_long_list_uses_semi_join(spark):
+    df = spark.createDataFrame([(f"d{i}", i) for i in range(3000)], "date string, pv_uv long")
+    few = FN.select_dates(df, ["d1", "d2"])
+    many = FN.select_dates(df, [f"d{i}" for i in range(0, 3000, 2)])
+    assert few.count() == 2 and many.count() == 1500
+    assert FN.select_dates(df, None).count() == 3000
