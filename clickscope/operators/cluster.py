@@ -3,7 +3,7 @@
 Standardization uses the population standard deviation and centers the columns
 (Spark ML's ``StandardScaler`` would use the sample deviation and not center); a
 constant column is divided by 1.  The six scalars come from one aggregate.  K-means is
-Spark ML's distributed ``KMeans``; the feature table is checkpointed to the shared
+Spark ML's distributed ``KMeans``; the feature table is stored in the shared
 folder once and then read by every fit.  Everything after the assignment (labels,
 summaries, profiles) aggregates to at most k rows first, so the whole-table windows
 and broadcasts there are bounded by k.
@@ -30,7 +30,7 @@ from clickscope.params import (
     CLUSTER_LABEL_TOP,
     ClusterParams,
 )
-from clickscope.session import ensure_checkpoint_dir
+from clickscope.session import ensure_checkpoint_dir, materialize
 
 _P = ClusterParams()
 METRICS = ("recency", "frequency", "monetary")
@@ -69,8 +69,7 @@ def standardize(rfm: DataFrame, params: ClusterParams = _P, stats: dict | None =
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df, "features")
 
 
 def spark_tolerance(k: int, params: ClusterParams = _P, mean_variance: float = 1.0) -> float:

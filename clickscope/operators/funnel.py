@@ -18,7 +18,7 @@ minimum again.  Nothing ever holds all events of one user in one task:
 Each event is shuffled at most once per pass (it belongs to one behavior), the same
 volume as a one-exchange window plan, without its one-user-per-task sort.  Step 1 and
 the order-free facts (distinct users, actions) come from one ``(user, behavior)``
-pre-aggregate.  Every per-user step table is checkpointed to the shared folder, so each
+pre-aggregate.  Every per-user step table is stored in the shared folder, so each
 step runs once (the counts and the next step read it back) and executor loss never
 re-runs the chain.
 """
@@ -118,7 +118,7 @@ def user_behavior_facts(events: DataFrame, params: FunnelParams = _P) -> DataFra
 def stage_tables(events: DataFrame, params: FunnelParams = _P,
                  facts: DataFrame | None = None) -> list[DataFrame]:
     """One ``(user, step_time)`` table per funnel step, in step order.  Each table (one
-    row per user that reached the step) is checkpointed to the shared folder, so every
+    row per user that reached the step) is stored in the shared folder, so every
     step runs exactly once and later steps and counts read it back."""
     tune_for_skew(events.sparkSession)
     u = params.user_col

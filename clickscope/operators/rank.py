@@ -8,7 +8,7 @@ users) into one task.  Instead the rows are range-partitioned on the *whole* ord
 partitions; each partition is sorted locally and numbered; the rank is the row's local
 position plus the row count of all earlier partitions.  The per-partition counts are a
 table of at most ``spark.sql.shuffle.partitions`` rows, a proven bound for the
-broadcast.  The numbered partitions are checkpointed to the shared folder first, so
+broadcast.  The numbered rows are stored (Parquet in the shared checkpoint folder) first, so
 the partition numbers are fixed and lineage is cut.
 """
 
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickscope.session import ensure_checkpoint_dir
+from clickscope.session import ensure_checkpoint_dir, materialize
 
 
 def unique_rank(df: DataFrame, order_cols: list[str | Column], rank_col: str = "rank",
@@ -33,8 +33,8 @@ def unique_rank(df: DataFrame, order_cols: list[str | Column], rank_col: str = "
         .sortWithinPartitions(*order_cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
     )
+    numbered = materialize(numbered, "ranked")  # freezes _pid / _mid, cuts lineage
     sizes = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     # one row per partition: a whole-table window over this table is bounded
     earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -65,8 +65,12 @@ def tune_for_skew(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def materialize(df):
-    """Checkpoint ``df`` (eagerly) into the shared checkpoint folder: a table that
-    several jobs read is computed once, survives executor loss and cuts lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "table"):
+    """Store ``df`` as a Parquet table in the shared checkpoint folder and read it back:
+    a table that several jobs read is computed once, survives executor loss and cuts
+    lineage.  One write job (an eager ``checkpoint()`` runs the plan twice: a count, then
+    the file write), columnar and compressed, and the read-back has statistics."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
