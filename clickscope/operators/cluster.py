@@ -68,7 +68,7 @@ def standardize(rfm: DataFrame, params: ClusterParams = _P, stats: dict | None =
     return VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(out)
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def _stored(df: DataFrame) -> DataFrame:
     return materialize(df, "features")
 
 
@@ -248,7 +248,7 @@ def pca_coordinates(features: DataFrame, k: int = 2, center: bool = True) -> Dat
 
 
 def prepared_features(rfm: DataFrame, params: ClusterParams = _P) -> tuple[DataFrame, int, float]:
-    """Standardized features, checkpointed once for the k-means jobs that read them.
+    """Standardized features, stored once for the k-means jobs that read them.
     Returns ``(features, n, mean_variance)``."""
     st = feature_stats(rfm, params)
     n = int(st["n"])
@@ -259,7 +259,7 @@ def prepared_features(rfm: DataFrame, params: ClusterParams = _P) -> tuple[DataF
         wanted = max(1, -(-n * FEATURE_ROW_BYTES // FEATURE_PARTITION_BYTES))
         if wanted < feats.rdd.getNumPartitions():
             feats = feats.coalesce(wanted)
-        feats = _checkpointed(feats)
+        feats = _stored(feats)
     return feats, n, _mean_variance(st, params)
 
 
