@@ -125,3 +125,19 @@ def test_select_dates_long_list_uses_semi_join(spark):
     many = FN.select_dates(df, [f"d{i}" for i in range(0, 3000, 2)])
     assert few.count() == 2 and many.count() == 1500
     assert FN.select_dates(df, None).count() == 3000
+
+
+def test_salted_step_joins_on_user_and_salt(spark):
+    from clickscope.params import FunnelParams
+
+    rows = [(1, "pv", 0)] + [(1, "fav", t) for t in range(300)] + [(2, "pv", 5), (2, "fav", 6)]
+    ev = spark.createDataFrame(rows, SCHEMA)
+    p = FunnelParams(hot_rows=50)
+    facts = FN.user_behavior_facts(ev, p)
+    hot = FN.hot_users(facts, "fav", p)
+    assert {r.user_id: r._splits for r in hot.collect()} == {1: 6}
+    prev = facts.filter(F.col("behavior") == "pv").select("user_id", F.col("first_time").alias("previous_time"))
+    step = FN.funnel_step(ev, prev, "fav", p, hot=hot)
+    assert sorted(tuple(r) for r in step.collect()) == [(1, 0), (2, 6)]
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan and "explode" in plan
