@@ -150,7 +150,7 @@ def q_roundtrip(spark, sf_dir):
 def q_scan_cleaned(spark, sf_dir):
     """Date-partitioned dataset read back with the declared schema (``date`` stays a string)."""
     path = _written_cleaned(spark, sf_dir, partition_by_date=True)
-    return spark.read.schema(CLEANED).parquet(path).select(*CLEANED_COLUMNS)
+    return TB.scan_cleaned(spark, path).select(*CLEANED_COLUMNS)
 
 
 @query("load_cleaned")

@@ -11,8 +11,9 @@ _FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json"}
 
 
 def scan_cleaned(spark: SparkSession, path: str) -> DataFrame:
-    """Lazy Parquet scan of a cleaned dataset (file or directory, partitioned or not)."""
-    return spark.read.parquet(path)
+    """Lazy Parquet scan of a cleaned dataset (file or directory, partitioned by date or
+    not) with the declared schema, so a ``date`` partition column stays a string."""
+    return spark.read.schema(CLEANED).parquet(path)
 
 
 def load_cleaned(spark: SparkSession, path: str, columns: list[str] | None = None,
