@@ -7,20 +7,25 @@ under the shared checkpoint directory, then read it back."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace as _replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickscope.functions.timefn import local_datetime
 from clickscope.operators import clean as C
+from clickscope.operators import cluster as CL
 from clickscope.operators import funnel as FN
-from clickscope.plans.inputs import EVENTS_CLEAN, cleaned_events, funnel_input, raw_events
-from clickscope.schemas import CLEANED, CLEANED_COLUMNS, FUNNEL_SUMMARY
+from clickscope.operators import rfm as RF
+from clickscope.params import ClusterParams
+from clickscope.plans.inputs import EVENTS_CLEAN, ORDERS_RFM, cleaned_events, funnel_input, order_buys, raw_events
+from clickscope.schemas import CLEANED, CLEANED_COLUMNS, CLEANING_SUMMARY, FUNNEL_SUMMARY
 from clickscope.session import ensure_checkpoint_dir, materialize, shared_path
-from clickscope.sources.adapters import funnel_events
 from clickscope.sources import raw as R
 from clickscope.sources import sinks as K
 from clickscope.sources import tables as TB
+from clickscope.sources.adapters import funnel_events
+from clickscope.streaming import clean_stream as STR
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,9 +243,6 @@ def q_summary_roundtrip(spark, sf_dir):
 
 # ------------------------------------------------------------------ RFM
 
-from clickscope.operators import rfm as RF  # noqa: E402
-from clickscope.plans.inputs import ORDERS_RFM, order_buys  # noqa: E402
-from dataclasses import replace as _replace  # noqa: E402
 
 # the adapted event log ends 2024-01-25 (local); its reference instant is the next midnight
 EVENTS_RFM = _replace(ORDERS_RFM, analysis_end="2024-01-26")
@@ -338,8 +340,6 @@ def q_rfm_top_users(spark, sf_dir):
 
 # ------------------------------------------------------------------ clustering
 
-from clickscope.operators import cluster as CL  # noqa: E402
-from clickscope.params import ClusterParams  # noqa: E402
 
 CLUSTER = ClusterParams()
 RECLUSTER_K = 3
@@ -410,8 +410,6 @@ def q_cluster_pca(spark, sf_dir):
 
 # ------------------------------------------------------------------ streams
 
-from clickscope.streaming import clean_stream as STR  # noqa: E402
-
 
 def _arrival_batch(raw: DataFrame) -> DataFrame:
     """``raw`` plus ``arrival`` (0..3): the first 40% of events, the next 40% with the
@@ -467,8 +465,6 @@ def q_stream_counts(spark, sf_dir):
 
 # ------------------------------------------------------------------ stored tables, batches, documents
 
-from clickscope.schemas import CLEANING_SUMMARY  # noqa: E402
-
 
 @query("rfm_stored")
 def q_rfm_stored(spark, sf_dir):
