@@ -157,10 +157,11 @@ def ordered_funnel(events: DataFrame, params: FunnelParams = _P) -> DataFrame:
     u = params.user_col
     ub = materialize(user_behavior_facts(events, params))
     stages = stage_tables(events, params, ub)
-    uv = None
+    reached = None  # one (step) row per user and reached step, counted in one aggregate
     for i, st in enumerate(stages):
-        one = st.agg(F.count(F.lit(1)).alias("uv")).withColumn("step", F.lit(i + 1))
-        uv = one if uv is None else uv.unionByName(one)
+        one = st.select(F.lit(i + 1).alias("step"))
+        reached = one if reached is None else reached.unionByName(one)
+    uv = reached.groupBy("step").agg(F.count(F.lit(1)).alias("uv"))
     facts = ub.groupBy("behavior").agg(
         F.count_if(F.col(u).isNotNull()).alias("independent_uv"), F.sum("n").alias("actions")
     )
