@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from clickscope.session import ensure_checkpoint_dir, materialize
 
+RANK_ROWS_PER_PARTITION = 1_000_000
+
 
 def unique_rank(df: DataFrame, order_cols: list[str | Column], rank_col: str = "rank",
                 num_partitions: int | None = None) -> DataFrame:
@@ -101,6 +103,9 @@ def unique_ranks(df: DataFrame, metrics: list[str], tie_col: str = "user_id", su
     if len(types) != 1:
         raise ValueError(f"metrics must share one type, got {types}")
     n = df.count() if n is None else n
+    if num_partitions is None:  # about RANK_ROWS_PER_PARTITION stacked rows per range partition
+        cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        num_partitions = max(1, min(cap, -(-len(metrics) * n // RANK_ROWS_PER_PARTITION)))
     arr = F.array(*[F.struct(F.lit(i).alias("_m"), F.col(m).alias("_v")) for i, m in enumerate(metrics)])
     stacked = df.select(F.col(tie_col).alias("_t"), F.explode(arr).alias("_s")).select("_t", "_s._m", "_s._v")
     ranked = unique_rank(stacked, ["_m", "_v", "_t"], "_g", num_partitions)

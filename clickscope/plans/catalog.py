@@ -433,32 +433,43 @@ def _arrival_batches(raw: DataFrame) -> list[DataFrame]:
     return [tagged.filter(F.col("arrival_batch") == i).drop("arrival_batch") for i in range(4)]
 
 
-def _run_stream_clean(spark, sf_dir, dedup="watermark") -> str:
+STATE_ROWS_PER_PARTITION = 1_000_000
+
+
+def _state_partitions(spark, rows: int) -> int:
+    """State partitions sized by the rows (about a million per partition, at most the
+    shuffle-partition setting)."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, min(cap, -(-rows // STATE_ROWS_PER_PARTITION)))
+
+
+def _run_stream_clean(spark, sf_dir, dedup="watermark") -> tuple[str, int]:
     base = shared_path(spark, "stream")
     inp, out = f"{base}/input", f"{base}/clean"
-    STR.feed_batches(spark, _arrival_batch(raw_events(spark, sf_dir)), "arrival_batch", inp)
-    q = STR.stream_clean(spark, inp, out, f"{base}/ckpt_clean", EVENTS_CLEAN, dedup=dedup)
+    files = STR.feed_batches(spark, _arrival_batch(raw_events(spark, sf_dir)), "arrival_batch", inp)
+    parts = _state_partitions(spark, len(files) * STR.FEED_ROWS_PER_FILE // 4)
+    q = STR.stream_clean(spark, inp, out, f"{base}/ckpt_clean", EVENTS_CLEAN, dedup=dedup, state_partitions=parts)
     q.awaitTermination()
-    return out
+    return out, parts
 
 
 @query("stream_clean")
 def q_stream_clean(spark, sf_dir):
-    out = _run_stream_clean(spark, sf_dir)
+    out, _ = _run_stream_clean(spark, sf_dir)
     return spark.read.schema(CLEANED).parquet(out).select(*CLEANED_COLUMNS)
 
 
 @query("stream_clean_unbounded")
 def q_stream_clean_unbounded(spark, sf_dir):
-    out = _run_stream_clean(spark, sf_dir, dedup="unbounded")
+    out, _ = _run_stream_clean(spark, sf_dir, dedup="unbounded")
     return spark.read.schema(CLEANED).parquet(out).select(*CLEANED_COLUMNS)
 
 
 @query("stream_counts")
 def q_stream_counts(spark, sf_dir):
-    clean_dir = _run_stream_clean(spark, sf_dir)
+    clean_dir, parts = _run_stream_clean(spark, sf_dir)
     base = shared_path(spark, "stream_counts")
-    q = STR.stream_counts(spark, clean_dir, f"{base}/table", f"{base}/ckpt")
+    q = STR.stream_counts(spark, clean_dir, f"{base}/table", f"{base}/ckpt", state_partitions=parts)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/table").select("behavior", "rows", "min_datetime", "max_datetime")
 
@@ -514,8 +525,9 @@ def q_stream_clean_ordered(spark, sf_dir):
     Arrival batches hold several files each, so duplicates meet inside one micro-batch."""
     base = shared_path(spark, "stream_ordered")
     inp, out = f"{base}/input", f"{base}/clean"
-    STR.feed_batches(spark, _arrival_batch(raw_events(spark, sf_dir)), "arrival_batch", inp)
+    files = STR.feed_batches(spark, _arrival_batch(raw_events(spark, sf_dir)), "arrival_batch", inp)
     q = STR.stream_clean_ordered(spark, inp, out, f"{base}/ckpt", EVENTS_CLEAN, max_files_per_trigger=2,
-                                 bucket_seconds=86400)
+                                 bucket_seconds=86400,
+                                 state_partitions=_state_partitions(spark, len(files) * STR.FEED_ROWS_PER_FILE // 4))
     q.awaitTermination()
     return spark.read.schema(CLEANED).parquet(out).select(*CLEANED_COLUMNS)

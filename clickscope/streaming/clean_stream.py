@@ -46,6 +46,21 @@ def use_rocksdb_state(spark: SparkSession) -> None:
         spark.conf.set(key, ROCKSDB_PROVIDER)
 
 
+def _start(spark: SparkSession, writer, state_partitions: int | None) -> StreamingQuery:
+    """Start ``writer``; ``state_partitions`` sets the number of state / shuffle partitions
+    the query keeps for its life (fixed at the first start), without changing the
+    session's setting for other work."""
+    if state_partitions is None:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def raw_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
     return (
         spark.readStream.schema(RAW)
@@ -58,7 +73,8 @@ def raw_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: int =
 
 def stream_clean(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
                  params: CleanParams = _P, dedup: str = "watermark", watermark_delay: str = "7 days",
-                 max_files_per_trigger: int = 1, available_now: bool = True) -> StreamingQuery:
+                 max_files_per_trigger: int = 1, available_now: bool = True,
+                 state_partitions: int | None = None) -> StreamingQuery:
     """Start the incremental clean; returns the running query."""
     use_rocksdb_state(spark)
     src = raw_stream(spark, input_dir, max_files_per_trigger)
@@ -83,7 +99,7 @@ def stream_clean(spark: SparkSession, input_dir: str, output_dir: str, checkpoin
         .outputMode("append")
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+    return _start(spark, writer, state_partitions)
 
 
 SEEN_BUCKET_SECONDS = 3600
@@ -91,7 +107,8 @@ SEEN_BUCKET_SECONDS = 3600
 
 def stream_clean_ordered(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
                          params: CleanParams = _P, max_files_per_trigger: int = 1,
-                         available_now: bool = True, bucket_seconds: int = SEEN_BUCKET_SECONDS) -> StreamingQuery:
+                         available_now: bool = True, bucket_seconds: int = SEEN_BUCKET_SECONDS,
+                         state_partitions: int | None = None) -> StreamingQuery:
     """Exact keep-first across *and inside* micro-batches, through ``foreachBatch``.
 
     Per epoch: (1) keep-first inside the batch by line order (file path, split start,
@@ -142,11 +159,11 @@ def stream_clean_ordered(spark: SparkSession, input_dir: str, output_dir: str, c
     writer = src.writeStream.option("checkpointLocation", f"{checkpoint_dir.rstrip('/')}/stream").foreachBatch(
         process)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+    return _start(spark, writer, state_partitions)
 
 
 def stream_counts(spark: SparkSession, clean_dir: str, output_dir: str, checkpoint_dir: str,
-                  available_now: bool = True) -> StreamingQuery:
+                  available_now: bool = True, state_partitions: int | None = None) -> StreamingQuery:
     """Running ``behavior, rows, min_datetime, max_datetime`` over the clean sink."""
     use_rocksdb_state(spark)
     src = spark.readStream.schema(CLEANED).parquet(clean_dir)
@@ -163,7 +180,7 @@ def stream_counts(spark: SparkSession, clean_dir: str, output_dir: str, checkpoi
         replace_table
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+    return _start(spark, writer, state_partitions)
 
 
 FEED_ROWS_PER_FILE = 1_000_000
