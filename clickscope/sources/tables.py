@@ -70,7 +70,16 @@ def map_batches(df: DataFrame, fn, schema, batch_rows: int = 1_000_000) -> DataF
     """Per-partition iteration over Arrow record batches of at most ``batch_rows`` rows
     (the cleaned data read batch by batch): ``fn(iterator of pyarrow.RecordBatch) ->
     iterator of pyarrow.RecordBatch`` runs inside the tasks; nothing passes the driver.
-    Incoming batches are sliced in the task, so no session setting changes."""
+    Incoming batches are sliced in the task, so no session setting changes.  The
+    consumer's module is pickled by value, so executors need not have this package
+    installed (on a cluster one would still ship it with ``--py-files``)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    for mod in {__name__, getattr(fn, "__module__", None)}:
+        if mod and mod.startswith("clickscope") and mod in sys.modules:
+            cloudpickle.register_pickle_by_value(sys.modules[mod])
 
     def bounded(batches):
         def sliced():
