@@ -13,12 +13,12 @@ from clickscope.sources.tables import scan_cleaned
 from conftest import SF001
 
 
-def test_pipeline_from_csv(spark):
-    raw_dir = shared_path(spark, "pipeline_raw")
+def test_flow_from_csv(spark):
+    raw_dir = shared_path(spark, "e2e_raw")
     write_raw_csv(raw_events(spark, SF001), raw_dir)
 
     cleaned = clean_events(read_raw_ordered(spark, raw_dir), EVENTS_CLEAN)
-    out = shared_path(spark, "pipeline_cleaned")
+    out = shared_path(spark, "e2e_cleaned")
     write_cleaned(cleaned, out, partition_by_date=True)
     events = scan_cleaned(spark, out)
 
