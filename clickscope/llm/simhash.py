@@ -155,7 +155,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = materialize(
         with_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "fingerprint",
                          shingle_words, seed).drop("text"), "fingerprints")
-    of_mark = mark_components(marked, "id", max_bits)
+    # stored, so that both sides of the join come from an exchange: AQE splits a fingerprint of many copies
+    of_mark = materialize(mark_components(marked, "id", max_bits), "components")
     return marked.join(of_mark, "fingerprint").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -168,7 +169,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stored = materialize(
         with_fingerprint(df, text_col, mark, shingle_words, seed).withColumn(row, F.monotonically_increasing_id()), "marked")
     marked = stored.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(mark).alias("fingerprint"))
-    placed = marked.join(mark_components(marked.select("id", "fingerprint"), "id", max_bits), "fingerprint")
+    placed = marked.join(materialize(mark_components(marked.select("id", "fingerprint"), "id", max_bits), "components"), "fingerprint")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
     kept = materialize(placed.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row")), "kept")
     dropped = materialize(marked.select("row").join(kept, "row", "left_anti"), "dropped")
