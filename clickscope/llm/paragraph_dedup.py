@@ -13,7 +13,7 @@ in a band are joined, and the exact Jaccard similarity decides.  A bucket is com
 blocks of bounded size and gives at most a spanning tree of its links.  Components of
 linked lines are one paragraph.  A paragraph's first occurrence (least document id, then
 place) stays; the others, merged into passages, are what a dedup removes.  Components of
-paragraphs that overlap in a document name the cluster.
+passages that share a paragraph are the clusters.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -155,17 +154,28 @@ def _paragraphs(docs: DataFrame, p: ParagraphParams) -> DataFrame:
     return docs.mapInArrow(run, kind).select("id", "row", F.inline("u"))
 
 
-def _similar_pairs(sets: list[np.ndarray], other: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
-    """(i, j) with exact Jaccard similarity of ``sets[i]`` and ``other[j]`` of ``least`` or more."""
-    every = np.unique(np.concatenate([*sets, *other]))
-    shared = np.zeros((len(sets), len(other)), dtype=np.float32)
+def _similar_pairs(sets: list[np.ndarray], other: list[np.ndarray] | None, least: float) -> Iterator[tuple[int, int]]:
+    """(i, j) with exact Jaccard similarity of ``sets[i]`` and ``other[j]`` of ``least`` or
+    more; without ``other`` of ``sets[i]`` and ``sets[j]``, i < j."""
+    if other is None and len(sets) <= 6:
+        for i, a in enumerate(sets):
+            for j in range(i + 1, len(sets)):
+                both = len(a) + len(sets[j])
+                union = len(np.unique(np.concatenate([a, sets[j]])))
+                if both - union >= least * union:
+                    yield i, j
+        return
+    right = sets if other is None else other
+    every = np.unique(np.concatenate([*sets, *right]))
+    shared = np.zeros((len(sets), len(right)), dtype=np.float32)
     for k in range(0, len(every), 4096):
         some = every[k:k + 4096]
-        one = [np.array([np.isin(some, s, assume_unique=True) for s in group], dtype=np.float32) for group in (sets, other)]
-        shared += one[0] @ one[1].T
-    sizes = [np.array([len(s) for s in group], dtype=np.float64) for group in (sets, other)]
+        one = [np.array([np.isin(some, s, assume_unique=True) for s in group], dtype=np.float32) for group in ([sets] if other is None else [sets, other])]
+        shared += one[0] @ one[-1].T
+    sizes = [np.array([len(s) for s in group], dtype=np.float64) for group in (sets, right)]
     union = sizes[0][:, None] + sizes[1][None, :] - shared
-    yield from zip(*(k.tolist() for k in np.nonzero(shared >= least * union)))
+    hit = shared >= least * union
+    yield from zip(*(k.tolist() for k in np.nonzero(np.triu(hit, 1) if other is None else hit)))
 
 
 def _spanning(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -219,19 +229,40 @@ def _line_links(docs: DataFrame, units: DataFrame, p: ParagraphParams) -> DataFr
     placed = placed.select("x", "y", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     placed = placed.select("x", "y", "band", "key", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
 
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def tree(key: tuple, own: list[int], x: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
         i, j = key[2], key[3]
-        left = group[group.own == i].reset_index(drop=True)
-        right = left if i == j else group[group.own == j].reset_index(drop=True)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        pairs = _similar_pairs(list(left.shingles), list(right.shingles), p.similarity)
-        shift = 0 if i == j else len(left)
-        kept = _spanning(len(left) + len(right), ((a, b + shift) for a, b in pairs))
-        both = np.concatenate([left.x.to_numpy(), right.x.to_numpy()]) if shift else left.x.to_numpy()
-        return pd.DataFrame({"a": both[[a for a, _ in kept]], "b": both[[b for _, b in kept]]}, dtype="int64")
-
-    return placed.join(shingles, ["x", "y"]).groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long")
+        left = [k for k, o in enumerate(own) if o == i]
+        right = left if i == j else [k for k, o in enumerate(own) if o == j]
+        if not left or not right or len(own) < 2:
+            return []
+        pairs = _similar_pairs([sets[k] for k in left], None if i == j else [sets[k] for k in right], p.similarity)
+        return [(x[a], x[b]) for a, b in _spanning(len(own), ((left[a], right[b]) for a, b in pairs))]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (band, key, i, j): one block pair at a time is held."""
+        now, own, x, sets = None, [], [], []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(4))))
+            owns, xs = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            lists = batch.column(6)
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_pylist()
+            out: list[tuple[int, int]] = []
+            for k, key in enumerate(keys):
+                if key != now:
+                    if now is not None:
+                        out += tree(now, own, x, sets)
+                    now, own, x, sets = key, [], [], []
+                own.append(owns[k])
+                x.append(xs[k])
+                sets.append(values[offsets[k]:offsets[k + 1]].copy())
+            yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+        if now is not None:
+            out = tree(now, own, x, sets)
+            yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    pair = ["band", "key", "i", "j"]
+    met = placed.join(shingles, ["x", "y"]).select(*pair, "own", "x", "shingles").repartition(*pair).sortWithinPartitions(*pair)
+    return met.mapInArrow(compare, "a long, b long")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: ParagraphParams = ParagraphParams()) -> DataFrame:
@@ -250,10 +281,9 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal = units.groupBy("x", "y").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("x", "y", F.lit(None).cast("long").alias("root"))
     # a linked line is repeated even if each of its forms occurs once
     linked = units.where("bands IS NOT NULL").join(broadcast_checked(roots), units["x"] == roots["node"]).select("x", "y", "root").distinct()
-    wanted = materialize(equal.unionAll(linked).groupBy("x", "y").agg(F.max("root").alias("root")), "repeated")
-    found = units.drop("bands").join(broadcast_checked(wanted), ["x", "y"]).select(
-        "id", "row", "at", (F.col("at") + F.col("n")).alias("end"), F.coalesce("root", "x").alias("class")).distinct()
-    found = materialize(found, "occurrences")
+    wanted = equal.unionAll(linked).groupBy("x", "y").agg(F.max("root").alias("root"))
+    found = materialize(units.drop("bands").join(wanted, ["x", "y"]).select(
+        "id", "row", "at", (F.col("at") + F.col("n")).alias("end"), F.coalesce("root", "x").alias("class")), "occurrences")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "at")
     firsts = found.groupBy("class").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
     known = found.join(firsts.select("class", "first"), "class").withColumn("later", place != F.col("first"))
@@ -261,15 +291,18 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = Window.partitionBy("id", "row").orderBy("at", "end", "class")
     reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     marked = known.withColumn("new", F.coalesce(F.col("at") > reach, F.lit(True)).cast("int"))
-    numbered = marked.withColumn("span", F.sum("new").over(own)).drop("new", "first")
-    numbered = materialize(numbered.withColumn("head", F.min("class").over(Window.partitionBy("id", "row", "span"))), "passages")
-    clusters = connected_components(numbered.select(F.col("class").alias("a"), F.col("head").alias("b")).where("a != b").distinct())
-    spans = numbered.groupBy("id", "row", "span", "head").agg(
+    numbered = materialize(marked.withColumn("span", F.xxhash64("row", F.col("id").cast("string"), F.sum("new").over(own))).drop("new", "first"), "passages")
+    # the passages that share a paragraph are linked through the one where it occurs first
+    heads = numbered.where("NOT later").groupBy("class").agg(F.min("span").alias("head"))
+    clusters = connected_components(numbered.select("class", "span").join(heads, "class").where("span != head").select(
+        F.col("span").alias("a"), F.col("head").alias("b")))
+    # a passage goes as far as later occurrences cover it
+    spans = numbered.groupBy("id", "row", "span").agg(
         F.min("at").alias("first_word"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.when(F.col("later"), F.struct("at", "end")))).alias("later"))
     covered = F.aggregate("later", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda acc, x: F.struct(
         F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + F.greatest(x["end"] - F.greatest(acc["end"], x["at"]), F.lit(0))).alias("n")))
     spans = spans.withColumn("n_removed", covered["n"]).drop("later")
-    spans = spans.join(clusters.select(F.col("node").alias("head"), "root"), "head", "left").withColumn("cluster", F.coalesce("root", "head"))
+    spans = spans.join(clusters.withColumnRenamed("node", "span"), "span", "left").withColumn("cluster", F.coalesce("root", "span"))
     spans = materialize(spans, "spans")
     least = spans.groupBy("cluster").agg(F.min("id").alias("component_id"))
     return spans.join(least, "cluster").select(
