@@ -195,6 +195,12 @@ def q_funnel(spark, sf_dir):
     return FN.ordered_funnel(funnel_input(spark, sf_dir))
 
 
+@query("funnel_users")
+def q_funnel_users(spark, sf_dir):
+    """The ordered funnel of the log's own users."""
+    return FN.ordered_funnel(materialize(cleaned_events(spark, sf_dir).select("user_id", "behavior", "timestamp")))
+
+
 @query("daily_conversion")
 def q_daily(spark, sf_dir):
     return FN.daily_conversion(cleaned_events(spark, sf_dir))
@@ -413,13 +419,17 @@ def q_cluster_pca(spark, sf_dir):
 
 def _arrival_batch(raw: DataFrame) -> DataFrame:
     """``raw`` plus ``arrival`` (0..3): the first 40% of events, the next 40% with the
-    copies of the first half, the last 20%, the remaining copies.  Every raw row arrives
-    exactly once."""
+    copies of the first half, the last 20%, the remaining copies.  Of every 17 events one
+    arrives late, with the last 20%, and its copy after it: weeks behind the newest row
+    before it.  Every raw row arrives exactly once."""
     n = raw.agg(F.max(F.floor(F.col("ord") / 2))).first()[0] + 1
     eid = F.floor(F.col("ord") / 2)
     orig = (F.col("ord") % 2) == 0
+    late = eid % 17 == 0
     arrival = (
-        F.when(orig & (eid < 0.4 * n), 0)
+        F.when(orig & late, 2)
+        .when(late, 3)
+        .when(orig & (eid < 0.4 * n), 0)
         .when(orig & (eid < 0.8 * n), 1)
         .when(orig, 2)
         .when(eid < 0.5 * n, 1)
@@ -443,7 +453,7 @@ def _state_partitions(spark, rows: int) -> int:
     return max(2, min(cap, -(-rows // STATE_ROWS_PER_PARTITION)))
 
 
-def _run_stream_clean(spark, sf_dir, dedup="watermark") -> tuple[str, int]:
+def _run_stream_clean(spark, sf_dir, dedup="unbounded") -> tuple[str, int]:
     base = shared_path(spark, "stream")
     inp, out = f"{base}/input", f"{base}/clean"
     files = STR.feed_batches(spark, _arrival_batch(raw_events(spark, sf_dir)), "arrival_batch", inp)
@@ -487,12 +497,9 @@ def q_rfm_stored(spark, sf_dir):
 
 @query("load_cleaned_batches")
 def q_load_cleaned_batches(spark, sf_dir):
-    """Cleaned data consumed as Arrow record batches inside the tasks, partial counts
-    merged by Spark."""
-    path = _written_cleaned(spark, sf_dir)
-    parts = TB.map_batches(TB.load_cleaned(spark, path, ["behavior"]), TB.batch_behavior_counts,
-                           "behavior string, rows long", batch_rows=1000)
-    return parts.groupBy("behavior").agg(F.sum("rows").cast("long").alias("rows"))
+    """Rows per behavior over the cleaned data's partitions, partial counts merged."""
+    cleaned = TB.load_cleaned(spark, _written_cleaned(spark, sf_dir), ["behavior"])
+    return cleaned.groupBy("behavior").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("compacted_cleaned")

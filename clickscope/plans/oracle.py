@@ -33,7 +33,7 @@ cleaned AS (
 """
 
 FUNNEL_CTE = CLEAN_CTE + """,
-fe AS (SELECT CAST(user_id AS BIGINT) * 1000 + dayofyear(datetime) AS user_id, behavior, timestamp, date, hour
+fe AS (SELECT CAST(user_id AS BIGINT) * 10000000 + year(datetime) * 1000 + dayofyear(datetime) AS user_id, behavior, timestamp, date, hour
        FROM cleaned),
 s1 AS (SELECT user_id, min(timestamp) AS t FROM fe WHERE behavior = 'pv' GROUP BY user_id),
 s2 AS (SELECT e.user_id, min(e.timestamp) AS t FROM fe e JOIN s1 ON e.user_id = s1.user_id
@@ -58,6 +58,9 @@ funnel AS (SELECT CAST(step AS INTEGER) AS step, behavior, label, uv, independen
                   round_even(CASE WHEN prev IS NOT NULL AND prev <> 0 THEN 1.0 - uv / prev ELSE 0.0 END, 4) AS loss_rate
            FROM fb)
 """
+# the same per user, as the cleaned log has them
+USER_FUNNEL_CTE = FUNNEL_CTE.replace(
+    "CAST(user_id AS BIGINT) * 10000000 + year(datetime) * 1000 + dayofyear(datetime) AS user_id", "user_id")
 
 
 def conversion_sql(key: str, source: str = "cleaned") -> str:
@@ -167,6 +170,7 @@ SELECT user_id, behavior, min(timestamp) AS first_time FROM fe
 WHERE behavior IN ('pv', 'fav', 'cart', 'buy') AND user_id IS NOT NULL GROUP BY user_id, behavior""",
     "funnel_step_join": f"WITH {FUNNEL_CTE} SELECT user_id, t AS fav_time FROM s2",
     "funnel": f"WITH {FUNNEL_CTE} SELECT * FROM funnel ORDER BY step",
+    "funnel_users": f"WITH {USER_FUNNEL_CTE} SELECT * FROM funnel ORDER BY step",
     "daily_conversion": f"WITH {CLEAN_CTE} {conversion_sql('date')}",
     "hourly_conversion": f"WITH {CLEAN_CTE} {conversion_sql('hour')}",
     "daily_selected": f"""WITH {CLEAN_CTE}, daily AS ({conversion_sql('date')})

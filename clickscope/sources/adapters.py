@@ -53,10 +53,10 @@ def events_raw(events: DataFrame) -> DataFrame:
 
 
 def funnel_events(cleaned: DataFrame) -> DataFrame:
-    """Funnel input with a user-day as the funnel's user: ``user_id * 1000 + day of year``
-    (over a whole month every user passes every step, which tests nothing)."""
+    """Funnel input with a user-day as the funnel's user: ``user_id``, year and day of
+    year in one number (over a whole month nearly every user passes every step)."""
     return cleaned.select(
-        (F.col("user_id").cast("bigint") * 1000 + F.dayofyear("datetime")).alias("user_id"),
+        (F.col("user_id").cast("bigint") * 10_000_000 + F.year("datetime") * 1000 + F.dayofyear("datetime")).alias("user_id"),
         "behavior", "timestamp", "date", "hour",
     )
 

@@ -73,8 +73,9 @@ def read_raw_ordered(spark: SparkSession, path: str | list[str], on_bad_id: str
 
 def raw_row_count(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw line count as one row ``raw_rows``: newline-terminated lines plus an
-    unterminated tail; blank lines count (the CSV reader would skip them)."""
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("raw_rows"))
+    unterminated tail; blank lines count (the CSV reader would skip them), a lone
+    carriage return does not end a line."""
+    return spark.read.option("lineSep", "\n").text(path).agg(F.count(F.lit(1)).alias("raw_rows"))
 
 
 def write_raw_csv(raw: DataFrame, path: str, order_col: str | None = ORDER_COL) -> str:

@@ -18,12 +18,12 @@ def scan_cleaned(spark: SparkSession, path: str) -> DataFrame:
 
 def load_cleaned(spark: SparkSession, path: str, columns: list[str] | None = None,
                  fmt: str = "parquet") -> DataFrame:
-    """Cleaned table with a projection.  CSV is read with the declared schema, so
-    ``datetime`` comes back typed.  The projection reaches the scan (``ReadSchema``)."""
+    """Cleaned table with a projection, read with the declared schema: ``date`` is a
+    string also where it is a partition folder, ``datetime`` of a CSV comes back typed.  The projection reaches the scan (``ReadSchema``)."""
     if fmt == "csv":
         df = spark.read.schema(CLEANED).option("header", "true").csv(path)
     else:
-        df = spark.read.format(fmt).load(path)
+        df = spark.read.schema(CLEANED).format(fmt).load(path)
     return df.select(*columns) if columns else df
 
 
@@ -64,37 +64,3 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def cast_to(df: DataFrame, schema) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-
-def map_batches(df: DataFrame, fn, schema, batch_rows: int = 1_000_000) -> DataFrame:
-    """Per-partition iteration over Arrow record batches of at most ``batch_rows`` rows
-    (the cleaned data read batch by batch): ``fn(iterator of pyarrow.RecordBatch) ->
-    iterator of pyarrow.RecordBatch`` runs inside the tasks; nothing passes the driver.
-    Incoming batches are sliced in the task, so no session setting changes.  The
-    consumer's module is pickled by value, so executors need not have this package
-    installed (on a cluster one would still ship it with ``--py-files``)."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    for mod in {__name__, getattr(fn, "__module__", None)}:
-        if mod and mod.startswith("clickscope") and mod in sys.modules:
-            cloudpickle.register_pickle_by_value(sys.modules[mod])
-
-    def bounded(batches):
-        def sliced():
-            for b in batches:
-                for start in range(0, b.num_rows, batch_rows):
-                    yield b.slice(start, batch_rows)
-        return fn(sliced())
-
-    return df.mapInArrow(bounded, schema)
-
-
-def batch_behavior_counts(batches):
-    """Per-batch behavior counts (an Arrow group-by inside the task)."""
-    import pyarrow as pa
-
-    for b in batches:
-        t = pa.Table.from_batches([b]).group_by("behavior").aggregate([("behavior", "count")])
-        yield from t.rename_columns(["behavior", "rows"]).to_batches()

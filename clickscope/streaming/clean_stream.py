@@ -23,6 +23,8 @@ replaces the previous one through ``foreachBatch``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -72,10 +74,16 @@ def raw_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: int =
 
 
 def stream_clean(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
-                 params: CleanParams = _P, dedup: str = "watermark", watermark_delay: str = "7 days",
+                 params: CleanParams = _P, dedup: str = "unbounded", watermark_delay: str = "7 days",
                  max_files_per_trigger: int = 1, available_now: bool = True,
                  state_partitions: int | None = None) -> StreamingQuery:
-    """Start the incremental clean; returns the running query."""
+    """Start the incremental clean; returns the running query.
+
+    ``dedup="unbounded"`` (default) keeps every key seen: no row is lost, however late, and
+    state grows with the distinct keys (RocksDB).  ``"watermark"``, on request only, drops
+    rows that come more than ``watermark_delay`` behind the newest one and forgets their
+    keys: bounded state, incomplete output; the query's progress reports the number in
+    ``numRowsDroppedByWatermark``."""
     use_rocksdb_state(spark)
     src = raw_stream(spark, input_dir, max_files_per_trigger)
     key = list(params.dedup_key)
@@ -115,7 +123,7 @@ def stream_clean_ordered(spark: SparkSession, input_dir: str, output_dir: str, c
     row) - the batch job's distributed window; (2) drop keys already seen in earlier
     epochs with a left-anti join against ``<checkpoint_dir>/seen``, a key table
     partitioned by ``bucket_seconds`` buckets of ``timestamp`` (duplicates share their
-    timestamp, so only the buckets this batch touches are read); (3) write the cleaned rows and the
+    timestamp, so only the buckets from the batch's least to its greatest are read); (3) write the cleaned rows and the
     new keys under ``epoch=<id>``, replacing any earlier attempt of the same epoch, so a
     retried epoch is idempotent.  Output: ``output_dir/epoch=*/`` Parquet.
 
@@ -136,17 +144,17 @@ def stream_clean_ordered(spark: SparkSession, input_dir: str, output_dir: str, c
         ).withColumn("_bucket", F.floor(F.col("timestamp") / bucket_seconds).cast("long"))
         winners = dedup_keep_first(ordered, key, "_ord").drop("_file", "_block", "_ord").persist()
         try:
-            buckets = [r[0] for r in winners.select("_bucket").distinct().collect()]  # hours spanned
+            low, high = winners.agg(F.min("_bucket"), F.max("_bucket")).first()
             fresh = winners
             jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(seen_dir)
             fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            if buckets and fs.exists(jvm_path):
-                seen = (
-                    spark.read.parquet(seen_dir)
-                    .filter((F.col("epoch") < epoch_id) & F.col("_bucket").isin(buckets))
-                    .select(*key)
-                )
-                fresh = winners.join(seen, key, "left_anti")  # null keys: no earlier match, as in batch
+            if fs.exists(jvm_path):
+                touched = F.col("_bucket").isNull() | F.col("_bucket").between(F.lit(low), F.lit(high))
+                seen = spark.read.parquet(seen_dir).filter((F.col("epoch") < epoch_id) & touched).select(
+                    *[F.col(k).alias(f"_seen_{k}") for k in key])
+                # nulls are equal, as in the batch job's window
+                same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in key])
+                fresh = winners.join(seen, same, "left_anti")
             fresh = fresh.persist()
             fresh.select(*key, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(
                 f"{seen_dir}/epoch={epoch_id}")

@@ -37,13 +37,6 @@ def test_small_results_are_compacted(spark):
     assert path2.endswith("staging2")
 
 
-def test_arrow_batches_stay_in_tasks(spark):
-    df = spark.createDataFrame([("pv",)] * 2500 + [("buy",)] * 7, "behavior string").repartition(3)
-    parts = TB.map_batches(df, TB.batch_behavior_counts, "behavior string, rows long", batch_rows=100)
-    assert parts.count() > 3  # several partial rows per behavior: batches are bounded
-    got = {r.behavior: r.rows for r in parts.groupBy("behavior").agg(F.sum("rows").alias("rows")).collect()}
-    assert got == {"pv": 2500, "buy": 7}
-
 
 def test_summary_documents(spark):
     from clickscope.plans.inputs import ORDERS_RFM, order_buys
