@@ -1,8 +1,9 @@
-"""Property tests: operators against direct pandas / NumPy computations of the same rules
-on random small inputs."""
+"""Property tests: operators against plain Python over tuples, written from the rules, on
+random small inputs."""
+
+from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -11,7 +12,9 @@ from clickscope.operators import funnel as FN
 from clickscope.operators import rfm as RF
 
 SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-BEHAVIORS = ["pv", "fav", "cart", "buy", "click"]
+STEPS = ["pv", "fav", "cart", "buy"]
+BEHAVIORS = [*STEPS, "click"]
+EVENT = "user_id int, item_id int, behavior string, timestamp int"
 
 events = st.lists(
     st.tuples(st.integers(1, 4), st.integers(1, 3), st.sampled_from(BEHAVIORS), st.integers(0, 6)),
@@ -21,77 +24,90 @@ events = st.lists(
 
 @SETTINGS
 @given(events)
-def test_keep_first_equals_pandas(spark, rows):
-    pdf = pd.DataFrame(rows, columns=["user_id", "item_id", "behavior", "timestamp"])
-    pdf["ord"] = range(len(pdf))
-    df = spark.createDataFrame(pdf.assign(category_id=1))
-    got = sorted(tuple(r) for r in C.dedup_keep_first(df).select("ord").collect())
-    want = sorted((int(o),) for o in pdf.drop_duplicates(["user_id", "item_id", "timestamp"], keep="first")["ord"])
-    assert got == want
-
-
-def _brute_funnel(pdf, steps=("pv", "fav", "cart", "buy")):
-    uv = []
-    prev = None
-    for b in steps:
-        e = pdf[pdf.behavior == b]
-        if prev is None:
-            cur = e.groupby("user_id")["timestamp"].min()
-        else:
-            m = e.merge(prev.rename("p").reset_index(), on="user_id")
-            cur = m[m.timestamp >= m.p].groupby("user_id")["timestamp"].min()
-        uv.append(len(cur))
-        prev = cur
-    return uv
+def test_keep_first(spark, rows):
+    first = {}
+    for place, (user, item, _, at) in enumerate(rows):
+        first.setdefault((user, item, at), place)
+    df = spark.createDataFrame([(*r, 1, place) for place, r in enumerate(rows)], f"{EVENT}, category_id int, ord int")
+    assert sorted(r.ord for r in C.dedup_keep_first(df).select("ord").collect()) == sorted(first.values())
 
 
 @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(events)
-def test_ordered_funnel_equals_brute_force(spark, rows):
-    pdf = pd.DataFrame(rows, columns=["user_id", "item_id", "behavior", "timestamp"])
-    f = FN.ordered_funnel(spark.createDataFrame(pdf)).collect()
-    assert [r.uv for r in f] == _brute_funnel(pdf)
-    for r, b in zip(f, ("pv", "fav", "cart", "buy")):
-        e = pdf[pdf.behavior == b]
-        assert (r.independent_uv, r.actions) == (e.user_id.nunique(), len(e))
+def test_ordered_funnel(spark, rows):
+    log = defaultdict(list)
+    for user, _, behavior, at in rows:
+        log[user].append((at, behavior))
+    reached = [0] * len(STEPS)
+    for own in log.values():  # one user: the earliest time each step can be reached
+        since = 0
+        for k, step in enumerate(STEPS):
+            later = [at for at, behavior in own if behavior == step and at >= since]
+            if not later:
+                break
+            since = min(later)
+            reached[k] += 1
+    got = FN.ordered_funnel(spark.createDataFrame(rows, EVENT)).collect()
+    assert [r.uv for r in got] == reached
+    for r, step in zip(got, STEPS):
+        own = [user for user, _, behavior, _ in rows if behavior == step]
+        assert (r.independent_uv, r.actions) == (len(set(own)), len(own))
 
 
 @SETTINGS
 @given(events)
-def test_daily_conversion_equals_pandas_pivot(spark, rows):
-    pdf = pd.DataFrame(rows, columns=["user_id", "item_id", "behavior", "timestamp"])
-    pdf["date"] = "2017-11-2" + (pdf.timestamp % 3).astype(str)
-    got = {r.date: (r.pv_uv, r.fav_uv, r.cart_uv, r.buy_uv, r.buy_conversion_rate)
-           for r in FN.daily_conversion(spark.createDataFrame(pdf)).collect()}
-    piv = (pdf.groupby(["date", "behavior"])["user_id"].nunique().unstack(fill_value=0)
-           .reindex(columns=["pv", "fav", "cart", "buy"], fill_value=0))
-    rate = piv["buy"].div(piv["pv"].replace(0, np.nan)).fillna(0).round(4)
-    want = {d: (int(r.pv), int(r.fav), int(r.cart), int(r.buy), float(rate[d])) for d, r in piv.iterrows()}
-    assert got == want
+def test_daily_conversion(spark, rows):
+    users = defaultdict(set)
+    dated = [(*r, f"2017-11-2{r[3] % 3}") for r in rows]
+    for user, _, behavior, _, day in dated:
+        users[day, behavior].add(user)
+    want = {}
+    for day in {r[4] for r in dated}:
+        n = [len(users[day, step]) for step in STEPS]
+        want[day] = (*n, round(n[3] / n[0], 4) if n[0] else 0.0)
+    got = FN.daily_conversion(spark.createDataFrame(dated, f"{EVENT}, date string")).collect()
+    assert {r.date: (r.pv_uv, r.fav_uv, r.cart_uv, r.buy_uv, r.buy_conversion_rate) for r in got} == want
+
+
+def _levels(values, higher):
+    """2 on the good side of the median or at it; twice the median is a whole number."""
+    line = sorted(values)
+    twice = line[(len(line) - 1) // 2] + line[len(line) // 2]
+    return [2 if (2 * v >= twice if higher else 2 * v <= twice) else 1 for v in values]
+
+
+def _scores(values, higher):
+    """By place in (value, user) order: the first (n + 1) // 3 places, the next n // 3, the
+    rest; fewer than three distinct values are split at the median."""
+    if len(set(values)) < 3:
+        return _levels(values, higher)
+    n, out = len(values), [0] * len(values)
+    for place, k in enumerate(sorted(range(n), key=lambda k: (values[k], k))):
+        third = 1 if place < (n + 1) // 3 else 2 if place < (n + 1) // 3 + n // 3 else 3
+        out[k] = third if higher else 4 - third
+    return out
 
 
 @SETTINGS
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(1, 6), st.integers(1, 4)), min_size=3, max_size=60))
-def test_scores_equal_pandas_rules(spark, rows):
-    pdf = pd.DataFrame(rows, columns=["recency", "frequency", "monetary"])
-    pdf.insert(0, "user_id", range(1, len(pdf) + 1))
-    df = spark.createDataFrame(pdf.assign(last_buy_time=pd.Timestamp("2017-12-01"), category_count=pdf.monetary))
-    got = RF.score_rfm(df).orderBy("user_id").toPandas()
-
-    def three(s, higher):
-        if s.nunique() < 3:
-            return two(s, higher)
-        labels = [1, 2, 3] if higher else [3, 2, 1]
-        return pd.qcut(s.rank(method="first"), 3, labels=labels).astype(int)
-
-    def two(s, higher):
-        med = s.median()
-        return pd.Series(np.where(s >= med if higher else s <= med, 2, 1), index=s.index)
-
-    assert got.r_score.tolist() == three(pdf.recency, False).tolist()
-    assert got.f_score.tolist() == three(pdf.frequency, True).tolist()
-    assert got.m_score.tolist() == three(pdf.monetary, True).tolist()
-    assert got.r_level.tolist() == two(pdf.recency, False).tolist()
+def test_scores(spark, rows):
+    df = spark.createDataFrame([(k + 1, *r, r[2]) for k, r in enumerate(rows)],
+                               "user_id int, recency long, frequency long, monetary long, category_count long")
+    df = df.selectExpr("*", "timestamp_ntz'2017-12-01 00:00:00' AS last_buy_time")
+    got = RF.score_rfm(df).orderBy("user_id").collect()
+    r, f, m = zip(*rows)
+    assert [x.r_score for x in got] == _scores(r, False)
+    assert [x.f_score for x in got] == _scores(f, True)
+    assert [x.m_score for x in got] == _scores(m, True)
+    assert [x.r_level for x in got] == _levels(r, False)
+
+
+def test_an_event_without_a_user_scores_nobody(spark):
+    rows = [(u, 1, str(k), "buy") for u in range(1, 10) for k in range(u)]
+    schema = "user_id int, item_id int, category_id string, behavior string"
+    made = [RF.rfm_table(spark.createDataFrame(x, schema).selectExpr("*", "timestamp_ntz'2017-12-01 00:00:00' AS datetime")).collect()
+            for x in (rows, rows + [(None, 1, "x", "buy")] * 4)]
+    assert sorted(map(str, made[0])) == sorted(map(str, made[1]))
 
 
 @SETTINGS
