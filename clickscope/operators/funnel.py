@@ -252,19 +252,13 @@ def hourly_conversion(events: DataFrame, params: FunnelParams = _P) -> DataFrame
     return conversion_by(events, "hour", params)
 
 
-ISIN_LIMIT = 1000
-
-
 def select_dates(daily: DataFrame, dates: list[str] | tuple[str, ...] | None) -> DataFrame:
-    """Rows of the chosen dates; no selection means all rows.  A short list is an
-    ``isin`` literal; a long one a semi-join with the (broadcast) selection, whose size
-    is the selection's."""
+    """Rows of the chosen dates; no selection means all rows.  A semi-join with the
+    selection, whose strategy Spark picks by its size."""
     if not dates:
         return daily
-    if len(dates) <= ISIN_LIMIT:
-        return daily.filter(F.col("date").isin(list(dates)))
-    chosen = daily.sparkSession.createDataFrame([(d,) for d in dict.fromkeys(dates)], "date string")
-    return daily.join(F.broadcast(chosen), "date", "left_semi")
+    chosen = daily.sparkSession.createDataFrame([(d,) for d in dates], "date string")
+    return daily.join(chosen, "date", "left_semi")
 
 
 def funnel_summary(funnel: DataFrame, daily: DataFrame, hourly: DataFrame,

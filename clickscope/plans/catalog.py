@@ -408,10 +408,8 @@ def q_cluster_sample(spark, sf_dir):
 
 @query("cluster_pca")
 def q_cluster_pca(spark, sf_dir):
-    """PCA fitted on the seeded sample of standardized features, centered by the sample mean."""
-    feats = CL.standardize(_scored_orders(spark, sf_dir), CLUSTER)
-    sample = CL.seeded_sample(feats, CLUSTER.sample_size, CLUSTER.seed)
-    return CL.pca_coordinates(sample)
+    """PCA of the standardized features of all users."""
+    return CL.pca_coordinates(CL.standardize(_scored_orders(spark, sf_dir), CLUSTER))
 
 
 # ------------------------------------------------------------------ streams

@@ -10,19 +10,14 @@ COMBINE_ROW_LIMIT = 2_000_000  # below this many rows the result is one file
 
 
 def write_cleaned(cleaned: DataFrame, path: str, partition_by_date: bool = False,
-                  max_records_per_file: int = 4 * ROW_GROUP_ROWS,
-                  expected_rows: int | None = None) -> str:
+                  max_records_per_file: int = 4 * ROW_GROUP_ROWS) -> str:
     """Write cleaned events as zstd Parquet, replacing what was there.
 
     Column statistics are on by default (min/max skipping).  ``partition_by_date`` adds
     directory partition pruning on ``date``.  Files are bounded by
-    ``max_records_per_file``; a result known to be small (``expected_rows`` under the
-    combine limit) is compacted to one file with ``coalesce(1)``."""
-    out = cleaned
-    if expected_rows is not None and expected_rows <= COMBINE_ROW_LIMIT and not partition_by_date:
-        out = out.coalesce(1)
+    ``max_records_per_file``."""
     writer = (
-        out.write.mode("overwrite")
+        cleaned.write.mode("overwrite")
         .option("compression", "zstd")
         .option("parquet.block.size", str(128 * 1024 * 1024))
         .option("maxRecordsPerFile", str(max_records_per_file))
