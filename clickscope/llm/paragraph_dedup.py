@@ -278,23 +278,26 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     units = materialize(_paragraphs(docs, params), "paragraphs")
     links = materialize(_line_links(docs, units, params), "line_links")
     roots = materialize(connected_components(links), "line_roots")
-    equal = units.groupBy("x", "y").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("x", "y", F.lit(None).cast("long").alias("root"))
+    # what may be repeated: half a digest that occurs again (the whole digest decides below)
+    equal = units.groupBy("x").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("x", F.lit(None).cast("long").alias("root"))
     # a linked line is repeated even if each of its forms occurs once
-    linked = units.where("bands IS NOT NULL").join(broadcast_checked(roots), units["x"] == roots["node"]).select("x", "y", "root").distinct()
-    wanted = equal.unionAll(linked).groupBy("x", "y").agg(F.max("root").alias("root"))
-    found = materialize(units.drop("bands").join(wanted, ["x", "y"]).select(
-        "id", "row", "at", (F.col("at") + F.col("n")).alias("end"), F.coalesce("root", "x").alias("class")), "occurrences")
+    wanted = equal.unionAll(roots.select(F.col("node").alias("x"), "root")).groupBy("x").agg(F.max("root").alias("root"))
+    root = F.when(F.col("line"), F.col("root"))
+    found = materialize(units.select("id", "row", "at", "n", "x", "y", F.col("bands").isNotNull().alias("line")).join(wanted, "x").select(
+        "id", "row", "at", (F.col("at") + F.col("n")).alias("end"), F.coalesce(root, "x").alias("class"),
+        F.when(root.isNull(), F.col("y")).otherwise(0).alias("rest")), "occurrences")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "at")
-    firsts = found.groupBy("class").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
-    known = found.join(firsts.select("class", "first"), "class").withColumn("later", place != F.col("first"))
+    same = ["class", "rest"]  # one paragraph: equal digests, or linked lines
+    firsts = found.groupBy(*same).agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
+    known = found.join(firsts.select(*same, "first"), same).withColumn("later", place != F.col("first"))
     # paragraphs that touch are one passage
-    own = Window.partitionBy("id", "row").orderBy("at", "end", "class")
+    own = Window.partitionBy("id", "row").orderBy("at", "end", *same)
     reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     marked = known.withColumn("new", F.coalesce(F.col("at") > reach, F.lit(True)).cast("int"))
     numbered = materialize(marked.withColumn("span", F.xxhash64("row", F.col("id").cast("string"), F.sum("new").over(own))).drop("new", "first"), "passages")
     # the passages that share a paragraph are linked through the one where it occurs first
-    heads = numbered.where("NOT later").groupBy("class").agg(F.min("span").alias("head"))
-    clusters = connected_components(numbered.select("class", "span").join(heads, "class").where("span != head").select(
+    heads = numbered.where("NOT later").groupBy(*same).agg(F.min("span").alias("head"))
+    clusters = connected_components(numbered.select(*same, "span").join(heads, same).where("span != head").select(
         F.col("span").alias("a"), F.col("head").alias("b")))
     # a passage goes as far as later occurrences cover it
     spans = numbered.groupBy("id", "row", "span").agg(
