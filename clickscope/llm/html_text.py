@@ -8,7 +8,7 @@ link tags (Sun, Song and Liao, "DOM Based Content Extraction via Text Density",
 The node whose children's densities have the greatest sum holds the article.  If it lies
 in an ``article`` or ``main`` element, all of that element is taken; else the node, and
 beside its path from the body all siblings whose density reaches the path's threshold,
-the least density on it (of the body's own children only headings).
+the least density on it, the body's own children too.
 """
 
 from __future__ import annotations
@@ -194,12 +194,11 @@ class Page:
         path = [best]
         while self.parent[path[-1]] > 0:
             path.append(self.parent[path[-1]])
-        body = next((i for i in path if self.tag[i] == "body"), 0)
         threshold = min(density[i] for i in path)
         on_path, roots = set(path), [best]
         for i in range(1, size):
             if i not in on_path and self.parent[i] in on_path and self.parent[i] != best and not self.cut[i] \
-                    and (self.parent[i] != body or re.fullmatch("h[1-6]", self.tag[i])) and density[i] >= threshold and chars[i]:
+                    and density[i] >= threshold and chars[i]:
                 roots.append(i)
         return sorted(roots)
 

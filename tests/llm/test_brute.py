@@ -316,6 +316,18 @@ def test_main_text_of_small_pages(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("block", ["div", "section"])
+def test_main_text_in_two_blocks_of_the_body(block):
+    """Without article or main, the article may stand in several children of the body."""
+    from clickscope.llm.html_text import main_text
+
+    texts = [" ".join(f"word{i}x{k}" for k in range(80)) for i in range(6)]
+    part = lambda ps: f"<{block}>" + "".join(f"<p>{p}</p>" for p in ps) + f"</{block}>"
+    links = "<div>" + "".join(f"<a href=/{i}>link {i}</a>" for i in range(5)) + "</div>"
+    page = f"<body><div class=menu>menu</div>{part(texts[:3])}{part(texts[3:])}{links}<div class=footer>foot</div></body>"
+    assert main_text(page) == "\n\n".join(texts)
+
+
 def test_repeated_passages(spark):
     """Passages planted inside other text are found in all their documents, in no other."""
     from clickscope.llm.paragraph_dedup import repeated_passages
