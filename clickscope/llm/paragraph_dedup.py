@@ -1,6 +1,6 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs of a text are (a) its lines of ``min_words`` words or more and (b) passages:
+Paragraphs of a text are (a) its lines that are not blank, however short, and (b) passages:
 runs of ``min_words`` words whose place the words themselves choose, so that a passage
 copied into the middle of other text yields the same paragraphs there.  (Of every
 ``gap`` consecutive 3-word windows the one least by hash begins a passage: winnowing.
@@ -8,7 +8,7 @@ A copied run of ``min_words + gap - 1`` words or more holds a passage, wherever
 stands; with 32 and 19 that is 50 words.)
 
 Equal paragraphs meet by a 128-bit digest.  Lines also get MinHash signatures of their
-5-word shingles; bands are tuned for recall (``tune_bands``), distinct lines that collide
+5-word shingles (a line of fewer words is one shingle: the digest decides); bands are tuned for recall (``tune_bands``), distinct lines that collide
 in a band are joined, and the exact Jaccard similarity decides.  A bucket is compared in
 blocks of bounded size and gives at most a spanning tree of its links.  Components of
 linked lines are one paragraph.  A paragraph's first occurrence (least document id, then
@@ -97,42 +97,53 @@ def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, dtype=np.uint64), np.array(ends, dtype=np.int64)
 
 
-def _lines(ends: np.ndarray, least: int) -> list[tuple[int, int]]:
+def _lines(ends: np.ndarray) -> list[tuple[int, int]]:
     starts = np.concatenate([[0], ends[:-1]])
-    return [(int(a), int(b)) for a, b in zip(starts, ends) if b - a >= least]
+    return [(int(a), int(b)) for a, b in zip(starts, ends) if b > a]
+
+
+def _band_keys(h: np.ndarray, lines: list[tuple[int, int]], p: ParagraphParams) -> np.ndarray:
+    """Band keys of each line; all have ``shingle_words`` words or more."""
+    shingles, bands = run_hashes(h, p.shingle_words, 0x27D4EB2F165667C5), tune_bands(p.similarity, p.recall, p.band_rows)
+    edges = np.array(lines, dtype=np.int64).reshape(-1, 2) - [0, p.shingle_words - 1]
+    low = np.empty((bands * p.band_rows, len(lines)), dtype=np.uint64)
+    top = np.array([2**64 - 1], dtype=np.uint64)  # an edge may be the end
+    for k, (a, b) in enumerate(zip(*_SHINGLE_HASHES[:, :len(low)])):
+        low[k] = np.minimum.reduceat(np.concatenate([_mix(shingles * a + b), top]), edges.ravel())[::2]
+    keys = np.stack([run_hashes(low[:, k], p.band_rows, 0x9FB21C651E98DF25)[::p.band_rows] for k in range(len(lines))])
+    return keys.view(np.int64)
+
+
+def _anchors(h: np.ndarray, n: int, gap: int) -> list[int]:
+    """Of every ``gap`` consecutive places among the first ``n`` the one whose 3-word window
+    is least by hash; of fewer places one."""
+    order = run_hashes(h, 3, 0x165667B19E3779F9)[:n]
+    if n <= gap:
+        return [int(order.argmin())]
+    views = np.lib.stride_tricks.sliding_window_view(order, gap)
+    return np.unique(views.argmin(axis=1) + np.arange(len(views))).tolist()
 
 
 def paragraphs(text: bytes | None, p: ParagraphParams) -> list[tuple[int, int, int, int, list[int] | None]]:
-    """(first word, words, digest x, digest y, band keys of a line) of each paragraph."""
+    """(first word, words, digest x, digest y, band keys of a line) of each paragraph; a
+    line of less than ``shingle_words`` has no band keys but is a line."""
     h, ends = _words(text or b"")
-    if len(h) < p.min_words:
-        return []
+    out = []
     with np.errstate(over="ignore"):
-        x, y = run_hashes(h, p.min_words, 0x100000001B3), run_hashes(h, p.min_words, 0xC2B2AE3D27D4EB4F)
-        starts = np.arange(len(x))
-        if len(x) > p.gap:
-            order = run_hashes(h, 3, 0x165667B19E3779F9)[:len(x)]
-            views = np.lib.stride_tricks.sliding_window_view(order, p.gap)
-            starts = np.unique(views.argmin(axis=1) + np.arange(len(views)))
-        else:
-            starts = starts[[int(run_hashes(h, 3, 0x165667B19E3779F9)[:len(x)].argmin())]]
-        out, last = [], {}
-        for s in starts.tolist():
-            if last.get(x[s], -p.min_words) + p.min_words <= s:  # a text may repeat itself at every word
-                last[x[s]] = s
-                out.append((s, p.min_words, int(x[s].view(np.int64)), int(y[s].view(np.int64)), None))
-        lines = _lines(ends, p.min_words)
-        if lines:
-            shingles = run_hashes(h, p.shingle_words, 0x27D4EB2F165667C5)
-            bands = tune_bands(p.similarity, p.recall, p.band_rows)
-            a, b = (c[:bands * p.band_rows, None] for c in _SHINGLE_HASHES)
-            for s, e in lines:
-                own = shingles[s:e - p.shingle_words + 1]
-                low = np.concatenate([_mix(own[None, k:k + 4096] * a + b).min(axis=1)[:, None] for k in range(0, len(own), 4096)], axis=1).min(axis=1)
-                keys = [int(k) for k in run_hashes(low, p.band_rows, 0x9FB21C651E98DF25)[::p.band_rows].view(np.int64)]
-                data = h[s:e].tobytes()
-                d = np.array([xxhash.xxh64_intdigest(data, 1), xxhash.xxh64_intdigest(data, 2)], dtype=np.uint64).view(np.int64)
-                out.append((s, e - s, int(d[0]), int(d[1]), keys))
+        if len(h) >= p.min_words:
+            x, y = run_hashes(h, p.min_words, 0x100000001B3), run_hashes(h, p.min_words, 0xC2B2AE3D27D4EB4F)
+            last = {}
+            for s in _anchors(h, len(x), p.gap):
+                if last.get(x[s], -p.min_words) + p.min_words <= s:  # a text may repeat itself at every word
+                    last[x[s]] = s
+                    out.append((s, p.min_words, int(x[s].view(np.int64)), int(y[s].view(np.int64)), None))
+        lines = _lines(ends)
+        banded = [(s, e) for s, e in lines if e - s >= p.shingle_words]
+        keys = dict(zip(banded, _band_keys(h, banded, p).tolist())) if banded else {}
+        for s, e in lines:
+            data = h[s:e].tobytes()
+            d = np.array([xxhash.xxh64_intdigest(data, 1), xxhash.xxh64_intdigest(data, 2)], dtype=np.uint64).view(np.int64)
+            out.append((s, e - s, int(d[0]), int(d[1]), keys.get((s, e), [])))
     return out
 
 
@@ -196,9 +207,9 @@ def _spanning(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]
 
 
 def _line_links(docs: DataFrame, units: DataFrame, p: ParagraphParams) -> DataFrame:
-    """``(a, b)``: digests x of distinct lines whose similarity reaches the threshold (a
+    """``(a, b)``: digests x of distinct lines (those with bands) whose similarity reaches the threshold (a
     spanning tree of each block of a bucket)."""
-    lines = units.where("bands IS NOT NULL").groupBy("x", "y").agg(F.first("bands").alias("bands"), F.min(F.struct("row", "at", "n")).alias("place"))
+    lines = units.where("size(bands) > 0").groupBy("x", "y").agg(F.first("bands").alias("bands"), F.min(F.struct("row", "at", "n")).alias("place"))
     lines = materialize(lines, "lines")
     banded = lines.select("x", "y", F.posexplode("bands").alias("band", "key"))
     buckets = materialize(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")

@@ -359,6 +359,21 @@ def test_repeated_passages(spark):
         assert row.n_words >= 32 and (row.n_removed == 0 or 32 <= row.n_removed <= row.n_words)
 
 
+def test_short_lines_are_paragraphs(spark):
+    """Lines of any length are found; a line of 20 words also by similarity."""
+    from clickscope.llm.paragraph_dedup import repeated_passages
+
+    r = random.Random(11)
+    filler = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    long, short, one = filler(20), filler(8), filler(1)
+    near = [*long[:19], "other"]
+    texts = [[filler(40), short, filler(3)], [short], [filler(9), long], [near, filler(30)], [one, filler(12)], [filler(10), [], one]]
+    rows = [(i, "\n".join(" ".join(line) for line in t)) for i, t in enumerate(texts)]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(row) for row in got) == [
+        (0, 40, 8, 0, 0), (1, 0, 8, 0, 8), (2, 9, 20, 2, 0), (3, 0, 20, 2, 20), (4, 0, 1, 4, 0), (5, 10, 1, 4, 1)]
+
+
 def test_similar_lines_of_a_large_bucket(spark):
     """Blocks of a bucket are compared with one another: no link is lost, output stays a tree."""
     from clickscope.llm.paragraph_dedup import ParagraphParams, repeated_passages
