@@ -11,8 +11,10 @@ Equal paragraphs meet by a 128-bit digest.  Lines also get MinHash signatures of
 5-word shingles (a line of fewer words is one shingle: the digest decides); bands are tuned for recall (``tune_bands``), distinct lines that collide
 in a band are joined, and the exact Jaccard similarity decides.  A bucket is compared in
 blocks of bounded size and gives at most a spanning tree of its links.  Components of
-linked lines are one paragraph.  A paragraph's first occurrence (least document id, then
-place) stays; the others, merged into passages, are what a dedup removes.  Components of
+linked lines are one paragraph.  A passage's document is then read beside the document of
+its first occurrence, and what they share goes as far as the words agree, both ways.  A
+paragraph's first occurrence (least document id, then place) stays; the others, merged
+into passages, are what a dedup removes.  Components of
 passages that share a paragraph are the clusters.
 """
 
@@ -40,6 +42,8 @@ class ParagraphParams:
     min_words: int = 32
     gap: int = 19
     shingle_words: int = 5
+    seed_words: int = 12  # two documents side by side: a common run of
+    seed_gap: int = 11    # seed_words + seed_gap - 1 words or more is seen
     similarity: float = 0.8
     recall: float = 0.98
     band_rows: int = 2
@@ -147,9 +151,57 @@ def paragraphs(text: bytes | None, p: ParagraphParams) -> list[tuple[int, int, i
     return out
 
 
+def _agreement(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of elements up to the first that differs."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        differ = np.flatnonzero(a[at:min(at + step, n)] != b[at:min(at + step, n)])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = at + step, step * 4
+    return n
+
+
+def _seeds(h: np.ndarray, p: ParagraphParams) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the runs of ``seed_words`` words, and the places the words choose."""
+    x = run_hashes(h, p.seed_words, 0x2545F4914F6CDD1D)
+    return x, np.array(_anchors(h, len(x), p.seed_gap) if len(x) else [], dtype=np.int64)
+
+
+def common_runs(h: np.ndarray, g: np.ndarray, p: ParagraphParams, only: list[int] | None = None) -> list[tuple[int, int, int, int]]:
+    """(start and end in ``h``, start and end in ``g``) of runs of equal word hashes, each
+    as long as the words agree.  With ``only``, ``g`` is ``h``: these places of it are
+    held against earlier ones."""
+    with np.errstate(over="ignore"):
+        (x, at), (y, there) = _seeds(h, p), _seeds(g, p)
+    first: dict[int, int] = {}
+    for k, j in zip(y[there].tolist(), there.tolist()):
+        first.setdefault(k, j)
+    places = at.tolist() if only is None else sorted(i for i in set(only) if i < len(x))
+    runs, ends, reach = set(), {}, 0
+    for i in places:
+        j = first.get(int(x[i]))
+        if j is None or i + p.seed_words <= reach or only is not None and j >= i or ends.get(i - j, 0) > i:
+            continue
+        right, left = _agreement(h[i:], g[j:]), _agreement(h[:i][::-1], g[:j][::-1])
+        runs.add((i - left, i + right, j - left, j + right))
+        ends[i - j] = i + right
+        if left + right >= p.min_words:  # what is covered needs no second copy
+            reach = max(reach, i + right)
+    return sorted(runs)
+
+
+def copies(h: np.ndarray, g: np.ndarray, p: ParagraphParams, only: list[int] | None = None) -> list[tuple[int, int, int, int]]:
+    """The runs of ``min_words`` or more."""
+    return [r for r in common_runs(h, g, p, only) if r[1] - r[0] >= p.min_words]
+
+
 _UNIT = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("bands", pa.list_(pa.int64()))]))
 
 
+_COPY = pa.list_(pa.struct([(c, pa.int32()) for c in ("at", "end", "first_at", "first_end")]))
+
+
 def _with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``row`` (a digest of id and text: what is told apart as one document), ``text``."""
     return df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit("/"), text_col).alias("row"), F.col(text_col).alias("text"))
@@ -276,6 +328,28 @@ def _line_links(docs: DataFrame, units: DataFrame, p: ParagraphParams) -> DataFr
     return met.mapInArrow(compare, "a long, b long")
 
 
+def _copies(docs: DataFrame, pairs: DataFrame, p: ParagraphParams) -> DataFrame:
+    """``(id, row, at, end, first_id, first_row, first_at, first_end)``: what the documents
+    of ``pairs`` (id, row, first_id, first_row, only) share, as far as it goes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [batch.column(c).cast(pa.binary()) for c in (1, 2)]
+            found = []
+            for one, two, only in zip(*texts, batch.column(3)):
+                h, g = (_words(t.as_py() or b"")[0] for t in (one, two))
+                found.append([dict(zip(("at", "end", "first_at", "first_end"), c)) for c in copies(h, g, p, only.as_py())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _COPY)], ["ids", "c"])
+
+    # one row of docs each: repeated rows have one ``row``
+    rows = pairs.select("row").unionAll(pairs.select("first_row")).distinct()
+    texts = docs.select("row", "text").join(broadcast_checked(materialize(rows, "rows")), "row", "left_semi").dropDuplicates(["row"])
+    ids = F.struct("id", "row", "first_id", "first_row").alias("ids")
+    both = pairs.join(texts.withColumnRenamed("text", "one"), "row").join(texts.select(F.col("row").alias("first_row"), F.col("text").alias("two")), "first_row")
+    both = both.select(ids, "one", "two", "only")
+    kind = f"ids {both.schema['ids'].dataType.simpleString()}, c array<struct<at:int,end:int,first_at:int,first_end:int>>"
+    return both.mapInArrow(run, kind).select("ids.*", F.inline("c"))
+
+
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: ParagraphParams = ParagraphParams()) -> DataFrame:
     """One row for each passage of a document that repeats in another document: the id,
     ``first_word``, ``n_words`` (places among the text's words), ``component_id`` (least
@@ -295,17 +369,27 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = equal.unionAll(roots.select(F.col("node").alias("x"), "root")).groupBy("x").agg(F.max("root").alias("root"))
     root = F.when(F.col("line"), F.col("root"))
     found = materialize(units.select("id", "row", "at", "n", "x", "y", F.col("bands").isNotNull().alias("line")).join(wanted, "x").select(
-        "id", "row", "at", (F.col("at") + F.col("n")).alias("end"), F.coalesce(root, "x").alias("class"),
+        "id", "row", "at", (F.col("at") + F.col("n")).alias("end"), "line", F.coalesce(root, "x").alias("class"),
         F.when(root.isNull(), F.col("y")).otherwise(0).alias("rest")), "occurrences")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "at")
     same = ["class", "rest"]  # one paragraph: equal digests, or linked lines
     firsts = found.groupBy(*same).agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
     known = found.join(firsts.select(*same, "first"), same).withColumn("later", place != F.col("first"))
+    # passages: the documents side by side, each with that of the first occurrence
+    again = known.where("NOT line AND later").groupBy("row", F.col("first.row").alias("first_row")).agg(
+        F.first("id").alias("id"), F.first("first.id").alias("first_id"),
+        F.collect_list(F.when(F.col("row") == F.col("first.row"), F.col("at"))).alias("only"))
+    again = materialize(again.withColumn("only", F.when(F.col("row") == F.col("first_row"), F.col("only"))), "pairs")
+    shared = materialize(_copies(docs, again, params), "copies")
+    mark = [F.xxhash64(F.lit(k), "row", "at", "first_row", "first_at").alias(c) for k, c in enumerate(same)]
+    own_side = shared.select("id", "row", "at", "end", *mark, F.lit(True).alias("later"))
+    first_side = shared.select(F.col("first_id").alias("id"), F.col("first_row").alias("row"), F.col("first_at").alias("at"), F.col("first_end").alias("end"), *mark, F.lit(False).alias("later"))
+    known = known.where("line").select("id", "row", "at", "end", *same, "later").unionAll(own_side).unionAll(first_side)
     # paragraphs that touch are one passage
     own = Window.partitionBy("id", "row").orderBy("at", "end", *same)
     reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     marked = known.withColumn("new", F.coalesce(F.col("at") > reach, F.lit(True)).cast("int"))
-    numbered = materialize(marked.withColumn("span", F.xxhash64("row", F.col("id").cast("string"), F.sum("new").over(own))).drop("new", "first"), "passages")
+    numbered = materialize(marked.withColumn("span", F.xxhash64("row", F.col("id").cast("string"), F.sum("new").over(own))).drop("new"), "passages")
     # the passages that share a paragraph are linked through the one where it occurs first
     heads = numbered.where("NOT later").groupBy(*same).agg(F.min("span").alias("head"))
     clusters = connected_components(numbered.select(*same, "span").join(heads, same).where("span != head").select(

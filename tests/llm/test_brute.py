@@ -359,6 +359,25 @@ def test_repeated_passages(spark):
         assert row.n_words >= 32 and (row.n_removed == 0 or 32 <= row.n_removed <= row.n_words)
 
 
+def test_passages_go_as_far_as_the_words_agree(spark):
+    """The whole common run is reported and removed, wherever it stands."""
+    from clickscope.llm.paragraph_dedup import repeated_passages
+
+    r = random.Random(12)
+    filler = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    rows, want = [], []
+    for k, n in enumerate([51, 60, 80, 120, 200]):
+        passage = filler(n)
+        for i, (before, after) in enumerate([(20, 30), (0, 41), (77, 0)]):
+            rows.append((10 * k + i, " ".join([*filler(before), *passage, *filler(after)])))
+            want.append((10 * k + i, before, n, 10 * k, n if i else 0))
+    passage = filler(70)  # twice in the first document
+    rows += [(90, " ".join([*passage, *filler(9), *passage, *filler(9)])), (91, " ".join([*filler(15), *passage]))]
+    want += [(90, 0, 70, 90, 0), (90, 79, 70, 90, 70), (91, 15, 70, 90, 70)]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(row) for row in got) == want
+
+
 def test_short_lines_are_paragraphs(spark):
     """Lines of any length are found; a line of 20 words also by similarity."""
     from clickscope.llm.paragraph_dedup import repeated_passages
