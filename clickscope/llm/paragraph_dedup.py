@@ -12,8 +12,13 @@ Equal paragraphs meet by a 128-bit digest.  Lines also get MinHash signatures of
 in a band are joined, and the exact Jaccard similarity decides.  A bucket is compared in
 blocks of bounded size and gives at most a spanning tree of its links.  Components of
 linked lines are one paragraph.  A passage's document is then read beside the document of
-its first occurrence, and what they share goes as far as the words agree, both ways.  A
-paragraph's first occurrence (least document id, then place) stays; the others, merged
+its first occurrence, and what they share goes as far as the words agree, both ways.
+Documents also meet by seeds, runs of ``seed_words`` words placed by winnowing: an edited
+copy has no long run in common but some short ones.  Common runs that follow one another
+in both documents are one passage if the exact Jaccard similarity of all from the first to
+the last reaches the threshold, whatever the lines and what stands around.  (Two
+passages of 44 words or more over the threshold that differ by single words have 22 words
+in a row in common.)  A paragraph's first occurrence (least document id, then place) stays; the others, merged
 into passages, are what a dedup removes.  Components of
 passages that share a paragraph are the clusters.
 """
@@ -141,6 +146,12 @@ def paragraphs(text: bytes | None, p: ParagraphParams) -> list[tuple[int, int, i
                 if last.get(x[s], -p.min_words) + p.min_words <= s:  # a text may repeat itself at every word
                     last[x[s]] = s
                     out.append((s, p.min_words, int(x[s].view(np.int64)), int(y[s].view(np.int64)), None))
+            x, places = _seeds(h, p)
+            last = {}
+            for s in places.tolist():
+                if last.get(x[s], -p.seed_words) + p.seed_words <= s:
+                    last[x[s]] = s
+                    out.append((s, p.seed_words, int(x[s].view(np.int64)), 0, None))  # the words decide later
         lines = _lines(ends)
         banded = [(s, e) for s, e in lines if e - s >= p.shingle_words]
         keys = dict(zip(banded, _band_keys(h, banded, p).tolist())) if banded else {}
@@ -191,9 +202,62 @@ def common_runs(h: np.ndarray, g: np.ndarray, p: ParagraphParams, only: list[int
     return sorted(runs)
 
 
+def _beyond_edits(runs: list[tuple[int, int, int, int]], h: np.ndarray, g: np.ndarray, p: ParagraphParams) -> list[tuple[int, int, int, int]]:
+    """``runs`` and the runs of ``shingle_words`` or more next to one with a word changed, put
+    in or left out between: too short for a seed."""
+    known, todo = set(runs), list(runs)
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        for da, db in ((1, 1), (1, 0), (0, 1)):
+            i, j = a1 + da, b1 + db
+            if (n := _agreement(h[i:], g[j:])) >= p.shingle_words and (r := (i, i + n, j, j + n)) not in known:
+                known.add(r)
+                todo.append(r)
+            i, j = max(a0 - da, 0), max(b0 - db, 0)
+            if (n := _agreement(h[:i][::-1], g[:j][::-1])) >= p.shingle_words and (r := (i - n, i, j - n, j)) not in known:
+                known.add(r)
+                todo.append(r)
+    return sorted(known)
+
+
 def copies(h: np.ndarray, g: np.ndarray, p: ParagraphParams, only: list[int] | None = None) -> list[tuple[int, int, int, int]]:
-    """The runs of ``min_words`` or more."""
-    return [r for r in common_runs(h, g, p, only) if r[1] - r[0] >= p.min_words]
+    """Passages of ``min_words`` or more on both sides: runs, and runs in a row that are
+    similar as a whole."""
+    runs = common_runs(h, g, p, only)
+    if not runs:
+        return []
+    if only is None:
+        runs = _beyond_edits(runs, h, g, p)
+    with np.errstate(over="ignore"):
+        shingles = [run_hashes(t, p.shingle_words, 0x27D4EB2F165667C5) for t in (h, g)]
+
+    def similar(a0: int, a1: int, b0: int, b1: int) -> bool:
+        one, two = (np.unique(t[s:e - p.shingle_words + 1]) for t, s, e in zip(shingles, (a0, b0), (a1, b1)))
+        union = len(np.union1d(one, two))
+        return len(one) + len(two) - union >= p.similarity * union
+
+    def merged(chains: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        done, near = [], []
+        longest = max(c[1] - c[0] for c in chains)
+        slack = 1 / p.similarity - 1  # words between, as a share of the words around: more can't be similar
+        for a0, a1, b0, b1 in chains:
+            done += [c for c in near if a0 - c[1] > slack * (c[1] - c[0] + longest) + p.shingle_words]
+            near = [c for c in near if a0 - c[1] <= slack * (c[1] - c[0] + longest) + p.shingle_words]
+            for k in range(len(near) - 1, -1, -1):
+                c0, c1, d0, d1 = near[k]
+                both = (c0, max(c1, a1), d0, max(d1, b1))
+                close = max(a0 - c1, b0 - d1) <= slack * (c1 - c0 + a1 - a0) + p.shingle_words
+                if b0 >= d0 and close and (only is None or both[3] <= both[0]) and similar(*both):
+                    near[k] = both
+                    break
+            else:
+                near.append((a0, a1, b0, b1))
+        return sorted(done + near)
+
+    chains, before = merged(runs), len(runs)
+    while len(chains) < before:
+        chains, before = merged(chains), len(chains)
+    return [c for c in chains if min(c[1] - c[0], c[3] - c[2]) >= p.min_words]
 
 
 _UNIT = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("bands", pa.list_(pa.int64()))]))

@@ -378,6 +378,31 @@ def test_passages_go_as_far_as_the_words_agree(spark):
     assert sorted(tuple(row) for row in got) == want
 
 
+def test_edited_copies_inside_other_text(spark):
+    """A word changed, put in or left out in the middle of 60, inside longer lines or
+    wrapped; not what has a similarity under 0.8."""
+    from clickscope.llm.paragraph_dedup import repeated_passages
+
+    r = random.Random(13)
+    filler = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    wrap = lambda words, n: "\n".join(" ".join(words[i:i + n]) for i in range(0, len(words), n))
+    rows, want = [], []
+    edits = [lambda w: [*w[:30], "new", *w[31:]], lambda w: [*w[:30], "new", *w[30:]], lambda w: [*w[:30], *w[31:]],
+             lambda w: [*w[:53], "new", *w[54:]], lambda w: [*w[:20], "new", *w[21:40], "new", *w[41:]]]
+    for k, edit in enumerate(edits):
+        passage = filler(60)
+        other = edit(passage)
+        rows.append((10 * k, " ".join([*filler(25), *passage, *filler(35)])))
+        rows.append((10 * k + 1, " ".join([*filler(40), *other, *filler(10)])))
+        rows.append((10 * k + 2, wrap([*filler(18), *other, *filler(30)], 9)))
+        rows[-1] = (10 * k + 2, rows[-1][1] if k < 4 else "none")  # equal edits are exact copies
+        if k < 4:
+            n = len(other)
+            want += [(10 * k, 25, 60, 10 * k, 0), (10 * k + 1, 40, n, 10 * k, n), (10 * k + 2, 18, n, 10 * k, n)]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(row) for row in got) == want
+
+
 def test_short_lines_are_paragraphs(spark):
     """Lines of any length are found; a line of 20 words also by similarity."""
     from clickscope.llm.paragraph_dedup import repeated_passages
