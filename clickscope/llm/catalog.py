@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickscope.llm import bpe, decontam, html_text, line_dedup, paragraph_dedup, quality, sharding, simhash, toxicity, url_filter
+from clickscope.llm import (
+    bpe, collocations, decontam, html_text, line_dedup, merkle, paragraph_dedup, quality, sharding, simhash, toxicity, url_filter, warc)
 from clickscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,4 +80,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_html_text, op4_simhash, op5_decontamination, op6_toxicity,
-                            op7_quality, op8_sharding, op9_substring_dedup, op10_url_filter, pipeline)}
+                            op7_quality, op8_sharding, op9_substring_dedup, op10_url_filter, op11_warc, op12_merkle_manifest,
+                            op13_collocations, pipeline)}

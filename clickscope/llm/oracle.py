@@ -87,4 +87,70 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM counted LEFT JOIN verdict USING (rid)
 """
 
-SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op5_decontamination": DECONTAMINATION, "op7_quality": QUALITY}
+_FRAMED = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_FRAME_OF = lambda text: " || ".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", "n_chars", text))
+_LOWER_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 by its table of 256 remainders, made by eight shifts each.
+_CRC_TABLE = ("SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], "
+              "lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t")
+_CRC = ("xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), "
+        "lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+def _forest(name: str, key: str, levels: int) -> str:
+    """Levels ``name_0`` (given; ``key, pos, n, h``) to ``name_<levels>`` with the siblings of each node."""
+    parts = []
+    for k in range(levels):
+        run = f"(PARTITION BY {key}, pos // 8 ORDER BY pos ROWS BETWEEN "
+        parts.append(f"""{name}_s{k} AS (SELECT *, coalesce(string_agg(h, '') OVER {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+  coalesce(string_agg(h, '') OVER {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM {name}_{k})""")
+        parts.append(f"""{name}_{k + 1} AS (SELECT {key}, pos // 8 AS pos, (n + 7) // 8 AS n, CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h
+  FROM {name}_{k} GROUP BY {key}, pos // 8, n)""")
+    return ",\n".join(parts)
+
+
+def _climb(name: str, key: str, levels: int, walk: str) -> str:
+    """``walk_0`` (``key, pos, f, proof`` and more) folded up a forest."""
+    return ",\n".join(f"""{walk}_{k + 1} AS (SELECT w.* REPLACE (w.pos // 8 AS pos, CASE WHEN s.n = 1 THEN w.f ELSE sha256(s.lft || w.f || s.rgt) END AS f, w.proof || s.lft || s.rgt AS proof)
+  FROM {walk}_{k} w JOIN {name}_s{k} s ON s.{key} IS NOT DISTINCT FROM w.{key} AND s.pos = w.pos)""" for k in range(levels))
+
+
+_LANG_LEVELS, _TOP_LEVELS = 8, 3  # 16 million documents a language, 512 languages
+
+MERKLE = f"""
+WITH crc AS ({_CRC_TABLE}),
+leaves AS (SELECT doc_id, lang, sha256({_FRAME_OF("text")}) AS h,
+    sha256({_FRAME_OF(f"(CASE WHEN {_CRC} % 3 = 0 THEN {_LOWER_TEXT} ELSE text END)")}) AS other FROM documents, crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+t_0 AS (SELECT lang, pos, n, h FROM placed),
+{_forest("t", "lang", _LANG_LEVELS)},
+u_0 AS (SELECT 0 AS g, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, h FROM t_{_LANG_LEVELS}),
+{_forest("u", "g", _TOP_LEVELS)},
+w_0 AS (SELECT doc_id, lang, h AS leaf, pos, other AS f, '' AS proof FROM placed),
+{_climb("t", "lang", _LANG_LEVELS, "w")},
+v_0 AS (SELECT w.* REPLACE (u.pos AS pos), 0 AS g, u.h AS subroot FROM w_{_LANG_LEVELS} w JOIN u_0 u ON u.lang IS NOT DISTINCT FROM w.lang),
+{_climb("u", "g", _TOP_LEVELS, "v")}
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = u.h AS verified FROM v_{_TOP_LEVELS} v, u_{_TOP_LEVELS} u
+"""
+
+COLLOCATIONS = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+grams AS (SELECT lang, w[i:i + k - 1] AS p, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM split, range(1, 5) r(k)) GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, p, f AS a FROM grams WHERE len(p) > 1),
+inner_parts AS (SELECT DISTINCT lang, q, a, p FROM (SELECT lang, p, a, unnest(list_transform(range(1, len(p) - k + 2), lambda i: p[i:i + k - 1])) AS q
+  FROM cand, range(2, 4) r(k) WHERE len(p) > k)),
+absorbed AS (SELECT lang, q, max(a) AS most FROM inner_parts GROUP BY lang, q),
+kept AS (SELECT c.* FROM cand c LEFT JOIN absorbed b ON b.lang = c.lang AND b.q = c.p WHERE b.most IS NULL OR 100 * b.most < 80 * c.a),
+cuts AS (SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM kept) c
+  JOIN grams x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN grams y ON y.lang = c.lang AND y.p = c.p[c.k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+ranked AS (SELECT b.*, array_to_string(p, ' ') AS phrase FROM best b)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+  n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op5_decontamination": DECONTAMINATION, "op7_quality": QUALITY,
+                       "op12_merkle_manifest": MERKLE, "op13_collocations": COLLOCATIONS}
