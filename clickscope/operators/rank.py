@@ -14,7 +14,10 @@ the partition numbers are fixed and lineage is cut.
 
 from __future__ import annotations
 
-import numpy as np
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,46 +51,76 @@ def unique_rank(df: DataFrame, order_cols: list[str | Column], rank_col: str = "
     )
 
 
-def _lerp(a, b, t) -> float:
-    """NumPy's linear interpolation (the form used by ``np.quantile``)."""
-    a, b, t = np.float64(a), np.float64(b), np.float64(t)
-    diff = b - a
-    out = a + diff * t
-    if t >= 0.5:
-        out = b - diff * (np.float64(1) - t)
-    return float(out)
-
-
-def qcut_edges(n: int, q: int) -> list[float]:
-    """Inner edges of ``pandas.qcut(ranks, q)`` for ranks 1..n (``method="first"``
-    ranks), reproduced with NumPy's own float arithmetic: the quantile of 1..n at p is
-    ``lerp(i + 1, i + 2, frac)`` with ``i = floor((n - 1) * p)``."""
-    # pandas asks np.percentile for ``linspace * 100``; NumPy divides by 100 again
-    ps = np.true_divide(np.linspace(0, 1, q + 1) * 100, 100)[1:-1]
-    edges = []
-    for p in ps:
-        virtual = (n - 1) * np.float64(p)
-        prev = np.floor(virtual)
-        gamma = virtual - prev
-        lo = prev + 1
-        hi = min(prev + 2, n)
-        edges.append(_lerp(lo, hi, gamma))
-    return edges
+def tercile_rule(n: int) -> tuple[int, int]:
+    """Upper rank of bins 1 and 2 of ``pandas.qcut`` of the ranks 1..n into three bins."""
+    b1 = (n + 1) // 3
+    return b1, b1 + n // 3
+
+
+def bin_limits(n: int, q: int) -> list[int]:
+    """Upper rank of bins 1..q-1 of the ranks 1..n (right-closed quantile intervals)."""
+    return list(tercile_rule(n)) if q == 3 else [j * (n - 1) // q + 1 for j in range(1, q)]
 
 
 def qcut_bin(rank: Column | str, n: int, q: int) -> Column:
-    """Bin 1..q of a unique rank 1..n, as ``qcut`` on right-closed intervals assigns it."""
+    """Bin 1..q of a unique rank 1..n."""
     r = F.col(rank) if isinstance(rank, str) else rank
     b = F.lit(1)
-    for e in qcut_edges(n, q):
-        b = b + F.when(r > F.lit(e), 1).otherwise(0)
+    for limit in bin_limits(n, q):
+        b = b + F.when(r > F.lit(limit), 1).otherwise(0)
     return b
 
 
-def tercile_rule(n: int) -> tuple[int, int]:
-    """Upper rank of bins 1 and 2 for q = 3 (closed form of ``qcut_edges``)."""
-    b1 = (n + 1) // 3
-    return b1, b1 + n // 3
+@dataclass(frozen=True)
+class Statistic:
+    """An order statistic: ``value`` has ``below`` smaller rows and ``equal`` rows."""
+
+    value: int
+    below: int
+    equal: int
+
+
+def order_statistics(df: DataFrame, wanted: dict, bounds: dict, weight: str | None = None,
+                     cell_bits: int = 16) -> dict:
+    """Exact order statistics of integer columns by narrowing range counts, without a sort.
+
+    ``wanted``: name -> ``(condition or None, column, ranks)``, the ranks (from 1) asked for
+    among the rows of the condition; ``bounds``: name -> (least, greatest) value.  Rows count
+    ``weight`` times.  Returns ``(name, rank) -> Statistic``.
+
+    A round cuts each open range into at most ``2^cell_bits + 1`` cells, counts rows by cell
+    (one aggregate for all ranges, combined before its shuffle) and keeps the cell that holds
+    the rank; the window runs over cells, never over rows.  A range of 65,536 values or fewer
+    takes one round, 64 bits take four."""
+    open_ = {(name, k): (*bounds[name], 0) for name, (_, _, ks) in wanted.items() for k in ks}
+    done: dict = {}
+    while open_:
+        groups = sorted({(name, lo, hi, below) for (name, _), (lo, hi, below) in open_.items()}, key=str)
+        shifts = [max(0, (hi - lo).bit_length() - cell_bits) for _, lo, hi, _ in groups]
+        cells, hits = [], []
+        for g, ((name, lo, hi, below), shift) in enumerate(zip(groups, shifts)):
+            condition, column, _ = wanted[name]
+            value = F.col(column).cast("long")
+            inside = value.between(lo, hi) if condition is None else condition & value.between(lo, hi)
+            cells.append(F.when(inside, F.struct(F.lit(g).alias("g"), F.shiftright(value, shift).alias("cell"))))
+            hits += [(F.col("g") == g) & (F.col("upto") >= k - below) & (F.col("upto") - F.col("n") < k - below)
+                     for (other, k), at in open_.items() if (other, *at) == groups[g]]
+        rows = F.lit(1).cast("long") if weight is None else F.col(weight)
+        counts = (df.select(rows.alias("n"), F.explode(F.array_compact(F.array(*cells))).alias("c"))
+                  .groupBy("c.g", "c.cell").agg(F.sum("n").alias("n"))
+                  .withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("cell"))))
+        found = counts.where(reduce(or_, hits)).collect()  # a row a rank at most
+        left = {}
+        for (name, k), (lo, hi, below) in open_.items():
+            g = groups.index((name, lo, hi, below))
+            cell = next(r for r in found if r["g"] == g and r["upto"] - r["n"] < k - below <= r["upto"])
+            first, before = cell["cell"] << shifts[g], below + cell["upto"] - cell["n"]
+            if shifts[g] == 0:
+                done[name, k] = Statistic(first, before, cell["n"])
+            else:
+                left[name, k] = (max(lo, first), min(hi, first + (1 << shifts[g]) - 1), before)
+        open_ = left
+    return done
 
 
 def unique_ranks(df: DataFrame, metrics: list[str], tie_col: str = "user_id", suffix: str = "_rank",

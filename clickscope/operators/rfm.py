@@ -2,20 +2,24 @@
 
 Per-user aggregates are hash aggregates with map-side combine; the distinct category
 count is planned as an aggregate on ``(user, category)`` first, so one heavy buyer is
-spread over categories and pre-reduced.  Scores need exact global ranks
-(``rank.unique_rank``) and a few global scalars (n, distinct counts, exact medians);
-those scalars come from one aggregate whose state is bounded by the number of distinct
-metric values (the exact median keeps a value -> count map), not by the number of users.
+spread over categories and pre-reduced.  Scores don't rank the users: the limits of the
+quantile bins and the medians are order statistics of the value-count tables of the three
+metrics (``value_counts``), found by range counts, and where a limit falls among users of
+one value, a second selection finds the user id that parts them.  So a score is an
+expression over literals, and no step sorts users or holds all values in one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickscope.functions.numeric import half_even
 from clickscope.functions.timefn import elapsed_days
-from clickscope.operators.rank import qcut_bin, unique_ranks
+from clickscope.operators.rank import bin_limits, order_statistics, unique_ranks
 from clickscope.params import SEGMENT_LABELS, RfmParams
 from clickscope.session import materialize
 
@@ -49,12 +53,42 @@ def rfm_base(events: DataFrame, params: RfmParams = _P) -> DataFrame:
     )
 
 
-def rfm_stats(rfm: DataFrame) -> dict:
-    """n, distinct counts and exact medians of the three metrics: one aggregate, one row."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for m in METRICS:
-        aggs += [F.count_distinct(m).alias(f"{m}_distinct"), F.median(m).alias(f"{m}_median")]
-    return rfm.agg(*aggs).first().asDict()
+def value_triples(rfm: DataFrame) -> DataFrame:
+    """The distinct ``(recency, frequency, monetary)`` and ``n``, the users of each."""
+    return rfm.groupBy(*METRICS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def value_counts(rfm: DataFrame) -> DataFrame:
+    """``metric, value, n``: the value-count tables of the three metrics, from the triples."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("value")) for m in METRICS]))
+    stacked = value_triples(rfm).select("n", each.alias("v")).where("v.value IS NOT NULL")
+    return stacked.groupBy("v.metric", "v.value").agg(F.sum("n").alias("n"))
+
+
+def _ranks_of(counts: DataFrame, stats: dict, ranks: dict) -> dict:
+    """Order statistics of the metrics: ``ranks`` maps a metric to the ranks asked for."""
+    wanted = {m: (F.col("metric") == m, "value", ks) for m, ks in ranks.items() if ks}
+    return order_statistics(counts, wanted, {m: (stats[m]["least"], stats[m]["most"]) for m in wanted}, "n")
+
+
+def _middle(n: int) -> tuple[int, int]:
+    return (n + 1) // 2, n // 2 + 1
+
+
+def rfm_stats(counts: DataFrame, bins: int | None = None) -> dict:
+    """Of a value-count table: per metric ``n, distinct, least, most``, the exact ``median``
+    and, for ``bins``, the order statistics of the bins' upper ranks (``limits``; none for a
+    metric of fewer values than bins).  Empty for an empty table."""
+    rows = counts.groupBy("metric").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"),
+                                        F.min("value").alias("least"), F.max("value").alias("most")).collect()
+    stats = {r["metric"]: r.asDict() for r in rows}  # three rows
+    limits = {m: bin_limits(s["n"], bins) if bins and s["distinct"] >= bins else [] for m, s in stats.items()}
+    found = _ranks_of(counts, stats, {m: sorted({*_middle(s["n"]), *limits[m]}) for m, s in stats.items()})
+    for m, s in stats.items():
+        low, high = (found[m, k].value for k in _middle(s["n"]))
+        s["median"] = (low + high) / 2.0
+        s["limits"] = [(k, found[m, k]) for k in limits[m]]
+    return stats
 
 
 def level_of(col: str, median: float | None, higher_is_better: bool) -> Column:
@@ -75,33 +109,56 @@ def segment_of(r: Column, f: Column, m: Column) -> Column:
     return F.element_at(F.create_map(*pairs), key)
 
 
+def _parting_ids(rfm: DataFrame, stats: dict) -> dict:
+    """``(metric, upper rank) -> user id``: where a limit falls among users of one value, the
+    last of them (by id) in the lower bin."""
+    ties = {(m, k): at for m, s in stats.items() for k, at in s["limits"] if at.below < k < at.below + at.equal}
+    if not ties:
+        return {}
+    least, most = rfm.agg(F.min("user_id").cast("long"), F.max("user_id").cast("long")).first()
+    wanted = {t: (F.col(t[0]) == at.value, "user_id", [t[1] - at.below]) for t, at in ties.items()}
+    found = order_statistics(rfm, wanted, dict.fromkeys(wanted, (least, most)))
+    return {t: found[t, t[1] - at.below].value for t, at in ties.items()}
+
+
+def _bin_of(metric: str, limits: list, parting: dict) -> Column:
+    """Bin 1.. of a user's unique rank (value, then id), from its own value and id."""
+    above = []
+    for k, at in limits:
+        if k <= at.below:
+            lower = F.col(metric) < at.value
+        elif (metric, k) in parting:
+            lower = (F.col(metric) < at.value) | ((F.col(metric) == at.value) & (F.col("user_id") <= parting[metric, k]))
+        else:
+            lower = F.col(metric) <= at.value
+        above.append(F.when(lower, 0).otherwise(1))
+    return reduce(add, above, F.lit(1))
+
+
 def score_rfm(rfm: DataFrame, params: RfmParams = _P) -> DataFrame:
     """Adds r/f/m scores (quantile bins of the unique rank; reversed for recency),
     r/f/m levels (median split, ties high) and the segment.  A metric with fewer
     distinct values than bins is scored by the median split.  Rank ties break by
-    ascending ``user_id``."""
-    rfm = materialize(rfm)  # read by the stats job and by every rank sort
-    st = rfm_stats(rfm)
-    n, q = st["n"], params.score_bins
-    out = rfm
-    if n == 0:
+    ascending ``user_id`` (an integer)."""
+    rfm = materialize(rfm)  # read by the counts, by the selection of ids and by the scoring
+    out, q = rfm, params.score_bins
+    stats = rfm_stats(materialize(value_counts(rfm), "value_counts"), q)
+    if not stats:
         for c in SCORE_COLUMNS[:-1]:
             out = out.withColumn(c, F.lit(None).cast("tinyint"))
         return out.withColumn("segment", F.lit(None).cast("string"))
-    ranked = [m for m in METRICS if st[f"{m}_distinct"] >= q]
-    out = unique_ranks(out, ranked, "user_id", "_rank", n=n)
+    parting = _parting_ids(rfm, stats)
     for m in METRICS:
         s = SHORT[m]
-        if m in ranked:
-            b = qcut_bin(f"{m}_rank", n, q)
+        if stats[m]["limits"]:
+            b = _bin_of(m, stats[m]["limits"], parting)
             score = b if HIGHER_IS_BETTER[m] else F.lit(q + 1) - b
-            out = out.withColumn(f"{s}_score", score.cast("tinyint")).drop(f"{m}_rank")
+            out = out.withColumn(f"{s}_score", score.cast("tinyint"))
         else:
-            out = out.withColumn(f"{s}_score", level_of(m, st[f"{m}_median"], HIGHER_IS_BETTER[m]))
+            out = out.withColumn(f"{s}_score", level_of(m, stats[m]["median"], HIGHER_IS_BETTER[m]))
     for m in METRICS:
-        out = out.withColumn(f"{SHORT[m]}_level", level_of(m, st[f"{m}_median"], HIGHER_IS_BETTER[m]))
-    # the scored table is read by summaries, histograms and the clustering: store it once
-    return materialize(out.withColumn("segment", segment_of(F.col("r_level"), F.col("f_level"), F.col("m_level"))))
+        out = out.withColumn(f"{SHORT[m]}_level", level_of(m, stats[m]["median"], HIGHER_IS_BETTER[m]))
+    return out.withColumn("segment", segment_of(F.col("r_level"), F.col("f_level"), F.col("m_level")))
 
 
 def rfm_table(events: DataFrame, params: RfmParams = _P) -> DataFrame:
@@ -117,11 +174,12 @@ def rfm_ranks(rfm: DataFrame) -> DataFrame:
 def rfm_levels(rfm: DataFrame) -> DataFrame:
     """Median-split levels and the medians they used."""
     rfm = materialize(rfm)
-    st = rfm_stats(rfm)
+    stats = rfm_stats(materialize(value_counts(rfm), "value_counts"))
+    median = {m: stats[m]["median"] if stats else None for m in METRICS}
     return rfm.select(
         "user_id",
-        *[level_of(m, st[f"{m}_median"], HIGHER_IS_BETTER[m]).alias(f"{SHORT[m]}_level") for m in METRICS],
-        *[F.lit(st[f"{m}_median"]).cast("double").alias(f"{m}_median") for m in METRICS],
+        *[level_of(m, median[m], HIGHER_IS_BETTER[m]).alias(f"{SHORT[m]}_level") for m in METRICS],
+        *[F.lit(median[m]).cast("double").alias(f"{m}_median") for m in METRICS],
     )
 
 
@@ -180,21 +238,19 @@ def rfm_histogram(scored: DataFrame, max_bins: int = 20, min_bins: int = 3) -> D
     bins on NumPy's edges (last bin closed; a constant column spans value ± 0.5); empty
     bins included.  Rows: ``metric, bin, lower, upper, users``.
 
-    One pass: the three metrics are stacked as ``(metric, value)`` rows, each row's bin
-    comes from its metric's literal range, and one aggregate counts ``(metric, bin)``."""
-    aggs = []
-    for m in METRICS:
-        aggs += [F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"), F.count_distinct(m).alias(f"{m}_nd")]
-    st = scored.agg(*aggs).first()
+    Everything comes from the stored value-count tables: a row a distinct value."""
     spark = scored.sparkSession
-    if st is None or st["recency_min"] is None:
+    counts = materialize(value_counts(scored), "value_counts")
+    rows = counts.groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("nd")).collect()
+    st = {r["metric"]: r for r in rows}  # three rows
+    if not st:
         return spark.createDataFrame([], "metric string, bin int, lower double, upper double, users long")
     spec = {}
     for m in METRICS:
-        lo, hi = float(st[f"{m}_min"]), float(st[f"{m}_max"])
+        lo, hi = float(st[m]["lo"]), float(st[m]["hi"])
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
-        bins = min(max_bins, max(min_bins, int(st[f"{m}_nd"])))
+        bins = min(max_bins, max(min_bins, int(st[m]["nd"])))
         spec[m] = (lo, hi, bins, (hi - lo) / bins)
 
     def bin_of(x: Column, lo: float, hi: float, bins: int, step: float) -> Column:
@@ -206,14 +262,11 @@ def rfm_histogram(scored: DataFrame, max_bins: int = 20, min_bins: int = 3) -> D
         idx = F.when(x < edge(idx), idx - 1).otherwise(idx)  # NumPy's correction near edges
         return F.when((x >= edge(idx + 1)) & (idx != bins - 1), idx + 1).otherwise(idx)
 
-    stacked = scored.select(F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in METRICS
-    ])).alias("s")).select("s.metric", "s.x")
     b = None
     for m, (lo, hi, bins, step) in spec.items():
-        e = bin_of(F.col("x"), lo, hi, bins, step)
+        e = bin_of(F.col("value").cast("double"), lo, hi, bins, step)
         b = F.when(F.col("metric") == m, e) if b is None else b.when(F.col("metric") == m, e)
-    counts = stacked.select("metric", b.alias("bin")).groupBy("metric", "bin").agg(F.count(F.lit(1)).alias("users"))
+    counts = counts.select("metric", "n", b.alias("bin")).groupBy("metric", "bin").agg(F.sum("n").alias("users"))
     frame_rows = []
     for m, (lo, hi, bins, step) in spec.items():  # at most 3 x max_bins rows
         for i in range(bins):

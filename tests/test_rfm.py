@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clickscope.functions.timefn import elapsed_days
 from clickscope.operators import rfm as RF
-from clickscope.operators.rank import qcut_bin, qcut_edges, tercile_rule, unique_rank
+from clickscope.operators.rank import bin_limits, order_statistics, qcut_bin, tercile_rule, unique_rank
 from clickscope.params import RfmParams
 
 
@@ -41,8 +41,50 @@ def test_tercile_sizes_match_qcut(spark):
         got = sorted(r.b for r in df.select(qcut_bin("rank", n, 3).alias("b")).collect())
         want = sorted(pd.qcut(pd.Series(np.arange(1, n + 1), dtype=float), 3, labels=[1, 2, 3]).astype(int))
         assert got == want
-        b1, b2 = tercile_rule(n)
-        assert qcut_edges(n, 3)[0] < b1 + 1 and qcut_edges(n, 3)[1] < b2 + 1
+        assert bin_limits(n, 3) == list(tercile_rule(n)) == [got.count(1), got.count(1) + got.count(2)]
+
+
+def _scores_by_rank(rows):
+    """r, f, m scores from pandas ranks and qcut, for rows of (user, recency, frequency, monetary)."""
+    pdf = pd.DataFrame(rows, columns=["user_id", *RF.METRICS]).sort_values("user_id")
+    out = {"user_id": pdf.user_id}
+    for m in RF.METRICS:
+        if pdf[m].nunique() >= 3:
+            score = pd.qcut(pdf[m].rank(method="first"), 3, labels=[1, 2, 3]).astype(int)
+            out[m] = 4 - score if m == "recency" else score
+        else:
+            half = pdf[m].median()
+            out[m] = np.where(pdf[m] <= half if m == "recency" else pdf[m] >= half, 2, 1)
+    return sorted(map(tuple, pd.DataFrame(out).to_numpy().tolist()))
+
+
+def test_scores_from_value_counts_equal_ranking(spark):
+    """Ties cut inside a value, values that end at a limit, n mod 3 = 0, 1, 2, wide ids and values."""
+    r = np.random.default_rng(4)
+    for n in (1, 2, 3, 4, 5, 29, 30, 31):
+        ids = r.choice(np.arange(-2**40, 2**40, 7919), n, replace=False)
+        rows = [(int(u), int(r.integers(0, 4)), int(r.integers(-2**50, 2**50)), int(r.integers(1, 6)) // 3) for u in ids]
+        df = spark.createDataFrame(rows, "user_id long, recency long, frequency long, monetary long")
+        got = RF.score_rfm(df).select("user_id", "r_score", "f_score", "m_score").collect()
+        assert sorted(map(tuple, got)) == _scores_by_rank(rows), n
+
+
+def test_scoring_never_sorts_users(spark):
+    rows = [(i, i % 7, i % 5 + 1, 1 if i % 3 else i % 11) for i in range(400)]
+    df = spark.createDataFrame(rows, "user_id long, recency long, frequency long, monetary long")
+    plan = RF.score_rfm(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan and "Window" not in plan
+
+
+def test_order_statistics_of_signed_and_weighted_values(spark):
+    values = [-2**62, -5, -5, 0, 3, 3, 3, 2**40, 2**62 - 1]
+    df = spark.createDataFrame([(v, 1 + v % 3) for v in values], "v long, w long")
+    alone = order_statistics(df, {"a": (None, "v", range(1, 10))}, {"a": (-2**62, 2**62 - 1)})
+    assert [alone["a", k].value for k in range(1, 10)] == values
+    assert (alone["a", 6].below, alone["a", 6].equal) == (4, 3)
+    spread = sorted(v for v in values for _ in range(1 + v % 3) if v > -10)
+    some = order_statistics(df, {"b": (F.col("v") > -10, "v", [1, 4, len(spread)])}, {"b": (-5, 2**62 - 1)}, "w", cell_bits=3)
+    assert [some["b", k].value for k in (1, 4, len(spread))] == [spread[0], spread[3], spread[-1]]
 
 
 def test_unique_rank_spreads_a_hot_tie_group(spark):
