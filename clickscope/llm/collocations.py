@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from clickscope.llm.common import materialize, ship
 from clickscope.operators.rank import unique_rank
+from clickscope.session import shared_path
 
 ship(__name__)
 
@@ -46,8 +47,9 @@ _CUT = b"\xff"  # no UTF-8 text holds it
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_ENDS, b"abcdefghijklmnopqrstuvwxyz" + _CUT * len(PIECE_ENDS))
 _MAP_BITS = 27  # a bitmap of 16 MiB
 _BLOCK_BITS = 15  # bits of a block of Spark's bitmap functions
-_HELD = 1 << 21  # positions a task holds
-_VOCABULARY = 1 << 19  # words a task holds
+_HELD = 1 << 19  # positions a task holds
+_STEP = 1 << 18  # positions handled at once
+_VOCABULARY = 1 << 17  # words a task holds
 
 
 @dataclass(frozen=True)
@@ -108,6 +110,7 @@ class Vocabulary:
             h, n = self.hashes[first:first + len(part)], self.seen[first:first + len(part)]
             batch = pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.binary()), pa.array([self.lang] * len(part)), pa.array(part), pa.array(h), pa.array(n)], names)
             yield batch.filter(pa.array(h != 0))  # 0 is the cut
+        self.number.default_factory = None  # else the dictionary holds itself and stays
 
 
 def _coded(docs: DataFrame, seed: int) -> DataFrame:
@@ -144,6 +147,13 @@ def _coded(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "codes binary, lang string, word string, hash long, n long")
 
 
+def _stored(coded: DataFrame) -> DataFrame:
+    """As ``materialize``, with the codec that finds a text's repeated hashes."""
+    path = shared_path(coded.sparkSession, "coded")
+    coded.write.option("compression", "zstd").parquet(path)
+    return coded.sparkSession.read.parquet(path)
+
+
 def _values(batch: pa.RecordBatch) -> np.ndarray:
     """The hashes of all texts of a batch, one after the other (each ends in a cut)."""
     texts = batch.column(0)
@@ -151,6 +161,14 @@ def _values(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(texts.buffers()[2], np.int64, int(offsets[-1] - offsets[0]) // 8, int(offsets[0]))
 
 
+def _steps(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[np.ndarray]:
+    """The hashes in steps, each with the ``words - 1`` that follow it: a phrase starts in one."""
+    for batch in batches:
+        values = _values(batch) if batch.num_rows else np.zeros(0, np.int64)
+        for at in range(0, len(values), _STEP):
+            yield values[at:at + _STEP + words - 1]
+
+
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -218,8 +236,7 @@ def frequent_phrases(texts: DataFrame, before: DataFrame, k: int, min_count: int
             found, n = distinct_rows([np.concatenate(c) for c in zip(*held)])
             return pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(n.astype(np.int64))], names)
 
-        for batch in batches:
-            values = _values(batch) if batch.num_rows else np.zeros(0, np.int64)
+        for values in _steps(batches, k):
             if len(values) < k:
                 continue
             # part[i]: the k - 1 words from i on may be frequent, and no cut is among them
@@ -246,14 +263,17 @@ Trie = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 def _room(free: np.ndarray, low: int, children: np.ndarray) -> np.ndarray | None:
     """Places of the children of one state: the first base at which all are free."""
-    at, span = low, 256
+    at, span = low, 64
     while at < len(free):
         first = at + np.flatnonzero(free[at:at + span])
-        places = first[:, None] + (children - children[0])[None, :]
-        fits = (places[:, -1] < len(free)) & free[np.minimum(places, len(free) - 1)].all(axis=1)
-        if fits.any():
-            return places[np.argmax(fits)]
-        at, span = at + span, min(span * 2, 1 << 14)
+        for child in children[1:]:  # few bases are left after a few children
+            if not len(first):
+                break
+            place = first + (child - children[0])
+            first = first[(place < len(free)) & free[np.minimum(place, len(free) - 1)]]
+        if len(first):
+            return first[0] + (children - children[0])
+        at, span = at + span, min(span * 4, 1 << 16)
     return None
 
 
@@ -281,14 +301,16 @@ def double_array(phrases: np.ndarray) -> Trie:
             if counts[g] == 1:
                 break
             children = slice(starts[g], starts[g] + counts[g])
-            low += int(np.argmax(free[low:])) if free[low:].any() else 0
+            while low < len(free) and not free[low]:
+                low += 1
             found = _room(free, low, edges[children, 1])
             while found is None:
                 free = np.concatenate([free, np.ones(len(free), bool)])
                 found = _room(free, low, edges[children, 1])
             target[children] = found
             free[found] = False
-        single = starts[counts == 1]
+            low = max(low, int(found[0]) - 64)  # states of one child fill what is passed over
+        low, single = 2, starts[counts == 1]
         while free.sum() < len(single):
             free = np.concatenate([free, np.ones(len(free), bool)])
         target[single] = np.flatnonzero(free)[:len(single)]  # one child fits anywhere
@@ -307,16 +329,14 @@ def double_array(phrases: np.ndarray) -> Trie:
 
 
 def phrase_places(trie: Trie, values: np.ndarray, phrases: int, depth: int) -> np.ndarray:
-    """Places of each phrase in word hashes: the states of all positions advance together."""
+    """Places of each phrase that start in the first ``_STEP`` word hashes: the states of all
+    positions advance together."""
     words, base, check, number = trie
-    total = np.zeros(phrases, np.int64)
-    if not len(values):
-        return total
     code = np.searchsorted(words, values)
     code[code == len(words)] = 0
     code = np.where(words[code] == values, code + 1, 0)
-    at = np.flatnonzero(code)
-    state, end = np.ones(len(at), np.int64), len(check) - 1
+    at = np.flatnonzero(code[:_STEP])
+    state, end, total = np.ones(len(at), np.int64), len(check) - 1, np.zeros(phrases, np.int64)
     for level in range(depth):
         inside = at + level < len(code)
         at, state = at[inside], state[inside]
@@ -344,9 +364,8 @@ def trie_counts(texts: DataFrame, phrases: DataFrame, max_words: int, slice_phra
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, n=n, first=first) -> Iterator[pa.RecordBatch]:
             trie, total = shared.value, np.zeros(n, np.int64)
-            for batch in batches:
-                if batch.num_rows:
-                    total += phrase_places(trie, _values(batch), n, max_words)
+            for values in _steps(batches, max_words):
+                total += phrase_places(trie, values, n, max_words)
             hit = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(hit + first), pa.array(total[hit])], ["rank_", "f"])
 
@@ -396,7 +415,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     own = docs.select(F.coalesce(F.col(lang_col), F.lit(LANG_OF_NULL)).alias("lang"), F.col(text_col).alias("text"))
     seed = 0
     while True:
-        coded = materialize(_coded(own, seed), "coded")
+        coded = _stored(_coded(own, seed))
         words = coded.where("word IS NOT NULL").groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
         words = materialize(words, "words")
         if words.groupBy("hash").count().where("count > 1").isEmpty():
