@@ -1,28 +1,36 @@
 """User clustering on standardized R/F/M: elbow, assignment, labels, summaries, PCA.
 
-Standardization uses the population standard deviation and centers the columns
-(Spark ML's ``StandardScaler`` would use the sample deviation and not center); a
-constant column is divided by 1.  The six scalars come from one aggregate.  K-means is
-Spark ML's distributed ``KMeans``; the feature table is stored in the shared
-folder once and then read by every fit.  Everything after the assignment (labels,
-summaries, profiles) aggregates to at most k rows first, so the whole-table windows
-and broadcasts there are bounded by k.
+Users of equal (R, F, M) are one point: k-means is fitted on the table of distinct triples
+with the number of users as the weight (``weightCol``), so its size follows the distinct
+values, not the users, and the cluster is joined back on the triple.  The triples stand in
+one fixed order and in partitions of ``TRIPLES_PER_PARTITION`` by that order, and means and
+deviations come from exact integer sums: labels and inertia don't depend on how the input
+is partitioned.  Standardization uses the population standard deviation and centers the
+columns (Spark ML's ``StandardScaler`` would use the sample deviation and not center); a
+constant column is divided by 1.  ``kmeans_certificate`` proves a clustering without
+knowing it: within and between add up to the total, and nobody is nearer to another mean.
+Everything after the assignment (labels, summaries, profiles) aggregates to at most k rows
+first, so the whole-table windows and broadcasts there are bounded by k.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from functools import reduce
+from math import isqrt
+from operator import add
+
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickscope.functions.numeric import half_even
+from clickscope.operators.rank import unique_rank
 from clickscope.params import (
     CLUSTER_LABEL_RECENT,
     CLUSTER_LABEL_SILENT,
@@ -30,12 +38,11 @@ from clickscope.params import (
     CLUSTER_LABEL_TOP,
     ClusterParams,
 )
-from clickscope.session import ensure_checkpoint_dir, materialize
+from clickscope.session import materialize
 
 _P = ClusterParams()
 METRICS = ("recency", "frequency", "monetary")
-FEATURE_ROW_BYTES = 128  # id, three longs, three doubles and the vector
-FEATURE_PARTITION_BYTES = 64 * 1024 * 1024
+TRIPLES_PER_PARTITION = 500_000
 
 
 def resolve_k(n: int, requested: int = _P.k) -> int:
@@ -45,12 +52,32 @@ def resolve_k(n: int, requested: int = _P.k) -> int:
     return max(2, min(requested, n))
 
 
-def feature_stats(rfm: DataFrame, params: ClusterParams = _P) -> dict:
+def _root(square: int, scale: int) -> float:
+    """``sqrt(square) / scale`` of integers, from an integer root with 64 bits more."""
+    return isqrt(square << 128) / (scale << 64)
+
+
+def feature_stats(rfm: DataFrame, params: ClusterParams = _P, weight: str | None = None) -> dict:
+    """``n`` and the mean, population deviation and variance of each integer feature, and the
+    correlations ``a_b`` of each two (0 with a constant one).  Rows with a null feature don't
+    count.  From exact sums: the same for any order of the rows."""
     cols = list(params.features)
-    aggs = [F.count(F.lit(1)).alias("n")]
+    w = F.lit(1).cast("decimal(38,0)") if weight is None else F.col(weight).cast("decimal(38,0)")
+    wide = {c: F.col(c).cast("decimal(19,0)") for c in cols}
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    r = rfm.dropna(subset=cols).agg(
+        F.sum(w).alias("n"), *[F.sum((w * wide[c]).cast("decimal(38,0)")).alias(c) for c in cols],
+        *[F.sum((w * wide[a] * wide[b]).cast("decimal(38,0)")).alias(f"{a}_{b}") for a, b in pairs]).first()
+    n = int(r["n"] or 0)
+    st: dict = {"n": n}
+    spread = {(a, b): n * int(r[f"{a}_{b}"] or 0) - int(r[a] or 0) * int(r[b] or 0) for a, b in pairs}
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std")]
-    return rfm.select(*cols).dropna().agg(*aggs).first().asDict()
+        st[f"{c}_mean"] = int(r[c] or 0) / n if n else None
+        st[f"{c}_std"] = _root(spread[c, c], n) if n else None
+    for a, b in pairs:
+        both = spread[a, a] * spread[b, b]
+        st[f"{a}_{b}"] = spread[a, b] / _root(both, 1) if both else 0.0
+    return st
 
 
 def standardize(rfm: DataFrame, params: ClusterParams = _P, stats: dict | None = None) -> DataFrame:
@@ -68,10 +95,6 @@ def standardize(rfm: DataFrame, params: ClusterParams = _P, stats: dict | None =
     return VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(out)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    return materialize(df, "features")
-
-
 def spark_tolerance(k: int, params: ClusterParams = _P, mean_variance: float = 1.0) -> float:
     """Spark's stopping rule: every center moved at most ``epsilon``.  The analysed
     pipeline stops when the *summed* squared center shift is at most
@@ -91,42 +114,90 @@ def _mean_variance(stats: dict | None, params: ClusterParams) -> float:
 def _kmeans(k: int, params: ClusterParams, mean_variance: float = 1.0) -> KMeans:
     return KMeans(k=k, seed=params.seed, maxIter=params.max_iter,
                   tol=spark_tolerance(k, params, mean_variance),
-                  featuresCol="features", predictionCol="cluster")
-
-
-def elbow(features: DataFrame, params: ClusterParams = _P, n: int | None = None,
-          parallel_fits: int = 8, mean_variance: float = 1.0) -> DataFrame:
-    """Inertia (sum of squared distances to the nearest center) for k = k_min..min(k_max, n);
-    empty when n < 2.  Rows ``k, inertia``."""
-    spark = features.sparkSession
-    n = features.count() if n is None else n
-    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("inertia", T.DoubleType())])
-    if n < 2:
-        return spark.createDataFrame([], schema)
-    lo, hi = params.k_range
-    ks = list(range(lo, min(hi, n) + 1))
+                  featuresCol="features", predictionCol="cluster", weightCol="n")
 
-    def cost(k: int) -> tuple[int, float]:
-        return k, float(_kmeans(k, params, mean_variance).fit(features).summary.trainingCost)
 
-    # the fits are independent distributed jobs: submit them from driver threads so
-    # their small iterations overlap instead of queueing one after another
-    cached = features.persist(StorageLevel.MEMORY_AND_DISK)
+def feature_triples(rfm: DataFrame, params: ClusterParams = _P) -> tuple[DataFrame, dict]:
+    """The distinct triples with ``n`` (users), ``z_`` columns and ``features``, and the
+    ``feature_stats``.  Stored in order, in partitions that only the table itself decides."""
+    cols = list(params.features)
+    triples = rfm.dropna(subset=["user_id", *cols]).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    ranked = materialize(unique_rank(materialize(triples, "triples"), cols, "rank"), "triples_ranked")
+    stats = feature_stats(ranked, params, "n")
+    distinct = ranked.count()
+    parts = max(1, -(-distinct // TRIPLES_PER_PARTITION))
+    part = F.floor((F.col("rank") - 1) / TRIPLES_PER_PARTITION).cast("int")
+    placed = ranked.repartition(parts, part).sortWithinPartitions("rank")
+    z = [((F.col(c) - F.lit(stats[f"{c}_mean"] or 0.0)) / F.lit(stats[f"{c}_std"] or 1.0)).alias(f"z_{c}") for c in cols]
+    feats = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(placed.select(*cols, "n", *z))
+    return feats, stats | {"distinct": distinct}
+
+
+def _fits(triples: DataFrame, ks: list[int], params: ClusterParams, mean_variance: float, parallel_fits: int) -> list[KMeansModel]:
+    """A model for each k.  The fits are independent distributed jobs: submitted from driver
+    threads, their small iterations overlap instead of queueing one after another."""
+    cached = triples.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, len(ks)))) as pool:
-            rows = sorted(pool.map(cost, ks))
+            return list(pool.map(lambda k: _kmeans(k, params, mean_variance).fit(cached), ks))
     finally:
         cached.unpersist()
-    return spark.createDataFrame(rows, schema)
 
 
-def assign(features: DataFrame, k: int, params: ClusterParams = _P, mean_variance: float = 1.0) -> DataFrame:
-    """``user_id``, raw features and ``cluster`` (k = 1: everyone in cluster 0)."""
-    keep = ["user_id", *params.features]
+def _ks(n: int, params: ClusterParams) -> list[int]:
+    lo, hi = params.k_range
+    return list(range(lo, min(hi, n) + 1)) if n >= 2 else []
+
+
+def elbow(triples: DataFrame, stats: dict, params: ClusterParams = _P, parallel_fits: int = 8) -> DataFrame:
+    """Inertia (sum over users of the squared distance to the nearest center) for k =
+    k_min..min(k_max, users); empty for fewer than 2 users.  Rows ``k, inertia``."""
+    ks = _ks(stats["n"], params)
+    models = _fits(triples, ks, params, _mean_variance(stats, params), parallel_fits) if ks else []
+    rows = [(k, float(m.summary.trainingCost)) for k, m in zip(ks, models)]
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("inertia", T.DoubleType())])
+    return triples.sparkSession.createDataFrame(rows, schema)
+
+
+def assign(rfm: DataFrame, triples: DataFrame, stats: dict, k: int, params: ClusterParams = _P) -> DataFrame:
+    """``user_id``, raw features and ``cluster`` (k = 1: everyone in cluster 0).  Users with
+    a null feature are left out."""
+    cols = list(params.features)
+    users = rfm.select("user_id", *cols).dropna(subset=["user_id", *cols])
     if k == 1:
-        return features.select(*keep, F.lit(0).alias("cluster"))
-    model = _kmeans(k, params, mean_variance).fit(features)
-    return model.transform(features).select(*keep, F.col("cluster").cast("int").alias("cluster"))
+        return users.select("user_id", *cols, F.lit(0).alias("cluster"))
+    model = _fits(triples, [k], params, _mean_variance(stats, params), 1)[0]
+    placed = materialize(model.transform(triples).select(*cols, F.col("cluster").cast("int").alias("cluster")), "clusters")
+    return users.join(placed, cols).select("user_id", *cols, "cluster")
+
+
+def kmeans_certificate(triples: DataFrame, stats: dict, params: ClusterParams = _P, parallel_fits: int = 8) -> DataFrame:
+    """A proof of the clusterings for each k of the elbow, whose figures don't depend on which
+    clustering was found: ``k, users, total`` (sum of squares around the mean of all, 4
+    places), ``adds_up`` (the sums of squares within clusters, around their means, and
+    between the means give the total) and ``misplaced`` (users nearer to another cluster's mean
+    than to their own: 0 at a fixed point of k-means, which ``tol`` = 0 asks for)."""
+    ks = _ks(stats["n"], params)
+    spark = triples.sparkSession
+    z = [f"z_{c}" for c in params.features]
+    rows = []
+    models = _fits(triples, ks, params, _mean_variance(stats, params), parallel_fits) if ks else []
+    for k, model in zip(ks, models):
+        placed = model.transform(triples).select("n", *z, "cluster")
+        means = placed.groupBy("cluster").agg(F.sum("n").alias("n"), *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in z]).collect()  # k rows
+
+        def apart(mean) -> Column:
+            return reduce(add, [(F.col(c) - F.lit(mean[c])) ** 2 for c in z])
+
+        own = reduce(lambda e, m: F.when(F.col("cluster") == m["cluster"], apart(m)).otherwise(e), means, F.lit(None).cast("double"))
+        nearest = F.least(*[apart(m) for m in means], F.lit(float("inf")))
+        within, total, misplaced = placed.agg(
+            F.sum(own * F.col("n")), F.sum(reduce(add, [F.col(c) ** 2 for c in z]) * F.col("n")),
+            F.sum(F.when(own > nearest + 1e-9, F.col("n")).otherwise(0))).first()
+        between = sum(m["n"] * sum(m[c] ** 2 for c in z) for m in means)
+        rows.append((k, int(stats["n"]), total, abs(within + between - total) <= 1e-9 * max(total, 1.0), int(misplaced)))
+    made = spark.createDataFrame(rows, "k int, users long, total double, adds_up boolean, misplaced long")
+    return made.withColumn("total", half_even("total", 4))
 
 
 def cluster_means(clustered: DataFrame, keys=("cluster",)) -> DataFrame:
@@ -202,75 +273,49 @@ def level_clusters(scored_rfm: DataFrame) -> DataFrame:
     return scored_rfm.select("user_id", *METRICS, code.alias("cluster"))
 
 
-def seeded_sample(df: DataFrame, n: int, seed: int = _P.seed, key: str = "user_id") -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, repeatable: the rows with the n smallest
-    ``xxhash64(key, seed)`` (ties by key).
-
-    A plain ``orderBy(h).limit(n)`` would make every task ship its best n rows to one
-    partition (tasks x n rows).  Since the hash is uniform over the 64-bit range, a
-    map-only pre-filter ``h < threshold`` sized for about 1.2 n rows keeps only the
-    candidates; the threshold is widened until at least n rows pass, so the result is
-    exactly the n smallest hashes.  The final top-n then sorts about 1.2 n rows."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    total = df.count()
-    if total <= n:
-        return df
-    frac = min(1.0, 1.2 * n / total + 64.0 / total)
-    while True:
-        if frac >= 1.0:
-            cand = df
-            break
-        threshold = int(-(2 ** 63) + frac * (2 ** 64))
-        cand = df.filter(h < F.lit(threshold))
-        if cand.count() >= n:
-            break
-        frac *= 2
-    return cand.orderBy(h, F.col(key)).limit(n)
-
-
-def pca_coordinates(features: DataFrame, k: int = 2, center: bool = True) -> DataFrame:
-    """2-D PCA coordinates ``pca_1, pca_2`` of the ``features`` vector.  Spark's PCA
-    does not center in ``transform``, so the vectors are centered by their own mean
-    first (standardized columns are already centered; a sample is not)."""
-    cols = [c for c in features.columns if c.startswith("z_")]
-    data = features
-    if center:
-        means = features.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
-        data = features.select(
-            *[c for c in features.columns if c not in cols and c != "features"],
-            *[(F.col(c) - F.lit(means[c] or 0.0)).alias(c) for c in cols],
-        )
-        data = VectorAssembler(inputCols=cols, outputCol="features").transform(data)
-    model = PCA(k=k, inputCol="features", outputCol="_pca").fit(data)
-    arr = vector_to_array("_pca")
-    keep = [c for c in data.columns if c != "features" and not c.startswith("z_")]
-    return model.transform(data).select(*keep, *[arr[i].alias(f"pca_{i + 1}") for i in range(k)])
-
-
-def prepared_features(rfm: DataFrame, params: ClusterParams = _P) -> tuple[DataFrame, int, float]:
-    """Standardized features, stored once for the k-means jobs that read them.
-    Returns ``(features, n, mean_variance)``."""
-    st = feature_stats(rfm, params)
-    n = int(st["n"])
-    feats = standardize(rfm, params, st)
-    if n > 1:
-        # k-means runs one small job per iteration: size the partitions by the data
-        # (about FEATURE_PARTITION_BYTES each) instead of the shuffle-partition count
-        wanted = max(1, -(-n * FEATURE_ROW_BYTES // FEATURE_PARTITION_BYTES))
-        if wanted < feats.rdd.getNumPartitions():
-            feats = feats.coalesce(wanted)
-        feats = _stored(feats)
-    return feats, n, _mean_variance(st, params)
+def seeded_sample(df: DataFrame, n: int, seed: int = _P.seed, key: str = "user_id", fan_in: int = 32) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows, repeatable: those of the n smallest MD5 of ``seed:key``
+    (ties by key).
+
+    One scan and a tree of merges: each partition keeps its n best (Spark limits a rank
+    window within the map task), ``fan_in`` partitions' rows meet in one task that keeps n,
+    and so on until few enough are left for the last top-n; a task never gets more than
+    ``fan_in`` x n rows, whatever the number of partitions."""
+    h, place, at = "_hash", "_place", "_at"
+    out = df.withColumn(h, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn(place, F.spark_partition_id())
+    left = df.rdd.getNumPartitions()
+    while left > fan_in:
+        left = -(-left // fan_in)
+        group = F.floor(F.col(place) / fan_in).cast("int")
+        best = Window.partitionBy(place).orderBy(h, key)
+        out = out.withColumn(place, group).withColumn(at, F.row_number().over(best)).where(F.col(at) <= n).drop(at)
+    return out.orderBy(h, key).limit(n).drop(h, place)
+
+
+def pca_coordinates(features: DataFrame, stats: dict, params: ClusterParams = _P, k: int = 2) -> DataFrame:
+    """``user_id``, raw features and PCA coordinates ``pca_1..pca_k`` of the standardized
+    features, which are the correlations' eigenvectors: one aggregate (``feature_stats``), a
+    symmetric 3 x 3 matrix on the driver, and a map.  Each axis points so that its largest
+    loading (the first of equal ones) is positive."""
+    cols = list(params.features)
+    matrix = np.array([[stats[f"{a}_{b}"] if f"{a}_{b}" in stats else stats[f"{b}_{a}"] for b in cols] for a in cols])
+    values, vectors = np.linalg.eigh(matrix)
+    axes = []
+    for i in np.argsort(-values, kind="stable")[:k]:
+        axis = vectors[:, i]
+        axes.append(axis * np.sign(axis[np.argmax(np.round(np.abs(axis), 9))]))
+    coordinate = lambda axis: reduce(add, [F.col(f"z_{c}") * F.lit(float(x)) for c, x in zip(cols, axis)])
+    return features.select("user_id", *cols, *[coordinate(a).alias(f"pca_{i}") for i, a in enumerate(axes, 1)])
 
 
 def clustering_run(rfm: DataFrame, params: ClusterParams = _P, k: int | None = None,
                    with_elbow: bool = True) -> tuple[DataFrame, DataFrame | None, int]:
-    """features -> (elbow) -> assignment at the resolved k -> labels.
+    """triples -> (elbow) -> assignment at the resolved k -> labels.
     Returns ``(labelled, elbow, k)``."""
-    feats, n, mv = prepared_features(rfm, params)
-    kk = resolve_k(n, params.k if k is None else k)
-    eb = elbow(feats, params, n, mean_variance=mv) if with_elbow else None
-    labelled = with_labels(assign(feats, kk, params, mv))
+    triples, stats = feature_triples(rfm, params)
+    kk = resolve_k(stats["n"], params.k if k is None else k)
+    eb = elbow(triples, stats, params) if with_elbow else None
+    labelled = with_labels(assign(rfm, triples, stats, kk, params))
     return labelled, eb, kk
 
 

