@@ -2,8 +2,8 @@
 
 Users of equal (R, F, M) are one point: k-means is fitted on the table of distinct triples
 with the number of users as the weight (``weightCol``), so its size follows the distinct
-values, not the users, and the cluster is joined back on the triple.  The triples stand in
-one fixed order and in partitions of ``TRIPLES_PER_PARTITION`` by that order, and means and
+values, not the users, and the cluster is joined back on the triple.  The triples' own
+hashes and order decide their partitions and places, and means and
 deviations come from exact integer sums: labels and inertia don't depend on how the input
 is partitioned.  Standardization uses the population standard deviation and centers the
 columns (Spark ML's ``StandardScaler`` would use the sample deviation and not center); a
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickscope.functions.numeric import half_even
-from clickscope.operators.rank import unique_rank
 from clickscope.params import (
     CLUSTER_LABEL_RECENT,
     CLUSTER_LABEL_SILENT,
@@ -58,7 +57,7 @@ def _root(square: int, scale: int) -> float:
 
 
 def feature_stats(rfm: DataFrame, params: ClusterParams = _P, weight: str | None = None) -> dict:
-    """``n`` and the mean, population deviation and variance of each integer feature, and the
+    """``n``, ``rows`` (unweighted) and the mean, population deviation and variance of each integer feature, and the
     correlations ``a_b`` of each two (0 with a constant one).  Rows with a null feature don't
     count.  From exact sums: the same for any order of the rows."""
     cols = list(params.features)
@@ -66,10 +65,10 @@ def feature_stats(rfm: DataFrame, params: ClusterParams = _P, weight: str | None
     wide = {c: F.col(c).cast("decimal(19,0)") for c in cols}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     r = rfm.dropna(subset=cols).agg(
-        F.sum(w).alias("n"), *[F.sum((w * wide[c]).cast("decimal(38,0)")).alias(c) for c in cols],
+        F.sum(w).alias("n"), F.count(F.lit(1)).alias("rows"), *[F.sum((w * wide[c]).cast("decimal(38,0)")).alias(c) for c in cols],
         *[F.sum((w * wide[a] * wide[b]).cast("decimal(38,0)")).alias(f"{a}_{b}") for a, b in pairs]).first()
     n = int(r["n"] or 0)
-    st: dict = {"n": n}
+    st: dict = {"n": n, "rows": r["rows"]}
     spread = {(a, b): n * int(r[f"{a}_{b}"] or 0) - int(r[a] or 0) * int(r[b] or 0) for a, b in pairs}
     for c in cols:
         st[f"{c}_mean"] = int(r[c] or 0) / n if n else None
@@ -119,18 +118,14 @@ def _kmeans(k: int, params: ClusterParams, mean_variance: float = 1.0) -> KMeans
 
 def feature_triples(rfm: DataFrame, params: ClusterParams = _P) -> tuple[DataFrame, dict]:
     """The distinct triples with ``n`` (users), ``z_`` columns and ``features``, and the
-    ``feature_stats``.  Stored in order, in partitions that only the table itself decides."""
+    ``feature_stats``.  Dealt by the hash of the triple and sorted within, into a number of
+    partitions that only the table itself decides."""
     cols = list(params.features)
-    triples = rfm.dropna(subset=["user_id", *cols]).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-    ranked = materialize(unique_rank(materialize(triples, "triples"), cols, "rank"), "triples_ranked")
-    stats = feature_stats(ranked, params, "n")
-    distinct = ranked.count()
-    parts = max(1, -(-distinct // TRIPLES_PER_PARTITION))
-    part = F.floor((F.col("rank") - 1) / TRIPLES_PER_PARTITION).cast("int")
-    placed = ranked.repartition(parts, part).sortWithinPartitions("rank")
+    triples = materialize(rfm.dropna(subset=["user_id", *cols]).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")), "triples")
+    stats = feature_stats(triples, params, "n")
+    placed = triples.repartition(max(1, -(-stats["rows"] // TRIPLES_PER_PARTITION)), *cols).sortWithinPartitions(*cols)
     z = [((F.col(c) - F.lit(stats[f"{c}_mean"] or 0.0)) / F.lit(stats[f"{c}_std"] or 1.0)).alias(f"z_{c}") for c in cols]
-    feats = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(placed.select(*cols, "n", *z))
-    return feats, stats | {"distinct": distinct}
+    return VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(placed.select(*cols, "n", *z)), stats
 
 
 def _fits(triples: DataFrame, ks: list[int], params: ClusterParams, mean_variance: float, parallel_fits: int) -> list[KMeansModel]:

@@ -14,9 +14,8 @@ the partition numbers are fixed and lineage is cut.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,47 +79,50 @@ class Statistic:
     equal: int
 
 
-def order_statistics(df: DataFrame, wanted: dict, bounds: dict, weight: str | None = None,
-                     cell_bits: int = 16) -> dict:
+def order_statistics(df: DataFrame, wanted: dict, bounds: dict, weight: str | None = None, cell_bits: int = 14) -> tuple[dict, dict]:
     """Exact order statistics of integer columns by narrowing range counts, without a sort.
 
     ``wanted``: name -> ``(condition or None, column, ranks)``, the ranks (from 1) asked for
     among the rows of the condition; ``bounds``: name -> (least, greatest) value.  Rows count
-    ``weight`` times.  Returns ``(name, rank) -> Statistic``.
+    ``weight`` times.  Returns ``(name, rank) -> Statistic`` and, by name, the number of
+    distinct values (at least that many where ``bounds`` span more than the cells).
 
-    A round cuts each open range into at most ``2^cell_bits + 1`` cells, counts rows by cell
-    (one aggregate for all ranges, combined before its shuffle) and keeps the cell that holds
-    the rank; the window runs over cells, never over rows.  A range of 65,536 values or fewer
-    takes one round, 64 bits take four."""
+    A round cuts each open range into at most ``2^cell_bits + 1`` cells and counts rows by
+    cell: one aggregate for all ranges, combined before its shuffle, whose cells alone reach
+    the driver.  16,384 values take one round, 64 bits take five."""
     open_ = {(name, k): (*bounds[name], 0) for name, (_, _, ks) in wanted.items() for k in ks}
-    done: dict = {}
+    done, distinct = {}, {}
     while open_:
-        groups = sorted({(name, lo, hi, below) for (name, _), (lo, hi, below) in open_.items()}, key=str)
+        groups = sorted({(name, *at) for (name, _), at in open_.items()}, key=str)
         shifts = [max(0, (hi - lo).bit_length() - cell_bits) for _, lo, hi, _ in groups]
-        cells, hits = [], []
-        for g, ((name, lo, hi, below), shift) in enumerate(zip(groups, shifts)):
+        cells = []
+        for g, ((name, lo, hi, _), shift) in enumerate(zip(groups, shifts)):
             condition, column, _ = wanted[name]
             value = F.col(column).cast("long")
             inside = value.between(lo, hi) if condition is None else condition & value.between(lo, hi)
             cells.append(F.when(inside, F.struct(F.lit(g).alias("g"), F.shiftright(value, shift).alias("cell"))))
-            hits += [(F.col("g") == g) & (F.col("upto") >= k - below) & (F.col("upto") - F.col("n") < k - below)
-                     for (other, k), at in open_.items() if (other, *at) == groups[g]]
         rows = F.lit(1).cast("long") if weight is None else F.col(weight)
         counts = (df.select(rows.alias("n"), F.explode(F.array_compact(F.array(*cells))).alias("c"))
-                  .groupBy("c.g", "c.cell").agg(F.sum("n").alias("n"))
-                  .withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("cell"))))
-        found = counts.where(reduce(or_, hits)).collect()  # a row a rank at most
+                  .groupBy("c.g", "c.cell").agg(F.sum("n").alias("n")).collect())
+        of = defaultdict(list)
+        for r in sorted(counts, key=lambda r: r["cell"]):
+            of[r["g"]].append((r["cell"], r["n"]))
         left = {}
         for (name, k), (lo, hi, below) in open_.items():
             g = groups.index((name, lo, hi, below))
-            cell = next(r for r in found if r["g"] == g and r["upto"] - r["n"] < k - below <= r["upto"])
-            first, before = cell["cell"] << shifts[g], below + cell["upto"] - cell["n"]
+            distinct.setdefault(name, len(of[g]))
+            before = below
+            for cell, n in of[g]:
+                if k <= before + n:
+                    break
+                before += n
+            first = cell << shifts[g]
             if shifts[g] == 0:
-                done[name, k] = Statistic(first, before, cell["n"])
+                done[name, k] = Statistic(first, before, n)
             else:
                 left[name, k] = (max(lo, first), min(hi, first + (1 << shifts[g]) - 1), before)
         open_ = left
-    return done
+    return done, distinct
 
 
 def unique_ranks(df: DataFrame, metrics: list[str], tie_col: str = "user_id", suffix: str = "_rank",

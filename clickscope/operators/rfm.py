@@ -3,8 +3,8 @@
 Per-user aggregates are hash aggregates with map-side combine; the distinct category
 count is planned as an aggregate on ``(user, category)`` first, so one heavy buyer is
 spread over categories and pre-reduced.  Scores don't rank the users: the limits of the
-quantile bins and the medians are order statistics of the value-count tables of the three
-metrics (``value_counts``), found by range counts, and where a limit falls among users of
+quantile bins and the medians are order statistics of the value counts of the three
+metrics, found by range counts, and where a limit falls among users of
 one value, a second selection finds the user id that parts them.  So a score is an
 expression over literals, and no step sorts users or holds all values in one task.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from clickscope.functions.numeric import half_even
@@ -65,29 +65,36 @@ def value_counts(rfm: DataFrame) -> DataFrame:
     return stacked.groupBy("v.metric", "v.value").agg(F.sum("n").alias("n"))
 
 
-def _ranks_of(counts: DataFrame, stats: dict, ranks: dict) -> dict:
-    """Order statistics of the metrics: ``ranks`` maps a metric to the ranks asked for."""
-    wanted = {m: (F.col("metric") == m, "value", ks) for m, ks in ranks.items() if ks}
-    return order_statistics(counts, wanted, {m: (stats[m]["least"], stats[m]["most"]) for m in wanted}, "n")
-
-
 def _middle(n: int) -> tuple[int, int]:
     return (n + 1) // 2, n // 2 + 1
 
 
-def rfm_stats(counts: DataFrame, bins: int | None = None) -> dict:
-    """Of a value-count table: per metric ``n, distinct, least, most``, the exact ``median``
-    and, for ``bins``, the order statistics of the bins' upper ranks (``limits``; none for a
-    metric of fewer values than bins).  Empty for an empty table."""
-    rows = counts.groupBy("metric").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"),
-                                        F.min("value").alias("least"), F.max("value").alias("most")).collect()
-    stats = {r["metric"]: r.asDict() for r in rows}  # three rows
-    limits = {m: bin_limits(s["n"], bins) if bins and s["distinct"] >= bins else [] for m, s in stats.items()}
-    found = _ranks_of(counts, stats, {m: sorted({*_middle(s["n"]), *limits[m]}) for m, s in stats.items()})
-    for m, s in stats.items():
-        low, high = (found[m, k].value for k in _middle(s["n"]))
-        s["median"] = (low + high) / 2.0
-        s["limits"] = [(k, found[m, k]) for k in limits[m]]
+def stored_with_bounds(rfm: DataFrame) -> tuple[DataFrame, dict]:
+    """``rfm`` stored, its row count ``n`` and the least and greatest of each metric and of
+    the user ids, observed while it is written."""
+    seen = Observation()
+    ends = [f(F.col(c).cast("long")).alias(f"{c}_{f.__name__}") for c in (*METRICS, "user_id") for f in (F.min, F.max)]
+    stored = materialize(rfm.observe(seen, F.count(F.lit(1)).alias("n"), *ends), "rfm")
+    return stored, seen.get
+
+
+def rfm_stats(rfm: DataFrame, ends: dict, bins: int | None = None) -> dict:
+    """Per metric the exact ``median`` and, for ``bins``, the order statistics of the bins'
+    upper ranks (``limits``; none for a metric of fewer values than bins), from the counts of
+    the triples.  Empty for an empty table."""
+    n = ends["n"]
+    if not n:
+        return {}
+    limits = bin_limits(n, bins) if bins else []
+    bounds = {m: (ends[f"{m}_min"], ends[f"{m}_max"]) for m in METRICS}
+    found, distinct = order_statistics(value_triples(rfm), {m: (None, m, sorted({*_middle(n), *limits})) for m in METRICS}, bounds, "n")
+    stats = {}
+    for m in METRICS:
+        low, high = (found[m, k].value for k in _middle(n))
+        enough = not bins or distinct[m] >= bins
+        if not enough and bounds[m][1] - bounds[m][0] >= 1 << 14:  # few cells, but of many values each
+            enough = rfm.agg(F.count_distinct(m)).first()[0] >= bins
+        stats[m] = {"median": (low + high) / 2.0, "limits": [(k, found[m, k]) for k in limits] if enough else []}
     return stats
 
 
@@ -109,15 +116,12 @@ def segment_of(r: Column, f: Column, m: Column) -> Column:
     return F.element_at(F.create_map(*pairs), key)
 
 
-def _parting_ids(rfm: DataFrame, stats: dict) -> dict:
+def _parting_ids(rfm: DataFrame, ends: dict, stats: dict) -> dict:
     """``(metric, upper rank) -> user id``: where a limit falls among users of one value, the
     last of them (by id) in the lower bin."""
     ties = {(m, k): at for m, s in stats.items() for k, at in s["limits"] if at.below < k < at.below + at.equal}
-    if not ties:
-        return {}
-    least, most = rfm.agg(F.min("user_id").cast("long"), F.max("user_id").cast("long")).first()
     wanted = {t: (F.col(t[0]) == at.value, "user_id", [t[1] - at.below]) for t, at in ties.items()}
-    found = order_statistics(rfm, wanted, dict.fromkeys(wanted, (least, most)))
+    found, _ = order_statistics(rfm, wanted, dict.fromkeys(wanted, (ends["user_id_min"], ends["user_id_max"])))
     return {t: found[t, t[1] - at.below].value for t, at in ties.items()}
 
 
@@ -140,14 +144,14 @@ def score_rfm(rfm: DataFrame, params: RfmParams = _P) -> DataFrame:
     r/f/m levels (median split, ties high) and the segment.  A metric with fewer
     distinct values than bins is scored by the median split.  Rank ties break by
     ascending ``user_id`` (an integer)."""
-    rfm = materialize(rfm)  # read by the counts, by the selection of ids and by the scoring
+    rfm, ends = stored_with_bounds(rfm)  # read by the counts, by the selection of ids and by the scoring
     out, q = rfm, params.score_bins
-    stats = rfm_stats(materialize(value_counts(rfm), "value_counts"), q)
+    stats = rfm_stats(rfm, ends, q)
     if not stats:
         for c in SCORE_COLUMNS[:-1]:
             out = out.withColumn(c, F.lit(None).cast("tinyint"))
         return out.withColumn("segment", F.lit(None).cast("string"))
-    parting = _parting_ids(rfm, stats)
+    parting = _parting_ids(rfm, ends, stats)
     for m in METRICS:
         s = SHORT[m]
         if stats[m]["limits"]:
@@ -173,8 +177,8 @@ def rfm_ranks(rfm: DataFrame) -> DataFrame:
 
 def rfm_levels(rfm: DataFrame) -> DataFrame:
     """Median-split levels and the medians they used."""
-    rfm = materialize(rfm)
-    stats = rfm_stats(materialize(value_counts(rfm), "value_counts"))
+    rfm, ends = stored_with_bounds(rfm)
+    stats = rfm_stats(rfm, ends)
     median = {m: stats[m]["median"] if stats else None for m in METRICS}
     return rfm.select(
         "user_id",

@@ -516,9 +516,8 @@ def q_load_cleaned_batches(spark, sf_dir):
 
 @query("compacted_cleaned")
 def q_compacted(spark, sf_dir):
-    """Write with an observed row count; a small result is compacted to one file."""
-    base = shared_path(spark, "compact")
-    path, _ = K.write_compacted(cleaned_events(spark, sf_dir), f"{base}/final", f"{base}/staging")
+    """Write in files of AQE's advisory size, with an observed row count."""
+    path, _ = K.write_compacted(cleaned_events(spark, sf_dir), shared_path(spark, "compact"))
     return spark.read.parquet(path).select(*CLEANED_COLUMNS)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROW_GROUP_ROWS = 1_000_000
-COMBINE_ROW_LIMIT = 2_000_000  # below this many rows the result is one file
 
 
 def write_cleaned(cleaned: DataFrame, path: str, partition_by_date: bool = False,
@@ -42,18 +41,13 @@ def write_cleaned_observed(cleaned: DataFrame, path: str, **kw) -> dict:
     return obs.get
 
 
-def write_compacted(df: DataFrame, path: str, staging: str, limit: int = COMBINE_ROW_LIMIT,
-                    **kw) -> tuple[str, int]:
-    """Write ``df`` to ``staging`` while counting its rows; a result of at most ``limit``
-    rows is then rewritten as one file at ``path`` (a second pass over a small table
-    only), a larger one is left where it is.  Returns ``(final path, rows)``."""
-    rows = int(write_cleaned_observed(df, staging, **kw)["final_rows"])
-    if rows > limit:
-        return staging, rows
-    spark = df.sparkSession
-    (spark.read.parquet(staging).coalesce(1).write.mode("overwrite")
-     .option("compression", "zstd").parquet(path))
-    return path, rows
+def write_compacted(df: DataFrame, path: str, **kw) -> tuple[str, int]:
+    """Write ``df`` in files of AQE's advisory size and count its rows in the same pass.
+    Returns ``(path, rows)``.
+
+    One way for every size: the ``REBALANCE`` hint lets AQE merge small shuffle partitions
+    (a small result is one file) and split large ones, whichever way the rows were dealt."""
+    return path, int(write_cleaned_observed(df.hint("rebalance"), path, **kw)["final_rows"])
 
 
 def write_summary_json(summary: DataFrame, path: str) -> str:
