@@ -174,6 +174,24 @@ def test_decontamination_with_short_items_and_slices(spark):
         assert sorted((r["doc_id"], r["n_words"], r["n_hit"], len(r["items"])) for r in got) == [w[:4] for w in want]
 
 
+def test_long_clean_texts_stay_clean(spark):
+    """A noisy-or over all sentences would call a text toxic for its length."""
+    from clickscope.llm import toxicity as t
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    model = t.fit(t._sample(docs, labels, t.ToxicityParams(), "doc_id", "text", "toxic", t.held_out_fifth))
+    one = t.score(docs, model).toPandas()
+    clean = one[one.score < 0.5].text.dropna().tolist()
+    assert len(clean) > 300
+    joined = [(k, ". ".join(clean[:k])) for k in (10, 100, 300)] + [(0, ""), (-1, None)]
+    got = {r["k"]: r for r in t.score(spark.createDataFrame(joined, "k int, text string"), model).collect()}
+    assert all(r["score"] < 0.5 for r in got.values()) and got[0]["score"] == got[-1]["score"] == 0
+    toxic = one[one.score >= 0.9].text.iloc[0]
+    long = t.score(spark.createDataFrame([(1, got[300]["text"] + ".\n" + toxic)], "k int, text string"), model).first()
+    assert long["score"] >= 0.9 and long["worst_sentence"]["start"] > len(got[300]["text"])
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     got = _query(spark, "op6_toxicity", sf).toPandas()
@@ -183,7 +201,7 @@ def test_toxicity_on_held_out_documents(spark):
     own = got[got.held_out].merge(labels, on="doc_id")
     hit, positive = ((own.predicted == 1) & (own.toxic == 1)).sum(), (own.toxic == 1).sum()
     # some of this table's toxic documents hold none of the words that mark the others
-    assert hit / positive > 0.8
+    assert hit / positive > 0.85
     assert hit / (own.predicted == 1).sum() > 0.97
     above = own.score.rank()[own.toxic == 1].sum() / positive - (positive + 1) / 2
     assert above / (own.toxic == 0).sum() > 0.97
