@@ -1,16 +1,16 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence is toxic with probability sigmoid(bias +
-sum of its distinct words' weights), and 0 if it has no word of the model; a document is
-toxic if one of its sentences is (noisy-or: 1 - product of (1 - p)).  Only document labels
-are known; the gradient of their likelihood passes through the noisy-or to the sentences.
+sum of its distinct words' weights); a document is toxic if one of its sentences is
+(noisy-or: 1 - product of (1 - p), in training over the sentences with words of the model).
+Only document labels are known; the gradient of their likelihood passes through the noisy-or to the sentences.
 A word's weight is the sum over its features: the word and its first letters, so that
 inflected and compound forms share what is learned.  The sentence scores then locate the
 offending sentences.
 
 Small probabilities add up in a noisy-or, so a long text of clean sentences would come out
-toxic by its length alone: the score is the noisy-or of the offending sentences, or the
-largest p where none offends.  A sentence offends from the trained p of ``offending`` on (in
+toxic by its length alone: the score is the noisy-or of the offending sentences, or 0.49
+of that of all where none offends (which ranks such texts).  A sentence offends from the trained p of ``offending`` on (in
 threefold cross-validation on training documents of one table, the value of 0.2, 0.3, 0.4
 and 0.5 with the most hits less false alarms); the model's bias is moved so that this is 0.5.
 
@@ -85,22 +85,21 @@ def _log_clean(model: ToxicityModel, text: str | None, known: dict[str, float])
     """(start, end, log of (1 - p)) of each sentence."""
     out = []
     for start, end, words in sentences(text):
-        z, any_known = model.bias, False
+        z = model.bias
         for w in words:
             if (s := known.get(w)) is None:
                 if len(known) >= _KEPT_WORDS:
                     known.clear()
                 s = known[w] = model.word(w)
-            any_known |= s != 0.0
             z += s
-        out.append((start, end, -np.logaddexp(0.0, z) if any_known else 0.0))
+        out.append((start, end, -np.logaddexp(0.0, z)))
     return out
 
 
 def text_score(clean: list[float]) -> float:
     """The score of a text from its sentences' logs of (1 - p)."""
-    least = min(clean, default=0.0)
-    return float(-np.expm1(sum(c for c in clean if c <= _HALF) if least <= _HALF else least))
+    offending = [c for c in clean if c <= _HALF]
+    return float(-np.expm1(sum(offending))) if offending else float(-0.49 * np.expm1(sum(clean)))
 
 
 def _sample(documents: DataFrame, labels: DataFrame, params: ToxicityParams, id_col: str, text_col: str, label_col: str, held_out) -> DataFrame:
