@@ -59,7 +59,7 @@ class CollocationParams:
     scale: int = 2_000_000
     absorb_percent: int = 80
     top: int = 2_000
-    slice_phrases: int = 1_000_000
+    slice_phrases: int = 250_000
 
 
 def text_words(text: bytes | None) -> list[bytes]:
@@ -224,7 +224,7 @@ def distinct_rows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarr
 
 
 def frequent_phrases(texts: DataFrame, before: DataFrame, k: int, min_count: int) -> DataFrame:
-    """The phrases ``w1..wk`` that may have ``min_count`` places: both parts of k - 1 words
+    """The phrases ``w1..wk`` (stored) that may have ``min_count`` places: both parts of k - 1 words
     are in the bitmap of ``before`` and the sum over all tasks reaches it."""
     shared = texts.sparkSession.sparkContext.broadcast(phrase_bitmap(before, k - 1))
     names = [*_names(k), "n"]
@@ -255,7 +255,9 @@ def frequent_phrases(texts: DataFrame, before: DataFrame, k: int, min_count: int
             yield flush()
 
     found = texts.select("codes").mapInArrow(run, ", ".join(f"{x} long" for x in names))
-    return found.groupBy(*_names(k)).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).drop("n")
+    found = materialize(found.groupBy(*_names(k)).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).drop("n"), f"phrases_{k}")
+    shared.destroy()
+    return found
 
 
 Trie = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -371,6 +373,7 @@ def trie_counts(texts: DataFrame, phrases: DataFrame, max_words: int, slice_phra
 
         part = texts.select("codes").mapInArrow(run, "rank_ long, f long")
         part = materialize(part.groupBy("rank_").agg(F.sum("f").alias("f")), "trie_counts")
+        shared.destroy()
         counted = part if counted is None else counted.unionAll(part)
     if counted is None:
         return phrases.withColumn("f", F.lit(0).cast("long"))
@@ -426,7 +429,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     usual = materialize(words.where(F.col("n") >= params.min_count), "frequent_words")
     level, levels = usual.select(F.col("hash").alias("w1")), []
     for k in range(2, params.max_words + 1):
-        level = materialize(frequent_phrases(texts, level, k, params.min_count), f"phrases_{k}")
+        level = frequent_phrases(texts, level, k, params.min_count)
         levels.append(level.select(*_phrase(k, params.max_words)))
     found = levels[0]
     for more in levels[1:]:
