@@ -299,6 +299,16 @@ def rfm_summary_document(scored: DataFrame) -> dict:
     }
 
 
+def rfm_document(scored: DataFrame) -> DataFrame:
+    """The RFM summary document as a one-row table: ``total_buy_users`` and maps by segment
+    (``segment_counts``, ``segment_ratio``, ``rfm_mean_by_segment``); no row without buyers."""
+    parts = rfm_summary(scored).join(F.broadcast(rfm_segment_means(scored)), "segment")  # at most 8 rows each
+    by = lambda value: F.map_from_entries(F.collect_list(F.struct("segment", value)))
+    return parts.groupBy("total_buy_users").agg(
+        by(F.col("user_count")).alias("segment_counts"), by(F.col("user_ratio")).alias("segment_ratio"),
+        by(F.struct(*METRICS)).alias("rfm_mean_by_segment"))
+
+
 def load_or_build(spark, path: str, build, refresh: bool = False) -> DataFrame:
     """The stored RFM table at ``path`` if present (and not ``refresh``); otherwise
     ``build()`` is computed, written to ``path`` and read back."""

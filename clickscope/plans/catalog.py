@@ -20,7 +20,7 @@ from clickscope.operators import funnel as FN
 from clickscope.operators import rfm as RF
 from clickscope.params import ClusterParams
 from clickscope.plans.inputs import EVENTS_CLEAN, ORDERS_RFM, cleaned_events, funnel_input, order_buys, raw_events
-from clickscope.schemas import CLEANED, CLEANED_COLUMNS, CLEANING_SUMMARY, FUNNEL_SUMMARY
+from clickscope.schemas import CLEANED, CLEANED_COLUMNS, CLEANING_SUMMARY, FUNNEL_SUMMARY, RFM_DOCUMENT
 from clickscope.session import ensure_checkpoint_dir, materialize, shared_path
 from clickscope.sources import raw as R
 from clickscope.sources import sinks as K
@@ -318,6 +318,17 @@ def q_rfm_summary(spark, sf_dir):
     return RF.rfm_summary(_scored_orders(spark, sf_dir))
 
 
+@query("rfm_document")
+def q_rfm_document(spark, sf_dir):
+    """The RFM summary document written as JSON and read back; one row per segment."""
+    path = shared_path(spark, "rfm_document_json")
+    K.write_summary_json(RF.rfm_document(_scored_orders(spark, sf_dir)), path)
+    back = K.read_summary_json(spark, path, RFM_DOCUMENT)
+    rows = back.select("total_buy_users", "segment_ratio", "rfm_mean_by_segment", F.explode("segment_counts").alias("segment", "user_count"))
+    return rows.select("total_buy_users", "segment", "user_count", F.col("segment_ratio")[F.col("segment")].alias("user_ratio"),
+                       *[F.col("rfm_mean_by_segment")[F.col("segment")][m].alias(m) for m in RF.METRICS])
+
+
 @query("rfm_segment_means")
 def q_rfm_segment_means(spark, sf_dir):
     return RF.rfm_segment_means(_scored_orders(spark, sf_dir))

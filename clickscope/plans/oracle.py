@@ -299,6 +299,10 @@ SELECT user_id, CAST(CASE WHEN recency <= rmed THEN 2 ELSE 1 END AS TINYINT) AS
 FROM rfm0, st""",
     "rfm_segments": f"WITH {orders_scored()} SELECT user_id, r_level, f_level, m_level, segment FROM scored",
     "rfm_summary": f"WITH {orders_scored()} {rfm_summary_sql()}",
+    "rfm_document": f"""WITH {orders_scored()}, s AS ({rfm_summary_sql()}),
+m AS (SELECT segment, round_even(avg(recency), 2) AS recency, round_even(avg(frequency), 2) AS frequency,
+             round_even(avg(monetary), 2) AS monetary FROM scored GROUP BY segment)
+SELECT total_buy_users, segment, user_count, user_ratio, recency, frequency, monetary FROM s JOIN m USING (segment)""",
     "rfm_segment_means": f"""WITH {orders_scored()}
 SELECT segment, round_even(avg(recency), 2) AS recency, round_even(avg(frequency), 2) AS frequency,
        round_even(avg(monetary), 2) AS monetary FROM scored GROUP BY segment ORDER BY avg(frequency) DESC, segment""",

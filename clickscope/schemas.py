@@ -73,3 +73,11 @@ CLEANING_SUMMARY = T.StructType(
         ),
     ]
 )
+
+RFM_DOCUMENT = T.StructType([
+    T.StructField("total_buy_users", T.LongType()),
+    T.StructField("segment_counts", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("segment_ratio", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("rfm_mean_by_segment", T.MapType(T.StringType(), T.StructType(
+        [T.StructField(c, T.DoubleType()) for c in ("recency", "frequency", "monetary")]))),
+])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickscope.schemas import CLEANED
 
@@ -36,7 +37,8 @@ def _format_of(path: str) -> str | None:
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Read a table by suffix; a directory is the union of its ``.parquet`` and ``.csv``
-    children (by name, in path order).  An unknown suffix is an error."""
+    children (by name, in path order), one without any an empty table of ``schema`` (of no
+    columns without one).  An unknown suffix is an error."""
     fmt = _format_of(path)
     if fmt is not None:
         reader = spark.read
@@ -54,7 +56,7 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     children = sorted(str(st.getPath().toString()) for st in fs.listStatus(jvm_path))
     parts = [c for c in children if _format_of(c) in ("parquet", "csv")]
     if not parts:
-        raise ValueError(f"no parquet or csv parts in {path}")
+        return spark.createDataFrame([], schema or T.StructType([]))
     frames = [read_table(spark, c, schema) for c in parts]
     out = frames[0]
     for f in frames[1:]:

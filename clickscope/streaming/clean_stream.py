@@ -5,10 +5,10 @@ across micro-batches (**before** the behavior and date filters, as in the batch
 -> the batch job's filters, local time and casts -> Parquet sink with a checkpoint.
 
 Dedup state lives in the state store, partitioned by key:
-* ``dedup="watermark"`` (default): ``dropDuplicatesWithinWatermark`` on event time
+* ``dedup="watermark"``: ``dropDuplicatesWithinWatermark`` on event time
   ``timestamp_seconds(timestamp)``; state is bounded by the delay, rows later than the
   delay are dropped.
-* ``dedup="unbounded"``: ``dropDuplicates`` keeps every key forever (exact, like an
+* ``dedup="unbounded"`` (default): ``dropDuplicates`` keeps every key forever (exact, like an
   ever-growing seen-set).
 
 Inside one micro-batch the state store keeps the first row it *processes*; with one

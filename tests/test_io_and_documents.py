@@ -36,6 +36,25 @@ def test_small_results_are_compacted(spark):
     assert "REBALANCE" in df.hint("rebalance")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_folder_without_parts_is_an_empty_table(spark, tmp_path):
+    from clickscope.schemas import CLEANED
+    from clickscope.sources.tables import read_table
+
+    (tmp_path / "notes.txt").write_text("no table")
+    empty = read_table(spark, str(tmp_path), CLEANED)
+    assert empty.columns == [f.name for f in CLEANED.fields] and empty.count() == 0
+    assert read_table(spark, str(tmp_path)).columns == []
+
+
+def test_rfm_document_is_the_summary(spark):
+    from clickscope.plans.inputs import ORDERS_RFM, order_buys
+
+    scored = RF.rfm_table(order_buys(spark, SF001), ORDERS_RFM)
+    row, plain = RF.rfm_document(scored).first().asDict(recursive=True), RF.rfm_summary_document(scored)
+    assert row == plain
+    assert RF.rfm_document(scored.limit(0)).count() == 0
+
+
 def test_summary_documents(spark):
     from clickscope.plans.inputs import ORDERS_RFM, order_buys
 
