@@ -16,6 +16,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickscope.llm.common import ship
+from clickscope.llm.common import fresh, ship
 
 ship(__name__)
 
@@ -79,13 +81,20 @@ class Page:
         self.tag, self.parent, self.cut, self.article = ["#"], [-1], [False], [-1]
         self.last = [0]  # last node of the subtree
         self.items: list[tuple[int, str | None]] = []  # (node, text) or (node, None) at the edge of a block
+        # depths of open elements, by name and of blocks: no tag has to walk the stack
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
         self._read(text)
 
     def _close(self, stack: list[int], depth: int) -> None:
         while len(stack) > depth:
             i = stack.pop()
             self.last[i] = len(self.tag) - 1
+            if not i:
+                continue
+            self.depths[self.tag[i]].pop()
             if self.tag[i] in BLOCK:
+                self.blocks.pop()
                 self.items.append((i, None))
 
     def _read(self, text: str) -> None:
@@ -111,25 +120,14 @@ class Page:
         self._close(stack, 0)
 
     def _start(self, stack: list[int], tag: str, attributes: str) -> None:
-        if tag in BLOCK:  # an open paragraph ends here
-            for d in range(len(stack) - 1, 0, -1):
-                name = self.tag[stack[d]]
-                if name == "p":
-                    self._close(stack, d)
-                    break
-                if name in BLOCK:
-                    break
+        if tag in BLOCK and self.blocks and self.tag[stack[self.blocks[-1]]] == "p":  # an open paragraph ends here
+            self._close(stack, self.blocks[-1])
         if tag in ENDS:
             ended, scope = ENDS[tag]
-            low = None
-            for d in range(len(stack) - 1, 0, -1):
-                name = self.tag[stack[d]]
-                if name in scope:
-                    break
-                if name in ended:
-                    low = d
-            if low is not None:
-                self._close(stack, low)
+            edge = max((self.depths[name][-1] for name in scope if self.depths[name]), default=0)
+            inside = [d[k] for name in ended if (k := bisect_right(d := self.depths[name], edge)) < len(d)]
+            if inside:
+                self._close(stack, min(inside))
         up, i = stack[-1], len(self.tag)
         self.tag.append(tag)
         self.parent.append(up)
@@ -141,16 +139,18 @@ class Page:
         if tag == "br" and not self.cut[i]:
             self.items.append((i, " "))
         if tag not in VOID:
+            self.depths[tag].append(len(stack))
+            if tag in BLOCK:
+                self.blocks.append(len(stack))
             stack.append(i)
 
     def _end(self, stack: list[int], tag: str) -> None:
-        for d in range(len(stack) - 1, 0, -1):
-            name = self.tag[stack[d]]
-            if name == tag:
-                self._close(stack, d)
-                return
-            if name in BLOCK and tag not in BLOCK:
-                return  # the end of an inline element does not end a block
+        if not self.depths[tag]:
+            return
+        at = self.depths[tag][-1]
+        if tag not in BLOCK and self.blocks and self.blocks[-1] > at:
+            return  # the end of an inline element does not end a block
+        self._close(stack, at)
 
     def main_nodes(self) -> list[int]:
         """Roots, in document order, of the subtrees that hold the article."""
@@ -230,16 +230,18 @@ def extract_text(df: DataFrame, html_col: str = "html", out_col: str = "text") -
     """``df`` plus every page's main text.
 
     Every row is on its own: repeated rows, null keys and extra columns pass through (not
-    ``out_col``, if ``df`` has it: it is replaced); an empty table gives an empty one."""
-    rest = df.drop(out_col) if out_col != html_col else df.withColumnRenamed(html_col, "_html")
-    at = rest.columns.index(html_col if out_col != html_col else "_html")
+    ``out_col``, if ``df`` has it: it is replaced, the html itself too); an empty table gives
+    an empty one."""
+    source = fresh(df, "_html")
+    read = df.select(F.col(html_col).alias(source), *[F.col(c) for c in df.columns if c != out_col])
+    rest = T.StructType(read.schema.fields[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([main_text(x.as_py()) for x in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, out_col])
+            found = pa.array([main_text(x.as_py()) for x in batch.column(0)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], found], [*batch.schema.names[1:], out_col])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(out_col, T.StringType())]))
+    return read.mapInArrow(run, T.StructType([*rest.fields, T.StructField(out_col, T.StringType())]))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -486,3 +486,14 @@ def test_sketch_quartiles(spark):
             for k in (1, 2, 3):
                 exact = own[math.ceil(len(own) * k / 4) - 1]
                 assert exact - exact / 64 <= q[f"q{k}"] <= exact
+
+
+@pytest.mark.parametrize("page", ["<b></i>" * 150_000, "<b>" * 60_000 + "</i>" * 60_000, "<b>" * 60_000 + "<hr>" * 60_000, "<li><b>" * 60_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    from clickscope.llm.html_text import main_text
+
+    began = time.perf_counter()
+    assert main_text(page + "end") == "end"
+    assert time.perf_counter() - began < 10  # minutes when each tag walks the open ones
