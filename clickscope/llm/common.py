@@ -44,10 +44,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows; beyond that without,
-    and Spark shuffles the join.  ``df`` should be stored or cheap: it is counted."""
-    return F.broadcast(df) if df.count() <= limit else df
+    and Spark shuffles the join.  ``df`` should be stored or cheap: it is counted.  Rows
+    that hold arrays count as 1 + ``weight`` (their elements)."""
+    rows = df.count() if weight is None else df.agg(F.sum(1 + F.coalesce(weight, F.lit(0)))).first()[0] or 0
+    return F.broadcast(df) if rows <= limit else df
 
 
 def word_separators(text: Column, pattern: str) -> Column:

@@ -9,11 +9,11 @@ _BARE = r"regexp_replace({}, '^[ \t-\r]+|[ \t-\r]+$', '', 'g')"
 LINE_DEDUP = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
 pages AS (SELECT DISTINCT source, coalesce(text, '') AS t FROM documents),
-tot AS (SELECT source, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) >= 20),
+tot AS (SELECT source, count(*) AS n FROM pages GROUP BY 1),
 page_lines AS (SELECT DISTINCT source, t, {_BARE.format("line")} AS bare
   FROM (SELECT source, t, unnest(string_split(t, chr(10))) AS line FROM pages)),
 bad AS (SELECT p.source, bare FROM page_lines p JOIN tot ON p.source IS NOT DISTINCT FROM tot.source
-  WHERE bare <> '' GROUP BY p.source, bare, n HAVING count(*) > 0.05 * n),
+  WHERE bare <> '' GROUP BY p.source, bare, n HAVING count(*) > 0.05 * n AND count(*) >= 3),
 lines AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM d WHERE text IS NOT NULL),
 kept AS (SELECT l.rid, string_agg(line, chr(10) ORDER BY pos) AS t FROM lines l

@@ -142,3 +142,15 @@ def test_stages_on_odd_rows(spark, odd, none, stage_dir):
         else:
             assert ids == sorted((i is None, i or 0) for i in want[name])
         assert stage(spark, none, stage_dir).collect() == []
+
+
+def test_names_that_clash(spark):
+    """Columns of the names that operators use inside pass through."""
+    from clickscope.llm.html_text import extract_text
+    from clickscope.llm.line_dedup import line_dedup_report
+
+    pages = spark.createDataFrame([(1, "<p>a</p>", "kept")], "page_id long, html string, _html string")
+    assert [tuple(r) for r in extract_text(pages, "html", "html").select("page_id", "_html", "html").collect()] == [(1, "kept", "a")]
+    assert extract_text(pages).columns == ["page_id", "html", "_html", "text"]
+    docs = spark.createDataFrame([(i, "a", f"Menu\nline {i}") for i in range(4)], "_before long, source string, text string")
+    assert sorted((r["_before"], r["n_dropped"]) for r in line_dedup_report(docs, "_before").collect()) == [(i, 1) for i in range(4)]

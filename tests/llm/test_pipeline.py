@@ -57,6 +57,8 @@ def test_line_dedup_drops_what_a_site_repeats(spark):
 
     rows = [(i, f"Menu\nText number {i} of the site\n  Menu \nEnd {i}", "a") for i in range(30)]
     rows += [(100 + i, "Menu\nother", "b") for i in range(30)]  # one page, copied: not a site of 30 pages
-    rows += [(200 + i, f"Menu\nrare {i}", "c") for i in range(19)]  # too small a site
+    rows += [(200 + i, f"Menu\nrare {i}", "c") for i in range(19)]  # small sites are judged too
+    rows += [(300 + i, f"Menu\nfew {i}", "d") for i in range(2)]  # but two pages show no habit
     got = {r["doc_id"]: r["text"] for r in drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got[3] == "Text number 3 of the site\nEnd 3" and got[103] == "Menu\nother" and got[203] == "Menu\nrare 3"
+    assert got[3] == "Text number 3 of the site\nEnd 3" and got[103] == "Menu\nother" and got[203] == "rare 3"
+    assert got[300] == "Menu\nfew 0"
