@@ -5,7 +5,8 @@ Elements that are never article text are cut off while reading: scripts, styles,
 forms, and what class, id or role name as advert, notice, sidebar, comment and the like.
 For every node left: characters per tag, adjusted by the share of link characters and
 link tags (Sun, Song and Liao, "DOM Based Content Extraction via Text Density", 2011).
-The node whose children's densities have the greatest sum holds the article.  If it lies
+The block whose child blocks' densities have the greatest sum holds the article (inline
+elements are text of their block).  If it lies
 in an ``article`` or ``main`` element, all of that element is taken; else the node, and
 beside its path from the body all siblings whose density reaches the path's threshold,
 the least density on it, the body's own children too.
@@ -175,6 +176,11 @@ class Page:
             if link_chars[up] >= 0:
                 link_chars[up] += link_chars[i]
         body_share = link_chars[0] / max(chars[0], 1)
+        # inline elements are part of their block: neither candidates nor terms of a sum
+        block_above = [0] * size
+        for i in range(1, size):
+            up = self.parent[i]
+            block_above[i] = up if self.tag[up] in BLOCK else block_above[up]
         density, child_sum, has_child = [0.0] * size, [0.0] * size, [False] * size
         for i in range(size):
             if chars[i] and not self.cut[i]:
@@ -182,11 +188,11 @@ class Page:
                 base = math.log(c / max(c - lc, 1) * lc + body_share * c + math.e)
                 spread = math.log(max(c / max(lc, 1) * tags[i] / max(link_tags[i], 1), 1.0))
                 density[i] = c / tags[i] * spread / max(1.0, math.log(max(base, math.e)))
-                if i:
-                    child_sum[self.parent[i]] += density[i]
-                    has_child[self.parent[i]] = True
+                if self.tag[i] in BLOCK:
+                    child_sum[block_above[i]] += density[i]
+                    has_child[block_above[i]] = True
         score = [child_sum[i] if has_child[i] else density[i] for i in range(size)]
-        best = max(range(size), key=lambda i: (score[i], -i))
+        best = max((i for i in range(size) if not i or self.tag[i] in BLOCK), key=lambda i: (score[i], -i))
         if not chars[best]:
             return []
         if self.article[best] >= 0:

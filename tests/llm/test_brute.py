@@ -497,3 +497,61 @@ def test_broken_pages_take_linear_time(page):
     began = time.perf_counter()
     assert main_text(page + "end") == "end"
     assert time.perf_counter() - began < 10  # minutes when each tag walks the open ones
+
+
+def test_main_text_without_an_article_element():
+    """Density finds the same text when nothing is called article."""
+    import pandas as pd
+
+    from clickscope.llm.html_text import main_text
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    assert len(pages) and all(main_text(re.sub(r"(</?)article\b", r"\1div", p)) == main_text(p) for p in pages)
+
+
+def _plain_density_roots(page):
+    """Roots of the main text, every sum taken anew over its subtree."""
+    from clickscope.llm.html_text import BLOCK
+
+    every = range(len(page.tag))
+    above = lambda i: {i} | (above(page.parent[i]) if i else set())
+    lines = [above(i) for i in every]
+    tree = lambda i: [j for j in every if i in lines[j] and not page.cut[j]]
+    chars = lambda nodes: sum(len(t.strip()) for j, t in page.items if t is not None and j in nodes)
+    linked = lambda i: {j for j in tree(i) if any(page.tag[k] == "a" for k in lines[j] if i in lines[k])}
+
+    def density(i):
+        c, lc, t = chars(set(tree(i))), chars(linked(i)), len(tree(i))
+        if not c or page.cut[i]:
+            return 0.0
+        share = chars(linked(0)) / max(chars(set(tree(0))), 1)
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        lt = max(sum(page.tag[j] == "a" for j in tree(i)), 1)
+        return c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0)) / max(1.0, math.log(max(base, math.e)))
+
+    block = lambda i: not i or page.tag[i] in BLOCK
+    nearest = lambda i: page.parent[i] if block(page.parent[i]) else nearest(page.parent[i])
+    all_of = [density(i) for i in every]
+    inner = collections.defaultdict(list)
+    for i in reversed(every[1:]):  # the order of the sum counts in the last digit
+        if block(i) and all_of[i]:
+            inner[nearest(i)].append(all_of[i])
+    best = max((i for i in every if block(i)), key=lambda i: (round(sum(inner.get(i, [all_of[i]])), 6), -i))
+    if not chars(set(tree(best))):
+        return []
+    if page.article[best] >= 0:
+        return [page.article[best]]
+    path = lines[best] - {0} or {0}
+    least = min(all_of[i] for i in path)
+    return sorted({best} | {i for i in every[1:] if i not in path and page.parent[i] in path and page.parent[i] != best
+                            and not page.cut[i] and all_of[i] and all_of[i] >= least})
+
+
+def test_density_against_plain_sums():
+    from clickscope.llm.html_text import Page
+
+    r = random.Random(5)
+    names = "div p section b span a ul li h2 td article nav".split()
+    for _ in range(400):
+        page = Page("".join(r.choice(["<%s>", "<%s>", "</%s>"]) % r.choice(names) + r.choice(["", "one ", "two words here " * r.randint(1, 9)]) for _ in range(r.randint(1, 40))))
+        assert page.main_nodes() == _plain_density_roots(page)
