@@ -1,33 +1,44 @@
 """Ordered funnel and conversion tables.
 
-The ordered funnel is a chain of per-user thresholds: step 1 is the user's first time
-of the first behavior (``groupBy().min()``, map-side combined); step i is the earliest
-event of behavior i not before the user's step i-1 time.  Each step joins that
-behavior's events with the previous step's one-row-per-user table and aggregates the
-minimum again.  Nothing ever holds all events of one user in one task:
+A user's funnel is a running state over the events in time order: the number of steps
+reached.  Events of one second may serve in any order, so what a run of events does to the
+state is a small function, ``reached before -> reached after``, and the functions of runs
+that follow one another compose.  ``ordered_funnel`` needs one pass:
+
+* one range layout by (user, time): a very active user's events are cut by time into as
+  many partitions as they need, and events of one second stay together;
+* each task walks its sorted events in Arrow batches with numpy and emits one row per user
+  (its *piece*: the function and the counts); a batch holds back its last second (as a
+  number per step, however many events it has) and its last user's piece, so pieces never
+  depend on where batches end;
+* users that lie in one partition are counted in its task; the first and the last of each
+  partition, at most one piece a partition, meet by user and compose in partition order.
+
+The log is read once for the layout's sample (three columns) and once for the pass, and is
+shuffled once.
+
+``stage_tables`` gives the *times* of the steps per user: a chain of per-user thresholds.
+Step 1 is the user's first time of the first behavior (``groupBy().min()``, map-side
+combined); step i is the earliest event of behavior i not before the user's step i-1 time.
+Nothing ever holds all events of one user in one task:
 
 * the threshold table comes out of an aggregate, so AQE knows its exact size and turns
   the join into a broadcast join when it is small, a sort-merge join otherwise;
 * in the sort-merge form a very active user would be one skewed join partition, and
   AQE's skew split does not apply when one join input comes out of an aggregate.  So the
-  funnel salts explicitly: the ``(user, behavior)`` pre-aggregate already counts each
+  chain salts explicitly: the ``(user, behavior)`` pre-aggregate already counts each
   user's events, users above ``hot_rows`` get ``ceil(n / hot_rows)`` salts, their events
   are spread over the salts and their single threshold row is repeated per salt.  The
   hot-user table is broadcast; it is bounded by ``max_hot_users``.
-
-Each event is shuffled at most once per pass (it belongs to one behavior), the same
-volume as a one-exchange window plan, without its one-user-per-task sort.  Step 1 and
-the order-free facts (distinct users, actions) come from one ``(user, behavior)``
-pre-aggregate.  Every per-user step table is stored in the shared folder, so each
-step runs once (the counts and the next step read it back) and executor loss never
-re-runs the chain.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clickscope.functions.numeric import guarded_ratio, half_even
 from clickscope.operators.clean import merge_one_row
@@ -135,14 +146,149 @@ def stage_tables(events: DataFrame, params: FunnelParams = _P,
     return stages
 
 
-def _steps_frame(spark: SparkSession, params: FunnelParams) -> DataFrame:
-    rows = [(i + 1, b, params.labels.get(b, b)) for i, b in enumerate(params.steps)]
-    schema = T.StructType([
-        T.StructField("step", T.IntegerType()),
-        T.StructField("behavior", T.StringType()),
-        T.StructField("label", T.StringType()),
-    ])
-    return spark.createDataFrame(rows, schema)
+def _piece_walker(steps: int):
+    """The task side of ``funnel_pieces``: sorted ``(part, user, time, step)`` batches to a row per
+    user.  All that it calls is defined inside, so executors need no copy of this package."""
+    import numpy as np
+
+    def pieces(user, second, timed, step, weight):
+        """``starts, after, counts`` of the runs of equal ``user`` numbers: ``after[s]`` is what
+        is reached by the end of the run if ``s`` steps were before it."""
+        n = len(user)
+        starts = np.flatnonzero(np.r_[True, user[1:] != user[:-1]])
+        run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+        ends = np.r_[starts[1:], n]
+        # first event of the same user and second
+        same = np.r_[False, (user[1:] == user[:-1]) & (second[1:] == second[:-1])]
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+        coming = []  # coming[i][p]: the next event of step i + 1 from place p on, n if none
+        for i in range(steps):
+            at = np.where(timed & (step == i + 1), np.arange(n), n)
+            coming.append(np.minimum.accumulate(at[::-1])[::-1])
+        after_of = []
+        for before in range(steps + 1):
+            at, reached, live = starts.copy(), np.full(len(starts), before), np.ones(len(starts), bool)
+            for i in range(before, steps):
+                found = coming[i][at]
+                live &= found < ends
+                reached[live] = i + 1
+                at = np.where(live, first[np.minimum(found, n - 1)], at)
+            after_of.append(reached)
+        counts = np.zeros((len(starts), steps), np.int64)
+        np.add.at(counts, (run, step - 1), weight)
+        return starts, np.stack(after_of, axis=1), counts
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "edge", "user", "after", "counts"]
+        part, emitted = None, 0
+        open_user, after, counts = None, None, None  # the piece that may go on
+        kept = None  # the last second seen, a row a step
+
+        def flat(x):
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1).astype(np.int64)))
+
+        def rows(users, functions, numbers, last=False):
+            nonlocal emitted
+            edge = np.zeros(len(users), bool)
+            edge[0] = last or not emitted
+            emitted += len(users)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(users), part, np.int32)), pa.array(edge), users, flat(functions), flat(numbers)], names)
+
+        def digest(table, last):
+            nonlocal open_user, after, counts, kept
+            user = table["user"].combine_chunks()
+            number = user.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            time = table["time"].combine_chunks()
+            second = time.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            timed = time.is_valid().to_numpy(zero_copy_only=False)
+            step, weight = table["step"].to_numpy(), table["weight"].to_numpy()
+            kept = None
+            if not last:  # hold back the last second: more of it may come
+                other = np.flatnonzero((number != number[-1]) | (second != second[-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                found, at = np.unique(step[cut:], return_index=True)
+                kept = table.slice(cut).take(pa.array(at)).set_column(
+                    3, "weight", pa.array(np.bincount(step[cut:], weights=weight[cut:]).astype(np.int64)[found]))
+                number, second, timed, step, weight, user = number[:cut], second[:cut], timed[:cut], step[:cut], weight[:cut], user.slice(0, cut)
+                if not cut:
+                    return
+            starts, functions, numbers = pieces(number, second, timed, step, weight)
+            users = user.take(pa.array(starts))
+            if open_user is not None:
+                if open_user[0].equals(users[0]):
+                    functions[0], numbers[0] = functions[0][after], numbers[0] + counts
+                else:
+                    yield rows(open_user, after[None, :], counts[None, :])
+            open_user, after, counts = users.slice(len(users) - 1), functions[-1].copy(), numbers[-1].copy()
+            if len(users) > 1:
+                yield rows(users.slice(0, len(users) - 1), functions[:-1], numbers[:-1])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column(0)[0].as_py()
+            table = pa.Table.from_arrays([*batch.columns[1:], pa.array(np.ones(batch.num_rows, np.int64))], ["user", "time", "step", "weight"])
+            yield from digest(table if kept is None else pa.concat_tables([kept, table]), False)
+        if kept is not None:
+            yield from digest(kept, True)
+            yield rows(open_user, after[None, :], counts[None, :], True)
+
+    return walk
+
+
+def funnel_pieces(events: DataFrame, params: FunnelParams = _P) -> DataFrame:
+    """``part, edge, user, after, counts``: for every partition of the range layout by (user,
+    time) and every user in it, the steps reached after the partition's events for each number
+    of steps reached before (``after[0..n]``), and the events of each step.  ``edge`` marks the
+    first and the last user of a partition; all others lie in it whole.
+
+    Null users are one user here; events without a time count and reach nothing."""
+    u, t = params.user_col, params.time_col
+    step = F.lit(None).cast("int")
+    for i, b in enumerate(params.steps, 1):
+        step = F.when(F.col("behavior") == b, F.lit(i)).otherwise(step)
+    own = events.where(F.col("behavior").isin(list(params.steps))).select(F.col(u).alias("user"), F.col(t).alias("time"), step.alias("step"))
+    laid = own.repartitionByRange("user", "time").sortWithinPartitions("user", "time")
+    laid = laid.select(F.spark_partition_id().alias("part"), "user", "time", "step")
+    kind = own.schema["user"].dataType.simpleString()
+    return laid.mapInArrow(_piece_walker(len(params.steps)), f"part int, edge boolean, user {kind}, after array<long>, counts array<long>")
+
+
+def _composed(pieces: Column) -> Column:
+    """Steps reached after ``(part, after)`` pieces, in partition order, from none."""
+    return F.aggregate(F.array_sort(pieces), F.lit(0).cast("long"), lambda state, piece: F.element_at(piece["after"], (state + 1).cast("int")))
+
+
+def funnel_states(events: DataFrame, params: FunnelParams = _P) -> DataFrame:
+    """``user, reached, counts`` of every user: steps reached in order, and the number of
+    events of each step."""
+    counts = F.array(*[F.sum(F.col("counts")[i]) for i in range(len(params.steps))])
+    runs = F.collect_list(F.struct("part", "after"))  # at most one a partition
+    return funnel_pieces(events, params).groupBy("user").agg(_composed(runs).alias("reached"), counts.alias("counts"))
+
+
+def _funnel_totals(events: DataFrame, params: FunnelParams) -> DataFrame:
+    """``step, behavior, label, uv, independent_uv, actions``, a row a step.  Users that lie in one partition are counted in
+    its task; only those on the edges meet by user."""
+    n, known, edge = range(len(params.steps)), F.col("user").isNotNull(), F.col("edge")
+    # whoever has the first step at all has reached it
+    came = lambda i, reached, first: known & ((reached > i) if i else (first > 0))
+    own = funnel_pieces(events, params).groupBy("edge", F.when(edge, F.col("user")).alias("user_")).agg(
+        F.collect_list(F.when(edge, F.struct("part", "after"))).alias("runs"),
+        *[F.sum(F.col("counts")[i]).alias(f"n{i}") for i in n],
+        *[F.count_if(~edge & came(i, F.col("after")[0], F.col("counts")[0])).alias(f"u{i}") for i in n],
+        *[F.count_if(~edge & known & (F.col("counts")[i] > 0)).alias(f"d{i}") for i in n])
+    own = own.withColumnRenamed("user_", "user").withColumn("reached", _composed(F.col("runs")))
+    one = lambda c: F.when(c, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    totals = own.agg(*[x for i in n for x in (
+        F.sum(F.when(edge, one(came(i, F.col("reached"), F.col("n0")))).otherwise(F.col(f"u{i}"))).alias(f"uv{i}"),
+        F.sum(F.when(edge, one(known & (F.col(f"n{i}") > 0))).otherwise(F.col(f"d{i}"))).alias(f"independent{i}"),
+        F.sum(f"n{i}").alias(f"actions{i}"))])
+    return totals.select(F.explode(F.array(*[
+        F.struct(F.lit(i + 1).alias("step"), F.lit(b).alias("behavior"), F.lit(params.labels.get(b, b)).alias("label"), *[
+            F.coalesce(F.col(f"{c}{i}"), F.lit(0)).cast("long").alias(name)
+            for c, name in (("uv", "uv"), ("independent", "independent_uv"), ("actions", "actions"))])
+        for i, b in enumerate(params.steps)])).alias("x")).select("x.*")
 
 
 def ordered_funnel(events: DataFrame, params: FunnelParams = _P) -> DataFrame:
@@ -153,30 +299,7 @@ def ordered_funnel(events: DataFrame, params: FunnelParams = _P) -> DataFrame:
     ``independent_uv`` / ``actions`` ignore order.  Conversion is to the previous step;
     step 1, or a previous UV of 0, gives conversion 1.0 and loss 0.0.  Loss is 1 minus
     the unrounded conversion; both are rounded half-even to 4 places."""
-    spark = events.sparkSession
-    u = params.user_col
-    ub = materialize(user_behavior_facts(events, params))
-    stages = stage_tables(events, params, ub)
-    reached = None  # one (step) row per user and reached step, counted in one aggregate
-    for i, st in enumerate(stages):
-        one = st.select(F.lit(i + 1).alias("step"))
-        reached = one if reached is None else reached.unionByName(one)
-    uv = reached.groupBy("step").agg(F.count(F.lit(1)).alias("uv"))
-    facts = ub.groupBy("behavior").agg(
-        F.count_if(F.col(u).isNotNull()).alias("independent_uv"), F.sum("n").alias("actions")
-    )
-    steps = _steps_frame(spark, params)
-    # a handful of rows (one per step): broadcast joins and a whole-table window are bounded
-    base = (
-        steps.join(F.broadcast(uv), "step", "left")
-        .join(F.broadcast(facts), "behavior", "left")
-        .select(
-            "step", "behavior", "label",
-            F.coalesce("uv", F.lit(0)).cast("long").alias("uv"),
-            F.coalesce("independent_uv", F.lit(0)).cast("long").alias("independent_uv"),
-            F.coalesce("actions", F.lit(0)).cast("long").alias("actions"),
-        )
-    )
+    base = _funnel_totals(events, params)  # a row a step: a whole-table window is bounded
     prev = F.lag("uv").over(Window.orderBy("step"))
     ratio = F.col("uv").cast("double") / F.col("_prev").cast("double")
     has_prev = F.col("_prev").isNotNull() & (F.col("_prev") != 0)
@@ -293,7 +416,7 @@ def explode_funnel(summary: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "first_touch", "funnel_step", "stage_tables", "user_behavior_facts", "ordered_funnel", "funnel_flows", "funnel_overall",
+    "first_touch", "funnel_step", "stage_tables", "user_behavior_facts", "funnel_pieces", "funnel_states", "ordered_funnel", "funnel_flows", "funnel_overall",
     "conversion_by", "daily_conversion", "hourly_conversion", "select_dates", "funnel_summary",
     "funnel_summary_flat", "explode_funnel",
 ]

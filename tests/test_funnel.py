@@ -117,6 +117,7 @@ def test_funnel_with_a_hot_user_matches_brute_force(spark):
     h = FN.hot_users(facts, "fav", p)
     assert h is not None and h.filter(F.col("user_id") == -7).first()._splits > 5
     assert [r.uv for r in FN.ordered_funnel(hot, p).collect()] == want
+    assert [step.count() for step in FN.stage_tables(hot, p)] == want
 
 
 def test_select_dates_long_list_uses_semi_join(spark):
@@ -141,3 +142,38 @@ def test_salted_step_joins_on_user_and_salt(spark):
     assert sorted(tuple(r) for r in step.collect()) == [(1, 0), (2, 6)]
     plan = step._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in plan and "explode" in plan
+
+
+def test_states_compose_over_partitions_and_batches(spark):
+    """One user holds most events; partitions and batches of a few rows cut it everywhere."""
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice([1, 1, 1, 2, 3, None]), r.choice(["pv", "fav", "cart", "buy", "x"]), r.choice([None, *range(40)])) for _ in range(600)]
+    rows += [(i, b, t) for i in range(10, 60) for b, t in zip(["pv", "fav", "cart", "buy"], [r.randint(0, 5) for _ in range(4)])]
+    want = {}
+    for user in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == user]
+        at, reached = None, 0
+        for b in ("pv", "fav", "cart", "buy"):
+            times = [t for _, c, t in own if c == b and t is not None and (at is None or t >= at)]
+            if not times:
+                break
+            at, reached = min(times), reached + 1
+        want[user] = (reached, [sum(c == b for _, c, _ in own) for b in ("pv", "fav", "cart", "buy")])
+    events = spark.createDataFrame(rows, SCHEMA)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for size in ("1", "7", "10000"):
+            spark.conf.set(key, size)
+            got = {x.user: (x.reached, x.counts) for x in FN.funnel_states(events).collect()}
+            assert got == want
+            total = [(x.uv, x.independent_uv, x.actions) for x in FN.ordered_funnel(events).collect()]
+            known = [v for k, v in want.items() if k is not None]
+            assert total == [(sum(v[0] > i if i else v[1][0] > 0 for v in known), sum(v[1][i] > 0 for v in known),
+                              sum(v[1][i] for v in want.values())) for i in range(4)]
+    finally:
+        spark.conf.set(key, before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
