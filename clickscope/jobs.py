@@ -26,7 +26,7 @@ from clickscope.operators import cluster as CL
 from clickscope.operators import funnel as FN
 from clickscope.operators import rfm as RF
 from clickscope.params import CleanParams, ClusterParams, FunnelParams, RfmParams
-from clickscope.schemas import CLEANING_SUMMARY, FUNNEL_SUMMARY
+from clickscope.schemas import CLEANING_SUMMARY, CLUSTER_DOCUMENT, FUNNEL_SUMMARY
 from clickscope.session import ensure_checkpoint_dir
 from clickscope.sources import raw as R
 from clickscope.sources import sinks as K
@@ -98,9 +98,9 @@ def cluster_job(spark: SparkSession, out: str, params: ClusterParams = ClusterPa
         elbow.write.mode("overwrite").parquet(_p(out, "clustering_elbow"))
     stored = spark.read.parquet(_p(out, "clustering_result"))
     eb = spark.read.parquet(_p(out, "clustering_elbow")) if elbow is not None else None
-    doc = CL.cluster_summary_document(stored, eb, kk)
-    _write_doc(spark, doc, _p(out, "clustering_summary.json"))
-    return doc
+    path = _p(out, "clustering_summary.json")
+    K.write_summary_json(CL.cluster_document(stored, eb, kk), path)
+    return K.read_summary_json(spark, path, CLUSTER_DOCUMENT).first().asDict(True)
 
 
 def run_all(spark: SparkSession, raw_path: str, out: str, clean: CleanParams = CleanParams(),

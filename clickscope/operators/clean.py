@@ -23,6 +23,7 @@ from clickscope.functions.timefn import (
     ntz_literal,
     weekday_monday0,
 )
+from clickscope.operators.distinct import distinct_counts, distinct_partials, merge_partials
 from clickscope.params import CleanParams
 from clickscope.schemas import CLEANED_COLUMNS
 from clickscope.sources.raw import ORDER_COL
@@ -205,23 +206,44 @@ def cleaning_stage_counts(raw: DataFrame, params: CleanParams = _P, order_col: s
     )
 
 
-def _distinct_with_null(c: str) -> Column:
-    """Distinct values counting null as one value (the default engine's ``n_unique``)."""
-    return (F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).cast("long")
+#: Counted id columns and the names of their counts.
+OVERVIEW_IDS = {"user_id": "user_count", "item_id": "item_count", "category_id": "category_count"}
 
 
-def cleaning_overview(cleaned: DataFrame, approximate: bool = False) -> DataFrame:
-    """Rows, distinct users / items / categories, first and last local datetime.
-    ``approximate`` swaps the exact distinct counts for HyperLogLog++ sketches."""
-    if approximate:
-        counts = [F.approx_count_distinct(c).alias(n) for c, n in
-                  (("user_id", "user_count"), ("item_id", "item_count"), ("category_id", "category_count"))]
+def overview_partials(cleaned: DataFrame, by: tuple[str, ...] = ("date",)) -> tuple[DataFrame, DataFrame]:
+    """What an overview needs, per ``by``, in a form that merges: ``(rows, ids)``.
+
+    ``rows``: ``by..., final_rows, first, last``; ``ids``: the bitmaps of the id columns
+    (``distinct.distinct_partials``).  Partials of several loads merge after a union.
+    ``cleaned`` is read once a column: store it."""
+    rows = cleaned.groupBy(*by) if by else cleaned
+    rows = rows.agg(F.count(F.lit(1)).alias("final_rows"), F.min("datetime").alias("first"), F.max("datetime").alias("last"))
+    return rows, distinct_partials(cleaned, list(OVERVIEW_IDS), by)
+
+
+def overview_of_partials(rows: DataFrame, ids: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The overview of merged partials, per ``by`` or as one row: no access to the log."""
+    counts = distinct_counts(merge_partials(ids, by), list(OVERVIEW_IDS), by)
+    counts = counts.select(*by, *[F.col(c).alias(n) for c, n in OVERVIEW_IDS.items()])
+    totals = (rows.groupBy(*by) if by else rows).agg(
+        F.coalesce(F.sum("final_rows"), F.lit(0)).cast("long").alias("final_rows"), F.min("first").alias("first"), F.max("last").alias("last"))
+    names = ["final_rows", *OVERVIEW_IDS.values(), "first", "last"]
+    if by:  # a row a group on both sides
+        both = totals.unionByName(counts, allowMissingColumns=True).groupBy(*by).agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
     else:
-        counts = [_distinct_with_null(c).alias(n) for c, n in
-                  (("user_id", "user_count"), ("item_id", "item_count"), ("category_id", "category_count"))]
+        both = merge_one_row(totals, counts)
+    return both.select(*by, *names[:-2], datetime_string(F.col("first")).alias("start"), datetime_string(F.col("last")).alias("end"))
+
+
+def cleaning_overview(cleaned: DataFrame, approximate: bool = False) -> DataFrame:
+    """Rows, distinct users / items / categories, first and last local datetime.  Exact
+    counts come from bitmaps, one column-pruned pass a column: store ``cleaned`` first.
+    ``approximate`` swaps them for HyperLogLog++ sketches in a single pass."""
+    if not approximate:
+        return overview_of_partials(*overview_partials(cleaned, ()))
     return cleaned.agg(
         F.count(F.lit(1)).alias("final_rows"),
-        *counts,
+        *[F.approx_count_distinct(c).alias(n) for c, n in OVERVIEW_IDS.items()],
         datetime_string(F.min("datetime")).alias("start"),
         datetime_string(F.max("datetime")).alias("end"),
     )
@@ -242,6 +264,15 @@ def overview(cleaned: DataFrame) -> DataFrame:
     )
 
 
+def overview_of_summary(summary: DataFrame) -> DataFrame:
+    """The KPIs from a stored cleaning summary document, without the events.  One row also
+    where no document is: its figures are null then (not made yet)."""
+    date = lambda end: F.substring(F.col("date_range")[end], 1, 10)
+    kpis = {"final_rows": F.coalesce("final_rows", F.lit(0)), "user_count": F.coalesce("user_count", F.lit(0)),
+            "item_count": F.coalesce("item_count", F.lit(0)), "first_day": date("start"), "last_day": date("end")}
+    return summary.select(*[c.alias(n) for n, c in kpis.items()]).agg(*[F.first(n).alias(n) for n in kpis])
+
+
 def cleaning_summary(raw: DataFrame, cleaned: DataFrame, params: CleanParams = _P,
                      raw_rows: DataFrame | None = None) -> DataFrame:
     """The cleaning summary document as one row (map of behavior counts, date range
@@ -261,5 +292,5 @@ def cleaning_summary(raw: DataFrame, cleaned: DataFrame, params: CleanParams = _
 __all__ = [
     "dedup_keep_first", "filter_behavior", "filter_date_range", "with_local_time", "coerce_ids",
     "clean_events", "clean_after_dedup", "cleaning_audit", "cleaning_stage_counts", "cleaning_overview",
-    "behavior_counts", "overview", "cleaning_summary", "CLEANED_COLUMNS",
+    "overview_partials", "overview_of_partials", "overview_of_summary", "behavior_counts", "overview", "cleaning_summary", "CLEANED_COLUMNS",
 ]

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickscope.functions.numeric import half_even
+from clickscope.operators.clean import merge_one_row
 from clickscope.params import (
     CLUSTER_LABEL_RECENT,
     CLUSTER_LABEL_SILENT,
@@ -37,6 +38,7 @@ from clickscope.params import (
     CLUSTER_LABEL_TOP,
     ClusterParams,
 )
+from clickscope.schemas import CLUSTER_DOCUMENT
 from clickscope.session import materialize
 
 _P = ClusterParams()
@@ -318,19 +320,39 @@ def z_columns(features: DataFrame, digits: int = 6) -> list[Column]:
     return [half_even(f"z_{m}", digits).alias(f"z_{m}") for m in METRICS]
 
 
+def assignment_inertia(labelled: DataFrame) -> DataFrame:
+    """``k, inertia`` (one row) of a given clustering: the squared distances of the standardized
+    features to their cluster's mean, from one aggregate by cluster; a metric without spread
+    adds nothing."""
+    per = labelled.groupBy("cluster").agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *[x for m in METRICS for x in (F.avg(m).alias(f"{m}_mean"), F.var_pop(m).alias(f"{m}_var"))])
+    n, parts = F.sum("n"), []
+    for m in METRICS:
+        mean = F.col(f"{m}_mean")
+        within = F.sum(F.col("n") * F.col(f"{m}_var"))
+        between = F.sum(F.col("n") * mean * mean) - F.sum(F.col("n") * mean) * F.sum(F.col("n") * mean) / n
+        parts.append(F.coalesce(F.try_divide(within, (within + between) / n), F.lit(0.0)))
+    return per.agg(F.count(F.lit(1)).cast("int").alias("k"), reduce(add, parts).alias("inertia"))
+
+
+def cluster_document(labelled: DataFrame, elbow_df: DataFrame | None, k: int) -> DataFrame:
+    """The clustering summary document as one row: ``cluster_count``, ``selected_k``,
+    ``clusters`` (a record a cluster, 2 places, in order), ``elbow`` (a record a k, 4 places).
+    Made of results of at most k and 7 rows."""
+    records = F.array_sort(F.collect_list(F.struct("cluster", "cluster_label", "user_count", *METRICS, "user_ratio")))
+    clusters = cluster_summary(labelled).agg(F.count_distinct("cluster").alias("cluster_count"), records.alias("clusters"))
+    parts = [clusters.withColumn("selected_k", F.lit(int(k)))]
+    if elbow_df is not None:
+        rows = F.struct(F.col("k").cast("int").alias("k"), half_even("inertia", 4).alias("inertia"))
+        parts.append(elbow_df.agg(F.array_sort(F.collect_list(rows)).alias("elbow")))
+    both = merge_one_row(*parts)
+    empty = F.from_json(F.lit("[]"), CLUSTER_DOCUMENT["elbow"].dataType)
+    elbow_rows = F.coalesce(F.when(F.col("cluster_count") > 0, F.col("elbow")), empty) if elbow_df is not None else empty
+    return both.select("cluster_count", "selected_k", "clusters", elbow_rows.alias("elbow"))
+
+
 def cluster_summary_document(labelled: DataFrame, elbow_df: DataFrame | None, k: int) -> dict:
-    """The clustering summary document from ≤ k-row and ≤ 7-row results: cluster count,
-    selected k, per-cluster records (2 places), elbow (4 places)."""
-    rows = cluster_summary(labelled).collect()
-    if not rows:
-        return {"cluster_count": 0, "selected_k": k, "clusters": {}, "elbow": []}
-    eb = [] if elbow_df is None else [
-        {"k": r.k, "inertia": r.inertia} for r in elbow_df.select("k", half_even("inertia", 4).alias("inertia"))
-        .orderBy("k").collect()
-    ]
-    return {
-        "cluster_count": len({r.cluster for r in rows}),
-        "selected_k": int(k),
-        "clusters": [r.asDict() for r in rows],
-        "elbow": eb,
-    }
+    """``cluster_document`` as a dictionary; without users ``clusters`` is an empty one."""
+    doc = cluster_document(labelled, elbow_df, k).first().asDict(True)
+    return doc if doc["clusters"] else {**doc, "clusters": {}}

@@ -20,7 +20,7 @@ from clickscope.operators import funnel as FN
 from clickscope.operators import rfm as RF
 from clickscope.params import ClusterParams
 from clickscope.plans.inputs import EVENTS_CLEAN, ORDERS_RFM, cleaned_events, funnel_input, order_buys, raw_events
-from clickscope.schemas import CLEANED, CLEANED_COLUMNS, CLEANING_SUMMARY, FUNNEL_SUMMARY, RFM_DOCUMENT
+from clickscope.schemas import CLEANED, CLEANED_COLUMNS, CLEANING_SUMMARY, CLUSTER_DOCUMENT, FUNNEL_SUMMARY, RFM_DOCUMENT
 from clickscope.session import ensure_checkpoint_dir, materialize, shared_path
 from clickscope.sources import raw as R
 from clickscope.sources import sinks as K
@@ -115,9 +115,31 @@ def q_clean_after_filter(spark, sf_dir):
     return cleaned_events(spark, sf_dir, replace(EVENTS_CLEAN, dedup_scope="after_filter"))
 
 
+def _stored_ids(spark, sf_dir) -> DataFrame:
+    """The cleaned events' columns of an overview, stored (the counts read it once a column)."""
+    return materialize(cleaned_events(spark, sf_dir).select("user_id", "item_id", "category_id", "datetime", "date"), "cleaned_ids")
+
+
 @query("cleaning_overview")
 def q_cleaning_overview(spark, sf_dir):
-    return C.cleaning_overview(cleaned_events(spark, sf_dir))
+    return C.cleaning_overview(_stored_ids(spark, sf_dir))
+
+
+@query("cleaning_overview_by_day")
+def q_cleaning_overview_by_day(spark, sf_dir):
+    """Each day's overview from its partials (counts and bitmaps)."""
+    days = ("date",)
+    return C.overview_of_partials(*C.overview_partials(_stored_ids(spark, sf_dir), days), days)
+
+
+@query("cleaning_overview_merged")
+def q_cleaning_overview_merged(spark, sf_dir):
+    """The overview from stored day partials of two loads, merged without the log."""
+    stored = _stored_ids(spark, sf_dir)
+    odd = F.substring("date", 10, 1).cast("int") % 2 == 1
+    loads = [C.overview_partials(stored.where(part)) for part in (odd, ~odd)]
+    rows, ids = ([materialize(load[i], "overview_partials") for load in loads] for i in (0, 1))
+    return C.overview_of_partials(rows[0].unionByName(rows[1]), ids[0].unionByName(ids[1]))
 
 
 @query("behavior_counts")
@@ -138,7 +160,7 @@ def q_cleaning_stage_counts(spark, sf_dir):
 
 @query("overview")
 def q_overview(spark, sf_dir):
-    return C.overview(cleaned_events(spark, sf_dir))
+    return C.overview(_stored_ids(spark, sf_dir))
 
 
 def _written_cleaned(spark, sf_dir, partition_by_date=False) -> str:
@@ -165,6 +187,35 @@ def q_load_cleaned(spark, sf_dir):
     return TB.load_cleaned(spark, path, ["user_id", "item_id", "category_id", "behavior", "datetime"])
 
 
+LOADED = ["user_id", "item_id", "category_id", "behavior", "datetime"]
+
+
+@query("load_cleaned_csv")
+def q_load_cleaned_csv(spark, sf_dir):
+    """Cleaned events stored as CSV come back with their types."""
+    path = shared_path(spark, "cleaned_csv")
+    cleaned_events(spark, sf_dir).write.option("header", "true").csv(path)
+    return TB.load_cleaned(spark, path, LOADED, fmt="csv")
+
+
+@query("load_cleaned_by_date")
+def q_load_cleaned_by_date(spark, sf_dir):
+    """Cleaned events in date folders; ``date`` comes from the folder, as a string."""
+    path = _written_cleaned(spark, sf_dir, partition_by_date=True)
+    return TB.load_cleaned(spark, path, [*LOADED, "date"])
+
+
+@query("load_cleaned_parts")
+def q_load_cleaned_parts(spark, sf_dir):
+    """A folder of Parquet and CSV parts, as loads leave them."""
+    stored = materialize(cleaned_events(spark, sf_dir))
+    base = shared_path(spark, "cleaned_parts")
+    weekend = F.col("weekday") >= 5
+    stored.where(~weekend).write.parquet(f"{base}/part_0001.parquet")
+    stored.where(weekend).write.option("header", "true").csv(f"{base}/part_0002.csv")
+    return TB.load_cleaned(spark, base, LOADED, fmt="parts")
+
+
 @query("read_table")
 def q_read_table(spark, sf_dir):
     """A directory holding a Parquet part (pv, fav) and a CSV part (cart, buy)."""
@@ -384,6 +435,18 @@ def q_cluster_summary(spark, sf_dir):
     return CL.cluster_summary(_level_labelled(spark, sf_dir))
 
 
+@query("cluster_document")
+def q_cluster_document(spark, sf_dir):
+    """The clustering document of the level clusters, written as JSON and read back; one row a
+    cluster.  Its elbow has the one k of that clustering."""
+    labelled = _level_labelled(spark, sf_dir)
+    path = shared_path(spark, "clustering_summary_json")
+    K.write_summary_json(CL.cluster_document(labelled, CL.assignment_inertia(labelled), CLUSTER.k), path)
+    back = K.read_summary_json(spark, path, CLUSTER_DOCUMENT)
+    return back.select("cluster_count", "selected_k", F.explode("clusters").alias("c"), F.col("elbow")[0].alias("e")).select(
+        "cluster_count", "selected_k", "c.*", F.col("e.k").alias("elbow_k"), F.round("e.inertia", 3).alias("elbow_inertia"))
+
+
 @query("cluster_profile")
 def q_cluster_profile(spark, sf_dir):
     return CL.cluster_profile(_level_labelled(spark, sf_dir))
@@ -532,16 +595,26 @@ def q_compacted(spark, sf_dir):
     return spark.read.parquet(path).select(*CLEANED_COLUMNS)
 
 
+def _cleaning_document(spark: SparkSession, raw: DataFrame) -> DataFrame:
+    """The cleaning summary, written as JSON and read back."""
+    doc = C.cleaning_summary(raw, materialize(C.clean_events(raw, EVENTS_CLEAN)), EVENTS_CLEAN)
+    path = shared_path(spark, "cleaning_summary_json")
+    K.write_summary_json(doc, path)
+    return K.read_summary_json(spark, path, CLEANING_SUMMARY)
+
+
+@query("overview_stored")
+def q_overview_stored(spark, sf_dir):
+    """Dashboard KPIs from the stored cleaning summary document."""
+    return C.overview_of_summary(_cleaning_document(spark, raw_events(spark, sf_dir)))
+
+
 @query("cleaning_summary_roundtrip")
 def q_cleaning_summary(spark, sf_dir):
     """The cleaning summary document (behavior map, date-range struct) written as JSON and
     read back with its schema; one row per behavior."""
     raw = raw_events(spark, sf_dir)
-    doc = C.cleaning_summary(raw, C.clean_events(raw, EVENTS_CLEAN), EVENTS_CLEAN)
-    path = shared_path(spark, "cleaning_summary_json")
-    K.write_summary_json(doc, path)
-    back = K.read_summary_json(spark, path, CLEANING_SUMMARY)
-    return back.select(
+    return _cleaning_document(spark, raw).select(
         "raw_rows", "final_rows", "user_count", "item_count", "category_count", "total_removed_rows",
         F.col("date_range.start").alias("start"), F.col("date_range.end").alias("end"),
         F.explode("behavior_counts").alias("behavior", "rows"),

@@ -425,3 +425,25 @@ FROM c, r, b""",
 })
 
 SQL["stream_clean_ordered"] = f"WITH {CLEAN_CTE} {CLEANED_SELECT}"
+
+SQL["cleaning_overview_merged"] = SQL["cleaning_overview"]
+SQL["overview_stored"] = SQL["overview"]
+SQL["load_cleaned_csv"] = SQL["load_cleaned_parts"] = SQL["load_cleaned"]
+SQL["load_cleaned_by_date"] = f"WITH {CLEAN_CTE} SELECT user_id, item_id, category_id, behavior, datetime, date FROM cleaned"
+SQL["cleaning_overview_by_day"] = f"""WITH {CLEAN_CTE}
+SELECT date, count(*) AS final_rows,
+       CAST(count(DISTINCT user_id) + max(CAST(user_id IS NULL AS INTEGER)) AS BIGINT) AS user_count,
+       CAST(count(DISTINCT item_id) + max(CAST(item_id IS NULL AS INTEGER)) AS BIGINT) AS item_count,
+       CAST(count(DISTINCT category_id) + max(CAST(category_id IS NULL AS INTEGER)) AS BIGINT) AS category_count,
+       strftime(min(datetime), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(datetime), '%Y-%m-%d %H:%M:%S') AS "end"
+FROM cleaned GROUP BY date"""
+SQL["cluster_document"] = f"""WITH {LEVEL_LABELLED},
+whole AS (SELECT var_pop(recency) AS r, var_pop(frequency) AS f, var_pop(monetary) AS m FROM labelled),
+per AS (SELECT count(*) AS n, var_pop(recency) AS r, var_pop(frequency) AS f, var_pop(monetary) AS m FROM labelled GROUP BY cluster),
+e AS (SELECT CAST(count(*) AS INTEGER) AS elbow_k, sum(n * (CASE WHEN whole.r > 0 THEN per.r / whole.r ELSE 0 END
+  + CASE WHEN whole.f > 0 THEN per.f / whole.f ELSE 0 END + CASE WHEN whole.m > 0 THEN per.m / whole.m ELSE 0 END)) AS inertia FROM per, whole)
+SELECT CAST(count(*) OVER () AS BIGINT) AS cluster_count, CAST(5 AS INTEGER) AS selected_k, cluster, cluster_label,
+       CAST(user_count AS BIGINT) AS user_count, round_even(recency, 2) AS recency, round_even(frequency, 2) AS frequency,
+       round_even(monetary, 2) AS monetary, round_even(CAST(user_count AS DOUBLE) / sum(user_count) OVER () * 100.0, 2) AS user_ratio,
+       elbow_k, round(inertia, 3) AS elbow_inertia
+FROM lm, e"""

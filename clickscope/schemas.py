@@ -81,3 +81,12 @@ RFM_DOCUMENT = T.StructType([
     T.StructField("rfm_mean_by_segment", T.MapType(T.StringType(), T.StructType(
         [T.StructField(c, T.DoubleType()) for c in ("recency", "frequency", "monetary")]))),
 ])
+
+CLUSTER_DOCUMENT = T.StructType([
+    T.StructField("cluster_count", T.LongType()),
+    T.StructField("selected_k", T.IntegerType()),
+    T.StructField("clusters", T.ArrayType(T.StructType(
+        [T.StructField("cluster", T.IntegerType()), T.StructField("cluster_label", T.StringType()), T.StructField("user_count", T.LongType()),
+         *[T.StructField(c, T.DoubleType()) for c in ("recency", "frequency", "monetary", "user_ratio")]]))),
+    T.StructField("elbow", T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("inertia", T.DoubleType())]))),
+])

@@ -20,8 +20,12 @@ def scan_cleaned(spark: SparkSession, path: str) -> DataFrame:
 def load_cleaned(spark: SparkSession, path: str, columns: list[str] | None = None,
                  fmt: str = "parquet") -> DataFrame:
     """Cleaned table with a projection, read with the declared schema: ``date`` is a
-    string also where it is a partition folder, ``datetime`` of a CSV comes back typed.  The projection reaches the scan (``ReadSchema``)."""
-    if fmt == "csv":
+    string also where it is a partition folder, ``datetime`` of a CSV comes back typed.  The
+    projection reaches the scan (``ReadSchema``).  ``fmt="parts"`` reads a folder of Parquet
+    and CSV parts, in any mixture."""
+    if fmt == "parts":
+        df = read_table(spark, path, CLEANED)
+    elif fmt == "csv":
         df = spark.read.schema(CLEANED).option("header", "true").csv(path)
     else:
         df = spark.read.schema(CLEANED).format(fmt).load(path)
