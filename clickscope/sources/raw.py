@@ -27,8 +27,8 @@ def read_raw(spark: SparkSession, path: str | list[str], on_bad_id: str = "fail"
     )
 
 
-# Above this many input files the order key carries the file path itself.
-MAX_INDEXED_FILES = 200_000
+# Up to this many files (some 100 bytes each) the listing is broadcast; Spark shuffles beyond.
+BROADCAST_FILES = 200_000
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):/+"
 
 
@@ -44,9 +44,8 @@ def read_raw_ordered(spark: SparkSession, path: str | list[str], on_bad_id: str
     ``monotonically_increasing_id`` grows with the line inside one split.  The struct
     therefore sorts exactly like the line order of the concatenated input, without a
     single-partition numbering pass.  ``file`` is the file's position in the sorted
-    file list (a broadcast of the listing the driver already holds, bounded by the
-    file count), so the dedup shuffle carries an int instead of a path string; above
-    ``MAX_INDEXED_FILES`` files it is the path itself."""
+    file list, so the dedup shuffle carries an int instead of a path string; the listing,
+    which the driver already holds, is broadcast up to ``BROADCAST_FILES`` files."""
     df = read_raw(spark, path, on_bad_id)
     cols = [c for c in df.columns]
     meta = df.select(
@@ -56,15 +55,12 @@ def read_raw_ordered(spark: SparkSession, path: str | list[str], on_bad_id: str
         F.monotonically_increasing_id().alias("_row"),
     )
     files = sorted({_norm_path(p) for p in df.inputFiles()})
-    if len(files) <= MAX_INDEXED_FILES:
-        listing = spark.createDataFrame(list(enumerate(files)), "_file_idx int, _file_key string")
-        meta = meta.join(
-            F.broadcast(listing), F.regexp_replace("_file", _SCHEME, "$1:///") == F.col("_file_key"), "left"
-        )
-        file_part = F.when(F.col("_file_idx").isNull(), F.raise_error(F.concat(
-            F.lit("input file missing from the listing: "), F.col("_file")))).otherwise(F.col("_file_idx"))
-    else:
-        file_part = F.col("_file")
+    listing = spark.createDataFrame(list(enumerate(files)), "_file_idx int, _file_key string")
+    if len(files) <= BROADCAST_FILES:
+        listing = F.broadcast(listing)
+    meta = meta.join(listing, F.regexp_replace("_file", _SCHEME, "$1:///") == F.col("_file_key"), "left")
+    file_part = F.when(F.col("_file_idx").isNull(), F.raise_error(F.concat(
+        F.lit("input file missing from the listing: "), F.col("_file")))).otherwise(F.col("_file_idx"))
     return meta.select(
         *cols,
         F.struct(file_part.alias("file"), F.col("_block").alias("block"), F.col("_row").alias("row")).alias(ORDER_COL),

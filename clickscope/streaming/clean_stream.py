@@ -5,16 +5,18 @@ across micro-batches (**before** the behavior and date filters, as in the batch
 -> the batch job's filters, local time and casts -> Parquet sink with a checkpoint.
 
 Dedup state lives in the state store, partitioned by key:
+* ``dedup="unbounded"`` (default): ``dropDuplicates`` keeps every key forever (exact, like an
+  ever-growing seen-set).
 * ``dedup="watermark"``: ``dropDuplicatesWithinWatermark`` on event time
   ``timestamp_seconds(timestamp)``; state is bounded by the delay, rows later than the
   delay are dropped.
-* ``dedup="unbounded"`` (default): ``dropDuplicates`` keeps every key forever (exact, like an
-  ever-growing seen-set).
 
 Inside one micro-batch the state store keeps the first row it *processes*; with one
 file per trigger and files of one split (``feed_files``) that is the first line, as in
 batch.  ``stream_clean_ordered`` is exact without that contract: keep-first by line
 order inside each micro-batch, then a left-anti join against the keys of earlier epochs.
+Those are stored in runs, merged by levels as epochs pass (``merge_runs``): the number of runs
+grows with the logarithm of the epochs, and a key is rewritten once a level.
 
 ``stream_counts``: a second stream over the clean sink, ``groupBy(behavior)`` with
 count / min / max datetime in complete mode; each epoch's table (one row per behavior)
@@ -27,6 +29,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from clickscope.operators.clean import clean_after_dedup
@@ -111,21 +114,74 @@ def stream_clean(spark: SparkSession, input_dir: str, output_dir: str, checkpoin
 
 
 SEEN_BUCKET_SECONDS = 3600
+RUN_FAN_IN = 8  # runs of a level that become one of the next
+
+
+def _run_name(first: int, last: int) -> str:
+    return f"run_{first:010d}_{last:010d}"
+
+
+def seen_runs(spark: SparkSession, seen_dir: str) -> list[tuple[int, int, str]]:
+    """``(first epoch, last epoch, path)`` of the complete runs of seen keys, without those that
+    a merged run covers; a listing of folders, not of rows."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(seen_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = []
+    for status in fs.listStatus(root):
+        path = status.getPath()
+        parts = path.getName().split("_")
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+        if parts[0] == "run" and fs.exists(done):
+            found.append((int(parts[1]), int(parts[2]), str(path.toString())))
+    return sorted(r for r in found if not any(o[0] <= r[0] and r[1] <= o[1] and o != r for o in found))
+
+
+def _read_keys(spark: SparkSession, schema: T.StructType, paths: list[str]) -> DataFrame:
+    return reduce(DataFrame.unionAll, [spark.read.schema(schema).parquet(p) for p in paths])
+
+
+def _write_keys(keys: DataFrame, path: str) -> None:
+    """A run: one folder a bucket, in files of AQE's advisory size."""
+    keys.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+
+
+def merge_runs(spark: SparkSession, seen_dir: str, schema: T.StructType, epoch_id: int, fan_in: int = RUN_FAN_IN) -> None:
+    """Before ``epoch_id``: if a level is full, its ``fan_in`` runs (of the epochs just before)
+    become one of the next level, and so on.
+
+    Which epochs merge follows from ``epoch_id`` alone, only finished epochs do, and the old runs
+    go after the merged one is complete: a retry does the same or finds it done, and until
+    then the old ones are read."""
+    fs = None
+    width = fan_in
+    while epoch_id and epoch_id % width == 0:
+        first, last = epoch_id - width, epoch_id - 1
+        runs = seen_runs(spark, seen_dir)
+        inside = [r for r in runs if first <= r[0] and r[1] <= last]
+        if len(inside) > 1:
+            _write_keys(_read_keys(spark, schema, [r[2] for r in inside]), f"{seen_dir}/{_run_name(first, last)}")
+            for _, _, old in inside:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+                fs = fs or path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+                fs.delete(path, True)
+        width *= fan_in
 
 
 def stream_clean_ordered(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
                          params: CleanParams = _P, max_files_per_trigger: int = 1,
                          available_now: bool = True, bucket_seconds: int = SEEN_BUCKET_SECONDS,
-                         state_partitions: int | None = None) -> StreamingQuery:
+                         state_partitions: int | None = None, fan_in: int = RUN_FAN_IN) -> StreamingQuery:
     """Exact keep-first across *and inside* micro-batches, through ``foreachBatch``.
 
     Per epoch: (1) keep-first inside the batch by line order (file path, split start,
     row) - the batch job's distributed window; (2) drop keys already seen in earlier
-    epochs with a left-anti join against ``<checkpoint_dir>/seen``, a key table
+    epochs with a left-anti join against the runs in ``<checkpoint_dir>/seen``, each
     partitioned by ``bucket_seconds`` buckets of ``timestamp`` (duplicates share their
-    timestamp, so only the buckets from the batch's least to its greatest are read); (3) write the cleaned rows and the
-    new keys under ``epoch=<id>``, replacing any earlier attempt of the same epoch, so a
-    retried epoch is idempotent.  Output: ``output_dir/epoch=*/`` Parquet.
+    timestamp, so only the buckets from the batch's least to its greatest are read); (3) write the cleaned rows
+    under ``epoch=<id>`` and the new keys as a run, replacing any earlier attempt of the same
+    epoch, so a retried epoch is idempotent.  Runs are merged by levels of ``fan_in``.  Output: ``output_dir/epoch=*/`` Parquet.
 
     Cost: each epoch joins against the seen keys of its buckets, where the state-store
     form does point lookups; use this form when the in-batch winner must be the first
@@ -138,7 +194,11 @@ def stream_clean_ordered(spark: SparkSession, input_dir: str, output_dir: str, c
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     )
 
+    kinds = {f.name: f.dataType for f in RAW.fields}
+    schema = T.StructType([*[T.StructField(k, kinds[k]) for k in key], T.StructField("_bucket", T.LongType())])
+
     def process(batch: DataFrame, epoch_id: int) -> None:
+        merge_runs(spark, seen_dir, schema, epoch_id, fan_in)
         ordered = batch.withColumn(
             "_ord", F.struct("_file", "_block", F.monotonically_increasing_id().alias("_row"))
         ).withColumn("_bucket", F.floor(F.col("timestamp") / bucket_seconds).cast("long"))
@@ -146,18 +206,15 @@ def stream_clean_ordered(spark: SparkSession, input_dir: str, output_dir: str, c
         try:
             low, high = winners.agg(F.min("_bucket"), F.max("_bucket")).first()
             fresh = winners
-            jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(seen_dir)
-            fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            if fs.exists(jvm_path):
+            earlier = [path for _, last, path in seen_runs(spark, seen_dir) if last < epoch_id]
+            if earlier:
                 touched = F.col("_bucket").isNull() | F.col("_bucket").between(F.lit(low), F.lit(high))
-                seen = spark.read.parquet(seen_dir).filter((F.col("epoch") < epoch_id) & touched).select(
-                    *[F.col(k).alias(f"_seen_{k}") for k in key])
+                seen = _read_keys(spark, schema, earlier).filter(touched).select(*[F.col(k).alias(f"_seen_{k}") for k in key])
                 # nulls are equal, as in the batch job's window
                 same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in key])
                 fresh = winners.join(seen, same, "left_anti")
             fresh = fresh.persist()
-            fresh.select(*key, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(
-                f"{seen_dir}/epoch={epoch_id}")
+            _write_keys(fresh.select(*key, "_bucket"), f"{seen_dir}/{_run_name(epoch_id, epoch_id)}")
             clean_after_dedup(fresh.drop("_bucket"), params).write.mode("overwrite").option(
                 "compression", "zstd").parquet(f"{output_dir.rstrip('/')}/epoch={epoch_id}")
             fresh.unpersist()
