@@ -260,7 +260,7 @@ def copies(h: np.ndarray, g: np.ndarray, p: ParagraphParams, only: list[int] | N
     return [c for c in chains if min(c[1] - c[0], c[3] - c[2]) >= p.min_words]
 
 
-_UNIT = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+_SLICE = 20_000  # rows of paragraphs a task holds
 
 
 _COPY = pa.list_(pa.struct([(c, pa.int32()) for c in ("at", "end", "first_at", "first_end")]))
@@ -272,13 +272,31 @@ def _with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _paragraphs(docs: DataFrame, p: ParagraphParams) -> DataFrame:
+    """A row a paragraph.  Rows leave a task in slices of about ``_SLICE``, whatever Spark's
+    batch size, and as flat columns: a batch of texts holds a million of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[dict(zip(("at", "n", "x", "y", "bands"), u)) for u in paragraphs(t.as_py(), p)] for t in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _UNIT)], ["id", "row", "u"])
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        names = ["id", "row", "at", "n", "x", "y", "bands"]
+
+        def rows(batch: pa.RecordBatch, places: list[int], units: list[tuple]) -> pa.RecordBatch:
+            of = pa.array(places, pa.int32())
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*units), kinds)]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns], names)
 
-    kind = f"id {docs.schema['id'].dataType.simpleString()}, row long, u array<struct<at:int,n:int,x:long,y:long,bands:array<long>>>"
-    return docs.mapInArrow(run, kind).select("id", "row", F.inline("u"))
+        for batch in batches:
+            places, units = [], []
+            for k, text in enumerate(batch.column(2).cast(pa.binary())):
+                found = paragraphs(text.as_py(), p)
+                places += [k] * len(found)
+                units += found
+                if len(units) >= _SLICE:
+                    yield rows(batch, places, units)
+                    places, units = [], []
+            if units:
+                yield rows(batch, places, units)
+
+    kind = f"id {docs.schema['id'].dataType.simpleString()}, row long, at int, n int, x long, y long, bands array<long>"
+    return docs.mapInArrow(run, kind)
 
 
 def _similar_pairs(sets: list[np.ndarray], other: list[np.ndarray] | None, least: float) -> Iterator[tuple[int, int]]:
