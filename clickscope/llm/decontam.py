@@ -1,7 +1,8 @@
 """Benchmark decontamination.
 
 The benchmark's distinct n-grams of normalised words are a hash set, broadcast to all
-tasks: n-gram hash -> the n-gram and the items it occurs in.  Documents are scanned word
+tasks: n-gram hash -> the n-gram and its number.  The items that hold it are not among the
+broadcast: they join once a document's hits are down to distinct n-grams.  Documents are scanned word
 by word: the hash of the window that begins there is looked up, and a hit is verified
 word by word.  Scan, window hash and look-up run in one stage of generated code; only
 hits and one row a document leave it, to be put together by document.
@@ -45,15 +46,16 @@ def benchmark_grams(benchmark: DataFrame, item_col: str = "item_id", text_col: s
 
 def contamination(documents: DataFrame, benchmark: DataFrame, id_cols: list[str], text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", n: int = NGRAM_WORDS,
-                  grams_at_once: int = GRAMS_AT_ONCE) -> DataFrame:
+                  grams_at_once: int = GRAMS_AT_ONCE, with_items: bool = True) -> DataFrame:
     """One row for each row of ``documents`` (which must be stored: rows are told apart by
     their place): the ``id_cols`` as they are, ``n_words``, ``n_hit`` (words inside any
     occurrence of a benchmark window), ``items`` (sorted ids, as strings, of the items
-    with an occurring window).
+    with an occurring window; not ``with_items``: none of it).
 
     Null texts have no words; repeated rows are judged each on its own; an empty
     benchmark hits nothing; other columns are not read."""
-    grams = materialize(benchmark_grams(benchmark, item_col, item_text_col, n), "grams")
+    grams = benchmark_grams(benchmark, item_col, item_text_col, n).withColumn("number", F.monotonically_increasing_id())
+    grams = materialize(grams, "grams")  # stored, so the numbers stay
     lengths = grams.groupBy("len").count().collect()  # at most n rows
     slices = max(1, -(-sum(r["count"] for r in lengths) // grams_at_once))
     docs = documents.select(
@@ -64,7 +66,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_cols: list[str]
         hits = places
         for k in sorted(r["len"] for r in lengths):
             own = grams.where((F.col("len") == k) & (F.pmod(F.col("hash"), F.lit(slices)) == s)).select(
-                F.col("hash").alias(f"hash_{k}"), F.col("gram").alias(f"gram_{k}"), F.col("items").alias(f"items_{k}"))
+                F.col("hash").alias(f"hash_{k}"), F.col("gram").alias(f"gram_{k}"), F.col("number").alias(f"number_{k}"))
             fits = F.col("at") + k <= F.size("words")
             found = F.when(fits, _window_hash(F.col("words"), F.col("at"), k)) == F.col(f"hash_{k}")
             exact = F.array_join(F.slice("words", F.col("at") + 1, F.lit(k)), " ") == F.col(f"gram_{k}")
@@ -73,8 +75,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_cols: list[str]
         any_hit = F.lit(False)
         for k in kept:
             any_hit = any_hit | F.col(f"gram_{k}").isNotNull()
-        spans = [F.when(F.col(f"gram_{k}").isNotNull(), F.struct("at", (F.col("at") + k).alias("end"), F.col(f"items_{k}").alias("items"))) for k in kept]
-        none = F.array().cast("array<struct<at:int,end:int,items:array<string>>>")
+        spans = [F.when(F.col(f"gram_{k}").isNotNull(), F.struct("at", (F.col("at") + k).alias("end"), F.col(f"number_{k}").alias("number"))) for k in kept]
+        none = F.array().cast("array<struct<at:int,end:int,number:bigint>>")
         parts.append(hits.where((F.col("at") == 0) | any_hit).select(
             "row", "ids", F.when(F.col("at") == 0, F.size("words")).alias("n_words"),
             (F.array_compact(F.array(*spans)) if spans else none).alias("spans")))
@@ -88,9 +90,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_cols: list[str]
     step = lambda acc, x: F.struct(
         F.greatest(acc["end"], x["end"]).alias("end"),
         (acc["n"] + F.greatest(x["end"] - F.greatest(x["at"], acc["end"]), F.lit(0))).alias("n"))
-    return of_doc.select(
-        "ids.*", F.col("n_words").cast("long").alias("n_words"), F.aggregate(ordered, start, step)["n"].alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: x["items"])))).alias("items"))
+    figures = [F.col("n_words").cast("long").alias("n_words"), F.aggregate(ordered, start, step)["n"].alias("n_hit")]
+    if not with_items:
+        return of_doc.select("ids.*", *figures)
+    judged = materialize(of_doc.select("row", "ids", *figures, F.array_distinct(F.transform("spans", lambda x: x["number"])).alias("numbers")), "judged")
+    # a row a document and distinct n-gram, then a document and item
+    held = judged.select("row", F.explode("numbers").alias("number")).join(grams.select("number", "items"), "number")
+    held = held.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return judged.join(held, "row", "left").select(
+        "ids.*", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def decontamination_report(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -106,5 +114,5 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
     """The rows of ``documents`` without any hit; columns as they are."""
     row = fresh(documents, "_row")
     stored = materialize(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    hit = materialize(contamination(stored, benchmark, [row], text_col, item_col, item_text_col, n).where("n_hit > 0").select(row), "hit")
+    hit = materialize(contamination(stored, benchmark, [row], text_col, item_col, item_text_col, n, with_items=False).where("n_hit > 0").select(row), "hit")
     return stored.join(broadcast_checked(hit), row, "left_anti").select(*documents.columns)
