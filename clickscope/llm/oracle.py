@@ -44,12 +44,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
-_RULES = (("word_length", "word_chars", "n_words", 1500, True), ("symbols", "n_symbols", "n_words", 200, False),
-          ("dup_lines", "n_dup_lines", "n_lines", 500, False), ("repeats", "n_repeat_words", "n_words", 400, False))
-_VALUES = " UNION ALL ".join(
-    f"SELECT rid, lang, source, '{name}' AS rule, {slack} AS slack, {low} AS low, "
-    f"CASE WHEN {under} > 0 THEN (1000 * {over}) // {under} ELSE 0 END AS v FROM counted WHERE NOT base_failed"
-    for name, over, under, slack, low in _RULES)
+_RULES = (("word_length", "word_chars", "n_words", 16, 1, True), ("symbols", "n_symbols", "n_words", 32, 1, False),
+          ("dup_lines", "n_dup_lines", "n_lines", 2, 1, False), ("repeats", "n_repeat_words", "n_words", 10, 6, False))
+_MEASURED = [(name, f"CASE WHEN {under} > 0 THEN (1000 * {over}) // {under} ELSE 0 END") for name, over, under, *_ in _RULES]
+_VALUES = " UNION ALL ".join(f"SELECT rid, lang, source, '{name}' AS rule, {v} AS v FROM counted WHERE NOT base_failed"
+                             for name, v in [*_MEASURED, ("n_words", "n_words"), ("n_lines", "n_lines")])
+_RULE_ROWS = ", ".join(f"('{name}', '{under}', {spread}, {unit}, {low})" for name, _, under, spread, unit, low in _RULES)
+_BLEND = lambda own, wider: ", ".join(f"({own}.size * {own}.q{k} + 100 * {wider}.q{k}) // ({own}.size + 100) AS q{k}" for k in (1, 2, 3))
 
 
 def _quartiles(by: str) -> str:
@@ -75,14 +76,13 @@ counted AS (SELECT rid, doc_id, lang, source, len(w)::BIGINT AS n_words,
 vals AS ({_VALUES}),
 binned AS (SELECT *, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bin FROM vals),
 own AS ({_quartiles("lang, source, rule")}), by_lang AS ({_quartiles("lang, rule")}), whole AS ({_quartiles("rule")}),
-judged AS (SELECT v.rid, v.v, v.slack, v.low,
-    CASE WHEN o.size >= 100 THEN o.q1 WHEN l.size >= 100 THEN l.q1 ELSE a.q1 END AS q1,
-    CASE WHEN o.size >= 100 THEN o.q2 WHEN l.size >= 100 THEN l.q2 ELSE a.q2 END AS q2,
-    CASE WHEN o.size >= 100 THEN o.q3 WHEN l.size >= 100 THEN l.q3 ELSE a.q3 END AS q3
-  FROM vals v JOIN own o ON v.rule = o.rule AND v.lang IS NOT DISTINCT FROM o.lang AND v.source IS NOT DISTINCT FROM o.source
-  JOIN by_lang l ON v.rule = l.rule AND v.lang IS NOT DISTINCT FROM l.lang JOIN whole a ON v.rule = a.rule),
-verdict AS (SELECT rid, bool_and(v <= q3 + greatest(8 * (q3 - q2), slack) AND (NOT low OR v >= q1 - greatest(8 * (q2 - q1), slack))) AS fits
-  FROM judged GROUP BY rid)
+lang_q AS (SELECT l.lang, l.rule, {_BLEND("l", "a")} FROM by_lang l JOIN whole a ON l.rule = a.rule),
+own_q AS (SELECT o.lang, o.source, o.rule, {_BLEND("o", "l")} FROM own o JOIN lang_q l ON o.rule = l.rule AND o.lang IS NOT DISTINCT FROM l.lang),
+rules(rule, under, spread, unit, low) AS (VALUES {_RULE_ROWS}),
+steps AS (SELECT o.*, spread, low, 1000 * unit // greatest(u.q1, 1) AS step FROM own_q o JOIN rules r ON o.rule = r.rule
+  JOIN own_q u ON u.rule = r.under AND o.lang IS NOT DISTINCT FROM u.lang AND o.source IS NOT DISTINCT FROM u.source),
+verdict AS (SELECT v.rid, bool_and(v.v <= q3 + spread * greatest(q3 - q2, step) AND (NOT low OR v.v >= q1 - spread * greatest(q2 - q1, step))) AS fits
+  FROM vals v JOIN steps s ON v.rule = s.rule AND v.lang IS NOT DISTINCT FROM s.lang AND v.source IS NOT DISTINCT FROM s.source GROUP BY v.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fits, false) AS kept
 FROM counted LEFT JOIN verdict USING (rid)
 """

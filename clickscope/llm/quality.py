@@ -6,9 +6,12 @@ value's leading ``SKETCH_BITS`` bits name its bin, so a bin is 1/64 of its value
 most).  Sketches of parts merge by adding counts, in any order and to the same result,
 so they are a plain ``groupBy().count()``, combined before the shuffle; a sketch has at
 most some 4,000 bins however many documents it holds.  The fences come from the
-sketch's quartiles and are joined back to the texts' rows.  Groups of fewer than
-``min_group`` documents take the fences of their language's sketch, merged from its
-sources', and small languages those of the whole table.
+sketch's quartiles and are joined back to the texts' rows.  A group's quartiles are blended
+with those of its language's sketch (merged from its sources'), and these with the whole
+table's, as if ``prior`` documents of the wider sketch belonged to the group: the larger the group,
+the more its own count, without a step.  Where quartiles agree, as for what
+most texts don't hold at all, the distance is the weight of one occurrence in a short text of the group,
+by the sketch of the texts' sizes.
 """
 
 from __future__ import annotations
@@ -32,29 +35,35 @@ SKETCH_BITS = 7
 @dataclass(frozen=True)
 class Rule:
     """A ratio, 1000 * ``over`` / ``under`` rounded down, must lie within ``spread`` times
-    the distance from the median to the quartile beyond that quartile, or within
-    ``slack`` of it if that is more.  ``low``: below is judged as well."""
+    a distance of the upper quartile: that to the median, or the ratio of one occurrence
+    (``unit`` of ``over``) in a text of the lower quartile's ``under`` if that is more.
+    ``low``: below the lower quartile is judged as well."""
 
     name: str
     over: str
     under: str
-    slack: int
+    spread: int
+    unit: int = 1
     low: bool = False
-    spread: float = 8.0
 
 
 @dataclass(frozen=True)
 class QualityParams:
     min_words: int = 50
     max_repeat_percent: int = 50
-    min_group: int = 100
+    prior: int = 100  # documents of the wider sketch in a group's blend
     rules: tuple[Rule, ...] = (
-        Rule("word_length", "word_chars", "n_words", 1500, low=True),
-        Rule("symbols", "n_symbols", "n_words", 200),
-        Rule("dup_lines", "n_dup_lines", "n_lines", 500),
-        Rule("repeats", "n_repeat_words", "n_words", 400),
+        Rule("word_length", "word_chars", "n_words", 16, low=True),
+        Rule("symbols", "n_symbols", "n_words", 32),
+        Rule("dup_lines", "n_dup_lines", "n_lines", 2),
+        Rule("repeats", "n_repeat_words", "n_words", 10, unit=6),  # a 3-word window and its copy
     )
 
+    @property
+    def sizes(self) -> tuple[str, ...]:
+        """What the ratios are taken of; sketched as well."""
+        return tuple(dict.fromkeys(r.under for r in self.rules))
+
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -125,21 +134,24 @@ def quartiles(bins: DataFrame, by: list[str]) -> DataFrame:
 def fences(bins: DataFrame, params: QualityParams) -> DataFrame:
     """``(lang, source, least, most)``: maps of rule to limit for every language and source."""
     own, lang, whole = (quartiles(bins, by) for by in (["lang", "source", "rule"], ["lang", "rule"], ["rule"]))
-    named = lambda df, p, by: df.select(*[F.col(c).alias(f"{p}_{c}") for c in by], F.struct("size", "q1", "q2", "q3").alias(p))
-    lang, whole = named(lang, "lang", ["lang", "rule"]), named(whole, "all", ["rule"])
-    joined = (own.select(F.col("lang").alias("l"), "source", "rule", F.struct("size", "q1", "q2", "q3").alias("own"))
-              .join(lang, F.col("l").eqNullSafe(F.col("lang_lang")) & (F.col("rule") == F.col("lang_rule")))
+    renamed = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    lang, whole = renamed(lang, "lang"), renamed(whole, "all")
+    joined = (own.join(lang, F.col("lang").eqNullSafe(F.col("lang_lang")) & (F.col("rule") == F.col("lang_rule")))
               .join(F.broadcast(whole), F.col("rule") == F.col("all_rule")))  # a row a rule
-    q = F.when(F.col("own.size") >= params.min_group, F.col("own")).when(
-        F.col("lang.size") >= params.min_group, F.col("lang")).otherwise(F.col("all"))
-    slack = F.create_map(*[x for r in params.rules for x in (F.lit(r.name), F.lit(r.slack))])
-    spread = F.create_map(*[x for r in params.rules for x in (F.lit(r.name), F.lit(r.spread))])
-    joined = joined.select("l", "source", "rule", q.alias("q"), slack[F.col("rule")].alias("slack"), spread[F.col("rule")].alias("spread"))
-    wide = lambda d: F.greatest((F.col("spread") * d).cast("long"), F.col("slack").cast("long"))
-    entry = lambda c: F.map_from_entries(F.collect_list(F.struct("rule", c)))
-    return (joined.withColumn("least", F.col("q.q1") - wide(F.col("q.q2") - F.col("q.q1")))
-            .withColumn("most", F.col("q.q3") + wide(F.col("q.q3") - F.col("q.q2")))
-            .groupBy(F.col("l").alias("lang"), "source").agg(entry("least").alias("least"), entry("most").alias("most")))
+    blend = lambda size, q, wider: F.call_function("div", size * q + params.prior * wider, size + params.prior)
+    blended = [blend(F.col("size"), F.col(q), blend(F.col("lang_size"), F.col(f"lang_{q}"), F.col(f"all_{q}"))).alias(q) for q in ("q1", "q2", "q3")]
+    groups = joined.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct(*blended)))).alias("q"))
+
+    def limits(edge: str, sign: int, rules: list[Rule]) -> Column:
+        out = []
+        for r in rules:
+            q, size = F.col("q")[r.name], F.greatest(F.col("q")[r.under]["q1"], F.lit(1).cast("long"))
+            step = F.call_function("div", F.lit(1000 * r.unit).cast("long"), size)
+            out += [F.lit(r.name), q[edge] + sign * r.spread * F.greatest(sign * (q[edge] - q["q2"]), step)]
+        return F.create_map(*out) if out else F.lit(None).cast("map<string,bigint>")
+
+    return groups.select("lang", "source", limits("q1", -1, [r for r in params.rules if r.low]).alias("least"),
+                         limits("q3", 1, list(params.rules)).alias("most"))
 
 
 def _judged(counted: DataFrame, c: str, lang_col: str, source_col: str, params: QualityParams) -> tuple[DataFrame, Column, Column]:
@@ -147,7 +159,8 @@ def _judged(counted: DataFrame, c: str, lang_col: str, source_col: str, params:
     n = lambda name: F.col(f"{c}.{name}")
     base_failed = (n("n_words") < params.min_words) | (100 * n("n_repeat_words") > params.max_repeat_percent * n("n_words"))
     value = {r.name: F.when(n(r.under) > 0, F.floor(1000 * n(r.over) / n(r.under))).otherwise(0) for r in params.rules}
-    stack = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), value[r.name].alias("value")) for r in params.rules]))
+    measured = {**value, **{x: n(x) for x in params.sizes}}
+    stack = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("value")) for k, v in measured.items()]))
     # texts that the base rules reject have no say in what is usual
     ratios = counted.where(~base_failed).select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), stack.alias("r"))
     bins = materialize(sketches(ratios.select("lang", "source", "r.rule", "r.value")), "sketches")

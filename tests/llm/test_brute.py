@@ -488,6 +488,53 @@ def test_sketch_quartiles(spark):
                 assert exact - exact / 64 <= q[f"q{k}"] <= exact
 
 
+def test_quality_limits_come_from_the_sketches(spark):
+    """Limits are the plain ones of blended quartiles, and every rule's differ."""
+    from clickscope.llm.quality import QualityParams, counts, fences, sketches
+
+    p = QualityParams()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("lang", "source", "text").toPandas()
+    rows = []
+    for d in docs.itertuples():
+        c = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"), counts((d.text or "").encode())))
+        if c["n_words"] >= 50 and 100 * c["n_repeat_words"] <= 50 * c["n_words"]:
+            rows += [(d.lang, d.source, r.name, 1000 * c[r.over] // max(c[r.under], 1)) for r in p.rules]
+            rows += [(d.lang, d.source, x, c[x]) for x in p.sizes]
+    frame = spark.createDataFrame(rows, "lang string, source string, rule string, value long")
+    got = {(r["lang"], r["source"]): r for r in fences(sketches(frame), p).collect()}
+    groups = collections.defaultdict(list)
+    least_of_bin = lambda v: v >> max(v.bit_length() - 7, 0) << max(v.bit_length() - 7, 0)
+    for lang, source, rule, v in rows:
+        for key in ((lang, source, rule), (lang, rule), (rule,)):
+            groups[key].append(least_of_bin(v))
+    own = {k: (len(v), [sorted(v)[math.ceil(len(v) * q / 4) - 1] for q in (1, 2, 3)]) for k, v in groups.items()}
+    blend = lambda one, wider: [(one[0] * a + p.prior * b) // (one[0] + p.prior) for a, b in zip(one[1], wider)]
+    assert {k[:2] for k in own if len(k) == 3} == set(got)
+    for (lang, source), r in got.items():
+        q = {x: blend(own[lang, source, x], blend(own[lang, x], own[x,][1])) for x in (*[y.name for y in p.rules], *p.sizes)}
+        for rule in p.rules:
+            step = 1000 * rule.unit // max(q[rule.under][0], 1)
+            assert r["most"][rule.name] == q[rule.name][2] + rule.spread * max(q[rule.name][2] - q[rule.name][1], step)
+            if rule.low:
+                assert r["least"][rule.name] == q[rule.name][0] - rule.spread * max(q[rule.name][1] - q[rule.name][0], step)
+    for rule in p.rules:
+        assert len({r["most"][rule.name] for r in got.values()}) > 1
+
+
+def test_quality_limits_change_without_a_step(spark):
+    """One document more moves a limit by its share only, whatever the group's size."""
+    from clickscope.llm.quality import QualityParams, fences, sketches
+
+    p, limits = QualityParams(), {}
+    rest = [("en", "big", rule, v) for rule, v in (("word_length", 5000), ("symbols", 0), ("dup_lines", 0), ("repeats", 0), ("n_words", 128), ("n_lines", 8)) for _ in range(3000)]
+    for n in (1, 50, 99, 100, 101, 400):
+        small = [("en", "small", rule, v) for rule, v in (("word_length", 6016), ("symbols", 100), ("dup_lines", 0), ("repeats", 0), ("n_words", 64), ("n_lines", 8)) for _ in range(n)]
+        made = fences(sketches(spark.createDataFrame(rest + small, "lang string, source string, rule string, value long")), p)
+        limits[n] = made.where("source = 'small'").first()["most"]["symbols"]
+    assert abs(limits[100] - limits[99]) <= p.rules[1].spread and abs(limits[101] - limits[100]) <= p.rules[1].spread
+    assert limits[1] < limits[50] < limits[100] < limits[400]
+
+
 @pytest.mark.parametrize("page", ["<b></i>" * 150_000, "<b>" * 60_000 + "</i>" * 60_000, "<b>" * 60_000 + "<hr>" * 60_000, "<li><b>" * 60_000])
 def test_broken_pages_take_linear_time(page):
     import time
