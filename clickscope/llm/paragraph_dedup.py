@@ -7,7 +7,7 @@ copied into the middle of other text yields the same paragraphs there.  (Of ever
 A copied run of ``min_words + gap - 1`` words or more holds a passage, wherever it
 stands; with 32 and 19 that is 50 words.)
 
-Equal paragraphs meet by a 128-bit digest.  Lines also get MinHash signatures of their
+Equal lines meet by a 128-bit digest, passages by 64 bits and their words.  Lines also get MinHash signatures of their
 5-word shingles (a line of fewer words is one shingle: the digest decides); bands are tuned for recall (``tune_bands``), distinct lines that collide
 in a band are joined, and the exact Jaccard similarity decides.  A bucket is compared in
 blocks of bounded size and gives at most a spanning tree of its links.  Components of
@@ -27,13 +27,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickscope.llm.collocations import _has, phrase_bitmap
 from clickscope.llm.common import broadcast_checked, materialize, ship
 from clickscope.llm.components import connected_components
 
@@ -42,6 +45,9 @@ ship(__name__)
 _SHINGLE_HASHES = np.random.default_rng(42).integers(1, 2**63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
 
 
+_SEED_BASE = 0x2545F4914F6CDD1D
+
+
 @dataclass(frozen=True)
 class ParagraphParams:
     min_words: int = 32
@@ -93,34 +99,34 @@ def run_hashes(h: np.ndarray, n: int, base: int) -> np.ndarray:
     return _mix(out[:max(0, len(h) - n + 1)])
 
 
-def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (A-Z lower-cased), and the word count before each line's end."""
-    digest, known = xxhash.xxh64_intdigest, {}
-    out, ends = [], []
-    for line in text.lower().split(b"\n"):
-        for w in line.split():
-            if (h := known.get(w)) is None:
-                h = known[w] = digest(w)
-            out.append(h)
-        ends.append(len(out))
-    return np.array(out, dtype=np.uint64), np.array(ends, dtype=np.int64)
+class _Hashes(dict):
+    """Hashes of words, made once each."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
-def _lines(ends: np.ndarray) -> list[tuple[int, int]]:
-    starts = np.concatenate([[0], ends[:-1]])
-    return [(int(a), int(b)) for a, b in zip(starts, ends) if b > a]
+
+def _words(text: bytes | None, known: _Hashes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z lower-cased), and the word count before each line's end."""
+    known = _Hashes() if known is None else known
+    words, ends = [], []
+    for line in (text or b"").lower().split(b"\n"):
+        words += line.split()
+        ends.append(len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.array(ends, dtype=np.int64)
 
 
-def _band_keys(h: np.ndarray, lines: list[tuple[int, int]], p: ParagraphParams) -> np.ndarray:
+def _band_keys(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: ParagraphParams) -> np.ndarray:
     """Band keys of each line; all have ``shingle_words`` words or more."""
-    shingles, bands = run_hashes(h, p.shingle_words, 0x27D4EB2F165667C5), tune_bands(p.similarity, p.recall, p.band_rows)
-    edges = np.array(lines, dtype=np.int64).reshape(-1, 2) - [0, p.shingle_words - 1]
-    low = np.empty((bands * p.band_rows, len(lines)), dtype=np.uint64)
+    bands = tune_bands(p.similarity, p.recall, p.band_rows)
+    edges = np.stack([starts, ends - p.shingle_words + 1], axis=1).ravel()
     top = np.array([2**64 - 1], dtype=np.uint64)  # an edge may be the end
-    for k, (a, b) in enumerate(zip(*_SHINGLE_HASHES[:, :len(low)])):
-        low[k] = np.minimum.reduceat(np.concatenate([_mix(shingles * a + b), top]), edges.ravel())[::2]
-    keys = np.stack([run_hashes(low[:, k], p.band_rows, 0x9FB21C651E98DF25)[::p.band_rows] for k in range(len(lines))])
-    return keys.view(np.int64)
+    keys = np.zeros((len(starts), bands), dtype=np.uint64)
+    for k, (a, b) in enumerate(zip(*_SHINGLE_HASHES[:, :bands * p.band_rows])):
+        low = np.minimum.reduceat(np.concatenate([_mix(shingles * a + b), top]), edges)[::2]
+        keys[:, k // p.band_rows] = keys[:, k // p.band_rows] * np.uint64(0x9FB21C651E98DF25) + low
+    return _mix(keys).view(np.int64)
 
 
 def _anchors(h: np.ndarray, n: int, gap: int) -> list[int]:
@@ -133,33 +139,74 @@ def _anchors(h: np.ndarray, n: int, gap: int) -> list[int]:
     return np.unique(views.argmin(axis=1) + np.arange(len(views))).tolist()
 
 
-def paragraphs(text: bytes | None, p: ParagraphParams) -> list[tuple[int, int, int, int, list[int] | None]]:
-    """(first word, words, digest x, digest y, band keys of a line) of each paragraph; a
-    line of less than ``shingle_words`` has no band keys but is a line."""
-    h, ends = _words(text or b"")
-    out = []
+def _winnowed(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, gap: int) -> np.ndarray:
+    """``_anchors`` of texts that lie one after the other, each with its first ``places``
+    places; ``order`` has the hashes of all 3-word windows."""
+    chosen = [np.array([s + order[s:s + n].argmin() for s, n in zip(starts.tolist(), places.tolist()) if 0 < n <= gap], dtype=np.int64)]
+    if (places > gap).any():
+        room = np.repeat(starts + places, sizes)  # end of the places of the text around
+        at = np.flatnonzero(np.arange(len(room)) + gap <= room)
+        chosen.append(np.unique(np.lib.stride_tricks.sliding_window_view(order, gap).argmin(axis=1)[at] + at))
+    return np.sort(np.concatenate(chosen))
+
+
+def _apart(text: np.ndarray, x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """``at`` without places that overlap an equal run of their text: it may repeat itself at
+    every word."""
+    by = np.lexsort((at, x, text))
+    text, x, at = text[by], x[by], at[by]
+    again = np.r_[False, (text[1:] == text[:-1]) & (x[1:] == x[:-1])]
+    keep, last = np.ones(len(at), dtype=bool), 0
+    if (again[1:] & (np.diff(at) < n)).any():
+        for i in np.flatnonzero(again).tolist():
+            last = last if again[i - 1] else at[i - 1]
+            keep[i] = last + n <= at[i]
+            last = at[i] if keep[i] else last
+    return np.sort(at[keep])
+
+
+@dataclass(frozen=True)
+class Units:
+    """The paragraphs of some texts, as columns: text, first word, words, digest; ``band_keys``
+    of the lines that have any, and how many each unit has (-1: no line)."""
+
+    of: np.ndarray
+    at: np.ndarray
+    n: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    bands: np.ndarray
+    band_keys: np.ndarray
+
+
+def paragraphs(texts: list[bytes | None], p: ParagraphParams, known: _Hashes) -> Units:
+    """Paragraphs of the texts; a line of less than ``shingle_words`` has no band keys but is
+    a line."""
+    words = [_words(t, known) for t in texts]
+    sizes = np.array([len(h) for h, _ in words], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    h, text = np.concatenate([w for w, _ in words]), np.repeat(np.arange(len(texts)), sizes)
+    first = np.concatenate([np.r_[0, ends[:-1]] + s for (_, ends), s in zip(words, starts)])
+    end = np.concatenate([ends + s for (_, ends), s in zip(words, starts)])
+    first, end = first[end > first], end[end > first]
+    kinds = []  # (places, words, x, y)
     with np.errstate(over="ignore"):
-        if len(h) >= p.min_words:
-            x, y = run_hashes(h, p.min_words, 0x100000001B3), run_hashes(h, p.min_words, 0xC2B2AE3D27D4EB4F)
-            last = {}
-            for s in _anchors(h, len(x), p.gap):
-                if last.get(x[s], -p.min_words) + p.min_words <= s:  # a text may repeat itself at every word
-                    last[x[s]] = s
-                    out.append((s, p.min_words, int(x[s].view(np.int64)), int(y[s].view(np.int64)), None))
-            x, places = _seeds(h, p)
-            last = {}
-            for s in places.tolist():
-                if last.get(x[s], -p.seed_words) + p.seed_words <= s:
-                    last[x[s]] = s
-                    out.append((s, p.seed_words, int(x[s].view(np.int64)), 0, None))  # the words decide later
-        lines = _lines(ends)
-        banded = [(s, e) for s, e in lines if e - s >= p.shingle_words]
-        keys = dict(zip(banded, _band_keys(h, banded, p).tolist())) if banded else {}
-        for s, e in lines:
-            data = h[s:e].tobytes()
-            d = np.array([xxhash.xxh64_intdigest(data, 1), xxhash.xxh64_intdigest(data, 2)], dtype=np.uint64).view(np.int64)
-            out.append((s, e - s, int(d[0]), int(d[1]), keys.get((s, e), [])))
-    return out
+        order = run_hashes(h, 3, 0x165667B19E3779F9)
+        for n, gap, base in ((p.min_words, p.gap, 0x100000001B3), (p.seed_words, p.seed_gap, _SEED_BASE)):
+            x = run_hashes(h, n, base)
+            at = _winnowed(order, starts, sizes, np.where(sizes >= p.min_words, sizes - n + 1, 0), gap)
+            at = _apart(text[at], x[at], at, n)
+            kinds.append((at, np.full(len(at), n), x[at], np.zeros(len(at), dtype=np.uint64)))  # the words decide later
+        data = memoryview(h.tobytes())
+        lines = [data[8 * s:8 * e] for s, e in zip(first.tolist(), end.tolist())]
+        kinds.append((first, end - first, *(np.fromiter((xxhash.xxh64_intdigest(d, seed) for d in lines), np.uint64, len(lines)) for seed in (1, 2))))
+        banded = end - first >= p.shingle_words
+        keys = np.zeros((0, tune_bands(p.similarity, p.recall, p.band_rows)), dtype=np.int64)
+        if banded.any():
+            keys = _band_keys(run_hashes(h, p.shingle_words, 0x27D4EB2F165667C5), first[banded], end[banded], p)
+    at, n, x, y = (np.concatenate(c) for c in zip(*kinds))
+    bands = np.concatenate([np.full(len(at) - len(first), -1), np.where(banded, keys.shape[1], 0)])
+    return Units(text[at], at - starts[text[at]], n, x.view(np.int64), y.view(np.int64), bands, keys.ravel())
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> int:
@@ -175,19 +222,38 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> int:
 
 def _seeds(h: np.ndarray, p: ParagraphParams) -> tuple[np.ndarray, np.ndarray]:
     """Digests of the runs of ``seed_words`` words, and the places the words choose."""
-    x = run_hashes(h, p.seed_words, 0x2545F4914F6CDD1D)
+    x = run_hashes(h, p.seed_words, _SEED_BASE)
     return x, np.array(_anchors(h, len(x), p.seed_gap) if len(x) else [], dtype=np.int64)
 
 
-def common_runs(h: np.ndarray, g: np.ndarray, p: ParagraphParams, only: list[int] | None = None) -> list[tuple[int, int, int, int]]:
-    """(start and end in ``h``, start and end in ``g``) of runs of equal word hashes, each
-    as long as the words agree.  With ``only``, ``g`` is ``h``: these places of it are
+class Text:
+    """The word hashes of a text and what is made of them when asked for."""
+
+    def __init__(self, h: np.ndarray, p: ParagraphParams):
+        self.h, self.p = h, p
+
+    @cached_property
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            return _seeds(self.h, self.p)
+
+    @cached_property
+    def first(self) -> dict[int, int]:
+        """The first place of each seed."""
+        y, there = self.seeds
+        return dict(zip(y[there[::-1]].tolist(), there[::-1].tolist()))
+
+    @cached_property
+    def shingles(self) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return run_hashes(self.h, self.p.shingle_words, 0x27D4EB2F165667C5)
+
+
+def common_runs(one: Text, two: Text, p: ParagraphParams, only: list[int] | None = None) -> list[tuple[int, int, int, int]]:
+    """(start and end in ``one``, start and end in ``two``) of runs of equal word hashes, each
+    as long as the words agree.  With ``only``, ``two`` is ``one``: these places of it are
     held against earlier ones."""
-    with np.errstate(over="ignore"):
-        (x, at), (y, there) = _seeds(h, p), _seeds(g, p)
-    first: dict[int, int] = {}
-    for k, j in zip(y[there].tolist(), there.tolist()):
-        first.setdefault(k, j)
+    h, g, (x, at), first = one.h, two.h, one.seeds, two.first
     places = at.tolist() if only is None else sorted(i for i in set(only) if i < len(x))
     runs, ends, reach = set(), {}, 0
     for i in places:
@@ -220,21 +286,21 @@ def _beyond_edits(runs: list[tuple[int, int, int, int]], h: np.ndarray, g: np.nd
     return sorted(known)
 
 
-def copies(h: np.ndarray, g: np.ndarray, p: ParagraphParams, only: list[int] | None = None) -> list[tuple[int, int, int, int]]:
+def copies(one: Text, two: Text, p: ParagraphParams, only: list[int] | None = None) -> list[tuple[int, int, int, int]]:
     """Passages of ``min_words`` or more on both sides: runs, and runs in a row that are
     similar as a whole."""
-    runs = common_runs(h, g, p, only)
+    runs = common_runs(one, two, p, only)
     if not runs:
         return []
     if only is None:
-        runs = _beyond_edits(runs, h, g, p)
-    with np.errstate(over="ignore"):
-        shingles = [run_hashes(t, p.shingle_words, 0x27D4EB2F165667C5) for t in (h, g)]
+        runs = _beyond_edits(runs, one.h, two.h, p)
 
     def similar(a0: int, a1: int, b0: int, b1: int) -> bool:
-        one, two = (np.unique(t[s:e - p.shingle_words + 1]) for t, s, e in zip(shingles, (a0, b0), (a1, b1)))
-        union = len(np.union1d(one, two))
-        return len(one) + len(two) - union >= p.similarity * union
+        left, right = (np.unique(t.shingles[s:e - p.shingle_words + 1]) for t, s, e in ((one, a0, a1), (two, b0, b1)))
+        if min(len(left), len(right)) < p.similarity * max(len(left), len(right)):
+            return False
+        union = len(np.union1d(left, right))
+        return len(left) + len(right) - union >= p.similarity * union
 
     def merged(chains: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         done, near = [], []
@@ -260,7 +326,8 @@ def copies(h: np.ndarray, g: np.ndarray, p: ParagraphParams, only: list[int] | N
     return [c for c in chains if min(c[1] - c[0], c[3] - c[2]) >= p.min_words]
 
 
-_SLICE = 20_000  # rows of paragraphs a task holds
+_SLICE = 1 << 16  # words handled at once: some 20,000 paragraphs
+_KNOWN = 1 << 17  # words whose hashes a task holds
 
 
 _COPY = pa.list_(pa.struct([(c, pa.int32()) for c in ("at", "end", "first_at", "first_end")]))
@@ -272,28 +339,32 @@ def _with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _paragraphs(docs: DataFrame, p: ParagraphParams) -> DataFrame:
-    """A row a paragraph.  Rows leave a task in slices of about ``_SLICE``, whatever Spark's
-    batch size, and as flat columns: a batch of texts holds a million of them."""
+    """A row a paragraph.  Texts are taken in slices of about ``_SLICE`` words, whatever
+    Spark's batch size: a batch of texts holds a million paragraphs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         names = ["id", "row", "at", "n", "x", "y", "bands"]
-
-        def rows(batch: pa.RecordBatch, places: list[int], units: list[tuple]) -> pa.RecordBatch:
-            of = pa.array(places, pa.int32())
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*units), kinds)]
-            return pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns], names)
+        known = _Hashes()
+
+        def rows(batch: pa.RecordBatch, first: int, texts: list[bytes | None]) -> pa.RecordBatch:
+            u = paragraphs(texts, p, known)
+            if len(known) > _KNOWN:
+                known.clear()
+            edges = pa.array(np.r_[0, np.cumsum(np.maximum(u.bands, 0))].astype(np.int32))
+            bands = pa.ListArray.from_arrays(edges, pa.array(u.band_keys), mask=pa.array(u.bands < 0))
+            of = pa.array(u.of + first)
+            columns = [pa.array(c.astype(np.int32)) for c in (u.at, u.n)] + [pa.array(c) for c in (u.x, u.y)]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns, bands], names)
 
         for batch in batches:
-            places, units = [], []
+            texts, first, size = [], 0, 0
             for k, text in enumerate(batch.column(2).cast(pa.binary())):
-                found = paragraphs(text.as_py(), p)
-                places += [k] * len(found)
-                units += found
-                if len(units) >= _SLICE:
-                    yield rows(batch, places, units)
-                    places, units = [], []
-            if units:
-                yield rows(batch, places, units)
+                texts.append(text.as_py())
+                size += len(texts[-1] or b"") // 6  # about so many words
+                if size >= _SLICE:
+                    yield rows(batch, first, texts)
+                    texts, first, size = [], k + 1, 0
+            if texts:
+                yield rows(batch, first, texts)
 
     kind = f"id {docs.schema['id'].dataType.simpleString()}, row long, at int, n int, x long, y long, bands array<long>"
     return docs.mapInArrow(run, kind)
@@ -353,10 +424,13 @@ def _line_links(docs: DataFrame, units: DataFrame, p: ParagraphParams) -> DataFr
     wanted = materialize(places.groupBy("row").agg(F.collect_list("u").alias("wanted")), "wanted")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
         for batch in batches:
             out: dict[str, list] = {"x": [], "y": [], "shingles": []}
             for text, units_ in zip(batch.column(0).cast(pa.binary()), batch.column(1)):
-                h, _ = _words(text.as_py() or b"")
+                if len(known) > _KNOWN:
+                    known.clear()
+                h, _ = _words(text.as_py(), known)
                 with np.errstate(over="ignore"):
                     whole = run_hashes(h, p.shingle_words, 0x27D4EB2F165667C5).view(np.int64)
                 for u in units_.as_py():
@@ -414,12 +488,18 @@ def _copies(docs: DataFrame, pairs: DataFrame, p: ParagraphParams) -> DataFrame:
     """``(id, row, at, end, first_id, first_row, first_at, first_end)``: what the documents
     of ``pairs`` (id, row, first_id, first_row, only) share, as far as it goes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen, two = _Hashes(), None, None
         for batch in batches:
             texts = [batch.column(c).cast(pa.binary()) for c in (1, 2)]
             found = []
-            for one, two, only in zip(*texts, batch.column(3)):
-                h, g = (_words(t.as_py() or b"")[0] for t in (one, two))
-                found.append([dict(zip(("at", "end", "first_at", "first_end"), c)) for c in copies(h, g, p, only.as_py())])
+            for left, right, only in zip(*texts, batch.column(3)):
+                if len(known) > _KNOWN:
+                    known.clear()
+                if two is None or right.as_py() != seen:  # pairs of one first document come together
+                    seen = right.as_py()
+                    two = Text(_words(seen, known)[0], p)
+                one = Text(_words(left.as_py(), known)[0], p)
+                found.append([dict(zip(("at", "end", "first_at", "first_end"), c)) for c in copies(one, two, p, only.as_py())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _COPY)], ["ids", "c"])
 
     # one row of docs each: repeated rows have one ``row``
@@ -432,6 +512,19 @@ def _copies(docs: DataFrame, pairs: DataFrame, p: ParagraphParams) -> DataFrame:
     return both.mapInArrow(run, kind).select("ids.*", F.inline("c"))
 
 
+def _perhaps(units: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """``units`` (``x`` first) without most of those whose ``x`` isn't in ``wanted``, which need not be
+    shuffled then: by a broadcast bitmap of 16 MiB, whatever the number of digests."""
+    shared = units.sparkSession.sparkContext.broadcast(phrase_bitmap(wanted.select(F.col("x").alias("w1")), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_has(shared.value, [batch.column(0).to_numpy()])))
+
+    return units.mapInArrow(run, units.schema), shared
+
+
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: ParagraphParams = ParagraphParams()) -> DataFrame:
     """One row for each passage of a document that repeats in another document: the id,
     ``first_word``, ``n_words`` (places among the text's words), ``component_id`` (least
@@ -448,11 +541,13 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what may be repeated: half a digest that occurs again (the whole digest decides below)
     equal = units.groupBy("x").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("x", F.lit(None).cast("long").alias("root"))
     # a linked line is repeated even if each of its forms occurs once
-    wanted = equal.unionAll(roots.select(F.col("node").alias("x"), "root")).groupBy("x").agg(F.max("root").alias("root"))
+    wanted = materialize(equal.unionAll(roots.select(F.col("node").alias("x"), "root")).groupBy("x").agg(F.max("root").alias("root")), "wanted_digests")
     root = F.when(F.col("line"), F.col("root"))
-    found = materialize(units.select("id", "row", "at", "n", "x", "y", F.col("bands").isNotNull().alias("line")).join(wanted, "x").select(
+    again, bitmap = _perhaps(units.select("x", "id", "row", "at", "n", "y", F.col("bands").isNotNull().alias("line")), wanted)
+    found = materialize(again.join(wanted, "x").select(
         "id", "row", "at", (F.col("at") + F.col("n")).alias("end"), "line", F.coalesce(root, "x").alias("class"),
         F.when(root.isNull(), F.col("y")).otherwise(0).alias("rest")), "occurrences")
+    bitmap.destroy()
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "at")
     same = ["class", "rest"]  # one paragraph: equal digests, or linked lines
     firsts = found.groupBy(*same).agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
