@@ -1,6 +1,9 @@
 """BPE encoding and decoding.
 
-A word's symbols form a doubly linked list; a priority queue holds the merges possible
+Texts are cut into words some at a time, and the words not known yet are merged together:
+their symbols are the rows of a matrix, beside it the ranks of neighbours, and in each
+round every row joins its least rank, leftmost first, until no merge applies.  The symbols
+of a long word form a doubly linked list; a priority queue holds the merges possible
 now by (rank, place).  The best is taken; it is stale, and skipped, if one of its two
 symbols has changed since; else the right symbol is joined into the left, and the new
 pairs on both sides enter the queue.  Decoding joins the vocabulary's strings.
@@ -18,7 +21,8 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,29 +35,18 @@ from clickscope.llm.common import once_per_worker, ship
 
 ship(__name__)
 
-#: A worker keeps what it has found for so many words, and for so many pieces
-#: (white-space-free strings of a text), twice: the latest and those before.  Longer ones
-#: than so many characters are never kept.  Bounds memory only.
-KEPT_WORDS, KEPT_PIECES, KEPT_CHARS = 200_000, 100_000, 64
+#: A worker keeps what it has found for so many words, twice: the latest and those before.
+#: Longer ones than so many characters are kept only as long as they are needed.  Bounds
+#: memory only.
+KEPT_WORDS, KEPT_CHARS = 200_000, 64
 
+#: Texts of about so many characters are handled together.
+TOGETHER = 1 << 20
 
-class _Kept(dict):
-    """A bounded memory in two generations: when the latest is full, it becomes the older
-    one, and what is found there moves up again."""
+#: Words of up to so many symbols are merged as rows of a matrix, of so many rows at most.
+SHORT_WORD, ROWS = 48, 4096
 
-    def __init__(self, find, most: int):
-        super().__init__()
-        self.find, self.most, self.older = find, most, {}
-
-    def __missing__(self, key: str):
-        if (value := self.older.get(key)) is None:
-            value = self.find(key)
-        if len(key) <= KEPT_CHARS:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+_decimal, _decoded = itemgetter(0), itemgetter(1)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -73,10 +66,11 @@ class Codec:
     def __init__(self, spec: str):
         self._read(json.loads(spec))
         letters = _byte_letters()
-        self.byte_ids = [self.vocab.get(letters[b], -1) for b in range(256)]
-        self.last_byte_ids = [self.vocab.get(letters[b] + self.suffix, -1) for b in range(256)]
-        self.known_words = _Kept(self.word, KEPT_WORDS)
-        self.known = _Kept(self.piece, KEPT_PIECES)
+        self.byte_ids = np.array([self.vocab.get(letters[b], -1) for b in range(256)])
+        self.last_byte_ids = np.array([self.vocab.get(letters[b] + self.suffix, -1) for b in range(256)])
+        # of a word (a special string is its id): ids in decimal, decoded text, both joined by a space
+        self.known: dict[str | int, tuple[str, str]] = {}
+        self.older: dict[str | int, tuple[str, str]] = {}
 
     def _read(self, spec: dict) -> None:
         model = spec["model"]
@@ -96,10 +90,14 @@ class Codec:
         pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
         self.rules = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
         self.rank_of = {a << 32 | b: rank for rank, (a, b, _) in enumerate(self.rules)}
+        # the same as sorted arrays; the last entry is no pair
+        self.pairs = np.array([*sorted(self.rank_of), -1], dtype=np.int64)
+        self.pair_ranks = np.array([*(self.rank_of[x] for x in sorted(self.rank_of)), len(self.rules)], dtype=np.int32)
+        self.joined = np.array([joined for _, _, joined in self.rules], dtype=np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
+        self.decimal = {i: str(i) for i in self.strings}
         self.words = regex.compile(split["pattern"]["Regex"])
-        self.spaces = regex.compile(r"[\p{White_Space}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, symbols: list[int]) -> list[int]:
@@ -126,50 +124,117 @@ class Codec:
                 push(queue, rank << 32 | h)
         return [s for s in symbols if s >= 0]
 
-    def word(self, text: str) -> list[int]:
-        """Ids of one word of the split pattern."""
-        data = text.encode()
-        symbols = [self.byte_ids[b] for b in data]
-        symbols[-1] = self.last_byte_ids[data[-1]]
-        return self.merge([s for s in symbols if s >= 0])
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, the number of rules where there is no merge."""
+        pairs = left << 32 | right
+        at = np.searchsorted(self.pairs[:-1], pairs)
+        return np.where(self.pairs[at] == pairs, self.pair_ranks[at], self.pair_ranks[-1])
+
+    def merge_rows(self, symbols: np.ndarray) -> list[list[int]]:
+        """``merge`` of words that are rows of a matrix, -1 after the last symbol."""
+        out: list[list[int]] = [[]] * len(symbols)
+        word, ranks = np.arange(len(symbols)), self.ranks(symbols[:, :-1], symbols[:, 1:])
+        while len(word):
+            # a column more, so that there is a least rank
+            ranks = np.c_[ranks, np.full(len(word), self.pair_ranks[-1])]
+            best = ranks.argmin(axis=1)
+            least = ranks[np.arange(len(word)), best]
+            more = least < self.pair_ranks[-1]
+            for w, row in zip(word[~more].tolist(), symbols[~more].tolist()):
+                out[w] = [s for s in row if s >= 0]
+            word, symbols, ranks, best, joined = word[more], symbols[more], ranks[more, :-1], best[more], self.joined[least[more]]
+            if not len(word):
+                break
+            # the right symbol goes, and with it the rank of the pair
+            rows, place = np.arange(len(word)), np.arange(symbols.shape[1] - 1)
+            symbols = np.take_along_axis(symbols, place + (place > best[:, None]), axis=1)
+            ranks = np.take_along_axis(ranks, place[:-1] + (place[:-1] >= best[:, None]), axis=1)
+            symbols[rows, best] = joined
+            for side, there in ((best - 1, best > 0), (best, best < len(place) - 1)):
+                r, c = rows[there], side[there]
+                ranks[r, c] = self.ranks(symbols[r, c], symbols[r, c + 1])
+        return out
 
-    def piece(self, text: str) -> tuple[tuple[int, ...], str, str]:
-        """Of a normalized string without white space: the ids, the ids in decimal and the
-        decoded text, both joined by a space."""
-        known = self.known_words
-        ids = tuple([i for word in self.words.findall(text) for i in known[word]])
-        return ids, " ".join(map(str, ids)), self.decode(ids)
+    def merged(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Words of the split pattern with their ids, in any order."""
+        words = sorted(words, key=len)
+        for k in range(0, len(words), ROWS):
+            part = words[k:k + ROWS]
+            data = [w.encode() for w in part]
+            sizes = np.array([len(d) for d in data])
+            flat, ends = np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes)
+            symbols = self.byte_ids[flat]
+            symbols[ends - 1] = self.last_byte_ids[flat[ends - 1]]
+            if sizes.max() > SHORT_WORD or (symbols < 0).any():
+                for w, own in zip(part, np.split(symbols, ends[:-1])):
+                    yield w, self.merge(own[own >= 0].tolist())
+            else:
+                rows = np.full((len(part), sizes.max()), -1)
+                rows[np.arange(sizes.max()) < sizes[:, None]] = symbols
+                yield from zip(part, self.merge_rows(rows))
 
     def normalized(self, text: str) -> str:
         # one character at a time, so the capital sigma never becomes a final one
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def pieces(self, text: str | None) -> list[tuple[tuple[int, ...], str, str]]:
-        """What ``piece`` gives for the text's pieces that have ids, in order; special
-        strings are pieces with their own id."""
+    def cut_up(self, text: str | None) -> list[str | int]:
+        """The words of a text; special strings are their own ids."""
         if self.cut is None or not self.cut.search(text or ""):
-            return self._pieces(text or "")
-        out = []
-        for k, part in enumerate(self.cut.split(text)):
-            out += [((self.special[part],), str(self.special[part]), part)] if k % 2 else self._pieces(part)
-        return out
-
-    def _pieces(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
-        text = self.normalized(text)
-        # str.split also takes four control characters for white space
-        parts = self.spaces.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        known = self.known
-        return [x for x in [known[p] for p in parts if p] if x[0]]
+            return self.words.findall(self.normalized(text or ""))
+        parts = enumerate(self.cut.split(text))
+        return [x for k, part in parts for x in ([self.special[part]] if k % 2 else self.words.findall(self.normalized(part)))]
+
+    def learn(self, words: set[str | int]) -> None:
+        """Puts the words into ``known``."""
+        new = []
+        for w in words:
+            if isinstance(w, int):
+                self.known[w] = self.decimal[w], self.strings[w]
+            elif (x := self.older.get(w)) is not None:
+                self.known[w] = x
+            else:
+                new.append(w)
+        for w, ids in self.merged(new):
+            self.known[w] = " ".join([self.decimal[i] for i in ids]), self.decode(ids)
+
+    def pieces(self, texts: Iterable[str | None]) -> Iterator[list[tuple[str, str]]]:
+        """For each text the words that have ids, in order: the ids in decimal and the decoded
+        text, both joined by a space."""
+        held, size = [], 0
+        for text in texts:
+            held.append(self.cut_up(text))
+            size += len(text or "")
+            if size >= TOGETHER:
+                yield from self._pieces(held)
+                held, size = [], 0
+        yield from self._pieces(held)
+
+    def _pieces(self, texts: list[list[str | int]]) -> Iterator[list[tuple[str, str]]]:
+        if len(self.known) >= KEPT_WORDS:
+            self.known, self.older = {}, self.known
+        new = set().union(*texts).difference(self.known)
+        self.learn(new)
+        for words in texts:
+            yield list(filter(_decimal, map(self.known.__getitem__, words)))
+        for w in new:
+            if isinstance(w, str) and len(w) > KEPT_CHARS:
+                del self.known[w]
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text; null as empty."""
+        for pieces in self.pieces(texts):
+            yield np.array([int(i) for x in pieces for i in x[0].split(" ")], dtype=np.int32)
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a text; null as empty."""
-        return np.array([i for x in self.pieces(text) for i in x[0]], dtype=np.int32)
+        ids, = self.encode_all([text])
+        return ids
 
-    def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded text."""
-        pieces = self.pieces(text)
-        return (sum([len(x[0]) for x in pieces]), hashlib.sha256(" ".join([x[1] for x in pieces]).encode()).hexdigest(),
-                hashlib.sha256(" ".join([x[2] for x in pieces]).encode()).hexdigest())
+    def digests(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded text."""
+        for pieces in self.pieces(texts):
+            ids = " ".join(map(_decimal, pieces)).encode()
+            yield (ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(),
+                   hashlib.sha256(" ".join(map(_decoded, pieces)).encode()).hexdigest())
 
     def decode(self, ids) -> str:
         """The vocabulary's strings in order, joined as the format says without a decoder:
@@ -203,7 +268,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out_col: str =
     rows, null keys and extra columns pass through; an empty table gives an empty one."""
     def run(texts):
         codec = _codec(path)
-        ids = [codec.encode(x.as_py()) for x in texts]
+        ids = list(codec.encode_all(x.as_py() for x in texts))
         ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))]
 
@@ -227,7 +292,7 @@ def bpe_digests(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     def run(texts):
         codec = _codec(path)
-        found = [codec.digests(x.as_py()) for x in texts]
+        found = list(codec.digests(x.as_py() for x in texts))
         return [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
 
     return _added(df, fields, text_col, run).drop(text_col)

@@ -62,6 +62,26 @@ def test_bpe_odd_texts_equal_the_library():
         assert codec.decode(ids) == t.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_short_words_are_merged_together(monkeypatch):
+    from clickscope.llm.bpe import SHORT_WORD, Codec
+    from clickscope.llm.catalog import vocabulary_path
+
+    r = random.Random(6)
+    words = ["".join(r.choice("aeionrst") for _ in range(r.randint(1, 2 * SHORT_WORD if k < 20 else SHORT_WORD))) for k in range(6000)] + ["é" * 9]
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        codec = Codec(f.read())
+    text, singly = " ".join(words), []
+    merge = codec.merge
+    monkeypatch.setattr(codec, "merge", lambda symbols: singly.append(len(symbols)) or merge(symbols))
+    ids = codec.encode(text).tolist()
+    assert len(singly) < len(words) // 3 + 1, "only blocks that hold a long word go word by word"
+    plain = []
+    for w in words:
+        data = w.encode()
+        plain += merge([*codec.byte_ids[list(data[:-1])].tolist(), int(codec.last_byte_ids[data[-1]])] if len(data) > 1 else [int(codec.last_byte_ids[data[0]])])
+    assert ids == plain
+
+
 def test_bpe_encode_then_decode(spark, docs):
     from clickscope.llm.bpe import bpe_decode, bpe_digests, bpe_encode
     from clickscope.llm.catalog import vocabulary_path
