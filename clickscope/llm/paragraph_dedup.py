@@ -136,7 +136,12 @@ def _anchors(h: np.ndarray, n: int, gap: int) -> list[int]:
     if n <= gap:
         return [int(order.argmin())]
     views = np.lib.stride_tricks.sliding_window_view(order, gap)
-    return np.unique(views.argmin(axis=1) + np.arange(len(views))).tolist()
+    return _runs_once(views.argmin(axis=1) + np.arange(len(views))).tolist()
+
+
+def _runs_once(at: np.ndarray) -> np.ndarray:
+    """Distinct places; the least place of a window never moves back."""
+    return at[np.r_[True, at[1:] != at[:-1]]]
 
 
 def _winnowed(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, gap: int) -> np.ndarray:
@@ -146,7 +151,7 @@ def _winnowed(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places:
     if (places > gap).any():
         room = np.repeat(starts + places, sizes)  # end of the places of the text around
         at = np.flatnonzero(np.arange(len(room)) + gap <= room)
-        chosen.append(np.unique(np.lib.stride_tricks.sliding_window_view(order, gap).argmin(axis=1)[at] + at))
+        chosen.append(_runs_once(np.lib.stride_tricks.sliding_window_view(order, gap).argmin(axis=1)[at] + at))
     return np.sort(np.concatenate(chosen))
 
 
@@ -209,14 +214,29 @@ def paragraphs(texts: list[bytes | None], p: ParagraphParams, known: _Hashes) ->
     return Units(text[at], at - starts[text[at]], n, x.view(np.int64), y.view(np.int64), bands, keys.ravel())
 
 
-def _agreement(a: np.ndarray, b: np.ndarray) -> int:
-    """Number of elements up to the first that differs."""
-    n, at, step = min(len(a), len(b)), 0, 64
+def _agreement(a: list[int], i: int, b: list[int], j: int) -> int:
+    """Number of words from ``i`` and ``j`` on up to the first that differs."""
+    n, at, step = min(len(a) - i, len(b) - j), 0, 16
+    while at < n:
+        end = min(at + step, n)
+        if a[i + at:i + end] != b[j + at:j + end]:
+            while a[i + at] == b[j + at]:
+                at += 1
+            return at
+        at, step = end, min(step * 4, 1024)
+    return n
+
+
+def _agreement_before(a: list[int], i: int, b: list[int], j: int) -> int:
+    """The same from the words before ``i`` and ``j`` backwards."""
+    n, at, step = min(i, j), 0, 16
     while at < n:
-        differ = np.flatnonzero(a[at:min(at + step, n)] != b[at:min(at + step, n)])
-        if len(differ):
-            return at + int(differ[0])
-        at, step = at + step, step * 4
+        end = min(at + step, n)
+        if a[i - end:i - at] != b[j - end:j - at]:
+            while a[i - at - 1] == b[j - at - 1]:
+                at += 1
+            return at
+        at, step = end, min(step * 4, 1024)
     return n
 
 
@@ -243,24 +263,42 @@ class Text:
         y, there = self.seeds
         return dict(zip(y[there[::-1]].tolist(), there[::-1].tolist()))
 
+    @cached_property
+    def words(self) -> list[int]:
+        return self.h.tolist()
+
     @cached_property
     def shingles(self) -> np.ndarray:
         with np.errstate(over="ignore"):
             return run_hashes(self.h, self.p.shingle_words, 0x27D4EB2F165667C5)
 
 
+def _shingle_counts(one: Text, two: Text) -> list[tuple[list[int], list[int], list[int]]]:
+    """For each of the texts: its shingles as small numbers, and before each place how many
+    stand in the other text too, and how many nowhere else."""
+    n = len(one.shingles)
+    _, number = np.unique(np.concatenate([one.shingles, two.shingles]), return_inverse=True)
+    sides = (number[:n], number[n:])
+    times = [np.bincount(side, minlength=number.max() + 1) for side in sides]
+    out = []
+    for side, own, other in zip(sides, times, times[::-1]):
+        flags = (other[side] > 0, (other[side] == 0) & (own[side] == 1))
+        out.append((side.tolist(), *(np.r_[0, np.cumsum(f)].tolist() for f in flags)))
+    return out
+
+
 def common_runs(one: Text, two: Text, p: ParagraphParams, only: list[int] | None = None) -> list[tuple[int, int, int, int]]:
     """(start and end in ``one``, start and end in ``two``) of runs of equal word hashes, each
     as long as the words agree.  With ``only``, ``two`` is ``one``: these places of it are
     held against earlier ones."""
-    h, g, (x, at), first = one.h, two.h, one.seeds, two.first
+    words, others, (x, at), first = one.words, two.words, one.seeds, two.first
     places = at.tolist() if only is None else sorted(i for i in set(only) if i < len(x))
     runs, ends, reach = set(), {}, 0
-    for i in places:
-        j = first.get(int(x[i]))
+    for i, seed in zip(places, x[places].tolist() if places else []):
+        j = first.get(seed)
         if j is None or i + p.seed_words <= reach or only is not None and j >= i or ends.get(i - j, 0) > i:
             continue
-        right, left = _agreement(h[i:], g[j:]), _agreement(h[:i][::-1], g[:j][::-1])
+        right, left = _agreement(words, i, others, j), _agreement_before(words, i, others, j)
         runs.add((i - left, i + right, j - left, j + right))
         ends[i - j] = i + right
         if left + right >= p.min_words:  # what is covered needs no second copy
@@ -268,21 +306,27 @@ def common_runs(one: Text, two: Text, p: ParagraphParams, only: list[int] | None
     return sorted(runs)
 
 
-def _beyond_edits(runs: list[tuple[int, int, int, int]], h: np.ndarray, g: np.ndarray, p: ParagraphParams) -> list[tuple[int, int, int, int]]:
+def _beyond_edits(runs: list[tuple[int, int, int, int]], one: Text, two: Text, p: ParagraphParams) -> list[tuple[int, int, int, int]]:
     """``runs`` and the runs of ``shingle_words`` or more next to one with a word changed, put
     in or left out between: too short for a seed."""
-    known, todo = set(runs), list(runs)
+    known, todo, n = set(runs), list(runs), p.shingle_words
+    words, others = one.words, two.words
     while todo:
         a0, a1, b0, b1 = todo.pop()
         for da, db in ((1, 1), (1, 0), (0, 1)):
+            # most have no run there: the words that it takes are held against each other first
             i, j = a1 + da, b1 + db
-            if (n := _agreement(h[i:], g[j:])) >= p.shingle_words and (r := (i, i + n, j, j + n)) not in known:
-                known.add(r)
-                todo.append(r)
-            i, j = max(a0 - da, 0), max(b0 - db, 0)
-            if (n := _agreement(h[:i][::-1], g[:j][::-1])) >= p.shingle_words and (r := (i - n, i, j - n, j)) not in known:
-                known.add(r)
-                todo.append(r)
+            if j + n <= len(others) and i + n <= len(words) and words[i:i + n] == others[j:j + n]:
+                m = _agreement(words, i, others, j)
+                if (r := (i, i + m, j, j + m)) not in known:
+                    known.add(r)
+                    todo.append(r)
+            i, j = a0 - da, b0 - db
+            if i >= n and j >= n and words[i - n:i] == others[j - n:j]:
+                m = _agreement_before(words, i, others, j)
+                if (r := (i - m, i, j - m, j)) not in known:
+                    known.add(r)
+                    todo.append(r)
     return sorted(known)
 
 
@@ -293,14 +337,24 @@ def copies(one: Text, two: Text, p: ParagraphParams, only: list[int] | None = No
     if not runs:
         return []
     if only is None:
-        runs = _beyond_edits(runs, one.h, two.h, p)
+        runs = _beyond_edits(runs, one, two, p)
+
+    counts = []  # made for the first two runs in a row
 
     def similar(a0: int, a1: int, b0: int, b1: int) -> bool:
-        left, right = (np.unique(t.shingles[s:e - p.shingle_words + 1]) for t, s, e in ((one, a0, a1), (two, b0, b1)))
+        if not counts:
+            counts.extend(_shingle_counts(one, two))
+        (left, shared, own), (right, others_shared, others_own) = counts
+        a1, b1 = a1 - p.shingle_words + 1, b1 - p.shingle_words + 1
+        # at most so many shingles are on both sides, and at least so many on one only
+        most = min(shared[a1] - shared[a0], others_shared[b1] - others_shared[b0])
+        if most < p.similarity * (most + own[a1] - own[a0] + others_own[b1] - others_own[b0]):
+            return False
+        left, right = set(left[a0:a1]), set(right[b0:b1])
         if min(len(left), len(right)) < p.similarity * max(len(left), len(right)):
             return False
-        union = len(np.union1d(left, right))
-        return len(left) + len(right) - union >= p.similarity * union
+        both = len(left & right)
+        return both >= p.similarity * (len(left) + len(right) - both)
 
     def merged(chains: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         done, near = [], []

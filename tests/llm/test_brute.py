@@ -622,3 +622,35 @@ def test_density_against_plain_sums():
     for _ in range(400):
         page = Page("".join(r.choice(["<%s>", "<%s>", "</%s>"]) % r.choice(names) + r.choice(["", "one ", "two words here " * r.randint(1, 9)]) for _ in range(r.randint(1, 40))))
         assert page.main_nodes() == _plain_density_roots(page)
+
+
+def test_common_runs_and_similar_passages_equal_plain_ones():
+    import numpy as np
+
+    from clickscope.llm import paragraph_dedup as P
+
+    r, p = random.Random(11), P.ParagraphParams()
+    for _ in range(60):
+        blocks = [[r.randrange(1, 40 if r.random() < 0.2 else 10**6) for _ in range(r.randint(5, 60))] for _ in range(12)]
+        sides = []
+        for _ in range(2):
+            words = [w for b in r.sample(blocks, 9) for w in [*b, *(r.randrange(10**6) for _ in range(r.randint(0, 3)))]]
+            sides.append([w if r.random() > 0.02 else 7 for w in words])
+        a, b = sides
+        for i, j in [(r.randrange(len(a) + 1), r.randrange(len(b) + 1)) for _ in range(20)] + [(0, 0), (len(a), len(b))]:
+            ahead = next((k for k, (x, y) in enumerate(zip(a[i:], b[j:])) if x != y), min(len(a) - i, len(b) - j))
+            behind = next((k for k, (x, y) in enumerate(zip(a[:i][::-1], b[:j][::-1])) if x != y), min(i, j))
+            assert (P._agreement(a, i, b, j), P._agreement_before(a, i, b, j)) == (ahead, behind)
+        one, two = (P.Text(np.array(x, dtype=np.uint64), p) for x in sides)
+        assert P._agreement(a, 0, a, 0) == P._agreement_before(a, len(a), a, len(a)) == len(a)
+        # the counts bound what sets of shingles say, for any two passages
+        (left, shared, own), (right, others_shared, others_own) = P._shingle_counts(one, two)
+        for _ in range(20):
+            s, t = sorted(r.sample(range(len(left) + 1), 2)), sorted(r.sample(range(len(right) + 1), 2))
+            x, y = set(one.shingles[s[0]:s[1]].tolist()), set(two.shingles[t[0]:t[1]].tolist())
+            assert (len(set(left[s[0]:s[1]]) & set(right[t[0]:t[1]])), len(set(left[s[0]:s[1]])), len(set(right[t[0]:t[1]]))) == (len(x & y), len(x), len(y))
+            assert len(x & y) <= min(shared[s[1]] - shared[s[0]], others_shared[t[1]] - others_shared[t[0]])
+            assert len(x ^ y) >= own[s[1]] - own[s[0]] + others_own[t[1]] - others_own[t[0]]
+        for a0, a1, b0, b1 in P.copies(one, two, p):
+            x, y = set(one.shingles[a0:a1 - 4].tolist()), set(two.shingles[b0:b1 - 4].tolist())
+            assert min(a1 - a0, b1 - b0) >= p.min_words and len(x & y) >= p.similarity * len(x | y)
