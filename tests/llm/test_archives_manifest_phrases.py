@@ -325,6 +325,27 @@ def test_double_array_counts_like_a_dictionary():
         assert phrase_places(double_array(table), np.array(text, np.int64), len(phrases), 4).tolist() == want
 
 
+def test_longer_phrases_come_from_one_pass(spark):
+    from collections import Counter
+
+    import numpy as np
+
+    from clickscope.llm.collocations import longer_phrases
+
+    r = np.random.default_rng(3)
+    texts = [np.append(r.integers(0, 7, r.integers(0, 80)), 0).astype(np.int64) for _ in range(60)]
+    count = lambda k: Counter(tuple(t[i:i + k].tolist()) for t in texts for i in range(len(t) - k + 1) if t[i:i + k].all())
+    usual = [x for x, n in count(2).items() if n >= 45]
+    pairs = spark.createDataFrame(usual, "w1 long, w2 long")
+    codes = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "codes binary")
+    levels = longer_phrases(codes, pairs, 6, 5)
+    assert [len(x.columns) for x in levels] == [3, 4, 5]
+    for k, level in enumerate(levels, 3):
+        want = {x for x, n in count(k).items() if n >= 6 and all(x[i:i + 2] in usual for i in range(k - 1))}
+        assert {tuple(x) for x in level.collect()} == want
+    assert levels[0].count()
+
+
 def test_phrases_that_share_a_mixture_stay_apart(monkeypatch):
     from clickscope.llm import collocations as c
 
