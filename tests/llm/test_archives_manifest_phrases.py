@@ -346,6 +346,46 @@ def test_longer_phrases_come_from_one_pass(spark):
     assert levels[0].count()
 
 
+def test_phrases_are_shuffled_as_short_numbers(spark):
+    from clickscope.llm import collocations as c
+
+    kinds = []  # what a pass over the texts emits
+
+    class Texts:
+        sparkSession = spark
+
+        def __init__(self, frame):
+            self.frame = frame
+
+        def select(self, name):
+            return self
+
+        def mapInArrow(self, run, kind):
+            out = self.frame.mapInArrow(run, kind)
+            kinds.append(out.columns)
+            return out
+
+    r = np.random.default_rng(8)
+    texts = [np.append(r.integers(0, 6, 70), 0).astype(np.int64) for _ in range(20)]
+    codes = Texts(spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "codes binary"))
+    words = spark.createDataFrame([(w,) for w in range(1, 6)], "w1 long")
+    pairs = c.frequent_pairs(codes, words, 30)
+    every = [tuple(t[i:i + 2].tolist()) for t in texts for i in range(len(t) - 1) if t[i:i + 2].all()]
+    want = {x for x in every if every.count(x) >= 30}
+    assert want and {tuple(x) for x in pairs.collect()} == want
+    assert len(c.longer_phrases(codes, pairs, 3, 4)) == 2
+    assert kinds == [["pair", "n"], ["begin", "s4", "n"]]
+
+
+def test_phrases_that_share_their_short_number_stay_candidates(spark, monkeypatch):
+    from clickscope.llm import collocations as c
+
+    monkeypatch.setattr(c, "_short", lambda columns: np.zeros(len(columns[0]), np.int64))
+    rows = [("en", "a b c d. x y"), ("en", "a b c d e"), ("en", "a b, x y z")]
+    got = _found(c.top_collocations(spark.createDataFrame(rows, "lang string, text string"), params=c.CollocationParams(min_count=2)))
+    assert got == _plain_collocations(rows, 2)
+
+
 def test_phrases_that_share_a_mixture_stay_apart(monkeypatch):
     from clickscope.llm import collocations as c
 
