@@ -129,14 +129,31 @@ def _band_keys(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: Pa
     return _mix(keys).view(np.int64)
 
 
+def _hashes(text: bytes, known: _Hashes) -> np.ndarray:
+    """Hashes of the words alone."""
+    words = text.lower().split()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _least(order: np.ndarray, gap: int) -> np.ndarray:
+    """The first place of the least value of each ``gap`` consecutive ones, from runs of 1, 2, 4
+    .. places."""
+    at, width = np.arange(len(order)), 1
+    while width < gap:
+        step = min(width, gap - width)
+        later = order[step:] < order[:-step]
+        at, order = np.where(later, at[step:], at[:-step]), np.minimum(order[step:], order[:-step])
+        width += step
+    return at
+
+
 def _anchors(h: np.ndarray, n: int, gap: int) -> list[int]:
     """Of every ``gap`` consecutive places among the first ``n`` the one whose 3-word window
     is least by hash; of fewer places one."""
     order = run_hashes(h, 3, 0x165667B19E3779F9)[:n]
     if n <= gap:
         return [int(order.argmin())]
-    views = np.lib.stride_tricks.sliding_window_view(order, gap)
-    return _runs_once(views.argmin(axis=1) + np.arange(len(views))).tolist()
+    return _runs_once(_least(order, gap)).tolist()
 
 
 def _runs_once(at: np.ndarray) -> np.ndarray:
@@ -151,7 +168,7 @@ def _winnowed(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places:
     if (places > gap).any():
         room = np.repeat(starts + places, sizes)  # end of the places of the text around
         at = np.flatnonzero(np.arange(len(room)) + gap <= room)
-        chosen.append(_runs_once(np.lib.stride_tricks.sliding_window_view(order, gap).argmin(axis=1)[at] + at))
+        chosen.append(_runs_once(_least(order, gap)[at]))
     return np.sort(np.concatenate(chosen))
 
 
@@ -263,6 +280,12 @@ class Text:
         y, there = self.seeds
         return dict(zip(y[there[::-1]].tolist(), there[::-1].tolist()))
 
+    @cached_property
+    def known_seeds(self) -> np.ndarray:
+        """The seeds in order."""
+        y, there = self.seeds
+        return np.unique(y[there])
+
     @cached_property
     def words(self) -> list[int]:
         return self.h.tolist()
@@ -291,12 +314,18 @@ def common_runs(one: Text, two: Text, p: ParagraphParams, only: list[int] | None
     """(start and end in ``one``, start and end in ``two``) of runs of equal word hashes, each
     as long as the words agree.  With ``only``, ``two`` is ``one``: these places of it are
     held against earlier ones."""
-    words, others, (x, at), first = one.words, two.words, one.seeds, two.first
-    places = at.tolist() if only is None else sorted(i for i in set(only) if i < len(x))
+    (x, at), seeds = one.seeds, two.known_seeds
+    places = at if only is None else np.array(sorted(i for i in set(only) if i < len(x)), dtype=np.int64)
+    if not len(places) or not len(seeds):
+        return []
+    # most seeds are in one of the texts only
+    found = x[places]
+    met = seeds[np.minimum(np.searchsorted(seeds, found), len(seeds) - 1)] == found
+    words, others, first = one.words, two.words, two.first
     runs, ends, reach = set(), {}, 0
-    for i, seed in zip(places, x[places].tolist() if places else []):
-        j = first.get(seed)
-        if j is None or i + p.seed_words <= reach or only is not None and j >= i or ends.get(i - j, 0) > i:
+    for i, seed in zip(places[met].tolist(), found[met].tolist()):
+        j = first[seed]
+        if i + p.seed_words <= reach or only is not None and j >= i or ends.get(i - j, 0) > i:
             continue
         right, left = _agreement(words, i, others, j), _agreement_before(words, i, others, j)
         runs.add((i - left, i + right, j - left, j + right))
@@ -380,6 +409,12 @@ def copies(one: Text, two: Text, p: ParagraphParams, only: list[int] | None = No
     return [c for c in chains if min(c[1] - c[0], c[3] - c[2]) >= p.min_words]
 
 
+def whole_copy(two: Text, p: ParagraphParams) -> list[tuple[int, int, int, int]]:
+    """``copies`` of a text and another one that equals it: the first seed's run is all of it."""
+    n = len(two.h)
+    return [(0, n, 0, n)] if n >= max(p.min_words, p.seed_words) else []
+
+
 _SLICE = 1 << 16  # words handled at once: some 20,000 paragraphs
 _KNOWN = 1 << 17  # words whose hashes a task holds
 
@@ -484,7 +519,7 @@ def _line_links(docs: DataFrame, units: DataFrame, p: ParagraphParams) -> DataFr
             for text, units_ in zip(batch.column(0).cast(pa.binary()), batch.column(1)):
                 if len(known) > _KNOWN:
                     known.clear()
-                h, _ = _words(text.as_py(), known)
+                h = _hashes(text.as_py(), known)
                 with np.errstate(over="ignore"):
                     whole = run_hashes(h, p.shingle_words, 0x27D4EB2F165667C5).view(np.int64)
                 for u in units_.as_py():
@@ -551,9 +586,12 @@ def _copies(docs: DataFrame, pairs: DataFrame, p: ParagraphParams) -> DataFrame:
                     known.clear()
                 if two is None or right.as_py() != seen:  # pairs of one first document come together
                     seen = right.as_py()
-                    two = Text(_words(seen, known)[0], p)
-                one = Text(_words(left.as_py(), known)[0], p)
-                found.append([dict(zip(("at", "end", "first_at", "first_end"), c)) for c in copies(one, two, p, only.as_py())])
+                    two = Text(_hashes(seen, known), p)
+                if only.as_py() is None and left.as_py() == seen:
+                    shared = whole_copy(two, p)
+                else:
+                    shared = copies(Text(_hashes(left.as_py(), known), p), two, p, only.as_py())
+                found.append([dict(zip(("at", "end", "first_at", "first_end"), c)) for c in shared])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _COPY)], ["ids", "c"])
 
     # one row of docs each: repeated rows have one ``row``
@@ -567,16 +605,15 @@ def _copies(docs: DataFrame, pairs: DataFrame, p: ParagraphParams) -> DataFrame:
 
 
 def _perhaps(units: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast]:
-    """``units`` (``x`` first) without most of those whose ``x`` isn't in ``wanted``, which need not be
+    """``units`` without most of those whose ``x`` isn't in ``wanted``, which need not be
     shuffled then: by a broadcast bitmap of 16 MiB, whatever the number of digests."""
     shared = units.sparkSession.sparkContext.broadcast(phrase_bitmap(wanted.select(F.col("x").alias("w1")), 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(_has(shared.value, [batch.column(0).to_numpy()])))
+    @F.arrow_udf("boolean")
+    def perhaps(x: pa.Array) -> pa.Array:
+        return pa.array(_has(shared.value, [x.to_numpy(zero_copy_only=False)]))
 
-    return units.mapInArrow(run, units.schema), shared
+    return units.where(perhaps("x")), shared
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: ParagraphParams = ParagraphParams()) -> DataFrame:
@@ -604,10 +641,14 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bitmap.destroy()
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "at")
     same = ["class", "rest"]  # one paragraph: equal digests, or linked lines
-    firsts = found.groupBy(*same).agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
-    known = found.join(firsts.select(*same, "first"), same).withColumn("later", place != F.col("first"))
+
+    def repeated(some: DataFrame) -> DataFrame:
+        """Lines and passages never meet: each kind is grouped by itself, once."""
+        firsts = some.groupBy(*same).agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
+        return some.join(firsts.select(*same, "first"), same).withColumn("later", place != F.col("first"))
+
     # passages: the documents side by side, each with that of the first occurrence
-    again = known.where("NOT line AND later").groupBy("row", F.col("first.row").alias("first_row")).agg(
+    again = repeated(found.where("NOT line")).where("later").groupBy("row", F.col("first.row").alias("first_row")).agg(
         F.first("id").alias("id"), F.first("first.id").alias("first_id"),
         F.collect_list(F.when(F.col("row") == F.col("first.row"), F.col("at"))).alias("only"))
     again = materialize(again.withColumn("only", F.when(F.col("row") == F.col("first_row"), F.col("only"))), "pairs")
@@ -615,7 +656,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mark = [F.xxhash64(F.lit(k), "row", "at", "first_row", "first_at").alias(c) for k, c in enumerate(same)]
     own_side = shared.select("id", "row", "at", "end", *mark, F.lit(True).alias("later"))
     first_side = shared.select(F.col("first_id").alias("id"), F.col("first_row").alias("row"), F.col("first_at").alias("at"), F.col("first_end").alias("end"), *mark, F.lit(False).alias("later"))
-    known = known.where("line").select("id", "row", "at", "end", *same, "later").unionAll(own_side).unionAll(first_side)
+    known = repeated(found.where("line")).select("id", "row", "at", "end", *same, "later").unionAll(own_side).unionAll(first_side)
     # paragraphs that touch are one passage
     own = Window.partitionBy("id", "row").orderBy("at", "end", *same)
     reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))

@@ -654,3 +654,49 @@ def test_common_runs_and_similar_passages_equal_plain_ones():
         for a0, a1, b0, b1 in P.copies(one, two, p):
             x, y = set(one.shingles[a0:a1 - 4].tolist()), set(two.shingles[b0:b1 - 4].tolist())
             assert min(a1 - a0, b1 - b0) >= p.min_words and len(x & y) >= p.similarity * len(x | y)
+
+
+def test_first_least_place_of_consecutive_ones():
+    import numpy as np
+
+    from clickscope.llm import paragraph_dedup as P
+
+    r = np.random.default_rng(6)
+    for n, most in ((1, 5), (11, 3), (40, 4), (300, 2**63)):
+        order = r.integers(0, most, n).astype(np.uint64)
+        for gap in (g for g in (1, 2, 11, 19) if g <= n):
+            assert P._least(order, gap).tolist() == [i + int(order[i:i + gap].argmin()) for i in range(n - gap + 1)]
+
+
+def test_equal_texts_are_copied_whole():
+    import numpy as np
+
+    from clickscope.llm import paragraph_dedup as P
+
+    r, p = random.Random(3), P.ParagraphParams()
+    for n in (0, 5, 11, 12, 31, 32, 33, 60, 400):
+        for most in (1, 2, 7, 10**9):  # texts that repeat themselves, and others
+            h = P._hashes(b" ".join(b"w%d" % r.randrange(most) for _ in range(n)), P._Hashes())
+            assert P.whole_copy(P.Text(h, p), p) == P.copies(P.Text(h.copy(), p), P.Text(h, p), p)
+    text = b" One\ttwo\n\nTHREE \xc3\x84 four\r\nfive\x0bsix\n"
+    assert np.array_equal(P._hashes(text, P._Hashes()), P._words(text)[0])
+
+
+def test_first_occurrences_are_looked_for_once_a_row(spark, monkeypatch):
+    from clickscope.llm import paragraph_dedup as P
+
+    plans, real = {}, P.materialize
+
+    def kept(df, name="table"):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(P, "materialize", kept)
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{words}\nshort line"), (2, f"x y z {words} more\nshort line"), (3, "short line")]
+    got = P.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {1, 2, 3}
+    # the filter by kind is below the sums: each kind's rows are grouped alone
+    for name, kind in (("pairs", "NOT line#"), ("passages", "line#")):
+        sides = [line for line in plans[name].splitlines() if "Filter" in line and "line#" in line]
+        assert len(sides) >= 2 and all((kind in line) and (("NOT line#" in line) == (name == "pairs")) for line in sides)
