@@ -47,6 +47,10 @@ _SHINGLE_HASHES = np.random.default_rng(42).integers(1, 2**63, size=(2, 256), dt
 
 _SEED_BASE = 0x2545F4914F6CDD1D
 
+_XXH64 = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)  # its primes
+
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))  # what ``bytes.split`` splits at
+
 
 @dataclass(frozen=True)
 class ParagraphParams:
@@ -100,21 +104,62 @@ def run_hashes(h: np.ndarray, n: int, base: int) -> np.ndarray:
 
 
 class _Hashes(dict):
-    """Hashes of words, made once each."""
+    """Hashes of long words, made once each."""
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
+def _short_hashes(lanes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """XXH64 of the words of ``n`` bytes (under 32) that begin at ``at``; ``lanes`` has the 8 bytes
+    from each place on."""
+    one, two, three, four, five = _XXH64
+    h = np.full(len(at), five + np.uint64(n))
+    for k in range(0, n - 7, 8):
+        lane = lanes[at + k] * two
+        h ^= (lane << np.uint64(31) | lane >> np.uint64(33)) * one
+        h = (h << np.uint64(27) | h >> np.uint64(37)) * one + four
+    rest = lanes[at + (n & ~7)] if n & 7 else None
+    if n & 4:
+        h ^= (rest & np.uint64(0xFFFFFFFF)) * one
+        h = (h << np.uint64(23) | h >> np.uint64(41)) * two + three
+    for k in range(n & 4, n & 7):
+        h ^= (rest >> np.uint64(8 * k) & np.uint64(255)) * five
+        h = (h << np.uint64(11) | h >> np.uint64(53)) * one
+    h = (h ^ h >> np.uint64(33)) * two
+    h = (h ^ h >> np.uint64(29)) * three
+    return h ^ h >> np.uint64(32)
+
+
+def _word_hashes(texts: list[bytes | None], known: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 of the words (A-Z lower-cased) of texts that lie one after the other; the word count of
+    each text; the words before each line's end, in all texts."""
+    raw = b"\n".join([b"", *(t or b"" for t in texts), bytes(8)]).lower()  # a line's end around each text
+    data = np.frombuffer(raw, np.uint8)
+    blank = _BLANK[data[:-8]]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    begin = np.cumsum([1, *(len(t or b"") + 1 for t in texts)])
+    lines = np.searchsorted(starts, np.flatnonzero(data[1:-8] == 10) + 1)
+    # words of one length at a time
+    lanes = np.ascontiguousarray(np.ndarray(len(data) - 7, "<u8", data, strides=(1,)))
+    length = np.minimum(sizes, 32).astype(np.uint8)
+    by = np.argsort(length, kind="stable")
+    h, edges = np.empty(len(starts), dtype=np.uint64), np.searchsorted(length[by], np.arange(34))
+    with np.errstate(over="ignore"):
+        for n in range(1, 32):
+            if len(at := by[edges[n]:edges[n + 1]]):
+                h[at] = _short_hashes(lanes, starts[at], n)
+    for k in by[edges[32]:].tolist():
+        h[k] = known[raw[starts[k]:starts[k] + sizes[k]]]
+    return h, np.diff(np.searchsorted(starts, begin)), lines
+
+
 def _words(text: bytes | None, known: _Hashes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (A-Z lower-cased), and the word count before each line's end."""
-    known = _Hashes() if known is None else known
-    words, ends = [], []
-    for line in (text or b"").lower().split(b"\n"):
-        words += line.split()
-        ends.append(len(words))
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.array(ends, dtype=np.int64)
+    h, _, ends = _word_hashes([text], _Hashes() if known is None else known)
+    return h, ends
 
 
 def _band_keys(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: ParagraphParams) -> np.ndarray:
@@ -130,9 +175,8 @@ def _band_keys(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: Pa
 
 
 def _hashes(text: bytes, known: _Hashes) -> np.ndarray:
-    """Hashes of the words alone."""
-    words = text.lower().split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    """Hashes of one text's words alone."""
+    return _word_hashes([text], known)[0]
 
 
 def _least(order: np.ndarray, gap: int) -> np.ndarray:
@@ -204,12 +248,9 @@ class Units:
 def paragraphs(texts: list[bytes | None], p: ParagraphParams, known: _Hashes) -> Units:
     """Paragraphs of the texts; a line of less than ``shingle_words`` has no band keys but is
     a line."""
-    words = [_words(t, known) for t in texts]
-    sizes = np.array([len(h) for h, _ in words], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    h, text = np.concatenate([w for w, _ in words]), np.repeat(np.arange(len(texts)), sizes)
-    first = np.concatenate([np.r_[0, ends[:-1]] + s for (_, ends), s in zip(words, starts)])
-    end = np.concatenate([ends + s for (_, ends), s in zip(words, starts)])
+    h, sizes, end = _word_hashes(texts, known)
+    starts, text = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(texts)), sizes)
+    first = np.r_[0, end[:-1]]
     first, end = first[end > first], end[end > first]
     kinds = []  # (places, words, x, y)
     with np.errstate(over="ignore"):
@@ -296,6 +337,23 @@ class Text:
             return run_hashes(self.h, self.p.shingle_words, 0x27D4EB2F165667C5)
 
 
+def _texts(texts: list[bytes], p: ParagraphParams, known: _Hashes) -> list[Text]:
+    """The texts with their words hashed and their seeds found all at once."""
+    h, sizes, _ = _word_hashes(texts, known)
+    ends = np.cumsum(sizes)
+    starts, places = ends - sizes, np.maximum(sizes - p.seed_words + 1, 0)
+    with np.errstate(over="ignore"):
+        x, shingles = run_hashes(h, p.seed_words, _SEED_BASE), run_hashes(h, p.shingle_words, 0x27D4EB2F165667C5)
+        at = _winnowed(run_hashes(h, 3, 0x165667B19E3779F9), starts, sizes, places, p.seed_gap)
+    cuts = np.searchsorted(at, np.r_[starts, len(h)]).tolist()
+    out = []
+    for k, (s, e, n) in enumerate(zip(starts.tolist(), ends.tolist(), places.tolist())):
+        out.append(one := Text(h[s:e], p))
+        one.seeds = x[s:s + n], at[cuts[k]:cuts[k + 1]] - s
+        one.shingles = shingles[s:max(s, e - p.shingle_words + 1)]
+    return out
+
+
 def _shingle_counts(one: Text, two: Text) -> list[tuple[list[int], list[int], list[int]]]:
     """For each of the texts: its shingles as small numbers, and before each place how many
     stand in the other text too, and how many nowhere else."""
@@ -369,21 +427,33 @@ def copies(one: Text, two: Text, p: ParagraphParams, only: list[int] | None = No
         runs = _beyond_edits(runs, one, two, p)
 
     counts = []  # made for the first two runs in a row
+    sets = {}  # of a passage: the shingles of each side, and how many are on both
 
-    def similar(a0: int, a1: int, b0: int, b1: int) -> bool:
+    def similar(part: tuple[int, int, int, int], whole: tuple[int, int, int, int]) -> bool:
+        """``whole`` begins where ``part`` does: only what it adds is looked at."""
         if not counts:
             counts.extend(_shingle_counts(one, two))
         (left, shared, own), (right, others_shared, others_own) = counts
+        a0, a1, b0, b1 = whole
         a1, b1 = a1 - p.shingle_words + 1, b1 - p.shingle_words + 1
         # at most so many shingles are on both sides, and at least so many on one only
         most = min(shared[a1] - shared[a0], others_shared[b1] - others_shared[b0])
         if most < p.similarity * (most + own[a1] - own[a0] + others_own[b1] - others_own[b0]):
             return False
-        left, right = set(left[a0:a1]), set(right[b0:b1])
-        if min(len(left), len(right)) < p.similarity * max(len(left), len(right)):
+        a, b = max(a0, part[1] - p.shingle_words + 1), max(b0, part[3] - p.shingle_words + 1)
+        if part not in sets:
+            x, y = set(left[a0:a]), set(right[b0:b])
+            sets[part] = x, y, len(x & y)
+        x, y, both = sets[part]
+        more_x, more_y = set(left[a:a1]) - x, set(right[b:b1]) - y
+        both += len(more_x & y) + len(x & more_y) + len(more_x & more_y)
+        if both < p.similarity * (len(x) + len(more_x) + len(y) + len(more_y) - both):
             return False
-        both = len(left & right)
-        return both >= p.similarity * (len(left) + len(right) - both)
+        del sets[part]
+        x |= more_x
+        y |= more_y
+        sets[whole] = x, y, both
+        return True
 
     def merged(chains: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         done, near = [], []
@@ -396,7 +466,7 @@ def copies(one: Text, two: Text, p: ParagraphParams, only: list[int] | None = No
                 c0, c1, d0, d1 = near[k]
                 both = (c0, max(c1, a1), d0, max(d1, b1))
                 close = max(a0 - c1, b0 - d1) <= slack * (c1 - c0 + a1 - a0) + p.shingle_words
-                if b0 >= d0 and close and (only is None or both[3] <= both[0]) and similar(*both):
+                if b0 >= d0 and close and (only is None or both[3] <= both[0]) and similar(near[k], both):
                     near[k] = both
                     break
             else:
@@ -416,7 +486,7 @@ def whole_copy(two: Text, p: ParagraphParams) -> list[tuple[int, int, int, int]]
 
 
 _SLICE = 1 << 16  # words handled at once: some 20,000 paragraphs
-_KNOWN = 1 << 17  # words whose hashes a task holds
+_KNOWN = 1 << 17  # long words whose hashes a task holds
 
 
 _COPY = pa.list_(pa.struct([(c, pa.int32()) for c in ("at", "end", "first_at", "first_end")]))
@@ -427,9 +497,22 @@ def _with_row(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit("/"), text_col).alias("row"), F.col(text_col).alias("text"))
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
+    """The texts in slices of about ``_SLICE`` words, whatever Spark's batch size (a batch of texts
+    holds a million paragraphs), and the place of each slice's first."""
+    texts, first, size = [], 0, 0
+    for k, text in enumerate(column.cast(pa.binary())):
+        texts.append(text.as_py())
+        size += len(texts[-1] or b"") // 6  # about so many words
+        if size >= _SLICE:
+            yield first, texts
+            texts, first, size = [], k + 1, 0
+    if texts:
+        yield first, texts
+
+
 def _paragraphs(docs: DataFrame, p: ParagraphParams) -> DataFrame:
-    """A row a paragraph.  Texts are taken in slices of about ``_SLICE`` words, whatever
-    Spark's batch size: a batch of texts holds a million paragraphs."""
+    """A row a paragraph."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "row", "at", "n", "x", "y", "bands"]
         known = _Hashes()
@@ -445,14 +528,7 @@ def _paragraphs(docs: DataFrame, p: ParagraphParams) -> DataFrame:
             return pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns, bands], names)
 
         for batch in batches:
-            texts, first, size = [], 0, 0
-            for k, text in enumerate(batch.column(2).cast(pa.binary())):
-                texts.append(text.as_py())
-                size += len(texts[-1] or b"") // 6  # about so many words
-                if size >= _SLICE:
-                    yield rows(batch, first, texts)
-                    texts, first, size = [], k + 1, 0
-            if texts:
+            for first, texts in _slices(batch.column(2)):
                 yield rows(batch, first, texts)
 
     kind = f"id {docs.schema['id'].dataType.simpleString()}, row long, at int, n int, x long, y long, bands array<long>"
@@ -516,16 +592,19 @@ def _line_links(docs: DataFrame, units: DataFrame, p: ParagraphParams) -> DataFr
         known = _Hashes()
         for batch in batches:
             out: dict[str, list] = {"x": [], "y": [], "shingles": []}
-            for text, units_ in zip(batch.column(0).cast(pa.binary()), batch.column(1)):
+            lines = batch.column(1).to_pylist()
+            for first, texts in _slices(batch.column(0)):
                 if len(known) > _KNOWN:
                     known.clear()
-                h = _hashes(text.as_py(), known)
+                h, sizes, _ = _word_hashes(texts, known)
                 with np.errstate(over="ignore"):
                     whole = run_hashes(h, p.shingle_words, 0x27D4EB2F165667C5).view(np.int64)
-                for u in units_.as_py():
-                    out["x"].append(u["x"])
-                    out["y"].append(u["y"])
-                    out["shingles"].append(np.unique(whole[u["at"]:u["at"] + u["n"] - p.shingle_words + 1]))
+                for start, units_ in zip((np.cumsum(sizes) - sizes).tolist(), lines[first:]):
+                    for u in units_:
+                        at = start + u["at"]
+                        out["x"].append(u["x"])
+                        out["y"].append(u["y"])
+                        out["shingles"].append(np.unique(whole[at:at + u["n"] - p.shingle_words + 1]))
             yield pa.RecordBatch.from_arrays([pa.array(out["x"], pa.int64()), pa.array(out["y"], pa.int64()), pa.array(out["shingles"], pa.list_(pa.int64()))], list(out))
 
     # one row of docs each: repeated rows have one ``row``
@@ -578,20 +657,35 @@ def _copies(docs: DataFrame, pairs: DataFrame, p: ParagraphParams) -> DataFrame:
     of ``pairs`` (id, row, first_id, first_row, only) share, as far as it goes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, two = _Hashes(), None, None
+        todo, texts = [], []  # pairs (is the first document new, does the text differ, places) and the texts to cut for them
+
+        def shared() -> list[list[dict[str, int]]]:
+            nonlocal two
+            made, found = iter(_texts(texts, p, known)), []
+            for new, other, only in todo:
+                two = next(made) if new else two
+                found.append(copies(next(made), two, p, only) if other else whole_copy(two, p))
+            todo.clear()
+            texts.clear()
+            if len(known) > _KNOWN:
+                known.clear()
+            return [[dict(zip(("at", "end", "first_at", "first_end"), c)) for c in some] for some in found]
+
         for batch in batches:
-            texts = [batch.column(c).cast(pa.binary()) for c in (1, 2)]
-            found = []
-            for left, right, only in zip(*texts, batch.column(3)):
-                if len(known) > _KNOWN:
-                    known.clear()
-                if two is None or right.as_py() != seen:  # pairs of one first document come together
-                    seen = right.as_py()
-                    two = Text(_hashes(seen, known), p)
-                if only.as_py() is None and left.as_py() == seen:
-                    shared = whole_copy(two, p)
-                else:
-                    shared = copies(Text(_hashes(left.as_py(), known), p), two, p, only.as_py())
-                found.append([dict(zip(("at", "end", "first_at", "first_end"), c)) for c in shared])
+            found, size = [], 0
+            for row in zip(batch.column(1).cast(pa.binary()), batch.column(2).cast(pa.binary()), batch.column(3)):
+                one, right, only = (c.as_py() for c in row)
+                new, other = right != seen, only is not None or one != right  # pairs of one first document come together
+                seen = right
+                some = [t for t, wanted in ((right, new), (one, other)) if wanted]
+                todo.append((new, other, only))
+                texts += some
+                size += sum(len(t) for t in some) // 6  # about so many words
+                if size >= _SLICE:
+                    found += shared()
+                    size = 0
+            if todo:
+                found += shared()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _COPY)], ["ids", "c"])
 
     # one row of docs each: repeated rows have one ``row``

@@ -682,6 +682,66 @@ def test_equal_texts_are_copied_whole():
     assert np.array_equal(P._hashes(text, P._Hashes()), P._words(text)[0])
 
 
+def test_words_of_many_texts_are_hashed_at_once():
+    import numpy as np
+    import xxhash
+
+    from clickscope.llm import paragraph_dedup as P
+
+    r, p = random.Random(8), P.ParagraphParams()
+    some = ["".join(r.choice("abAZ\u00c4\x00\x1c\u2003 \t\n\x0b\x0c\r" if r.random() < q else "xY") for _ in range(r.randint(0, 400))).encode() for q in (0.01, 0.05, 0.2, 0.5, 1) for _ in range(12)]
+    texts = [None, b"", b" \n ", b"\nx", b"y" * 31, b"Z" * 32, b"z" * 200, *some, b"", None]
+    words = [(t or b"").lower().split() for t in texts]
+    known = P._Hashes()
+    h, sizes, ends = P._word_hashes(texts, known)
+    assert known.keys() == {w for text in words for w in text if len(w) >= 32}  # no other word goes one by one
+    assert h.tolist() == [xxhash.xxh64_intdigest(w) for text in words for w in text]
+    assert sizes.tolist() == [len(w) for w in words]
+    lines = [len(line.split()) for t in texts for line in (t or b"").split(b"\n")]
+    assert ends.tolist() == np.cumsum(lines).tolist()
+    # seeds and shingles of texts side by side are those of each alone
+    for text, one in zip(texts, P._texts(texts, p, P._Hashes())):
+        alone = P.Text(P._hashes(text or b"", P._Hashes()), p)
+        assert one.words == alone.words and one.shingles.tolist() == alone.shingles.tolist()
+        assert [x.tolist() for x in one.seeds] == [x.tolist() for x in alone.seeds]
+
+
+def test_passages_that_grow_keep_their_sets_of_shingles():
+    import numpy as np
+
+    from clickscope.llm import paragraph_dedup as P
+
+    r, p = random.Random(4), P.ParagraphParams()
+
+    def plain(one, two):  # of all words from the first to the last, anew for each step
+        x, y = ({tuple(s[i:i + 5]) for i in range(len(s) - 4)} for s in (one, two))
+        return len(x & y) >= p.similarity * len(x | y)
+
+    for share in (0.01, 0.04, 0.06, 0.1):
+        for most in (30, 10**6):  # texts that repeat themselves, and others
+            one = [r.randrange(1, most) for _ in range(600)]
+            two = [w if r.random() > share else 0 for w in one]
+            found = P.copies(*(P.Text(np.array(x, dtype=np.uint64), p) for x in (one, two)), p)
+            assert found if share < 0.05 else True
+            assert all(plain(one[a:b], two[c:d]) for a, b, c, d in found)
+
+
+def test_pairs_are_read_in_slices(spark, monkeypatch):
+    from clickscope.llm import paragraph_dedup as P
+
+    r = random.Random(9)
+    passages = [" ".join(f"p{k}w{i}" for i in range(70)) for k in range(4)]
+    rows = []
+    for i in range(40):
+        own = " ".join(f"o{i}x{k}" for k in range(r.randint(0, 30)))
+        rows.append((i, f"{own}\n{r.choice(passages)} {own}" if i % 5 else r.choice([passages[0], "", None])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = sorted(map(tuple, P.repeated_passages(df).collect()))
+    assert whole
+    monkeypatch.setattr(P, "_SLICE", 100)
+    assert sorted(map(tuple, P.repeated_passages(df).collect())) == whole
+
+
 def test_first_occurrences_are_looked_for_once_a_row(spark, monkeypatch):
     from clickscope.llm import paragraph_dedup as P
 
